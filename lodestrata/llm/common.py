@@ -180,18 +180,23 @@ def repeated(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, later
 
 
+_SIGNS = frozenset(".,!?;:#*$%&)")
+
+
 class Tokens:
     """Ids of whole texts by a public tokenizer whose pre-tokens never span white space, so that words can be cached.
 
-    At most `most` words are held; then the cache starts anew. Texts with the separators 1C-1F, which Python
-    splits at and the tokenizer does not, are encoded whole.
+    At most `most` words are held, in two generations: when the younger is full it becomes the older, and what is
+    used again moves back. Texts with the separators 1C-1F, which Python splits at and the tokenizer does not, are encoded whole.
     """
 
-    def __init__(self, path: str, most: int = 600_000) -> None:
+    def __init__(self, path: str, most: int = 700_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.t, self.most, self.cache = Tokenizer.from_file(path), most, {}
+        self.t, self.half = Tokenizer.from_file(path), most // 2
+        self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.mark = self.mark_id = None
         for c in "§¶†‡¤":
             ids = self.t.encode(c, add_special_tokens=False).ids
@@ -202,8 +207,45 @@ class Tokens:
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, words: list[str]) -> None:
+    def plain(self, text: str) -> str:
+        """The text in lower case, as the tokenizer makes it, where that is safe to say; it means fewer distinct words."""
+        if "<|" in text:
+            return text
+        try:
+            text.encode("latin-1")  # no letters beyond it: no final sigma, no dotted capital I, all composed
+        except UnicodeEncodeError:
+            return text
+        return text.lower()
+
+    def learn(self, words: set[str]) -> None:
+        """Take words from the older generation; split signs off the end, which are a pre-token of their own; encode the rest."""
+        older, cache = self.older, self.cache
+        if older:
+            again = words & older.keys()
+            cache.update((w, older[w]) for w in again)
+            words = words - again
+        ends, fresh = [], set()
+        for w in words:
+            base = w
+            while base and base[-1] in _SIGNS:
+                base = base[:-1]
+            if base and base is not w and base[-1].isalpha():
+                ends.append((w, base, w[len(base) :]))
+                fresh.add(base)
+                fresh.add(w[len(base) :])
+            else:
+                fresh.add(w)
+        fresh = {w for w in fresh if w not in cache}
+        if older:
+            again = fresh & older.keys()
+            cache.update((w, older[w]) for w in again)
+            fresh -= again
+        self.encode_words(sorted(fresh))
+        cache.update((w, cache[base] + cache[end]) for w, base, end in ends)
+
+    def encode_words(self, words: list[str]) -> None:
         """Encode many words in one text, parted by a mark of one id; else one by one."""
+        odd = words
         if self.mark:
             odd = [w for w in words if self.mark in w]
             words = [w for w in words if self.mark not in w]
@@ -212,27 +254,26 @@ class Tokens:
                 ids = np.array(self.t.encode_batch_fast([f" {self.mark} ".join(part)], add_special_tokens=False)[0].ids, "<u4")
                 cut = np.flatnonzero(ids == self.mark_id)
                 if len(cut) != len(part) - 1:
-                    odd += part
+                    odd = odd + part
                     continue
                 raw = ids.tobytes()
                 a = [0, *((cut + 1) * 4).tolist()]
                 b = [*(cut * 4).tolist(), len(raw)]
                 self.cache.update(zip(part, [raw[i:j] for i, j in zip(a, b)]))
-            words = odd
-        if words:
-            self.cache.update(zip(words, self.whole(words)))
+        if odd:
+            self.cache.update(zip(odd, self.whole(odd)))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; null: none."""
         out: list[bytes] = []
         for at in range(0, len(texts), 256):
             part = [t or "" for t in texts[at : at + 256]]
-            split = [t.split() for t in part]
-            if len(self.cache) > self.most:
-                self.cache = {}
+            split = [self.plain(t).split() for t in part]
+            if len(self.cache) > self.half:
+                self.cache, self.older = {}, self.cache
             new = set().union(*split).difference(self.cache)
             if new:
-                self.learn(list(new))
+                self.learn(new)
             get = self.cache.__getitem__
             for t, words in zip(part, split):
                 if any(c in t for c in "\x1c\x1d\x1e\x1f"):
