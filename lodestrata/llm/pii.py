@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.llm.common import fresh
+
 #: Base kinds in the order of the contract. Possessive forms and look-behinds match what the plain patterns match, leftmost
 #: and longest, without their repeated scans of long runs: within a run every start has the same end.
 BASE = {
@@ -96,24 +98,25 @@ def pii_spans(docs: DataFrame) -> DataFrame:
 
     Candidates of a kind are leftmost and non-overlapping; a candidate that fails its check is dropped, with no retry.
     Where the matches are comes from the texts between them, so that no position is searched twice.
-    Null text: like an empty one. All columns of docs stay; rows are not moved, so there is no shuffle.
+    Null text: like an empty one. All columns of docs stay but one named spans; rows are not moved, so there is no shuffle.
     """
-    # new columns are kept apart from any that docs may have
-    text = F.coalesce(F.col("text"), F.lit(""))
-    out = docs.withColumn("__t", text)
-    out = out.withColumns({f"__m_{k}": F.when(F.contains("__t", F.lit(NEEDS[k])) if k in NEEDS else F.lit(True), F.regexp_extract_all("__t", F.lit(p), F.lit(0))).otherwise(F.array().cast("array<string>")) for k, p in (BASE | ADDED).items()})
-    found = {}
-    for rank, (k, p) in enumerate((BASE | ADDED).items()):
-        m = F.col(f"__m_{k}")
-        pairs = F.filter(F.arrays_zip(F.split("__t", F.lit(p), -1).alias("g"), m.alias("m")), lambda x: x["m"].isNotNull())
+    names = fresh(docs, "__t", *(f"__m_{k}" for k in KINDS), *(f"__s_{k}" for k in KINDS))
+    t, match, found = names[0], dict(zip(KINDS, names[1:])), dict(zip(KINDS, names[1 + len(KINDS) :]))
+    patterns = BASE | ADDED
+    out = docs.withColumn(t, F.coalesce("text", F.lit("")))
+    none = F.array().cast("array<string>")
+    out = out.withColumns({match[k]: F.when(F.contains(t, F.lit(NEEDS[k])) if k in NEEDS else F.lit(True), F.regexp_extract_all(t, F.lit(p), F.lit(0))).otherwise(none) for k, p in patterns.items()})
+    spans = {}
+    for rank, (k, p) in enumerate(patterns.items()):
+        m = F.col(match[k])
+        pairs = F.filter(F.arrays_zip(F.split(t, F.lit(p), -1).alias("g"), m.alias("m")), lambda x: x["m"].isNotNull())
         zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:bigint,m:string,g:string>>").alias("out"))
         kept = F.filter(F.aggregate(pairs, zero, _place)["out"], _check(k))
         scored = F.transform(kept, _scored(k, rank))
         empty = F.array().cast("array<struct<start:bigint,rank:int,end:bigint,kind:string,score:double>>")
-        found[f"__s_{k}"] = F.when(F.size(m) > 0, scored).otherwise(empty)
-    out = out.withColumns(found)
-    spans = F.filter(F.array_sort(F.concat(*found)), lambda s: s["score"] >= LEAST)
-    return out.withColumn("spans", spans).drop("__t", *[f"__m_{k}" for k in KINDS], *found)
+        spans[found[k]] = F.when(F.size(m) > 0, scored).otherwise(empty)
+    out = out.withColumns(spans)
+    return out.withColumn("spans", F.filter(F.array_sort(F.concat(*spans)), lambda s: s["score"] >= LEAST)).drop(*names)
 
 
 def digest(spans: Column) -> Column:

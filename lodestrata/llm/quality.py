@@ -132,7 +132,7 @@ def score_quality(docs: DataFrame, model: Neighbours, threshold: float = 0.3) ->
         s = shared.value.score(features(batch.column(2)))
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    return by_batch(docs.select("doc_id", held_out().alias("held_out"), "text"), run, "doc_id long, held_out boolean, score double, predicted int")
+    return by_batch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text"), run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def op9_quality_classifier(spark, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import Words, by_batch, components, partitions, stash
+from lodestrata.llm.common import Words, by_batch, components, fresh, partitions, stash
 
 SEED, BITS = 42, 64
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -185,7 +185,7 @@ def near_links(fps: DataFrame, radius: int = 4) -> DataFrame:
     meets = own.join(sizes, ["mask", "key"]).select("mask", "key", "fp", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
     pairs = meets.select("mask", "key", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "fp")
 
-    def meet(_key, t: pa.Table) -> pa.Table:
+    def meet(t):
         fp = t["fp"].to_numpy()
         root = _roots(fp.view(np.uint64)[None, :], radius)[0]
         at = root != np.arange(len(fp))
@@ -226,11 +226,11 @@ def keep_one(docs: DataFrame, radius: int = 4) -> DataFrame:
     A document without a doc_id stays if no other of its group has one.
     """
     groups = stash(simhash_groups(docs, radius), "groups")
-    chosen = groups.where("doc_id <=> component_id").select("doc_id").distinct()
-    twice = groups.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    kept = docs.join(chosen.select(F.col("doc_id").alias("__id")), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    if not twice.take(1):
+    (own,) = fresh(docs, "__id")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(own))
+    chosen = groups.where("doc_id <=> component_id").select(F.col("doc_id").alias(own)).distinct()
+    kept = docs.join(chosen, same, "left_semi")
+    again = groups.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(own))
+    if not again.take(1):
         return kept
-    again = twice.select(F.col("doc_id").alias("__id"))
-    same = F.col("doc_id").eqNullSafe(F.col("__id"))
     return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").distinct())

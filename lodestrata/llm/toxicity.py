@@ -187,7 +187,7 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
         scores = [lexicon.score(t) for t in texts]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
-    return by_batch(docs.select("doc_id", held_out().alias("held_out"), "text"), run, "doc_id long, held_out boolean, score double, predicted int")
+    return by_batch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text"), run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def drop_toxic(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
