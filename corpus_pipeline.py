@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrata.llm import lines, mixing, packing, simhash, toxicity
-from lodestrata.llm.common import WORD, new_path
+from lodestrata.llm.common import WORD, fresh, new_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,11 +17,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the chunks that stand elsewhere before; one of which nothing is left goes."""
-    out = lines.dedup_lines(docs)
-    alive = (F.col("__chunks") == 0) | F.col("__text").rlike(WORD)
-    text = F.col("__text").alias("text")
-    columns = [F.when(F.col("__chunks") > 0, F.length("__text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else text if c == "text" else F.col(c) for c in docs.columns]
-    return out.where(alive).select(*columns)
+    out, left, chunks, _ = lines.dedup_lines(docs)
+    out = out.where((F.col(chunks) == 0) | F.col(left).rlike(WORD))
+    return out.select(*[_changed(c, docs, F.col(left), F.col(chunks) > 0) for c in docs.columns])
+
+
+def _changed(c: str, docs: DataFrame, text: Column, changed: Column) -> Column:
+    """A column of documents whose text may have changed."""
+    if c == "text":
+        return text.alias(c)
+    return F.when(changed, F.length(text)).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c)
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,26 +38,21 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A document that the mix doesn't take goes; one without words stays once, since it costs no budget.
     """
-    keyed = docs.withColumn("__h", F.xxhash64("text", "source"))
-    plan = mixing.mixing_plan(docs).select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("size").alias("__size"), "epochs", "part")
-    # rows that are alike in id, source and size are taken alike in total; each gets its own share by number
-    plan = plan.groupBy("__d", "__s", "__size").agg(F.array_sort(F.collect_list(F.struct("epochs", "part"))).alias("shares"))
-    size = mixing.word_count(F.col("text"))
-    joined = keyed.withColumn("__n", size).join(plan, F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & F.col("source").eqNullSafe(F.col("__s")) & (F.col("__n") == F.col("__size")))
-    # identical rows: the first share stands for all of them where there is one only
-    twice = joined.where(F.size("shares") > 1)
-    once = joined.where(F.size("shares") == 1).withColumn("share", F.col("shares")[0])
-    from pyspark.sql import Window
-
-    number = F.row_number().over(Window.partitionBy("__d", "__s", "__size").orderBy("__h"))
-    numbered = twice.withColumn("share", F.element_at("shares", number))
-    rows = once.unionByName(numbered)
-    whole = F.when(F.col("__size") == 0, F.array_repeat(F.col("text"), 1)).otherwise(F.array_repeat(F.col("text"), F.col("share.epochs").cast("int")))
-    cut = F.when(F.col("share.part") >= F.col("__size"), F.col("text")).otherwise(F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.greatest(F.col("share.part"), F.lit(0)).cast("int")), " "))
-    texts = F.when((F.col("share.part") > 0) & (F.col("__size") > 0), F.concat(whole, F.array(cut))).otherwise(whole)
-    out = rows.withColumn("text", F.explode(texts))
-    kind = docs.schema["n_chars"].dataType if "n_chars" in docs.columns else None
-    return out.select(*[F.length("text").cast(kind).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    d, s, n, shares, share, own, h, got = fresh(docs, "__d", "__s", "__n", "__shares", "__share", "__own", "__h", "__text")
+    plan = mixing.mixing_plan(docs).select(F.col("doc_id").alias(d), F.col("source").alias(s), F.col("size").alias(n), "epochs", "part")
+    # rows alike in id, source and size get their shares by number
+    plan = plan.groupBy(d, s, n).agg(F.array_sort(F.collect_list(F.struct("epochs", "part"))).alias(shares))
+    sized = docs.withColumn(own, mixing.word_count(F.col("text"))).withColumn(h, F.xxhash64("text"))
+    joined = sized.join(plan, F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & F.col("source").eqNullSafe(F.col(s)) & (F.col(own) == F.col(n)))
+    once = joined.where(F.size(shares) == 1).withColumn(share, F.col(shares)[0])
+    number = F.row_number().over(Window.partitionBy(d, s, n).orderBy(h))
+    rows = once.unionByName(joined.where(F.size(shares) > 1).withColumn(share, F.element_at(shares, number)))
+    epochs, part, size, text = F.col(share)["epochs"].cast("int"), F.col(share)["part"].cast("int"), F.col(n), F.col("text")
+    whole = F.array_repeat(text, F.when(size == 0, 1).otherwise(epochs))
+    first = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), 1, F.greatest(part, F.lit(0))), " ")
+    cut = F.when(part >= size, text).otherwise(first)
+    out = rows.withColumn(got, F.explode(F.when((part > 0) & (size > 0), F.concat(whole, F.array(cut))).otherwise(whole)))
+    return out.select(*[_changed(c, docs, F.col(got), (part > 0) & (part < size) & (F.col(got) != text)) for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
