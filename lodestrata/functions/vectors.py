@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,12 +34,21 @@ def l2_normalize(v: Column) -> Column:
     return F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double")))
 
 
-def hash_embed(text: Column, dim: int = 384) -> Column:
+def hash_vector(text: str | None, dim: int) -> np.ndarray:
     """Bag of words: a token counts at md5(token) mod dim; then unit length. A text without a token is the first axis."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)\w+"), F.lit(0))
-    digit = lambda c: F.when(F.ascii(c) < 58, F.ascii(c) - 48).otherwise(F.ascii(c) - 87)
-    slot = lambda w: F.aggregate(F.split(F.md5(w.cast("binary")), ""), F.lit(0), lambda s, c: F.when(c == "", s).otherwise((s * 16 + digit(c)) % dim))
-    slots = F.transform(words, slot)
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
-    first = F.concat(F.array(F.lit(1.0)), F.array_repeat(F.lit(0.0), dim - 1))
-    return F.when(F.size(words) == 0, first).otherwise(l2_normalize(counts))
+    v = np.zeros(dim)
+    for w in re.findall(r"\w+", (text or "").lower()):
+        v[int(hashlib.md5(w.encode()).hexdigest(), 16) % dim] += 1.0  # noqa: S324  not for secrecy
+    if not v.any():
+        v[0] = 1.0
+    return v / np.linalg.norm(v)
+
+
+def hash_embed(text: Column, dim: int = 384) -> Column:
+    """hash_vector over Arrow batches: 128-bit remainders have no built-in, and a lambda over dim slots is far slower."""
+
+    @F.pandas_udf("array<double>")
+    def embed(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: hash_vector(t, dim))
+
+    return embed(text)

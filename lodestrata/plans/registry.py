@@ -107,21 +107,23 @@ def _postings(spark, sf_dir, *kinds):
 
 DOC_POST = r"p AS (SELECT doc_id entity_id, unnest(regexp_extract_all(lower(source || ' ' || text), '[\p{L}\p{N}_]+')) w, generate_subscripts(regexp_extract_all(lower(source || ' ' || text), '[\p{L}\p{N}_]+'), 1) pos FROM documents)"
 TERM, TERM2 = "nding", "erth"
+#: Words with the stems of the terms.
+NDING, ERTH, ND = "('nding', 'ndings', 'ndinge', 'ndinges', 'ndinged', 'ndinging')", "('erth', 'erths', 'erthe', 'erthes', 'erthed', 'erthing', 'erthness')", "('nd', 'nds')"
 
 
-@query(rf"WITH {DOC_POST}, r AS (SELECT entity_id, sum(CAST(0.1 AS DOUBLE)) rank FROM p WHERE w IN ('nding', 'nd') GROUP BY entity_id) SELECT 'chunk' AS entity_type, entity_id, round(rank / (rank + 1), 6) AS score FROM r ORDER BY rank / (rank + 1) DESC, entity_id LIMIT 20")
+@query(rf"WITH {DOC_POST}, r AS (SELECT entity_id, sum(CAST(0.1 AS DOUBLE)) rank FROM p WHERE w IN {NDING} GROUP BY entity_id) SELECT 'chunk' AS entity_type, entity_id, round(rank / (rank + 1), 6) AS score FROM r ORDER BY rank / (rank + 1) DESC, entity_id LIMIT 20")
 def fts_single_term(spark, sf_dir):
     return rounded(search.lexical_topk(_postings(spark, sf_dir, "chunk"), TERM, 20))
 
 
-@query(rf"WITH {DOC_POST} SELECT entity_id FROM p WHERE w IN ('nding', 'nd', 'erth') GROUP BY entity_id HAVING count(DISTINCT CASE WHEN w = 'erth' THEN 2 ELSE 1 END) = 2")
+@query(rf"WITH {DOC_POST} SELECT entity_id FROM p WHERE w IN {NDING} OR w IN {ERTH} GROUP BY entity_id HAVING count(DISTINCT CASE WHEN w IN {ERTH} THEN 2 ELSE 1 END) = 2")
 def fts_all_terms(spark, sf_dir):
     from lodestrata.functions.analyze import query_lexemes
 
     return search.matches(_postings(spark, sf_dir, "chunk")["chunk"], query_lexemes(f"{TERM} {TERM2}")).select("entity_id").distinct()
 
 
-@query(rf"""WITH {DOC_POST}, h AS (SELECT entity_id, pos, CASE WHEN w = 'erth' THEN 2 ELSE 1 END t FROM p WHERE w IN ('nding', 'nd', 'erth')),
+@query(rf"""WITH {DOC_POST}, h AS (SELECT entity_id, pos, CASE WHEN w IN {ERTH} THEN 2 ELSE 1 END t FROM p WHERE w IN {ND} OR w IN {ERTH}),
 s AS (SELECT entity_id, pos, max(pos) FILTER (t = 1) OVER w1 a, max(pos) FILTER (t = 2) OVER w1 b FROM h WINDOW w1 AS (PARTITION BY entity_id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
 c AS (SELECT entity_id, least(a, b) start, min(pos) stop FROM s WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY entity_id, least(a, b)),
 r AS (SELECT entity_id, sum(CAST(2 AS DOUBLE) / 20 / (1 + greatest(stop - start - 1, 0))) rank FROM c GROUP BY entity_id)
@@ -395,7 +397,7 @@ def context_excerpts(spark, sf_dir):
 BLAME = f"{'a' * 40} 1 1 2\nauthor x\n\tcode {'b' * 40} 9 9\n{'a' * 40} 2 2\n\tmore\n{'c' * 40} 7 3 1\n{'b' * 40} 8 3\n"
 
 
-@query(f"WITH l AS (SELECT unnest(string_split(b, chr(10))) line, generate_subscripts(string_split(b, chr(10)), 1) at FROM {values(BLAME)} t(b)) SELECT regexp_extract(line, '^([0-9a-f]{{40}}) \\d+ (\\d+)', 2)::INT AS line, arg_max(regexp_extract(line, '^([0-9a-f]{{40}}) \\d+ (\\d+)', 1), at) AS sha FROM l WHERE regexp_matches(line, '^([0-9a-f]{{40}}) \\d+ (\\d+)') GROUP BY 1")
+@query(f"WITH l AS (SELECT unnest(string_split(b, chr(10))) line, generate_subscripts(string_split(b, chr(10)), 1) nth FROM {values(BLAME)} t(b)) SELECT regexp_extract(line, '^([0-9a-f]{{40}}) \\d+ (\\d+)', 2)::INT AS line, arg_max(regexp_extract(line, '^([0-9a-f]{{40}}) \\d+ (\\d+)', 1), nth) AS sha FROM l WHERE regexp_matches(line, '^([0-9a-f]{{40}}) \\d+ (\\d+)') GROUP BY 1")
 def blame_parse(spark, sf_dir):
     return tree.parse_blame(rows(spark, "repo_id long, path string, porcelain string", (0, "a.py", BLAME))).select("line", "sha")
 
