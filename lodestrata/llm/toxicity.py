@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -93,6 +93,18 @@ class Lexicon:
 _TOKEN = re.compile(r"[^\W\d_][^\W_]*")
 
 
+def _words(text: str) -> list[str]:
+    return [w.group().lower() for w in _TOKEN.finditer(text)]
+
+
+def _terms(words: list[str]):
+    """Words of three letters or more, and their stems of four to seven."""
+    for w in words:
+        if len(w) > 2:
+            yield w
+            yield from (f"{w[:i]}*" for i in range(4, min(8, len(w))))
+
+
 def learn(rows: list[tuple[str | None, int]], least: int = 4, least_ratio: float = 8.0, least_gain: float = 14.0) -> Lexicon:
     """A lexicon of words and stems (written with a final *) from (text, label) rows.
 
@@ -102,29 +114,29 @@ def learn(rows: list[tuple[str | None, int]], least: int = 4, least_ratio: float
     best first; one that another covers is left out. Weights are log ratios over the strongest. No rows of
     either label: an empty lexicon, which scores every text alike.
     """
-    n = [0, 0]
     texts = list(dict.fromkeys((t or "", int(bool(y))) for t, y in rows))
-    before, inside = (defaultdict(set), defaultdict(set)), (defaultdict(set), defaultdict(set))
-    total, wanted = [1, 1], None
-    for label in (1, 0):
-        for k, (text, y) in enumerate(texts):
-            if y != label:
-                continue
-            n[y] += 1
-            words = [w.group().lower() for w in _TOKEN.finditer(text)]
-            total[y] += len(words)
-            for left, w in zip(["", *words], words):
-                for term in [w, *(w[:i] + "*" for i in range(4, min(8, len(w))))] if len(w) > 2 else ():
-                    if wanted is None or term in wanted:
-                        before[y][term].add(left)
-                        inside[y][term].add(k)
-        if label:
-            wanted = {t for t, c in before[1].items() if min(len(c), len(inside[1][t])) >= least}
+    n = [sum(y == k for _, y in texts) for k in (0, 1)]
+    # only terms of several toxic texts are followed: what is kept of the others is a count
+    spread = Counter(t for text, y in texts if y for t in set(_terms(_words(text))))
+    wanted = {t for t, k in spread.items() if k >= least}
+    del spread
+    before, inside = (defaultdict(set), defaultdict(set)), (defaultdict(int), defaultdict(int))
+    for text, y in texts:
+        words, own = _words(text), set()
+        for left, w in zip(["", *words], words):
+            for term in _terms([w]):
+                if term in wanted:
+                    before[y][term].add(left)
+                    own.add(term)
+        for term in own:
+            inside[y][term] += 1
     if not n[0] or not n[1]:
         return Lexicon({})
     share, gain, ratio = n[1] / (n[0] + n[1]), {}, {}
     for t in wanted:
-        a, b = (min(len(before[y].get(t, ())), len(inside[y].get(t, ()))) for y in (1, 0))
+        a, b = (min(len(before[y].get(t, ())), inside[y].get(t, 0)) for y in (1, 0))
+        if a < least:
+            continue
         r = (a / n[1]) / ((b + 0.5) / n[0])
         g = a * math.log(a / (a + b) / share) + (b * math.log(b / (a + b) / (1 - share)) if b else 0.0)
         if r >= least_ratio and g >= least_gain:
