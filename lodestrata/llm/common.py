@@ -6,6 +6,7 @@ import functools
 import os
 import tempfile
 import uuid
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -191,7 +192,16 @@ def repeated(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, later
 
 
-_SIGNS = frozenset(".,!?;:#*$%&)")
+def _byte_form() -> dict[int, str]:
+    """Latin-1 characters as byte-level models write their UTF-8 bytes: printable bytes as themselves, the others from U+0100 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in printable]
+    form = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+    return {c: "".join(form[b] for b in chr(c).encode()) for c in range(128, 256)}
+
+
+_BYTE_FORM = _byte_form()
+_SIGNS = ".,!?;:#*$%&)"
 
 
 class Tokens:
@@ -201,11 +211,12 @@ class Tokens:
     used again moves back. Texts with the separators 1C-1F, which Python splits at and the tokenizer does not, are encoded whole.
     """
 
-    def __init__(self, path: str, most: int = 700_000) -> None:
+    def __init__(self, path: str, most: int = 500_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.t, self.half = Tokenizer.from_file(path), most // 2
+        self.model = self.t.model
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.mark = self.mark_id = None
@@ -237,10 +248,8 @@ class Tokens:
             words = words - again
         ends, fresh = [], set()
         for w in words:
-            base = w
-            while base and base[-1] in _SIGNS:
-                base = base[:-1]
-            if base and base is not w and base[-1].isalpha():
+            base = w.rstrip(_SIGNS)
+            if base and len(base) < len(w) and base[-1].isalpha():
                 ends.append((w, base, w[len(base) :]))
                 fresh.add(base)
                 fresh.add(w[len(base) :])
@@ -255,8 +264,22 @@ class Tokens:
         cache.update((w, cache[base] + cache[end]) for w, base, end in ends)
 
     def encode_words(self, words: list[str]) -> None:
-        """Encode many words in one text, parted by a mark of one id; else one by one."""
-        odd = words
+        """Ids of words. Lower-case Latin-1 letters alone need none of the tokenizer's steps but its model; other words are
+        encoded many in one text, parted by a mark of one id, or one by one.
+        """
+        others, model, cache = [], self.model.tokenize, self.cache
+        for w in words:
+            if w.isascii():
+                plain = w.isalpha() and w.islower()
+                form = w
+            else:
+                plain = w.isalpha() and w == w.lower() and max(w) < "\u0100"
+                form = w.translate(_BYTE_FORM)
+            if plain:
+                cache[w] = array("I", [t.id for t in model(form)]).tobytes()
+            else:
+                others.append(w)
+        words = odd = others
         if self.mark:
             odd = [w for w in words if self.mark in w]
             words = [w for w in words if self.mark not in w]
