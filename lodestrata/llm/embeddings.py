@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm.common import components, partitions, stash
 
-TILE = 1024
+TILE = 512
 #: Leading dimensions that are compared first, and those by which vectors are dealt to cells.
 LEAD, GRID = 8, 2
 
