@@ -66,6 +66,21 @@ def blame(files: DataFrame, root: str) -> DataFrame:
     return parse_blame(raw.where("porcelain is not null"))
 
 
+def commit_stubs(shas: DataFrame, root: str) -> DataFrame:
+    """Commit rows of (repo_id, sha) from git itself, where a worker can see the tree; unknown shas have none."""
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for sha in b["sha"]:
+                got = subprocess.run(["git", "-C", root, "log", "-1", "--format=%H%x00%an%x00%ae%x00%aI%x00%B", sha], capture_output=True, text=True, errors="replace")
+                out.append(got.stdout if got.returncode == 0 else None)
+            yield b.assign(raw=out)
+
+    raw = shas.select("repo_id", "sha").mapInPandas(run, "repo_id long, sha string, raw string").where("raw is not null")
+    return raw.select("repo_id", parse_commit_stub(F.col("raw")).alias("s")).where("s is not null").select("repo_id", "s.*")
+
+
 def parse_commit_stub(raw):
     """struct(sha, author_name, author_email, authored_at, message) from NUL-separated fields."""
     p = F.split(raw, "\\x00", 5)

@@ -146,3 +146,36 @@ def test_edges(spark):
 def test_page_limits(spark):
     with pytest.raises(ValueError, match="limit"):
         status.chunk_page(spark.range(1), 501)
+
+
+def test_write_path(spark, tmp_path):
+    import subprocess
+
+    from lodestrata.plans import ingest
+
+    root, store = tmp_path / "r", str(tmp_path / "store")
+    root.mkdir()
+    (root / "a.py").write_text("def f():\n    return 1\n")
+    git = lambda *a: subprocess.run(["git", "-C", str(root), "-c", "user.name=n", "-c", "user.email=e@x", *a], check=True, capture_output=True)
+    git("init", "-q")
+    git("add", ".")
+    git("commit", "-qm", "first\n\nbody")
+    url = "https://github.com/o/r"
+    for _ in range(2):
+        assert ingest.ingest_repo(spark, url, store, 1, str(root))["files"] == 1
+    with pytest.raises(ValueError, match="address"):
+        ingest.ingest_repo(spark, "http://x", store, 1, str(root))
+    chunks, files = (spark.read.parquet(f"{store}/{t}") for t in ("chunk", "file"))
+    assert chunks.count() == 1
+    blame = tree.blame(files, str(root))
+    assert blame.count() == 2
+    empty = lambda s: spark.createDataFrame([], s)
+    commits = empty("repo_id long, commit_id long, sha string, author_name string, author_email string, authored_at timestamp, message string")
+    prs = empty("repo_id long, pr_id long, number int, title string, body string, merged_at timestamp, merge_commit_sha string")
+    issues = empty("repo_id long, issue_id long, number int, title string, body string, closing_pr_number int")
+    built = ingest.build_graph(chunks, files, blame, commits, prs, issues, lambda s: tree.commit_stubs(s, str(root)))
+    assert built["edges"].count() == 1 and built["commits"].first().message == "first\n\nbody"
+    ingest.embed_repo(ingest.texts_to_embed(chunks, built["commits"], prs, issues), store, 16)
+    ingest.embed_repo(ingest.texts_to_embed(chunks, None, None, None), store, 16)
+    got = spark.read.parquet(f"{store}/embedding").collect()
+    assert sorted(r.entity_type for r in got) == ["chunk", "commit"] and all(len(r.embedding) == 16 for r in got)
