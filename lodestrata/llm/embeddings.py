@@ -195,3 +195,12 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, tile: int = TILE)
 
 def op8_embedding_dedup(spark, sf_dir: str) -> DataFrame:
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).select("vec_id", "n_links", "component_id", "kept")
+
+
+#: op8_embedding_dedup by DuckDB. All pairs of a label, so for small tables.
+OP8_SQL = """WITH RECURSIVE good AS (SELECT vec_id, label, embedding::DOUBLE[] v FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id a, b.vec_id b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.98),
+reach AS (SELECT vec_id v, vec_id c FROM embeddings UNION SELECT b, c FROM reach JOIN links ON v = a),
+least AS (SELECT v, min(c) c FROM reach GROUP BY v), n AS (SELECT a, count(*) n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, c AS component_id, vec_id = c AS kept FROM embeddings JOIN least ON v = vec_id LEFT JOIN n ON a = vec_id"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestrata.llm.embeddings import op8_embedding_dedup
+from lodestrata.llm.embeddings import OP8_SQL, op8_embedding_dedup
 from lodestrata.llm.lines import op3_line_dedup
 from lodestrata.llm.mixing import OP6_SQL, op6_mixing
 from lodestrata.llm.packing import op5_best_fit_packing
@@ -15,4 +15,4 @@ from lodestrata.llm.toxicity import op4_toxicity
 
 QUERIES = {f.__name__: f for f in (op1_token_output, op2_simhash, op3_line_dedup, op4_toxicity, op5_best_fit_packing, op6_mixing, op7_pii, op8_embedding_dedup, op9_quality_classifier, op10_quality_rules)}
 #: Only what SQL can express on whole tables; the others are tested against brute force.
-SQL = {"op6_mixing": OP6_SQL}
+SQL = {"op6_mixing": OP6_SQL, "op8_embedding_dedup": OP8_SQL}

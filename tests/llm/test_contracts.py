@@ -134,11 +134,12 @@ def test_op6(docs, result):
     assert all(abs(taken[s] - target[s]) <= 1 for s in order)
 
 
-def test_op6_sql(spark, result):
-    for t in ("documents",):
+@pytest.mark.parametrize("name, key", [("op6_mixing", "doc_id"), ("op8_embedding_dedup", "vec_id")])
+def test_sql(result, name, key):
+    for t in ("documents", "embeddings"):
         duckdb.sql(f"create or replace view {t} as select * from '{SF}/{t}.parquet'")
-    want = duckdb.sql(registry.SQL["op6_mixing"]).df().sort_values("doc_id").reset_index(drop=True)
-    got = result("op6_mixing").sort_values("doc_id").reset_index(drop=True)
+    want = duckdb.sql(registry.SQL[name]).df().sort_values(key).reset_index(drop=True)
+    got = result(name).sort_values(key).reset_index(drop=True)
     assert got[want.columns].astype(float).equals(want.astype(float))
 
 
