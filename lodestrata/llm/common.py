@@ -35,7 +35,17 @@ def stash(df: DataFrame, what: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends, lost executors cost nothing."""
     path = new_path(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stashed_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stashed tables that nothing reads any more."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df.stashed_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -345,7 +355,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(least, "a")
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        edges = stash(small, "cc")
+        before, edges = edges, stash(small, "cc")
+        discard(before, large)
         total = edges.agg(F.count("*"), F.expr("coalesce(sum(hash(a, b)), 0L)"), F.count_distinct("a"), F.expr("count_if(false)")).first()
         # a star forest: every node has one parent, and no parent is a child
         if total[0] == total[2] and (total[:2] == done or not edges.join(edges.select(F.col("a").alias("b")), "b", "left_semi").take(1)):

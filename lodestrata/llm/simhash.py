@@ -95,11 +95,11 @@ TILE = 1024
 _EDGES = "kind int, a long, b long, mask int, key long"
 
 
-def near_links(fps: DataFrame, radius: int = 4) -> DataFrame:
+def near_links(fps: DataFrame, radius: int = 4, tile: int = TILE) -> DataFrame:
     """fps: distinct `fp` (long) -> (a, b) links that connect every two fingerprints at `radius` or fewer bits.
 
     Each fingerprint goes to a bucket of each mask's table. A bucket's links are a forest, so a bucket of n
-    gives fewer than n rows. Buckets of over TILE fingerprints are dealt out again as pairs of tiles.
+    gives fewer than n rows. Buckets of over `tile` fingerprints are dealt out again as pairs of tiles.
     """
     spark, masks = fps.sparkSession, covering_masks(radius)
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
@@ -134,9 +134,9 @@ def near_links(fps: DataFrame, radius: int = 4) -> DataFrame:
                 n = first[1] if len(first) > 1 else len(fp)
                 if (int(mask[0]), int(key[0])) != large:
                     n = 0
-                whole = n if n < len(fp) else n - n % TILE
-                for i in range(0, whole, TILE):
-                    yield batch_of(1, fp[i : min(i + TILE, whole)], np.full(min(TILE, whole - i), tiles), *large)
+                whole = n if n < len(fp) else n - n % tile
+                for i in range(0, whole, tile):
+                    yield batch_of(1, fp[i : min(i + tile, whole)], np.full(min(tile, whole - i), tiles), *large)
                     tiles += 1
                 if n < len(fp):
                     yield batch_of(2, np.array([tiles]), np.array([0]), *large)
@@ -147,22 +147,22 @@ def near_links(fps: DataFrame, radius: int = 4) -> DataFrame:
                     kept = (mask, key, fp)
                     continue
             size = np.diff(np.r_[first, len(fp)])
-            for i in np.flatnonzero(size[:-1] > TILE).tolist():
+            for i in np.flatnonzero(size[:-1] > tile).tolist():
                 own, at = (int(mask[first[i]]), int(key[first[i]])), first[i]
-                for t, j in enumerate(range(0, int(size[i]), TILE)):
-                    part = fp[at + j : at + min(j + TILE, int(size[i]))]
+                for t, j in enumerate(range(0, int(size[i]), tile)):
+                    part = fp[at + j : at + min(j + tile, int(size[i]))]
                     yield batch_of(1, part, np.full(len(part), t), *own)
                 yield batch_of(2, np.array([t + 1]), np.array([0]), *own)
             whole = size.copy()
             whole[-1] = 0
-            whole[whole > TILE] = 0
+            whole[whole > tile] = 0
             yield from small(fp, first, whole)
             at = first[-1]
-            if size[-1] > TILE:
+            if size[-1] > tile:
                 large, tiles = (int(mask[at]), int(key[at])), 0
-                n = int(size[-1]) // TILE * TILE
-                for j in range(0, n, TILE):
-                    yield batch_of(1, fp[at + j : at + j + TILE], np.full(TILE, tiles), *large)
+                n = int(size[-1]) // tile * tile
+                for j in range(0, n, tile):
+                    yield batch_of(1, fp[at + j : at + j + tile], np.full(tile, tiles), *large)
                     tiles += 1
                 at += n
             kept = (mask[at:], key[at:], fp[at:])

@@ -83,7 +83,7 @@ def test_vectors(spark):
     assert embeddings.near_vectors(empty).count() == 0
 
 
-def test_dense_vectors(spark, monkeypatch):
+def test_dense_vectors(spark):
     """One label with many near copies, over several tiles and cells, against brute force."""
     rng = np.random.default_rng(1)
     base = rng.normal(size=(40, 8))
@@ -112,9 +112,8 @@ def test_covering():
         assert any(not any(m >> int(b) & 1 for b in bits) for m in masks)
 
 
-def test_large_buckets(spark, monkeypatch):
+def test_large_buckets(spark):
     """Buckets over several tiles and batches: chains that link every fingerprint, and far ones."""
-    monkeypatch.setattr(simhash, "TILE", 8)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "13")
     try:
         rng = np.random.default_rng(3)
@@ -122,7 +121,7 @@ def test_large_buckets(spark, monkeypatch):
         far = [int(x) << 20 for x in rng.integers(1, 1 << 40, 80)]
         fps = sorted(set(dense + far))
         signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-        links = simhash.near_links(spark.createDataFrame([(f,) for f in signed], "fp long"))
+        links = simhash.near_links(spark.createDataFrame([(f,) for f in signed], "fp long"), tile=8)
         got = {r.node: r.component for r in common.components(links).collect()}
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
