@@ -442,3 +442,59 @@ def recall_at_k(spark, sf_dir):
     s = e.join(qs, F.col("vec_id") != F.col("q")).withColumn("s", V.cosine(F.col("embedding"), F.col("v")))
     top = s.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "vec_id"))).where("r <= 5")
     return top.groupBy(F.col("q").alias("vec_id")).agg(F.round(F.avg((F.col("label") == F.col("ql")).cast("int")), 6).alias("precision_at_5"))
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey > 500 ORDER BY o_orderkey LIMIT 50")
+def keyset_page(spark, sf_dir):
+    return status.keyset_page(A.table(spark, sf_dir, "orders"), "o_orderkey", 500, 50).select("o_orderkey", "o_custkey")
+
+
+@query("""SELECT 'chunk' AS entity_type, doc_id AS entity_id, text FROM documents WHERE text <> '' UNION ALL SELECT 'commit', conv_id::BIGINT, text FROM conversations WHERE turn = 0 AND regexp_matches(text, '\\S')
+UNION ALL SELECT 'pr', page_id::BIGINT, trim(url, E' \\n\\t') || chr(10) || chr(10) || trim(substr(html, 1, 40), E' \\n\\t\\r') FROM pages""")
+def texts_to_embed(spark, sf_dir):
+    from functools import reduce
+
+    from lodestrata.plans.ingest import texts_to_embed as texts
+
+    r = F.lit(0).alias("repo_id")
+    got = texts(
+        A.chunks(spark, sf_dir),
+        A.table(spark, sf_dir, "conversations").where("turn = 0").select(r, F.col("conv_id").cast("long").alias("commit_id"), F.col("text").alias("message")),
+        A.table(spark, sf_dir, "pages").select(r, F.col("page_id").cast("long").alias("pr_id"), F.col("url").alias("title"), F.substring("html", 1, 40).alias("body")),
+        None,
+    )
+    return reduce(DataFrame.unionByName, [t.select(F.lit(k).alias("entity_type"), "entity_id", "text") for k, t in got.items()])
+
+
+SEGMENTS = [("getUser", "MyClass", "x = 1", "Python"), ("f", None, 'def f():\n  """Doc."""', "Python"), (None, None, "", "Go")]
+
+
+@query(f"SELECT content, CASE WHEN parent IS NULL THEN coalesce(name, '') ELSE 'MyClass My Class getUser get User' END AS fts_name, CASE WHEN name = 'f' THEN 'Doc.' ELSE '' END AS fts_doc, content AS fts_body FROM {values(*SEGMENTS)} t(name, parent, content, lang)")
+def search_segments(spark, sf_dir):
+    t = rows(spark, "name string, parent string, content string, lang string", *SEGMENTS)
+    return t.select("content", *[c.alias(k) for k, c in T.chunk_search_text(F.col("name"), F.col("parent"), F.col("content"), F.col("lang")).items()])
+
+
+ISSUES = '{"repository": {"issues": {"nodes": [{"number": 1, "title": "A", "body": null, "state": "OPEN", "createdAt": "2024-01-01T00:00:00Z", "updatedAt": "2024-01-05T00:00:00Z", "labels": {"nodes": [{"name": "bug"}, {"name": "p1"}]}, "comments": {"nodes": [{"databaseId": 5, "body": "hm", "author": null, "createdAt": "2024-01-02T00:00:00Z"}]}}, {"number": 2, "title": "B", "body": "b", "state": "CLOSED", "createdAt": "2024-01-01T00:00:00Z", "updatedAt": "2023-01-01T00:00:00Z", "labels": {"nodes": []}, "comments": {"nodes": []}}]}}}'
+
+
+@query(f"WITH n AS (SELECT unnest(json_extract('{ISSUES}'::JSON, '$.repository.issues.nodes')::JSON[]) j) SELECT (j ->> 'number')::INT AS number, j ->> 'title' AS title, j ->> 'body' AS body, lower(j ->> 'state') AS state, epoch(replace(replace(j ->> 'createdAt', 'T', ' '), 'Z', '')::TIMESTAMP)::BIGINT AS created, coalesce(array_to_string((j ->> '$.labels.nodes[*].name'), ','), '') AS labels, json_array_length(j, '$.comments.nodes')::INT AS n_comments FROM n")
+def history_flatten(spark, sf_dir):
+    nodes = history.nodes_of(rows(spark, "repo_id long, page string", (0, ISSUES)), "issues")
+    comments = history.comments(nodes).groupBy("number").agg(F.count("*").cast("int").alias("n_comments"))
+    flat = history.issues(nodes).join(comments, "number", "left")
+    return flat.select("number", "title", "body", "state", F.unix_timestamp("created_at").alias("created"), F.array_join("labels", ",").alias("labels"), F.coalesce("n_comments", F.lit(0)).alias("n_comments"))
+
+
+@query("SELECT number FROM (VALUES (1)) t(number)")
+def history_window(spark, sf_dir):
+    """Issues updated within twelve months of a fixed day."""
+    nodes = history.nodes_of(rows(spark, "repo_id long, page string", (0, ISSUES)), "issues")
+    since = T.window_since(F.lit("2024-06-01").cast("timestamp"), 12)
+    return history.within(nodes, since).select("node.number")
+
+
+@query("SELECT o_orderkey AS job, CASE WHEN o_orderstatus = 'P' THEN 'failed' ELSE o_orderstatus END AS status FROM orders")
+def recover_jobs(spark, sf_dir):
+    jobs = A.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job"), F.when(F.col("o_orderstatus") == "P", "in_progress").otherwise(F.col("o_orderstatus")).alias("status"))
+    return upsert.recover_jobs(jobs)

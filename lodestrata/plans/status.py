@@ -47,3 +47,8 @@ def edge_counts(edges: DataFrame) -> DataFrame:
 def _all_of(counts: DataFrame, values: list[str], key: str, columns: list[str]) -> DataFrame:
     table = counts.sparkSession.createDataFrame([(v,) for v in values], f"{key} string")
     return table.join(counts, key, "left").select(key, *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in columns])
+
+
+def keyset_page(df: DataFrame, key: str, after, limit: int) -> DataFrame:
+    """The next rows by key: a filter that a scan can push down, and a top-k."""
+    return (df if after is None else df.where(F.col(key) > after)).orderBy(key).limit(limit)

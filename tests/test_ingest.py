@@ -179,3 +179,11 @@ def test_write_path(spark, tmp_path):
     ingest.embed_repo(ingest.texts_to_embed(chunks, None, None, None), store, 16)
     got = spark.read.parquet(f"{store}/embedding").collect()
     assert sorted(r.entity_type for r in got) == ["chunk", "commit"] and all(len(r.embedding) == 16 for r in got)
+
+
+def test_schemas(spark):
+    from lodestrata import schemas
+
+    chunk = chunk_files(spark.createDataFrame([(0, 1, "Python", PYTHON)], "repo_id long, file_id long, language string, text string"))
+    assert schemas.conform(chunk, "chunk").schema == schemas.schema("chunk") and schemas.conform(chunk, "chunk").count() == 8
+    assert all(schemas.schema(t).names[0] == "repo_id" for t in schemas.TABLES)
