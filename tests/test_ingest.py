@@ -185,5 +185,5 @@ def test_schemas(spark):
     from lodestrata import schemas
 
     chunk = chunk_files(spark.createDataFrame([(0, 1, "Python", PYTHON)], "repo_id long, file_id long, language string, text string"))
-    assert schemas.conform(chunk, "chunk").schema == schemas.schema("chunk") and schemas.conform(chunk, "chunk").count() == 8
+    assert schemas.conform(chunk, "chunk").schema.simpleString() == schemas.schema("chunk").simpleString() and schemas.conform(chunk, "chunk").count() == 8
     assert all(schemas.schema(t).names[0] == "repo_id" for t in schemas.TABLES)
