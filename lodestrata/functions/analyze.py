@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -87,14 +88,22 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
 
 
-def postings(entities: DataFrame, segments: dict[str, str]) -> DataFrame:
+def postings(entities: DataFrame, segments: dict[str, str], lexemes: list[str] | None = None) -> DataFrame:
     """entity_type, entity_id, lexeme, pos, weight of every indexed token.
 
     segments: column -> weight letter, in the order in which they are joined; later ones' positions follow on. Stop words
     hold a place and are not indexed. Stemming runs once for each distinct word, not for each token.
+    lexemes: only postings of entities that may hold them all, and of tokens that may have them as stem, for one search
+    without an index. A stem differs from its word's beginning in two letters at most, so a token's first letters tell.
     """
+    begins = [x[: max(1, len(x) - 2)] for x in lexemes or []]
     tagged = F.concat(*[F.transform(tokens(F.col(c)), _tag(letter)) for c, letter in segments.items()])
-    rows = entities.select("entity_type", "entity_id", F.posexplode(tagged).alias("pos", "t")).select("entity_type", "entity_id", (F.col("pos") + 1).alias("pos"), "t.word", "t.weight")
+    placed = F.transform(tagged, lambda t, i: F.struct((i + 1).alias("pos"), t["word"].alias("word"), t["weight"].alias("weight")))
+    if lexemes is not None:
+        whole = F.lower(F.concat_ws(" ", *segments))
+        entities = entities.where(reduce(lambda a, b: a & b, [F.contains(whole, F.lit(b)) for b in begins], F.lit(bool(begins))))
+        placed = F.filter(placed, lambda t: reduce(lambda a, b: a | b, [t["word"].startswith(b) for b in begins], F.lit(False)))
+    rows = entities.select("entity_type", "entity_id", F.explode(placed).alias("t")).select("entity_type", "entity_id", "t.pos", "t.word", "t.weight")
     rows = rows.where(~F.col("word").isin(STOP_WORDS))
 
     @F.udf("string", useArrow=True)
@@ -102,6 +111,8 @@ def postings(entities: DataFrame, segments: dict[str, str]) -> DataFrame:
         return stem(word)
 
     words = rows.select("word").distinct().withColumn("lexeme", stemmed("word"))
+    if lexemes is not None:
+        words = words.where(F.col("lexeme").isin(lexemes))
     return rows.join(words, "word").select("entity_type", "entity_id", "lexeme", "pos", "weight")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import text as T
 from lodestrata.functions import vectors as V
-from lodestrata.functions.analyze import postings
+from lodestrata.functions.analyze import postings, query_lexemes
 from lodestrata.operators import citations, graph, search
 from lodestrata.operators.chunking import chunk_files
 from lodestrata.plans import adapters as A
@@ -100,9 +100,10 @@ def hash_embed(spark, sf_dir):
     return e.select("item_id", F.size(F.filter("v", lambda x: x > 0)).alias("n_slots"), F.round(F.array_max("v"), 6).alias("largest"))
 
 
-def _postings(spark, sf_dir, *kinds):
+def _postings(spark, sf_dir, *kinds, text=None):
+    """Postings by entity type: whole, or for one query's text."""
     arms = A.arms(spark, sf_dir)
-    return {k: postings(arms[k], {"a": "A", "b": "B", "d": "D"}) for k in kinds or arms}
+    return {k: postings(arms[k], {"a": "A", "b": "B", "d": "D"}, query_lexemes(text) if text else None) for k in kinds or arms}
 
 
 DOC_POST = r"p AS (SELECT doc_id entity_id, unnest(regexp_extract_all(lower(source || ' ' || text), '[\p{L}\p{N}_]+')) w, generate_subscripts(regexp_extract_all(lower(source || ' ' || text), '[\p{L}\p{N}_]+'), 1) pos FROM documents)"
@@ -113,14 +114,13 @@ NDING, ERTH, ND = "('nding', 'ndings', 'ndinge', 'ndinges', 'ndinged', 'ndinging
 
 @query(rf"WITH {DOC_POST}, r AS (SELECT entity_id, sum(CAST(0.1 AS DOUBLE)) rank FROM p WHERE w IN {NDING} GROUP BY entity_id) SELECT 'chunk' AS entity_type, entity_id, round(rank / (rank + 1), 6) AS score FROM r ORDER BY rank / (rank + 1) DESC, entity_id LIMIT 20")
 def fts_single_term(spark, sf_dir):
-    return rounded(search.lexical_topk(_postings(spark, sf_dir, "chunk"), TERM, 20))
+    return rounded(search.lexical_topk(_postings(spark, sf_dir, "chunk", text=TERM), TERM, 20))
 
 
 @query(rf"WITH {DOC_POST} SELECT entity_id FROM p WHERE w IN {NDING} OR w IN {ERTH} GROUP BY entity_id HAVING count(DISTINCT CASE WHEN w IN {ERTH} THEN 2 ELSE 1 END) = 2")
 def fts_all_terms(spark, sf_dir):
-    from lodestrata.functions.analyze import query_lexemes
-
-    return search.matches(_postings(spark, sf_dir, "chunk")["chunk"], query_lexemes(f"{TERM} {TERM2}")).select("entity_id").distinct()
+    text = f"{TERM} {TERM2}"
+    return search.matches(_postings(spark, sf_dir, "chunk", text=text)["chunk"], query_lexemes(text)).select("entity_id").distinct()
 
 
 @query(rf"""WITH {DOC_POST}, h AS (SELECT entity_id, pos, CASE WHEN w IN {ERTH} THEN 2 ELSE 1 END t FROM p WHERE w IN {ND} OR w IN {ERTH}),
@@ -129,14 +129,14 @@ c AS (SELECT entity_id, least(a, b) start, min(pos) stop FROM s WHERE a IS NOT N
 r AS (SELECT entity_id, sum(CAST(2 AS DOUBLE) / 20 / (1 + greatest(stop - start - 1, 0))) rank FROM c GROUP BY entity_id)
 SELECT 'chunk' AS entity_type, entity_id, round(rank / (rank + 1), 6) AS score FROM r ORDER BY round(rank / (rank + 1), 12) DESC, entity_id LIMIT 10""")
 def cover_density_two_term(spark, sf_dir):
-    post = _postings(spark, sf_dir, "chunk")["chunk"]
+    post = _postings(spark, sf_dir, "chunk", text="nd erth")["chunk"]
     ranked = search.cover_density(post, ["nd", "erth"]).withColumn("score", F.col("rank") / (F.col("rank") + 1))
     return rounded(ranked.orderBy(F.desc(F.round("score", 12)), "entity_type", "entity_id").limit(10))
 
 
 @query()
 def fts_union_arms(spark, sf_dir):
-    return rounded(search.lexical_topk(_postings(spark, sf_dir), TERM, 30))
+    return rounded(search.lexical_topk(_postings(spark, sf_dir, text=TERM), TERM, 30))
 
 
 @query()
@@ -159,7 +159,7 @@ def rrf_fuse(spark, sf_dir):
 @query()
 def hybrid_search(spark, sf_dir):
     """The flagship: cosine and full-text candidates, fused, hydrated with text and file."""
-    found = search.hybrid_topk(A.embeddings(spark, sf_dir), _postings(spark, sf_dir, "chunk"), TERM, query_vector(spark, sf_dir), 10, {"chunk"})
+    found = search.hybrid_topk(A.embeddings(spark, sf_dir), _postings(spark, sf_dir, "chunk", text=TERM), TERM, query_vector(spark, sf_dir), 10, {"chunk"})
     entities = A.chunks(spark, sf_dir).join(A.files(spark, sf_dir), "file_id").withColumns({"entity_type": F.lit("chunk"), "entity_id": F.col("chunk_id")})
     return search.hydrate(found, entities).select("rank", "entity_id", "path", "language", F.round("score", 6).alias("score"), "vector_rank", "bm25_rank")
 

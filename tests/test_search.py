@@ -48,6 +48,14 @@ def test_cover_density_prefers_close_terms(spark):
     assert set(got) == {1, 2} and got[1] == pytest.approx(0.1) and got[2] == pytest.approx(0.1 / 5)
 
 
+def test_postings_of_one_search(spark):
+    text = "sensibility relational hopping ponies controlled happily national generalizations vietnamization formalize"
+    d = spark.createDataFrame([("chunk", 1, text), ("chunk", 2, "other")], "entity_type string, entity_id long, d string")
+    whole = postings(d, {"d": "D"}).where("entity_id = 1").collect()
+    for r in whole:
+        assert postings(d, {"d": "D"}, [r.lexeme]).collect() == [r]
+
+
 def lists(spark):
     a = spark.createDataFrame([("chunk", 1, 0.9), ("pr", 1, 0.8)], "entity_type string, entity_id long, score double")
     b = spark.createDataFrame([("pr", 1, 5.0), ("chunk", 2, 4.0)], "entity_type string, entity_id long, score double")
