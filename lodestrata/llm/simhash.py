@@ -40,9 +40,11 @@ def fingerprints(column: pa.Array, k: int = 4) -> np.ndarray:
     doc = np.repeat(np.arange(w.docs), shingles)
     first = np.cumsum(shingles) - shingles
     at = np.arange(int(shingles.sum())) - first[doc] + w.first[:-1][doc]
-    a, b = to[at].tolist(), ends[at + last[doc] - 1].tolist() if len(at) else []
-    hash_of = xxhash.xxh64_intdigest
-    h = np.fromiter((hash_of(raw[i:j], SEED) for i, j in zip(a, b)), np.uint64, len(a))
+    hash_of, h = xxhash.xxh64_intdigest, np.empty(len(at), np.uint64)
+    for lo in range(0, len(at), 1 << 18):
+        part = at[lo : lo + (1 << 18)]
+        a, b = to[part].tolist(), ends[part + last[doc[lo : lo + len(part)]] - 1].tolist()
+        h[lo : lo + len(part)] = np.fromiter((hash_of(raw[i:j], SEED) for i, j in zip(a, b)), np.uint64, len(a))
     return majority(h, shingles)
 
 

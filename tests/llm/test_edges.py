@@ -140,6 +140,20 @@ def test_large_buckets(spark):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
 
 
+def test_span_hashes(monkeypatch):
+    """The same whatever the block, also for spans over several blocks; different for different bytes."""
+    rng = np.random.default_rng(2)
+    data = rng.integers(0, 256, 5000).astype(np.uint8)
+    cut = np.unique(np.r_[0, rng.integers(0, 5000, 40), 3000, 5000])
+    whole = common.span_hashes(data, cut[:-1], cut[1:])
+    for block in (7, 64, 999):
+        monkeypatch.setattr(common, "_BLOCK", block)
+        assert (common.span_hashes(data, cut[:-1], cut[1:]) == whole).all()
+    twice = np.r_[data[:100], data[:100], data[:99], [data[99] ^ 1]].astype(np.uint8)
+    a, b, c = common.span_hashes(twice, np.array([0, 100, 200]), np.array([100, 200, 300]))
+    assert a == b != c and len(set(whole)) == len(whole)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(200, 201), (201, 200), (7, 7)]
     got = {r.node: r.component for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
