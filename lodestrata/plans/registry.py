@@ -314,7 +314,7 @@ def rate_limit_window(spark, sf_dir):
     return requests_in_window(e, "event_type").select("event_id", "n_recent")
 
 
-QUESTIONS = ["Why was the cache added?", "What calls syncify?", "who uses the parser", "How does login work", "Where is main", "Authentication module", "Find why it changed", "usage of hash", "show me the config", "design overview", ""]
+QUESTIONS = ["Why was the cache added?", "What calls makeblocking?", "who uses the parser", "How does login work", "Where is main", "Authentication module", "Find why it changed", "usage of hash", "show me the config", "design overview", ""]
 
 
 @query(f"SELECT q, CASE {' '.join(f'''WHEN regexp_matches(q, '{p}') THEN '{c}' ''' for c, p, _ in T.INTENTS)} ELSE 'lookup' END AS category, CAST(CASE {' '.join(f'''WHEN regexp_matches(q, '{p}') THEN {s} ''' for _, p, s in T.INTENTS)} ELSE 0.3 END AS DOUBLE) AS confidence FROM {values(*QUESTIONS)} t(q)")

@@ -29,13 +29,13 @@ def test_vector(emb):
 
 @pytest.fixture(scope="module")
 def arms(spark):
-    rows = [("chunk", 1, "syncify", "Run coroutine synchronously via anyio.", "def syncify(): pass"), ("commit", 1, "Add bcrypt password hashing to auth", "Add bcrypt password hashing to auth", ""), ("pr", 1, "Add syncify helper", "Wraps calls", ""), ("issue", 1, "Passwords not hashed", "plain", "")]
+    rows = [("chunk", 1, "makeblocking", "Run coroutine synchronously in a thread.", "def makeblocking(): pass"), ("commit", 1, "Add bcrypt password hashing to auth", "Add bcrypt password hashing to auth", ""), ("pr", 1, "Add makeblocking helper", "Wraps calls", ""), ("issue", 1, "Passwords not hashed", "plain", "")]
     d = spark.createDataFrame(rows, "entity_type string, entity_id long, a string, b string, d string")
     return {t: postings(d.where(F.col("entity_type") == t), {"a": "A", "b": "B", "d": "D"}) for t in search.ENTITY_TYPES}
 
 
 def test_lexical(arms):
-    assert set(ids(search.lexical_topk(arms, "syncify", 10))) == {("chunk", 1), ("pr", 1)}
+    assert set(ids(search.lexical_topk(arms, "makeblocking", 10))) == {("chunk", 1), ("pr", 1)}
     assert ids(search.lexical_topk(arms, "bcrypt", 1)) == [("commit", 1)]
     assert ids(search.lexical_topk(arms, "quantum photosynthesis", 5)) == []
     assert ids(search.lexical_topk(arms, "the of", 5)) == []
@@ -103,38 +103,38 @@ def test_rerank_expansion_and_relations(spark, emb):
 
 @pytest.fixture(scope="module")
 def tables(spark, arms):
-    text = {"chunk": "def syncify", "commit": "Add bcrypt", "pr": "Add syncify helper", "issue": "Passwords not hashed"}
+    text = {"chunk": "def makeblocking", "commit": "Add bcrypt", "pr": "Add makeblocking helper", "issue": "Passwords not hashed"}
     vec = [(t, 1, [float(x) for x in hash_vector(s, 16)]) for t, s in text.items()]
     row = lambda schema, *v: spark.createDataFrame([v], schema)
     return A.Tables(
-        chunks=row("chunk_id long, file_id long, chunk_type string, name string, start_line int, end_line int, content string, language string", 1, 1, "function", "syncify", 3, 9, "def syncify(): pass", "Python"),
+        chunks=row("chunk_id long, file_id long, chunk_type string, name string, start_line int, end_line int, content string, language string", 1, 1, "function", "makeblocking", 3, 9, "def makeblocking(): pass", "Python"),
         files=row("file_id long, path string", 1, "a/main.py"),
         commits=row("commit_id long, sha string, message string, author_name string, authored_at timestamp", 1, "a" * 40, "Add bcrypt\n\nmore", None, None),
-        prs=row("pr_id long, number int, title string, body string, state string, merged_at timestamp", 1, 234, "Add syncify", "b" * 600, "merged", None),
+        prs=row("pr_id long, number int, title string, body string, state string, merged_at timestamp", 1, 234, "Add makeblocking", "b" * 600, "merged", None),
         issues=row("issue_id long, number int, title string, body string, state string, closed_at timestamp", 1, 189, "Hash", None, "open", None),
         edges=spark.createDataFrame([(0, "chunk", 1, "commit", 1, "introduced_by"), (0, "commit", 1, "pr", 1, "part_of"), (0, "pr", 1, "issue", 1, "references_issue")], E),
         embeddings=spark.createDataFrame(vec, "entity_type string, entity_id long, embedding array<double>"),
         postings=arms,
         embed=lambda q: hash_vector(q, 16).tolist(),
-        scorer=search.keyword_scorer("syncify"),
+        scorer=search.keyword_scorer("makeblocking"),
     )
 
 
 @pytest.mark.parametrize("mode", ["vector", "bm25", "hybrid", "reranked", "unknown"])
 def test_search_modes(tables, mode):
-    (r,) = A.search_chunks(tables, "syncify", 5, A.Settings(retrieval_mode=mode)).collect()
+    (r,) = A.search_chunks(tables, "makeblocking", 5, A.Settings(retrieval_mode=mode)).collect()
     assert (r.path, r.display_id, r.rank) == ("a/main.py", "c1", 1)
 
 
 def test_answer(spark, tables):
-    got = A.answer(spark, tables, "why was syncify added?")
+    got = A.answer(spark, tables, "why was makeblocking added?")
     assert got.category == "historical_why" and {s["entity_type"] for s in got.sources} == {"chunk", "commit", "pr"}
     assert [(c["display_id"], c["status"]) for c in got.citations] == [("c1", "valid"), ("c99", "invalid"), ("none", "none")]
     assert got.citations[0]["permalink"] == "https://github.com/owner/name/blob/main/a/main.py#L3-L9"
-    flat = A.answer(spark, tables, "where is syncify")
+    flat = A.answer(spark, tables, "where is makeblocking")
     assert {s["entity_type"] for s in flat.sources} == {"chunk"}
     assert A.answer(spark, tables, "x", override="out_of_scope").sources == []
-    events = [e for e, _ in A.stream_answer(spark, tables, "where is syncify")]
+    events = [e for e, _ in A.stream_answer(spark, tables, "where is makeblocking")]
     assert events[0] == "sources" and events[-2:] == ["citations", "done"] and events.count("token") > 5
 
 
