@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import functools
 import os
+import shutil
 import tempfile
 import uuid
 from array import array
@@ -23,6 +25,7 @@ def shared_dir(spark: SparkSession) -> str:
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
         path = tempfile.mkdtemp(prefix="lodestrata-")
+        atexit.register(shutil.rmtree, path, True)
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
