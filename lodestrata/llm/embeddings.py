@@ -97,7 +97,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, tile: int = TILE)
 
     label = distinct.schema["label"].dataType.simpleString()
     turned = stash(distinct.select("node", "label", "copies", "u").mapInPandas(turn, f"node long, label {label}, copies long, p array<double>, cell array<int>"), "turned")
-    cells = turned.groupBy("label", "cell").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
+    # tables of their own, so that the joins with them stand alone and Spark may split a dense cell
+    cells = stash(turned.groupBy("label", "cell").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles")), "cells")
     tiled = turned.join(cells, ["label", "cell"]).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     # a pair of cells is met in the first of the two: a vector goes as "a" to its own cell, as "b" to those that may come before it
     back = [c for c in itertools.product((-1, 0, 1), repeat=grid) if c <= (0,) * grid]
@@ -108,7 +109,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, tile: int = TILE)
     moved = moved.join(there, ["label", "to"])
     # own cell: tile i meets tiles j >= i; another cell: each of its tiles meets each tile of this one
     b_side = moved.select("label", "to", "own", F.when(F.col("own"), F.lit(None)).otherwise(F.col("cell")).alias("from"), "node", "copies", "p", F.lit(1).alias("side"), F.col("tile").alias("j"), F.explode(F.sequence(F.lit(0), F.when(F.col("own"), F.col("tile")).otherwise(F.col("of") - 1))).alias("i"))
-    neighbour = moved.where("not own").select("label", F.col("to"), F.col("cell").alias("from"), F.col("tiles").alias("theirs")).distinct()
+    neighbour = stash(moved.where("not own").select("label", F.col("to"), F.col("cell").alias("from"), F.col("tiles").alias("theirs")).distinct(), "neighbours")
     mine = tiled.select("label", F.col("cell").alias("to"), "tile", "tiles", "node", "copies", "p")
     a_own = mine.select("label", "to", F.lit(True).alias("own"), F.lit(None).cast("array<int>").alias("from"), "node", "copies", "p", F.lit(0).alias("side"), F.explode(F.sequence(F.col("tile"), F.col("tiles") - 1)).alias("j"), F.col("tile").alias("i"))
     a_other = mine.join(neighbour, ["label", "to"]).select("label", "to", F.lit(False).alias("own"), "from", "node", "copies", "p", F.lit(0).alias("side"), F.explode(F.sequence(F.lit(0), F.col("theirs") - 1)).alias("j"), F.col("tile").alias("i"))
