@@ -218,3 +218,11 @@ def test_op10(docs, result):
         assert tuple(r[["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]]) == want
         failed = len(words) < 50 or 100 * len(cover) > 50 * len(words)
         assert r.base_failed == failed and not (failed and r.kept)
+
+
+def test_op10_verdicts(spark):
+    """Labelled texts that fail no base rule: the good ones stay, the poor ones go."""
+    sf = "/root/testdata/sf0.1"
+    got = registry.QUERIES["op10_quality_rules"](spark, sf).toPandas().merge(duckdb.sql(f"select doc_id, quality from '{sf}/labels.parquet'").df(), on="doc_id")
+    got = got[~got.base_failed]
+    assert got[got.quality == 1].kept.mean() >= 0.999 and got[got.quality == 0].kept.mean() <= 0.02

@@ -1,5 +1,6 @@
 """The pipeline's rows against a plain version of each stage, in Python."""
 
+import hashlib
 import zlib
 from collections import Counter, defaultdict
 
@@ -11,7 +12,7 @@ import xxhash
 import corpus_pipeline
 from lodestrata.llm import toxicity
 from lodestrata.llm.common import tokenizer_path
-from lodestrata.llm.lines import CUT, LONG
+from lodestrata.llm.lines import CUT, LONG, op3_line_dedup
 from test_contracts import WORD, fingerprint, ids_of, reach
 
 SF = "/root/testdata/sf0.001"
@@ -32,7 +33,8 @@ def spark_hash(*longs):
     return h - (1 << 64) if h >> 63 else h
 
 
-def plain_lines(docs):
+def without_repeats(docs):
+    """(what is left of the text, was anything removed) of each document."""
     cut = {}
     for d in docs:
         cut[d[0]] = [(i, x, xxhash.xxh64_intdigest(x.encode(), 42)) for i, x in enumerate(d[1].split("\n")) if WORD.search(x)]
@@ -55,12 +57,19 @@ def plain_lines(docs):
     for places in chunks.values():
         for doc, first, k in sorted(places)[1:]:
             gone[doc] |= set(range(first, first + k))
-    out = []
-    for d in docs:
-        left = "\n".join(x for i, x in enumerate(d[1].split("\n")) if i not in gone[d[0]])
-        if not gone[d[0]] or WORD.search(left):
-            out.append((d[0], left, *d[2:]))
-    return out
+    return {d[0]: ("\n".join(x for i, x in enumerate(d[1].split("\n")) if i not in gone[d[0]]), bool(gone[d[0]])) for d in docs}
+
+
+def plain_lines(docs):
+    left = without_repeats(docs)
+    return [(d[0], left[d[0]][0], *d[2:]) for d in docs if not left[d[0]][1] or WORD.search(left[d[0]][0])]
+
+
+def test_op3(spark):
+    docs = duckdb.sql(f"select doc_id, text from '{SF}/documents.parquet'").fetchall()
+    want = {k: hashlib.sha256(t.encode()).hexdigest() for k, (t, _) in without_repeats(docs).items()}
+    got = op3_line_dedup(spark, SF).collect()
+    assert {r.doc_id: r.text_sha256 for r in got} == want and sum(r.n_chunks_removed for r in got) > 0
 
 
 def plain_simhash(docs):
