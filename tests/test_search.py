@@ -146,3 +146,22 @@ def test_limits():
     assert clock[0] == 120.0
     with pytest.raises(ValueError, match="rrf_k"):
         A.Settings(rrf_k=0)
+
+
+def test_index(spark):
+    """Recall of the index against exact search."""
+    from lodestrata.operators.index import build_index, indexed_topk
+    from lodestrata.plans.adapters import embeddings
+
+    e = embeddings(spark, "/root/testdata/sf0.001").cache()
+    model, indexed = build_index(e)
+    indexed = indexed.cache()
+    found = total = 0
+    for r in e.where("entity_id % 100 = 0").collect():
+        exact = {(x.entity_type, x.entity_id) for x in search.vector_topk(e, r.embedding, 10).collect()}
+        got = {(x.entity_type, x.entity_id) for x in indexed_topk(model, indexed, r.embedding, 10).collect()}
+        found, total = found + len(exact & got), total + len(exact)
+    assert found / total >= 0.9
+    assert all(t == "pr" for t, _ in ids(indexed_topk(model, indexed, r.embedding, 5, {"pr"})))
+    e.unpersist()
+    indexed.unpersist()
