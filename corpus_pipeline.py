@@ -56,7 +56,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(packing.tokenize_pieces(docs))
+    """Packed pieces of the documents, each with its token ids."""
+    return packing.pack_tokens(docs)
 
 
 STAGES = [("toxicity", drop_toxic), ("line_dedup", dedup_lines), ("simhash_dedup", dedup_near), ("mixing", mix_sources), ("packing", pack)]

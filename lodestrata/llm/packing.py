@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import by_batch, stash, tokenizer_path, tokens
+from lodestrata.llm.common import by_batch, slices, stash, tokenizer_path, tokens
 
 END_ID = 1
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -40,32 +40,39 @@ def tokenize_pieces(docs: DataFrame, capacity: int = 4096, tokenizer: str | None
     return by_batch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, PIECE + ", ids binary" * with_ids)
 
 
-def sum_of_squares(sizes: np.ndarray, capacity: int) -> np.ndarray:
-    """The bin of each item, in the order given: where the sum over gaps of (open bins with that gap)^2 gets smallest.
+class Bins:
+    """Items go, in the order given, where the sum over gaps of (open bins with that gap)^2 gets smallest.
 
     A bin that is full is closed and no longer counted. Ties go to the smallest gap, then to the oldest bin.
     """
-    count = np.zeros(capacity + 1, np.int64)
-    bins: list[list[int]] = [[] for _ in range(capacity + 1)]
-    out, n = np.empty(len(sizes), np.int64), 0
-    for k, s in enumerate(sizes.tolist()):
-        # gap g becomes g - s: the sum changes by 2 (count[g - s] - count[g]) + 2, without the new gap's share at 0
-        change = 2 * (count[: capacity + 1 - s] - count[s:]) + 2
-        change[0] = 1 - 2 * count[s]
-        change[count[s:] == 0] = np.iinfo(np.int64).max
-        fresh = 2 * count[capacity - s] + 1 if s < capacity else 0
-        best = int(change.argmin())
-        if change[best] <= fresh:
-            g = best + s
-            b = heapq.heappop(bins[g])
-            count[g] -= 1
-        else:
-            b, g, n = n, capacity, n + 1
-        out[k] = b
-        if g > s:
-            count[g - s] += 1
-            heapq.heappush(bins[g - s], b)
-    return out
+
+    def __init__(self, capacity: int) -> None:
+        self.capacity, self.n = capacity, 0
+        self.count = np.zeros(capacity + 1, np.int64)
+        self.bins: list[list[int]] = [[] for _ in range(capacity + 1)]
+
+    def add(self, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bin of each further item, and what the bin held before it."""
+        capacity, count, bins = self.capacity, self.count, self.bins
+        out, offset = np.empty(len(sizes), np.int64), np.empty(len(sizes), np.int64)
+        for k, s in enumerate(sizes.tolist()):
+            # gap g becomes g - s: the sum changes by 2 (count[g - s] - count[g]) + 2, without the new gap's share at 0
+            change = 2 * (count[: capacity + 1 - s] - count[s:]) + 2
+            change[0] = 1 - 2 * count[s]
+            change[count[s:] == 0] = np.iinfo(np.int64).max
+            fresh = 2 * count[capacity - s] + 1 if s < capacity else 0
+            best = int(change.argmin())
+            if change[best] <= fresh:
+                g = best + s
+                b = heapq.heappop(bins[g])
+                count[g] -= 1
+            else:
+                b, g, self.n = self.n, capacity, self.n + 1
+            out[k], offset[k] = b, capacity - g
+            if g > s:
+                count[g - s] += 1
+                heapq.heappush(bins[g - s], b)
+        return out, offset
 
 
 def pack(pieces: DataFrame, capacity: int = 4096, shard: int = 24_000) -> DataFrame:
@@ -73,42 +80,36 @@ def pack(pieces: DataFrame, capacity: int = 4096, shard: int = 24_000) -> DataFr
 
     Pieces go by hash to shards of about `shard` pieces, and each is packed largest first; what a shard leaves
     open is a few sequences, so the loss is under a thousandth. Sequences never span shards, so no step needs
-    all pieces in one task.
+    all pieces in one task; a task holds its open sequences' gaps and some 4 MB of pieces, with their ids or without.
     """
     pieces = stash(pieces, "pieces")
     n = pieces.count()
     shards = max(1, round(n / shard))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, at = [], None
+        bins, at = Bins(capacity), None
         for batch in batches:
-            ids = batch.column("shard").to_numpy()
-            for lo, hi in zip(c := [0, *(np.flatnonzero(np.diff(ids)) + 1).tolist()], [*c[1:], len(ids)]):
-                if held and ids[lo] != at:
-                    yield place(held, at)
-                    held = []
-                at = int(ids[lo])
-                held.append(batch.slice(lo, hi - lo))
-        if held:
-            yield place(held, at)
-
-    def place(held: list[pa.RecordBatch], at: int) -> pa.RecordBatch:
-        t = pa.Table.from_batches(held).combine_chunks()
-        sizes = t["length"].to_numpy()
-        bins = sum_of_squares(sizes, capacity)
-        order = np.argsort(bins, kind="stable")
-        before = np.cumsum(sizes[order]) - sizes[order]
-        first = np.r_[True, bins[order][1:] != bins[order][:-1]]
-        offset = np.empty(len(sizes), np.int64)
-        offset[order] = before - np.repeat(before[first], np.diff(np.r_[np.flatnonzero(first), len(sizes)]))
-        t = t.drop_columns(["shard"]).append_column("sequence_id", pa.array(bins + (at << 32))).append_column("offset", pa.array(offset))
-        return t.combine_chunks().to_batches()[0]
-
+            for part in slices(batch):
+                of = part.column("shard").to_numpy()
+                for lo, hi in zip(c := [0, *(np.flatnonzero(np.diff(of)) + 1).tolist()], [*c[1:], len(of)]):
+                    if of[lo] != at:
+                        bins, at = Bins(capacity), int(of[lo])
+                    t = part.slice(lo, hi - lo)
+                    own, offset = bins.add(t.column("length").to_numpy())
+                    columns = {n: t.column(n) for n in names}
+                    yield pa.RecordBatch.from_pydict({**columns, "sequence_id": pa.array(own + (at << 32)), "offset": pa.array(offset)})
+
+    names = pieces.columns
     dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)).cast("int"))
     dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard", F.desc("length"), "doc_id", "piece", "ids_crc32")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
     return dealt.mapInArrow(run, f"{fields}, sequence_id long, offset long")
 
 
+def pack_tokens(docs: DataFrame, capacity: int = 4096) -> DataFrame:
+    """The packed pieces of every text with their ids; ids_crc32 is that of the ids as packed."""
+    return pack(tokenize_pieces(docs, capacity, with_ids=True), capacity).withColumn("ids_crc32", F.crc32("ids"))
+
+
 def op5_best_fit_packing(spark, sf_dir: str) -> DataFrame:
-    return pack(tokenize_pieces(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return pack_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("ids")
