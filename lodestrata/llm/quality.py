@@ -116,11 +116,11 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Neighbours:
     """Fit on at most `most` labelled rows outside the held-out fold: a bound on what reaches the driver and is broadcast."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x = features(batch.column(0)).astype(np.float16)
+        x = features(batch.column(0))
         return pa.RecordBatch.from_arrays([batch.column(1), pa.array([r.tobytes() for r in x], pa.binary())], names=["label", "x"])
 
     rows = sorted((bytes(r[1]), int(r[0])) for r in by_batch(sample(docs, labels, "quality", most), run, "label int, x binary").collect())
-    x = np.stack([np.frombuffer(r[0], np.float16) for r in rows]).astype(np.float32) if rows else np.zeros((0, FEATURES), np.float32)
+    x = np.stack([np.frombuffer(r[0], np.float32) for r in rows]) if rows else np.zeros((0, FEATURES), np.float32)
     return fit(x, np.array([r[1] for r in rows], np.float64))
 
 
