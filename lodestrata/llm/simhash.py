@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm.common import Words, by_batch, components, fresh, partitions, stash
@@ -197,23 +197,31 @@ def near_links(fps: DataFrame, radius: int = 4, tile: int = TILE) -> DataFrame:
     return links.unionByName(tiled)
 
 
-def simhash_groups(docs: DataFrame, radius: int = 4, k: int = 4) -> DataFrame:
-    """doc_id, fp (long), component_id of every row: the smallest doc_id reachable by links of `radius` or fewer bits.
-
-    Null or empty text: fingerprint zero, linked like any other. Null doc_id: kept, and never the smallest unless a
-    group has no other, when component_id is null. Repeated rows stay. No rows: none.
-    """
+def _grouped(docs: DataFrame, radius: int, k: int, *more: Column) -> DataFrame:
+    """doc_id, `more`, fp, component (a fingerprint), component_id of every row. See simhash_groups."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *more)
+    kept = [i for i, c in enumerate(texts.columns) if c != "text"]
+    names = [texts.columns[i] for i in kept] + ["fp"]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fingerprints(batch.column(1), k).view(np.int64))], names=["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(fingerprints(batch.column(1), k).view(np.int64))], names=names)
 
-    narrow = stash(by_batch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, fp long"), "fingerprints")
+    narrow = stash(by_batch(texts, run, ", ".join(f"{n} long" for n in names)), "fingerprints")
     distinct = stash(narrow.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     linked = components(near_links(distinct.select("fp"), radius)).withColumnRenamed("node", "fp")
     own = stash(distinct.join(linked, "fp", "left").withColumn("component", F.coalesce("component", "fp")), "owned")
     smallest = own.groupBy("component").agg(F.min("least").alias("component_id"))
-    labels = own.join(smallest, "component").select("fp", "component_id")
-    return narrow.join(labels, "fp").select("doc_id", "fp", "component_id")
+    labels = own.join(smallest, "component").select("fp", "component", "component_id")
+    return narrow.join(labels, "fp")
+
+
+def simhash_groups(docs: DataFrame, radius: int = 4, k: int = 4) -> DataFrame:
+    """doc_id, fp (long), component_id of every row: the smallest doc_id reachable by links of `radius` or fewer bits.
+
+    Null or empty text: fingerprint zero, linked like any other. Null doc_id: kept, and never the smallest unless a
+    group has no other, when component_id is null. Repeated rows stay. No rows: none.
+    """
+    return _grouped(docs, radius, k).select("doc_id", "fp", "component_id")
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
@@ -222,17 +230,19 @@ def op2_simhash(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, radius: int = 4) -> DataFrame:
-    """docs without near copies: of each group the document with the smallest doc_id stays, once.
+    """docs without near copies: one row of each group stays, the smallest by (doc_id, fingerprint, text hash).
 
-    Rows that share a doc_id are one document if they are alike in every column; else each is its own.
-    A document without a doc_id stays if no other of its group has one.
+    A row without a doc_id stays only if no other of its group has one. Of rows alike in doc_id and text the smallest
+    by all columns stays.
     """
-    groups = stash(simhash_groups(docs, radius), "groups")
-    (own,) = fresh(docs, "__id")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col(own))
-    chosen = groups.where("doc_id <=> component_id").select(F.col("doc_id").alias(own)).distinct()
-    kept = docs.join(chosen, same, "left_semi")
-    again = groups.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(own))
+    groups = stash(_grouped(docs, radius, 4, F.xxhash64("text").alias("th")), "groups")
+    own, h, row = fresh(docs, "__id", "__h", "__row")
+    best = groups.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "th")).alias("best"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(own)) & (F.xxhash64("text") == F.col(h))
+    key = [F.col("doc_id").alias(own), F.col("th").alias(h)]
+    kept = docs.join(best.select("best.*").select(*key), same, "left_semi")
+    again = groups.groupBy("doc_id", "th").count().where("count > 1").select(*key)
     if not again.take(1):
         return kept
-    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").distinct())
+    least = kept.join(again, same).groupBy(own, h).agg(F.min(F.struct(*docs.columns)).alias(row)).select(f"{row}.*")
+    return kept.join(again, same, "left_anti").unionByName(least)
