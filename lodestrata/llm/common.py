@@ -1,4 +1,4 @@
-"""What the training-data operators share: scratch tables, word kernels, tokenizing, components."""
+"""What the training-data operators share: scratch tables, word kernels, components."""
 
 from __future__ import annotations
 
@@ -8,7 +8,6 @@ import os
 import shutil
 import tempfile
 import uuid
-from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -70,19 +69,19 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
-def by_batch(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """mapInArrow of a function of one batch, whose texts are cut to about 4 MB at a time."""
+def by_batch(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, most: int = 4 << 20) -> DataFrame:
+    """mapInArrow of a function of one batch, whose texts are cut to about `most` bytes at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most):
                 yield f(part)
 
     return df.mapInArrow(run, schema)
 
 
 def slices(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Consecutive slices of a batch of some 4 MB; one row is never cut."""
+    """Consecutive slices of a batch of some `most` bytes; one row is never cut."""
     n = batch.num_rows
     if batch.nbytes <= most or n <= 1:
         if n:
@@ -227,142 +226,6 @@ def repeated(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, later
 
 
-def _byte_form() -> dict[int, str]:
-    """Latin-1 characters as byte-level models write their UTF-8 bytes: printable bytes as themselves, the others from U+0100 on."""
-    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    others = [b for b in range(256) if b not in printable]
-    form = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
-    return {c: "".join(form[b] for b in chr(c).encode()) for c in range(128, 256)}
-
-
-_BYTE_FORM = _byte_form()
-_SIGNS = ".,!?;:#*$%&)"
-
-
-class Tokens:
-    """Ids of whole texts by a public tokenizer whose pre-tokens never span white space, so that words can be cached.
-
-    At most `most` words are held, in two generations: when the younger is full it becomes the older, and what is
-    used again moves back. Texts with the separators 1C-1F, which Python splits at and the tokenizer does not, are encoded whole.
-    """
-
-    def __init__(self, path: str, most: int = 500_000) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.t, self.half = Tokenizer.from_file(path), most // 2
-        self.model = self.t.model
-        self.cache: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.mark = self.mark_id = None
-        for c in "§¶†‡¤":
-            ids = self.t.encode(c, add_special_tokens=False).ids
-            if len(ids) == 1:
-                self.mark, self.mark_id = c, ids[0]
-                break
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def plain(self, text: str) -> str:
-        """The text in lower case, as the tokenizer makes it, where that is safe to say; it means fewer distinct words."""
-        if "<|" in text:
-            return text
-        try:
-            text.encode("latin-1")  # no letters beyond it: no final sigma, no dotted capital I, all composed
-        except UnicodeEncodeError:
-            return text
-        return text.lower()
-
-    def learn(self, words: set[str]) -> None:
-        """Take words from the older generation; split signs off the end, which are a pre-token of their own; encode the rest."""
-        older, cache = self.older, self.cache
-        if older:
-            again = words & older.keys()
-            cache.update((w, older[w]) for w in again)
-            words = words - again
-        ends, fresh = [], set()
-        for w in words:
-            base = w.rstrip(_SIGNS)
-            if base and len(base) < len(w) and base[-1].isalpha():
-                ends.append((w, base, w[len(base) :]))
-                fresh.add(base)
-                fresh.add(w[len(base) :])
-            else:
-                fresh.add(w)
-        fresh = {w for w in fresh if w not in cache}
-        if older:
-            again = fresh & older.keys()
-            cache.update((w, older[w]) for w in again)
-            fresh -= again
-        self.encode_words(sorted(fresh))
-        cache.update((w, cache[base] + cache[end]) for w, base, end in ends)
-
-    def encode_words(self, words: list[str]) -> None:
-        """Ids of words. Lower-case Latin-1 letters alone need none of the tokenizer's steps but its model; other words are
-        encoded many in one text, parted by a mark of one id, or one by one.
-        """
-        others, model, cache = [], self.model.tokenize, self.cache
-        for w in words:
-            if w.isascii():
-                plain = w.isalpha() and w.islower()
-                form = w
-            else:
-                plain = w.isalpha() and w == w.lower() and max(w) < "\u0100"
-                form = w.translate(_BYTE_FORM)
-            if plain:
-                cache[w] = array("I", [t.id for t in model(form)]).tobytes()
-            else:
-                others.append(w)
-        words = odd = others
-        if self.mark:
-            odd = [w for w in words if self.mark in w]
-            words = [w for w in words if self.mark not in w]
-            for at in range(0, len(words), 4096):
-                part = words[at : at + 4096]
-                ids = np.array(self.t.encode_batch_fast([f" {self.mark} ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-                cut = np.flatnonzero(ids == self.mark_id)
-                if len(cut) != len(part) - 1:
-                    odd = odd + part
-                    continue
-                raw = ids.tobytes()
-                a = [0, *((cut + 1) * 4).tolist()]
-                b = [*(cut * 4).tolist(), len(raw)]
-                self.cache.update(zip(part, [raw[i:j] for i, j in zip(a, b)]))
-        if odd:
-            self.cache.update(zip(odd, self.whole(odd)))
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers; null: none."""
-        out: list[bytes] = []
-        for at in range(0, len(texts), 256):
-            part = [t or "" for t in texts[at : at + 256]]
-            split = [self.plain(t).split() for t in part]
-            if len(self.cache) > self.half:
-                self.cache, self.older = {}, self.cache
-            new = set().union(*split).difference(self.cache)
-            if new:
-                self.learn(new)
-            get = self.cache.__getitem__
-            for t, words in zip(part, split):
-                if any(c in t for c in "\x1c\x1d\x1e\x1f"):
-                    out += self.whole([t])
-                else:
-                    out.append(b"".join(map(get, words)))
-        return out
-
-
-@functools.lru_cache(2)
-def tokens(path: str) -> Tokens:
-    return Tokens(path)
-
-
-def tokenizer_path() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("word_bpe_49k.json")
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) long edges -> (node, component): the smallest node reachable, for every node of an edge.
 

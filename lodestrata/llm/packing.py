@@ -11,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import by_batch, slices, stash, tokenizer_path, tokens
+from lodestrata.llm.common import by_batch, fresh, slices, stash
+from lodestrata.llm.tokenizing import tokenizer_path, tokens
 
 END_ID = 1
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -25,19 +26,22 @@ def tokenize_pieces(docs: DataFrame, capacity: int = 4096, tokenizer: str | None
     tokenizer = tokenizer or tokenizer_path()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        end = np.array([end_id], "<u4").tobytes()
-        rows: list[tuple] = []
-        for key, raw in zip(batch.column(0).to_pylist(), tokens(tokenizer).encode(batch.column(1).to_pylist())):
-            raw += end
-            for piece, at in enumerate(range(0, len(raw), 4 * capacity)):
-                part = raw[at : at + 4 * capacity]
-                rows.append((key, piece, at // 4, len(part) // 4, zlib.crc32(part), part))
-        columns = list(zip(*rows)) if rows else [[]] * 6
-        arrays = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
-        names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
-        return pa.RecordBatch.from_arrays(arrays[: 5 + with_ids], names=names[: 5 + with_ids])
-
-    return by_batch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, PIECE + ", ids binary" * with_ids)
+        ids, before = tokens(tokenizer).encode(batch.column(1), end_id)
+        n = np.diff(before)
+        pieces = -(-n // capacity)
+        doc = np.repeat(np.arange(len(n)), pieces)
+        piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        start = piece * capacity
+        length = np.minimum(n[doc] - start, capacity)
+        raw = np.ascontiguousarray(ids, "<u4").view(np.uint8)
+        cuts = 4 * np.append(before[doc] + start, len(ids))
+        crc = [zlib.crc32(raw[a:b]) for a, b in zip(cuts.tolist(), cuts[1:].tolist())]
+        arrays = [batch.column(0).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())]
+        if with_ids:
+            arrays.append(pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(raw)]))
+        return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids])
+
+    return by_batch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, PIECE + ", ids binary" * with_ids, 8 << 20)
 
 
 class Bins:
@@ -78,20 +82,21 @@ class Bins:
 def pack(pieces: DataFrame, capacity: int = 4096, shard: int = 24_000) -> DataFrame:
     """pieces + sequence_id, offset: every piece whole in one sequence, gapless from 0.
 
-    Pieces go by hash to shards of about `shard` pieces, and each is packed largest first; what a shard leaves
+    Pieces go at random to shards of about `shard` pieces, and each is packed largest first; what a shard leaves
     open is a few sequences, so the loss is under a thousandth. Sequences never span shards, so no step needs
     all pieces in one task; a task holds its open sequences' gaps and some 4 MB of pieces, with their ids or without.
     """
     pieces = stash(pieces, "pieces")
-    n = pieces.count()
-    shards = max(1, round(n / shard))
+    names, (shard_of,) = pieces.columns, fresh(pieces, "__shard")
+    shards = max(1, round(pieces.count() / shard))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins, at = Bins(capacity), None
         for batch in batches:
             for part in slices(batch):
-                of = part.column("shard").to_numpy()
-                for lo, hi in zip(c := [0, *(np.flatnonzero(np.diff(of)) + 1).tolist()], [*c[1:], len(of)]):
+                of = part.column(shard_of).to_numpy()
+                cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
+                for lo, hi in zip(cuts, cuts[1:]):
                     if of[lo] != at:
                         bins, at = Bins(capacity), int(of[lo])
                     t = part.slice(lo, hi - lo)
@@ -99,9 +104,9 @@ def pack(pieces: DataFrame, capacity: int = 4096, shard: int = 24_000) -> DataFr
                     columns = {n: t.column(n) for n in names}
                     yield pa.RecordBatch.from_pydict({**columns, "sequence_id": pa.array(own + (at << 32)), "offset": pa.array(offset)})
 
-    names = pieces.columns
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)).cast("int"))
-    dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard", F.desc("length"), "doc_id", "piece", "ids_crc32")
+    # by the row's number in the table just written, so that pieces which are alike go to all shards
+    dealt = pieces.withColumn(shard_of, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).cast("int"))
+    dealt = dealt.repartition(shards, shard_of).sortWithinPartitions(shard_of, F.desc("length"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
     return dealt.mapInArrow(run, f"{fields}, sequence_id long, offset long")
 

@@ -26,10 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import new_path, partitions, slices, tokenizer_path, tokens
+from lodestrata.llm.common import fresh, new_path, partitions, slices
+from lodestrata.llm.tokenizing import tokenizer_path, tokens
 
 MAGIC, BITS = b"LSDAC1\0\0", 8
 END_ID = 2
+#: Bytes of text that are encoded at once, and ids that are read back at once.
+TEXT_BYTES, READ_IDS = 8 << 20, 1 << 20
 
 
 def _padded(raw: bytes) -> bytes:
@@ -119,6 +122,15 @@ class DacFile:
     def document(self, k: int) -> np.ndarray:
         return self.slice(int(self.starts[k]), int(self.starts[k + 1]))
 
+    def documents(self, most: int = READ_IDS) -> Iterator[np.ndarray]:
+        """Ids of each document in turn; those of several are read at once, `most` or a document's."""
+        k, last = 0, len(self.starts) - 1
+        while k < last:
+            to = max(k + 1, int(np.searchsorted(self.starts, self.starts[k] + most, "right")) - 1)
+            ids = self.slice(int(self.starts[k]), int(self.starts[to]))
+            yield from np.split(ids, (self.starts[k + 1 : to] - self.starts[k]))
+            k = to
+
 
 def _write(path: str, raw: bytes) -> None:
     """One atomic put, to any store that pyarrow opens."""
@@ -134,45 +146,52 @@ def write_token_files(docs: DataFrame, to: str, tokenizer: str | None = None, en
     """Encode whole texts and write them to DAC1 files in ascending doc_id order; returns the manifest.
 
     Manifest: file, part, seq, docs, ids, start (ids before the file's first). Documents are range-partitioned by
-    doc_id, nulls first, equal ids by text, and each task writes its own range, a file for every `file_ids` ids.
+    doc_id, nulls first, equal ids by the text's hash, and each task writes its own range, a file for every `file_ids` ids.
     A file that a lost or repeated attempt wrote is not in the manifest, which is committed by Spark. Null text:
     empty; no rows: an empty manifest; other columns are not read.
     """
     spark, tokenizer = docs.sparkSession, tokenizer or tokenizer_path()
+    manifest = pa.schema([("file", pa.string()), ("part", pa.int32()), ("seq", pa.int32()), ("docs", pa.int64()), ("ids", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, seq, t = TaskContext.get().partitionId(), 0, tokens(tokenizer)
-        end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
-        keys, held, size = [], [], 0
+        keys, lengths, held, size = [], [], [], 0
 
         def flush():
-            nonlocal keys, held, size, seq
-            ids = np.frombuffer(b"".join(held), "<u4")
+            nonlocal keys, lengths, held, size, seq
+            ids = np.concatenate(held)
             name = f"{to}/part-{part:06d}-{seq:05d}-{uuid.uuid4().hex[:12]}.dac"
-            _write(name, encode_dac(keys, np.array([len(x) // 4 for x in held], np.int64), ids))
-            row = pa.RecordBatch.from_pylist([{"file": name, "part": part, "seq": seq, "docs": len(keys), "ids": len(ids)}], pa.schema([("file", pa.string()), ("part", pa.int32()), ("seq", pa.int32()), ("docs", pa.int64()), ("ids", pa.int64())]))
-            keys, held, size, seq = [], [], 0, seq + 1
+            _write(name, encode_dac(keys, np.concatenate(lengths), ids))
+            row = pa.RecordBatch.from_pylist([{"file": name, "part": part, "seq": seq, "docs": len(keys), "ids": len(ids)}], manifest)
+            keys, lengths, held, size, seq = [], [], [], 0, seq + 1
             return row
 
         for batch in batches:
-            for piece in slices(batch):
-                for key, raw in zip(piece.column(0).to_pylist(), t.encode(piece.column(1).to_pylist())):
-                    keys.append(key)
-                    held.append(raw + end)
-                    size += len(raw) // 4 + len(end) // 4
-                    if size >= file_ids:
-                        yield flush()
+            for piece in slices(batch, TEXT_BYTES):
+                ids, before = t.encode(piece.column(1), end_id)
+                keys += piece.column(0).to_pylist()
+                lengths.append(np.diff(before))
+                held.append(ids)
+                size += len(ids)
+                if size >= file_ids:
+                    yield flush()
         if keys:
             yield flush()
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(partitions(spark), F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
+    # the row's number parts rows that are alike in id and text, which may be many
+    salt, h = fresh(docs, "__salt", "__h")
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias(h), F.monotonically_increasing_id().alias(salt))
+    order = [F.col("doc_id").asc_nulls_first(), h, salt]
+    ordered = ordered.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).select("doc_id", "text")
     rows = ordered.mapInArrow(run, "file string, part int, seq int, docs long, ids long")
     rows.write.parquet(f"{to}/manifest")
-    # one row per file: a window over all of them is small
-    manifest = spark.read.parquet(f"{to}/manifest")
-    return manifest.withColumn("start", F.coalesce(F.sum("ids").over(Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    table = spark.read.parquet(f"{to}/manifest")
+    # ids before a file: those of the parts before, a row each, and those of its own part
+    earlier = lambda w: F.coalesce(F.sum("ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = table.groupBy("part").agg(F.sum("ids").alias("ids")).select("part", earlier(Window.orderBy("part")).alias("before"))
+    return table.join(parts, "part").withColumn("start", F.col("before") + earlier(Window.partitionBy("part").orderBy("seq"))).drop("before")
 
 
 def read_token_files(manifest: DataFrame, to: str) -> DataFrame:
@@ -187,9 +206,10 @@ def read_token_files(manifest: DataFrame, to: str) -> DataFrame:
             for k in range(batch.num_rows):
                 f = DacFile(batch.column(1)[k].as_buffer())
                 base = batch.column(2)[k].as_py()
-                crc = [zlib.crc32(f.document(i)) for i in range(len(f.doc_ids))]
-                n = len(crc)
-                yield pa.RecordBatch.from_arrays([pa.array(f.doc_ids, pa.int64()), pa.array(f.starts[:-1] + base), pa.array(np.diff(f.starts)), pa.array(crc, pa.int64()), pa.array([batch.column(0)[k].as_py()] * n, pa.string())], names=["doc_id", "start", "n_tokens", "ids_crc32", "file"])
+                crc = [zlib.crc32(np.ascontiguousarray(ids)) for ids in f.documents()]
+                name = pa.array([batch.column(0)[k].as_py()] * len(crc), pa.string())
+                arrays = [pa.array(f.doc_ids, pa.int64()), pa.array(f.starts[:-1] + base), pa.array(np.diff(f.starts)), pa.array(crc, pa.int64()), name]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "start", "n_tokens", "ids_crc32", "file"])
 
     return listed.select("name", "content", "base").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, file string")
 

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 
 from lodestrata.llm import registry
-from lodestrata.llm.common import tokenizer_path
+from lodestrata.llm.tokenizing import tokenizer_path
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")

@@ -174,12 +174,6 @@ def test_token_file_random_access():
     assert len(empty.document(0)) == 0
 
 
-def test_tokens_as_the_library():
-    t = common.Tokens(common.tokenizer_path(), 50)
-    texts = ["<|endoftext|>Foo <|STARTOFTEXT|> a", "Straße.ÀB", "it's. IT'S!! don't*** 12.5% (x). áb. §a §", "İx ſ. Σας", "...", "\x85a\xa0b\x1cc.", "x" * 3000 + ".", "50%. 5.", "ab¡. ²., ½,", ""] * 3
-    assert t.encode(texts) == t.whole(texts) == t.encode(texts)
-
-
 def test_shared_passages(spark):
     """A passage of several lines in other documents is found whatever stands before it, and the first place keeps it."""
     rng = np.random.default_rng(5)

@@ -6,7 +6,7 @@ from collections import defaultdict
 import corpus_pipeline
 import numpy as np
 from lodestrata.llm import packing
-from lodestrata.llm.common import tokenizer_path
+from lodestrata.llm.tokenizing import tokenizer_path
 from test_contracts import ids_of
 
 

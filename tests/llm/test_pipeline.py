@@ -11,7 +11,7 @@ import xxhash
 
 import corpus_pipeline
 from lodestrata.llm import toxicity
-from lodestrata.llm.common import tokenizer_path
+from lodestrata.llm.tokenizing import tokenizer_path
 from lodestrata.llm.lines import CUT, LONG, op3_line_dedup
 from test_contracts import WORD, fingerprint, ids_of, reach
 
