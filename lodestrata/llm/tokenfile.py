@@ -32,7 +32,7 @@ from lodestrata.llm.tokenizing import tokenizer_path, tokens
 MAGIC, BITS = b"LSDAC1\0\0", 8
 END_ID = 2
 #: Bytes of text that are encoded at once, and ids that are read back at once.
-TEXT_BYTES, READ_IDS = 8 << 20, 1 << 20
+TEXT_BYTES, READ_IDS = 4 << 20, 1 << 20
 
 
 def _padded(raw: bytes) -> bytes:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import functools
 import os
 import re
@@ -46,6 +48,8 @@ def _byte_form() -> dict[int, str]:
 
 
 _BYTES = _byte_form()
+#: glibc's number of the option.
+_MMAP_THRESHOLD = -3
 
 
 def pretokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -104,7 +108,7 @@ class Tokens:
     again moves back. Those of over `long` bytes are encoded whenever they come.
     """
 
-    def __init__(self, path: str, most: int = 500_000, long: int = 256) -> None:
+    def __init__(self, path: str, most: int = 300_000, long: int = 256) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -178,8 +182,9 @@ class Tokens:
         if len(self.start) > self.half or len(self.ids) > 16 * self.half:
             self.older, self.older_of = self.place, (self.start, self.ids)
             self.place, self.start, self.ids = {}, np.zeros(1, np.int64), np.empty(0, np.uint32)
-        words = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(np.ascontiguousarray(cuts, np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+        words = pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(data)])
         coded = words.dictionary_encode()
+        del words, data, cuts
         keys, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         place = self.place
         new = [k for k in keys if k not in place]
@@ -205,13 +210,20 @@ class Tokens:
 
 
 def _spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """start[0], ..., start[0] + n[0] - 1, start[1], ..."""
+    """start[0], ..., start[0] + n[0] - 1, start[1], ...: places in 32 bits where they fit."""
     total = np.cumsum(n)
-    return np.repeat(start - (total - n), n) + np.arange(int(total[-1]) if len(total) else 0)
+    size = int(total[-1]) if len(total) else 0
+    kind = np.int32 if size < 1 << 31 and (not len(start) or int(start.max()) < 1 << 30) else np.int64
+    at = np.arange(size, dtype=kind)
+    at += np.repeat((start - (total - n)).astype(kind), n)
+    return at
 
 
 @functools.lru_cache(2)
 def tokens(path: str) -> Tokens:
+    """A worker's own; blocks of a megabyte or more go back to the system when freed, where the allocator can be told so."""
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).mallopt(_MMAP_THRESHOLD, 1 << 20)
     return Tokens(path)
 
 
