@@ -33,10 +33,10 @@ def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/lodestrata-{what}-{uuid.uuid4().hex}"
 
 
-def stash(df: DataFrame, what: str) -> DataFrame:
+def stash(df: DataFrame, what: str, codec: str = "snappy") -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends, lost executors cost nothing."""
     path = new_path(df.sparkSession, what)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stashed_at = path
     return out

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import by_batch, fresh, slices, stash
+from lodestrata.llm.common import by_batch, slices, stash
 from lodestrata.llm.tokenizing import tokenizer_path, tokens
 
 END_ID = 1
@@ -41,7 +41,7 @@ def tokenize_pieces(docs: DataFrame, capacity: int = 4096, tokenizer: str | None
             arrays.append(pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(raw)]))
         return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids])
 
-    return by_batch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, PIECE + ", ids binary" * with_ids, 8 << 20)
+    return by_batch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, PIECE + ", ids binary" * with_ids)
 
 
 class Bins:
@@ -82,31 +82,25 @@ class Bins:
 def pack(pieces: DataFrame, capacity: int = 4096, shard: int = 24_000) -> DataFrame:
     """pieces + sequence_id, offset: every piece whole in one sequence, gapless from 0.
 
-    Pieces go at random to shards of about `shard` pieces, and each is packed largest first; what a shard leaves
+    Pieces are dealt out evenly to shards of about `shard` pieces, a task each, and each is packed largest first; what a shard leaves
     open is a few sequences, so the loss is under a thousandth. Sequences never span shards, so no step needs
     all pieces in one task; a task holds its open sequences' gaps and some 4 MB of pieces, with their ids or without.
     """
-    pieces = stash(pieces, "pieces")
-    names, (shard_of,) = pieces.columns, fresh(pieces, "__shard")
-    shards = max(1, round(pieces.count() / shard))
+    pieces = stash(pieces, "pieces", "zstd")
+    names, shards = pieces.columns, max(1, round(pieces.count() / shard))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bins, at = Bins(capacity), None
+        from pyspark import TaskContext
+
+        bins, base = Bins(capacity), TaskContext.get().partitionId() << 32
         for batch in batches:
             for part in slices(batch):
-                of = part.column(shard_of).to_numpy()
-                cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
-                for lo, hi in zip(cuts, cuts[1:]):
-                    if of[lo] != at:
-                        bins, at = Bins(capacity), int(of[lo])
-                    t = part.slice(lo, hi - lo)
-                    own, offset = bins.add(t.column("length").to_numpy())
-                    columns = {n: t.column(n) for n in names}
-                    yield pa.RecordBatch.from_pydict({**columns, "sequence_id": pa.array(own + (at << 32)), "offset": pa.array(offset)})
-
-    # by the row's number in the table just written, so that pieces which are alike go to all shards
-    dealt = pieces.withColumn(shard_of, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).cast("int"))
-    dealt = dealt.repartition(shards, shard_of).sortWithinPartitions(shard_of, F.desc("length"))
+                own, offset = bins.add(part.column("length").to_numpy())
+                columns = {n: part.column(n) for n in names}
+                yield pa.RecordBatch.from_pydict({**columns, "sequence_id": pa.array(own + base), "offset": pa.array(offset)})
+
+    # dealt out in turn, after a sort within each task that makes a repeated attempt the same: alike pieces go to all shards
+    dealt = pieces.repartition(shards).sortWithinPartitions(F.desc("length"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
     return dealt.mapInArrow(run, f"{fields}, sequence_id long, offset long")
 
