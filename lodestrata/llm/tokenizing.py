@@ -6,12 +6,12 @@ import contextlib
 import ctypes
 import functools
 import os
-import re
 import unicodedata
 from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from lodestrata.llm.common import strings
 
@@ -37,7 +37,6 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 #: Second bytes of U+00C0 to U+00FF in lower case.
 _LOWER_TWO = np.array([ord(x) & 0x3F | 0x80 if len(x := chr(c).lower()) == 1 and 0xC0 <= ord(x) < 0x100 else c & 0x3F | 0x80 for c in range(0xC0, 0x100)], np.uint8)
-_HARD_KEY = re.compile(rb"[\x00-\x1f'\x7f\xc4-\xff]|<\||\xc2[\x80-\xa0]")
 
 
 def _byte_form() -> dict[int, str]:
@@ -52,16 +51,16 @@ _BYTES = _byte_form()
 _MMAP_THRESHOLD = -3
 
 
-def pretokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes, starts of pre-tokens and the end, number of pre-tokens before each row and in all) of a string column.
+def pretokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, starts of pre-tokens and the end, number of pre-tokens before each row and in all, numbers of hard ones).
 
     White space is left out. Words of Latin-1 characters are in lower case and cut where the tokenizer cuts; a word with
-    any other character, a control, an apostrophe or "<|" (which may begin a special token) is one pre-token, as it stands.
+    any other character, a control, an apostrophe or "<|" (which may begin a special token) is hard: one pre-token, as it stands.
     """
     data, offsets = strings(column)
     n = len(data)
     if not n:
-        return data, np.zeros(1, np.int64), np.zeros(len(offsets), np.int64)
+        return data, np.zeros(1, np.int64), np.zeros(len(offsets), np.int64), np.zeros(0, np.int64)
     cls, low = _CLASS[data], _LOWER[data]
     lead = np.flatnonzero((data == 0xC2) | (data == 0xC3))
     if len(lead):
@@ -80,6 +79,7 @@ def pretokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         new[lead[cls[lead] == DIGIT] + 1] = False
     hard = cls == HARD
     hard[:-1] |= (data[:-1] == 0x3C) & (data[1:] == 0x7C) & ~first[1:]
+    words = np.zeros(0, np.int64)
     if hard.any():
         # whole words of them, in their own bytes
         edge = first.copy()
@@ -93,44 +93,53 @@ def pretokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         within = np.cumsum(step[:-1], dtype=np.int8).astype(bool)
         low[within], new[within] = data[within], False
         new[start[word]] = True
+        words = start[word]
     new |= first
     new &= ink
     kept = np.flatnonzero(new)
-    rank = np.cumsum(ink)
-    cuts = np.append(rank[kept] - 1, rank[-1])
-    return low[ink], cuts, np.searchsorted(kept, offsets)
+    out = low[ink]
+    cuts = np.append(np.flatnonzero(new[ink]), len(out))
+    return out, cuts, np.searchsorted(kept, offsets), np.searchsorted(kept, words)
 
 
 class Tokens:
     """Ids by a tokenizer whose pre-tokens never span white space, so that each distinct one is encoded once.
 
-    At most `most` pre-tokens are held, in two generations: when the younger is full it becomes the older, and what is used
-    again moves back. Those of over `long` bytes are encoded whenever they come.
+    Some `most` pre-tokens are held, of `most_bytes` in all; then those not met since the last time this was so are forgotten.
     """
 
-    def __init__(self, path: str, most: int = 300_000, long: int = 256) -> None:
+    def __init__(self, path: str, most: int = 500_000, most_bytes: int = 32 << 20) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.t, self.half, self.long = Tokenizer.from_file(path), max(1, most // 2), long
+        self.t, self.most, self.most_bytes = Tokenizer.from_file(path), most, most_bytes
         # the model alone: it is given pre-tokens in byte form, one a line
         self.model = Tokenizer(self.t.model)
         self.model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
         vocab = self.t.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
-        self.place: dict[bytes, int] = {}
-        self.start, self.ids = np.zeros(1, np.int64), np.empty(0, np.uint32)
-        self.older: dict[bytes, np.ndarray | None] = {}
-        self.older_of = (self.start, self.ids)
+        self.keep(None)
+
+    def keep(self, which: np.ndarray | None) -> None:
+        """Hold only these of the pre-tokens held; None: none."""
+        if which is None:
+            self.keys = pa.array([], pa.binary())
+            self.start, self.count, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        else:
+            self.keys = self.keys.filter(pa.array(which))
+            start, self.count = self.start[which], self.count[which]
+            self.ids = self.ids[_spread(start, self.count)]
+            self.start = np.cumsum(self.count) - self.count
+        self.used = np.zeros(len(self.keys), bool)
 
     def whole(self, texts: Sequence[str]) -> list[np.ndarray]:
         """Ids of each text by the library alone."""
         return [np.array(e.ids, np.uint32) for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _plain(self, keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(number of ids of each, ids) of plain pre-tokens."""
-        counts, ids = [], []
+    def plain(self, keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each, ids) of pre-tokens that are not hard."""
+        counts, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
         for at in range(0, len(keys), 8192):
             part = keys[at : at + 8192]
             lines = b"\n".join(part).decode("latin-1").translate(_BYTES)
@@ -144,69 +153,54 @@ class Tokens:
             ids.append(got)
         return np.concatenate(counts), np.concatenate(ids)
 
-    def _learn(self, keys: list[bytes]) -> None:
-        """Give each of these new pre-tokens a place."""
-        again = [k for k in keys if k in self.older] if self.older else []
-        if again:
-            moved = set(again)
-            keys = [k for k in keys if k not in moved]
-        odd = [k for k in keys if _HARD_KEY.search(k)]
-        if odd:
-            hard = set(odd)
-            keys = [k for k in keys if k not in hard]
-        counts, ids = [], []
-        if again:
-            start, held = self.older_of
-            at = np.fromiter((self.older[k] for k in again), np.int64, len(again))
-            n = start[at + 1] - start[at]
-            counts.append(n)
-            ids.append(held[_spread(start[at], n)])
-        if keys:
-            n, got = self._plain(keys)
-            counts.append(n)
-            ids.append(got)
-        if odd:
-            each = self.whole([k.decode() for k in odd])
-            counts.append(np.array([len(x) for x in each]))
-            ids += each
-        base = len(self.start) - 1
-        self.place.update(zip([*again, *keys, *odd], range(base, base + len(again) + len(keys) + len(odd))))
-        self.start = np.concatenate((self.start, self.start[-1] + np.cumsum(np.concatenate(counts))))
-        self.ids = np.concatenate((self.ids, *ids))
+    def learn(self, new: pa.BinaryArray, hard: np.ndarray) -> None:
+        """Hold these too; hard: the numbers of those that the library has to encode."""
+        easy = np.ones(len(new), bool)
+        easy[hard] = False
+        count = np.zeros(len(new), np.int64)
+        count[easy], ids = self.plain((new.filter(pa.array(easy)) if len(hard) else new).to_pylist())
+        start = np.zeros(len(new), np.int64)
+        start[easy] = np.cumsum(count[easy]) - count[easy]
+        if len(hard):
+            each = self.whole([k.decode() for k in new.take(pa.array(hard)).to_pylist()])
+            count[hard] = [len(x) for x in each]
+            start[hard] = len(ids) + np.cumsum(count[hard]) - count[hard]
+            ids = np.concatenate((ids, *each))
+        self.keys = pa.concat_arrays([self.keys, new])
+        self.start, self.count = np.concatenate((self.start, start + len(self.ids))), np.concatenate((self.count, count))
+        self.ids, self.used = np.concatenate((self.ids, ids)), np.concatenate((self.used, np.zeros(len(new), bool)))
 
     def encode(self, column: pa.Array | Sequence[str | None], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows, ids before each row and in all) of a string column; null: none. end: an id after each row."""
         if not isinstance(column, pa.Array):
             column = pa.array(column, pa.large_string())
-        data, cuts, rows = pretokens(column)
-        if len(self.start) > self.half or len(self.ids) > 16 * self.half:
-            self.older, self.older_of = self.place, (self.start, self.ids)
-            self.place, self.start, self.ids = {}, np.zeros(1, np.int64), np.empty(0, np.uint32)
+        data, cuts, rows, hard = pretokens(column)
         words = pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(data)])
-        coded = words.dictionary_encode()
-        del words, data, cuts
-        keys, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        place = self.place
-        new = [k for k in keys if k not in place]
-        if new:
-            self._learn(new)
-        at = np.fromiter(map(place.__getitem__, keys), np.int64, len(keys))
-        begin, count = self.start[at], self.start[at + 1] - self.start[at]
-        n = count[index]
-        before = np.concatenate(([0], np.cumsum(n)))[rows]
+        del data, cuts
+        full = lambda: len(self.keys) > self.most or self.keys.nbytes > self.most_bytes
+        if full():
+            self.keep(self.used)
+            if full():
+                self.keep(None)
+        at = pc.fill_null(pc.index_in(words, value_set=self.keys), -1).to_numpy()
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            at, held = at.copy(), len(self.keys)
+            coded = words.take(pa.array(missing)).dictionary_encode()
+            number = coded.indices.to_numpy()
+            is_hard = np.zeros(len(words), bool)
+            is_hard[hard] = True
+            self.learn(coded.dictionary, np.unique(number[is_hard[missing]]))
+            at[missing] = held + number
+        del words
+        self.used[at] = True
+        begin, count = self.start[at], self.count[at]
+        before = np.concatenate(([0], np.cumsum(count)))[rows]
         if end is None:
-            out = self.ids[_spread(begin[index], n)]
-        else:
-            # the end id as one more word of each row
-            n, first = np.insert(n, rows[1:], 1), np.insert(begin[index], rows[1:], len(self.ids))
-            out = np.append(self.ids, np.uint32(end))[_spread(first, n)]
-            before = before + np.arange(len(before))
-        if new and max(map(len, new)) > self.long:
-            # they keep their place until the generation ends, but nothing finds them
-            for k in new:
-                if len(k) > self.long:
-                    del place[k]
-        return out, before
+            return self.ids[_spread(begin, count)], before
+        # the end id as one more word of each row
+        count, begin = np.insert(count, rows[1:], 1), np.insert(begin, rows[1:], len(self.ids))
+        return np.append(self.ids, np.uint32(end))[_spread(begin, count)], before + np.arange(len(before))
 
 
 def _spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:

@@ -18,9 +18,9 @@ def library(t, texts):
     return [x.tolist() for x in t.whole([x or "" for x in texts])]
 
 
-@pytest.mark.parametrize("most, long", [(50, 256), (500_000, 256), (8, 3)])
-def test_listed(most, long):
-    t = Tokens(tokenizer_path(), most, long)
+@pytest.mark.parametrize("most, most_bytes", [(50, 1 << 20), (500_000, 1 << 20), (8, 100)])
+def test_listed(most, most_bytes):
+    t = Tokens(tokenizer_path(), most, most_bytes)
     want = library(t, TEXTS * 3)
     assert as_list(t.encode(TEXTS * 3)) == want == as_list(t.encode(TEXTS * 3))
     assert as_list(t.encode(TEXTS * 3, 2)) == [[*x, 2] for x in want]
@@ -32,13 +32,13 @@ def test_no_rows():
 
 
 def test_fuzz():
-    """20,000 random texts; and with few words held, so that generations change."""
+    """20,000 random texts; and with few words held, so that they are forgotten."""
     rng = np.random.default_rng(11)
     texts = ["".join(rng.choice(ALPHABET, rng.integers(0, 14))) for _ in range(20_000)]
     t = Tokens(tokenizer_path())
     want = library(t, texts)
     assert as_list(t.encode(texts)) == want
-    few = Tokens(tokenizer_path(), 200, 5)
+    few = Tokens(tokenizer_path(), 200)
     for at in range(0, 4000, 100):
         assert as_list(few.encode(texts[at : at + 100], 1)) == [[*x, 1] for x in want[at : at + 100]]
 
