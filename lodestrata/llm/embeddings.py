@@ -6,192 +6,240 @@ import itertools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm.common import components, partitions, stash
 
-TILE = 512
-#: Leading dimensions that are compared first, and those by which vectors are dealt to cells.
-LEAD, GRID = 8, 2
+#: Vectors that are multiplied at once, and those of a block, of which a task holds two: fewer where they are long.
+TILE, BLOCK, BLOCK_NUMBERS = 512, 8192, 1 << 20
+#: Leading dimensions that are compared first, the next ones at a time, and those by which large labels are cut into cells.
+LEAD, STEP, GRID = 8, 16, 3
+_SLACK = 1e-9
+
+
+def unit(column: pa.Array, size: int) -> np.ndarray:
+    """Rows of a list column as unit vectors in double precision; the largest component is made 1 first, so that none overflows."""
+    v = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
+    v = v / np.abs(v).max(axis=1, keepdims=True)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
 def principal_axes(vectors: DataFrame, dim: int) -> np.ndarray:
-    """(dim, dim) orthogonal axes of the unit vectors `u`, the widest first: from second moments over all rows.
+    """(dim, dim) orthogonal axes of the vectors `e`, the widest first: from second moments of all rows' directions.
 
-    Each task sends a dim x dim matrix; they are summed in a tree.
+    Each task sends a dim x dim matrix as rows, and these are added up by place.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = np.zeros((dim, dim))
         for b in batches:
-            u = np.stack(b["u"].to_numpy())
-            s += u.T @ u
-        yield pd.DataFrame({"i": range(dim), "m": list(s)})
-
-    rows = vectors.select("u").mapInPandas(run, "i int, m array<double>")
-    rows = rows.select("i", F.posexplode("m").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v"))
-    # dim^2 numbers, whatever the number of vectors
+            for at in range(0, b.num_rows, BLOCK):
+                u = unit(b.column(0).slice(at, BLOCK), dim)
+                s += u.T @ u
+        yield pa.RecordBatch.from_arrays([pa.array(range(dim), pa.int32()), pa.array(list(s))], names=["i", "m"])
+
+    rows = vectors.select("e").mapInArrow(run, "i int, m array<double>")
+    rows = rows.select("i", F.posexplode("m").alias("j", "v")).where("j >= i").groupBy("i", "j").agg(F.sum("v").alias("v"))
+    # dim^2 / 2 numbers, whatever the number of vectors
     s = np.zeros((dim, dim))
     for i, j, v in rows.collect():
-        s[i, j] = v
-    return np.linalg.eigh((s + s.T) / 2)[1][:, ::-1]
+        s[i, j] = s[j, i] = v
+    return np.linalg.eigh(s)[1][:, ::-1]
 
 
-def compare(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (i, j) with a[i].b[j] >= threshold, for unit vectors in PCA order.
+def compare(a: np.ndarray, b: np.ndarray, pa_: np.ndarray, pb: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs (i, j) with a[i].b[j] >= threshold, for unit vectors a, b and the same along orthogonal axes, widest first.
 
-    The leading dimensions are multiplied first; the rest adds at most the product of the suffix norms
-    (Cauchy-Schwarz), so pairs that cannot reach the threshold go no further.
+    The leading dimensions are multiplied first; the rest adds at most the product of the suffix norms (Cauchy-Schwarz),
+    so pairs that cannot reach the threshold go no further. Those that are left are decided by a and b themselves.
     """
-    slack = 1e-9
-    lead = a[:, :LEAD] @ b[:, :LEAD].T
-    rest = np.outer(np.linalg.norm(a[:, LEAD:], axis=1), np.linalg.norm(b[:, LEAD:], axis=1))
-    i, j = np.nonzero(lead + rest >= threshold - slack)
-    for lo in range(LEAD, a.shape[1], 16):
-        if not len(i):
-            break
-        hi = min(lo + 16, a.shape[1])
-        got = lead[i, j] if lo == LEAD else got  # noqa: F821
-        got = got + np.einsum("ij,ij->i", a[i, lo:hi], b[j, lo:hi])
-        bound = np.linalg.norm(a[:, hi:], axis=1)[i] * np.linalg.norm(b[:, hi:], axis=1)[j] if hi < a.shape[1] else 0.0
-        on = got + bound >= threshold - slack
-        i, j, got = i[on], j[on], got[on]
+    dim, low, at = a.shape[1], threshold - _SLACK, LEAD
+    rest = lambda at: (np.linalg.norm(x[:, at:], axis=1) for x in (pa_, pb))
+    whole, few = pa_[:, :at] @ pb[:, :at].T, None
+    i, j = np.nonzero(whole + np.outer(*rest(at)) >= low)
+    while len(i) and at < dim:
+        to = min(at + STEP, dim)
+        # many pairs left: the whole tile is multiplied; few: they alone
+        if few is None and 16 * len(i) > whole.size:
+            whole += pa_[:, at:to] @ pb[:, at:to].T
+            got = whole[i, j]
+        else:
+            got = few = (whole[i, j] if few is None else few) + np.einsum("ij,ij->i", pa_[i, at:to], pb[j, at:to])
+        at = to
+        na, nb = rest(at)
+        on = got + na[i] * nb[j] >= low
+        i, j, few = i[on], j[on], None if few is None else few[on]
+    if len(i):
+        exact = (a @ b.T)[i, j] if 16 * len(i) > whole.size else np.einsum("ij,ij->i", a[i], b[j])
+        on = exact >= threshold
+        i, j = i[on], j[on]
     return i, j
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.98, tile: int = TILE) -> DataFrame:
+class Block:
+    """Unit vectors of a task: those along the axes are in order of the first, so that tiles of them lie close together."""
+
+    def __init__(self, u: np.ndarray, axes: np.ndarray | None) -> None:
+        p = u if axes is None else u @ axes
+        self.order = np.argsort(p[:, 0], kind="stable")
+        self.u, self.p = u[self.order], p[self.order]
+        cuts = np.arange(0, len(u), TILE)
+        lead = self.p[:, :LEAD]
+        self.tiles = [slice(c, min(c + TILE, len(u))) for c in cuts.tolist()]
+        self.low, self.high = np.minimum.reduceat(lead, cuts), np.maximum.reduceat(lead, cuts)
+
+    def pairs(self, other: Block, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Numbers of linked rows as they were given; of a block with itself, each pair once. Tiles further apart than linked
+        vectors can be are not multiplied.
+        """
+        gap = np.maximum(0.0, np.maximum(self.low[:, None] - other.high[None], other.low[None] - self.high[:, None]))
+        near = (gap**2).sum(axis=2) <= 2 - 2 * threshold + _SLACK
+        for x, y in zip(*np.nonzero(np.triu(near) if self is other else near)):
+            s, t = self.tiles[x], other.tiles[y]
+            i, j = compare(self.u[s], other.u[t], self.p[s], other.p[t], threshold)
+            if self is other and x == y:
+                i, j = i[i < j], j[i < j]
+            if len(i):
+                yield self.order[i + s.start], other.order[j + t.start]
+
+
+def join_roots(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Roots (the smallest number of each tree, for every row) after rows i and j are joined."""
+    while True:
+        a, b = root[i], root[j]
+        apart = a != b
+        if not apart.any():
+            return root
+        np.minimum.at(root, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def near_vectors(vectors: DataFrame, threshold: float = 0.98, tile: int = BLOCK) -> DataFrame:
     """vec_id, label, n_links, component_id, kept of every row; vectors link within a label at cosine >= threshold.
 
-    Vectors that are null, empty, zero or hold a null or a non-finite component, of a size other than the most frequent
-    one, or without a label link with nothing. Equal vectors are compared once, as one of that many copies.
-    Unit vectors that link are at most r = sqrt(2 - 2 threshold) apart, also along each principal axis, so each is dealt
-    to its cell of width r in the first axes and compared with the cells around; a cell of over `tile` vectors is
-    dealt out as pairs of tiles. A pair of tiles gives a row for each vector that links, not for each link.
-    Null vec_id: links, but is no other's component_id. Repeated ids are vectors of their own.
+    Vectors that are null, empty, zero or hold a null or a non-finite component, or without a label, link with nothing;
+    others link with those of their own size. Equal vectors (by 128 bits of hashes) are compared once, as one of that many copies.
+    Vectors of one label and size that fill no more than a block meet in one task. More are cut into cells along the first
+    principal axes (their own first components, for sizes other than the most frequent), at least twice as wide as linked
+    vectors can be apart, r = sqrt(2 - 2 threshold): each vector has a home, and is a guest in the cells before it whose
+    border lies within r. A cell of more than two blocks is dealt out as pairs of blocks. A pair gives a row for each vector
+    that links, not for each link.
+    Null vec_id: links, but is no other's component_id. Repeated ids are vectors of their own. No rows: none.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").alias("label"), F.col("embedding").cast("array<double>").alias("v"))
-    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    good = F.coalesce(F.col("label").isNotNull() & (F.size("v") > 0) & finite & (norm > 0), F.lit(False))
-    rows = rows.withColumn("good", good).withColumn("vh", F.xxhash64("v", F.col("label"))).withColumn("n", F.when(F.col("good"), F.size("v")))
-    sizes = rows.where("good").groupBy("n").count().orderBy(F.desc("count"), "n").first()
-    if not sizes:
+    kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").alias("label"), F.col("embedding").cast(kind).alias("e"))
+    finite = F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    good = F.coalesce(F.col("label").isNotNull() & (F.size("e") > 0) & finite & F.exists("e", lambda x: x != 0), F.lit(False))
+    rows = rows.select("vec_id", "label", "e", good.alias("good"), F.size("e").alias("n"), F.xxhash64("e").alias("h1"), F.xxhash64(F.lit("second"), "e").alias("h2"))
+    same = ["label", "n", "h1", "h2"]
+    distinct = rows.where("good").groupBy(*same).agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("e").alias("e"))
+    distinct = stash(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct")
+    usual = distinct.groupBy("n").count().orderBy(F.desc("count"), "n").first()
+    if not usual:
         return rows.select("vec_id", "label", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    dim = int(sizes[0])
-    rows = stash(rows.withColumn("good", F.col("good") & (F.col("n") == dim)), "vectors")
-    distinct = rows.where("good").groupBy("label", "v").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
-    unit = F.transform("v", lambda x: x / F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, y: a + y * y)))
-    distinct = stash(distinct.withColumn("node", F.xxhash64("label", "v")).withColumn("u", unit), "distinct")
-    axes, r = principal_axes(distinct, dim), float(np.sqrt(2 - 2 * threshold)) + 1e-9
-    grid = min(GRID, dim)
-
-    def turn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            p = np.stack(b["u"].to_numpy()) @ axes
-            cells = np.floor(p[:, :grid] / r).astype(int)
-            yield pd.DataFrame({"node": b["node"], "label": b["label"], "copies": b["copies"], "p": list(p), "cell": list(cells)})
-
+    dim = int(usual[0])
+    axes, r = principal_axes(distinct.where(F.col("n") == dim), dim), float(np.sqrt(max(0.0, 2 - 2 * threshold))) + _SLACK
     label = distinct.schema["label"].dataType.simpleString()
-    turned = stash(distinct.select("node", "label", "copies", "u").mapInPandas(turn, f"node long, label {label}, copies long, p array<double>, cell array<int>"), "turned")
-    # tables of their own, so that the joins with them stand alone and Spark may split a dense cell
-    cells = stash(turned.groupBy("label", "cell").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles")), "cells")
-    tiled = turned.join(cells, ["label", "cell"]).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    # a pair of cells is met in the first of the two: a vector goes as "a" to its own cell, as "b" to those that may come before it
-    back = [c for c in itertools.product((-1, 0, 1), repeat=grid) if c <= (0,) * grid]
-    shifted = F.explode(F.array(*[F.struct(F.array(*[F.lit(x) for x in c]).alias("by")) for c in back]))
-    sent = tiled.select("node", "label", "copies", "p", "cell", "tile", "tiles", shifted.alias("s"))
-    moved = sent.withColumn("to", F.zip_with("cell", "s.by", lambda a, b: a + b)).withColumn("own", F.forall("s.by", lambda x: x == 0))
-    there = cells.select(F.col("label"), F.col("cell").alias("to"), F.col("tiles").alias("of"))
-    moved = moved.join(there, ["label", "to"])
-    # own cell: tile i meets tiles j >= i; another cell: each of its tiles meets each tile of this one
-    b_side = moved.select("label", "to", "own", F.when(F.col("own"), F.lit(None)).otherwise(F.col("cell")).alias("from"), "node", "copies", "p", F.lit(1).alias("side"), F.col("tile").alias("j"), F.explode(F.sequence(F.lit(0), F.when(F.col("own"), F.col("tile")).otherwise(F.col("of") - 1))).alias("i"))
-    neighbour = stash(moved.where("not own").select("label", F.col("to"), F.col("cell").alias("from"), F.col("tiles").alias("theirs")).distinct(), "neighbours")
-    mine = tiled.select("label", F.col("cell").alias("to"), "tile", "tiles", "node", "copies", "p")
-    a_own = mine.select("label", "to", F.lit(True).alias("own"), F.lit(None).cast("array<int>").alias("from"), "node", "copies", "p", F.lit(0).alias("side"), F.explode(F.sequence(F.col("tile"), F.col("tiles") - 1)).alias("j"), F.col("tile").alias("i"))
-    a_other = mine.join(neighbour, ["label", "to"]).select("label", "to", F.lit(False).alias("own"), "from", "node", "copies", "p", F.lit(0).alias("side"), F.explode(F.sequence(F.lit(0), F.col("theirs") - 1)).alias("j"), F.col("tile").alias("i"))
-    tasks = a_own.unionByName(a_other).unionByName(b_side.select(*a_own.columns))
-
-    def meet(a: dict, b: dict, same: bool):
-        """Link counts of both sides and a forest over their links."""
-        i, j = compare(a["p"], b["p"], threshold)
-        if same:
-            i, j = i[i < j], j[i < j]
-        if not len(i):
-            return None
-        nodes = np.concatenate((a["node"], b["node"]))
-        n = len(a["node"])
-        counts = np.bincount(i, b["copies"][j], len(nodes)) + np.bincount(j + n, a["copies"][i], len(nodes))
-        root = np.arange(len(nodes))
-        if same:
-            root[n:] = root[:n]
-            jj = j
-        else:
-            jj = j + n
-        while True:
-            least = np.minimum(root[i], root[jj])
-            new = root.copy()
-            np.minimum.at(new, i, least)
-            np.minimum.at(new, jj, least)
-            new = new[new]
-            if same:
-                new[n:] = new[:n]
-            if (new == root).all():
-                break
-            root = new
-        at = np.flatnonzero(counts > 0)
-        return nodes[at], counts[at].astype(np.int64), nodes[root[at]]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["label", "to", "own", "from", "i", "j"]
-        key, held = None, {0: [], 1: []}
-
-        def done():
-            if not (held[0] and held[1]):
-                return None
-            sides = [{"node": np.concatenate([x["node"] for x in held[s]]), "copies": np.concatenate([x["copies"] for x in held[s]]), "p": np.concatenate([x["p"] for x in held[s]])} for s in (0, 1)]
-            same = key[names.index("own")] and key[names.index("i")] == key[names.index("j")]
-            if same:  # one tile with itself: both sides are alike, in one order
-                order = [np.argsort(s["node"]) for s in sides]
-                sides = [{k: v[o] for k, v in s.items()} for s, o in zip(sides, order)]
-            got = meet(*sides, same)
-            return None if got is None else pa.RecordBatch.from_arrays([pa.array(x) for x in got], names=["node", "links", "root"])
 
+    def by_size(batch: pa.RecordBatch):
+        """(rows, first coordinates) for each size of a batch."""
+        sizes = batch.column("n").to_numpy()
+        for n in np.unique(sizes).tolist():
+            part = batch.filter(pa.array(sizes == n))
+            u = unit(part.column("e"), n)
+            p = np.zeros((len(u), GRID))
+            q = u @ axes[:, :GRID] if n == dim else u[:, :GRID]
+            p[:, : q.shape[1]] = q
+            yield part, p
+
+    def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, p in by_size(batch):
+                yield pa.RecordBatch.from_arrays([part.column("label"), part.column("n"), *map(pa.array, p.T.copy())], names=["label", "n", *(f"p{a}" for a in range(GRID))])
+
+    # of a block of `tile` vectors, or fewer
+    most = F.greatest(F.least(F.lit(TILE), F.lit(tile)), F.least(F.lit(tile), F.floor(F.lit(BLOCK_NUMBERS) / F.col("n")))).cast("int")
+    many = distinct.groupBy("label", "n").count().where(F.col("count") > 2 * most)
+    # only labels of more than two blocks are here, so there are fewer than rows by a block
+    wide = many.select("label", "n")
+    spread = distinct.join(wide, ["label", "n"], "left_semi").select("label", "n", "e").mapInArrow(lead, f"label {label}, n int, " + ", ".join(f"p{a} double" for a in range(GRID)))
+    cells = F.ceil(F.pow(F.count("*") / most, F.lit(1.0 / GRID)))
+    spread = stash(spread.groupBy("label", "n").agg(*[F.greatest(F.lit(2 * r), 4 * F.stddev_pop(f"p{a}") / cells).alias(f"w{a}") for a in range(GRID)]), "widths")
+    earlier = [by for by in itertools.product((-1, 0, 1), repeat=GRID) if by < (0,) * GRID]
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each vector in its home cell, and as a guest in those before it that it may have links in."""
         for batch in batches:
-            if not batch.num_rows:
+            for part, p in by_size(batch):
+                w = np.stack([part.column(f"w{a}").to_numpy(zero_copy_only=False) for a in range(GRID)], axis=1).astype(float)
+                cut = ~np.isnan(w)
+                w = np.where(cut, w, 1.0)
+                home = np.where(cut, np.floor(p / w), 0).astype(np.int64)
+                below, above = p - home * w, (home + 1) * w - p
+                reach = {-1: cut & (below <= r), 0: np.ones_like(cut), 1: cut & (above <= r)}
+                rows, to, guest = [np.arange(len(p))], [home], [np.zeros(len(p), bool)]
+                for by in earlier:
+                    on = np.flatnonzero(np.logical_and.reduce([reach[x][:, a] for a, x in enumerate(by)]))
+                    rows.append(on)
+                    to.append(home[on] + by)
+                    guest.append(np.ones(len(on), bool))
+                at, to = np.concatenate(rows), np.concatenate(to)
+                held = part.select(["label", "n", "node", "copies", "e"]).take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([*held.columns, *map(pa.array, to.T.copy()), pa.array(np.concatenate(guest))], names=[*held.schema.names, *cell, "guest"])
+
+    cell = [f"c{a}" for a in range(GRID)]
+    sent = distinct.select("label", "n", "node", "copies", "e").join(spread, ["label", "n"], "left")
+    placed = sent.mapInArrow(place, f"label {label}, n int, node long, copies long, e {kind}, " + ", ".join(f"{c} long" for c in cell) + ", guest boolean")
+    counts = placed.groupBy("label", "n", *cell).agg(F.count_if(~F.col("guest")).alias("homes"), F.count_if("guest").alias("guests"))
+    whole = F.col("homes") + F.col("guests") <= 2 * most
+    blocks = lambda c: F.when(whole, 0).otherwise(F.ceil(F.col(c) / most)).cast("int")
+    counts = stash(counts.where("homes > 0").select("label", "n", *cell, blocks("homes").alias("hs"), blocks("guests").alias("gs")), "cells")
+    dealt = placed.join(counts, ["label", "n", *cell])
+    # blocks 0 .. hs - 1 are of homes, hs .. hs + gs - 1 of guests: a pair has one of homes at least
+    own = F.when(F.col("hs") == 0, 0).when(F.col("guest"), F.col("hs") + F.pmod(F.xxhash64("node"), F.greatest("gs", F.lit(1)))).otherwise(F.pmod(F.xxhash64("node"), F.greatest("hs", F.lit(1)))).cast("int")
+    met = F.when(F.col("hs") == 0, F.array(F.lit(0))).when(F.col("guest"), F.sequence(F.lit(0), F.col("hs") - 1)).otherwise(F.sequence(F.lit(0), F.col("hs") + F.col("gs") - 1))
+    task = ["label", "n", *cell, "i", "j"]
+    dealt = dealt.withColumn("own", own).withColumn("other", F.explode(met))
+    dealt = dealt.select("label", "n", *cell, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "guest", "node", "copies", "e")
+
+    def meet(t: pa.Table) -> pa.Table:
+        """Link counts of a task's vectors and a forest over their links."""
+        n, i, j = (t.column(c)[0].as_py() for c in ("n", "i", "j"))
+        node, copies, own, guest = (t.column(c).to_numpy() for c in ("node", "copies", "own", "guest"))
+        u = unit(t.column("e").combine_chunks(), n)
+        first = np.flatnonzero((own == i) & ~guest) if i == j else np.flatnonzero(own == i)
+        second = np.flatnonzero(guest) if i == j else np.flatnonzero(own == j)
+        count, root = np.zeros(len(node), np.int64), np.arange(len(node))
+        turn = axes if n == dim else None
+        a = Block(u[first], turn) if len(first) else None
+        b = Block(u[second], turn) if len(second) else None
+        for x, y, xs, ys in [(a, a, first, first)] * (i == j) + [(a, b, first, second)]:
+            if x is None or y is None:
                 continue
-            k = batch.column("key").to_numpy()
-            cut = [0, *(np.flatnonzero(np.diff(k)) + 1).tolist(), len(k)]
-            side, p = batch.column("side").to_numpy(), batch.column("p").flatten().to_numpy().reshape(-1, dim)
-            node, copies = batch.column("node").to_numpy(), batch.column("copies").to_numpy()
-            for lo, hi in zip(cut, cut[1:]):
-                now = tuple(str(batch.column(c)[lo].as_py()) if c in ("label", "to", "from") else batch.column(c)[lo].as_py() for c in names)
-                if now != key:
-                    if key is not None and (out := done()) is not None:
-                        yield out
-                    key, held = now, {0: [], 1: []}
-                for s in (0, 1):
-                    if (at := np.flatnonzero(side[lo:hi] == s) + lo).size:
-                        held[s].append({"node": node[at], "copies": copies[at], "p": p[at]})
-        if key is not None and (out := done()) is not None:
-            yield out
-
-    columns = ["label", "to", "own", "from", "i", "j"]
-    tasks = tasks.withColumn("key", F.xxhash64(*columns))
-    dealt = tasks.repartition(partitions(spark), "key").sortWithinPartitions("key", *columns, "side", "node")
-    found = stash(dealt.mapInArrow(run, "node long, links long, root long"), "tiles")
+            for s, z in x.pairs(y, threshold):
+                s, z = xs[s], ys[z]
+                np.add.at(count, s, copies[z])
+                np.add.at(count, z, copies[s])
+                root = join_roots(root, s, z)
+        at = np.flatnonzero(count > 0)
+        return pa.table({"node": node[at], "links": count[at], "root": node[root[at]]})
+
+    found = dealt.repartition(partitions(spark), *task).groupBy(*task).applyInArrow(meet, "node long, links long, root long")
+    found = stash(found, "tiles")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     groups = components(found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
-    nodes = distinct.select("node", "label", "v", "least", "copies").join(links, "node", "left").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    nodes = distinct.select("node", *same, "least", "copies").join(links, "node", "left").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     nodes = stash(nodes, "nodes")
     smallest = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
-    nodes = nodes.join(smallest, "component").select(F.col("label").alias("l"), F.col("v").alias("w"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
-    good = rows.where("good").join(nodes, (F.col("label") == F.col("l")) & (F.col("v") == F.col("w"))).select("vec_id", "label", "n_links", "component_id")
+    nodes = nodes.join(smallest, "component").select(*same, (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+    rows = rows.drop("e")
+    linked = rows.where("good").join(nodes, same).select("vec_id", "label", "n_links", "component_id")
     alone = rows.where("not good").select("vec_id", "label", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return good.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 def op8_embedding_dedup(spark, sf_dir: str) -> DataFrame:
