@@ -7,13 +7,13 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
-import xxhash
 
 import corpus_pipeline
 from lodestrata.llm import toxicity
 from lodestrata.llm.tokenizing import tokenizer_path
-from lodestrata.llm.lines import CUT, LONG, op3_line_dedup
+from lodestrata.llm.lines import op3_line_dedup
 from test_contracts import WORD, fingerprint, ids_of, reach
+from test_passages import plain
 
 SF = "/root/testdata/sf0.001"
 
@@ -25,39 +25,10 @@ def plain_toxicity(docs):
     return [d for d in docs if lexicon.score(d[1]) < 0.5]
 
 
-def spark_hash(*longs):
-    h = 42
-    for x in longs:
-        if x is not None:
-            h = xxhash.xxh64_intdigest(x.to_bytes(8, "little"), h)
-    return h - (1 << 64) if h >> 63 else h
-
-
 def without_repeats(docs):
     """(what is left of the text, was anything removed) of each document."""
-    cut = {}
-    for d in docs:
-        cut[d[0]] = [(i, x, xxhash.xxh64_intdigest(x.encode(), 42)) for i, x in enumerate(d[1].split("\n")) if WORD.search(x)]
-    n = Counter(h for ls in cut.values() for _, _, h in ls)
-    chunks = defaultdict(list)
-    for d in docs:
-        shared = [x for x in cut[d[0]] if n[x[2]] > 1]
-        hit = [spark_hash(x[2], shared[k - 1][2] if k else None) % CUT == 0 for k, x in enumerate(shared)]
-        joined = [bool(k) and shared[k - 1][0] == x[0] - 1 and n[shared[k - 1][2]] == n[x[2]] for k, x in enumerate(shared)] + [False]
-        runs = []
-        for k, x in enumerate(shared):
-            second = k == 0 or not joined[k - 1]
-            if not joined[k] or (hit[k] and not (k and hit[k - 1]) and joined[k + 1] and not second):
-                runs.append([])
-            runs[-1].append(x)
-        for r in runs:
-            if len(r) > 1 or sum(len(WORD.findall(x[1])) for x in r) >= LONG:
-                chunks[tuple(x[1] for x in r)].append((d[0], r[0][0], len(r)))
-    gone = defaultdict(set)
-    for places in chunks.values():
-        for doc, first, k in sorted(places)[1:]:
-            gone[doc] |= set(range(first, first + k))
-    return {d[0]: ("\n".join(x for i, x in enumerate(d[1].split("\n")) if i not in gone[d[0]]), bool(gone[d[0]])) for d in docs}
+    left = plain([(d[0], d[1]) for d in docs])
+    return {d[0]: (left[d[0]], left[d[0]] != d[1]) for d in docs}
 
 
 def plain_lines(docs):
@@ -86,13 +57,13 @@ def rows_of(spark, path):
 def test_stages(spark, tmp_path):
     docs = duckdb.sql(f"select doc_id, text, lang, source from '{SF}/documents.parquet' order by doc_id").fetchall()
     held, path = spark.read.parquet(f"{SF}/documents.parquet"), ""
-    plain = {"toxicity": plain_toxicity, "line_dedup": plain_lines, "simhash_dedup": plain_simhash}
+    stages = {"toxicity": plain_toxicity, "line_dedup": plain_lines, "simhash_dedup": plain_simhash}
     for name, stage in corpus_pipeline.STAGES:
         path = str(tmp_path / name)
         stage(spark, held, SF).write.parquet(path)
         held = spark.read.parquet(path)
-        if name in plain:
-            docs = plain[name](docs)
+        if name in stages:
+            docs = stages[name](docs)
             assert list(rows_of(spark, path)) == docs, name
         elif name == "mixing":
             mixed = list(rows_of(spark, path))
@@ -103,7 +74,8 @@ def test_stages(spark, tmp_path):
             taken, times = defaultdict(int), Counter(m[0] for m in mixed)
             for m in mixed:
                 taken[m[3]] += len(WORD.findall(m[1]))
-                assert m[1] == whole[m[0]][1] or WORD.findall(whole[m[0]][1])[: len(WORD.findall(m[1]))] == m[1].split(" ")
+                n = len(WORD.findall(m[1]))
+                assert m[1] == whole[m[0]][1] or n and m[1] == whole[m[0]][1][: [x.end() for x in WORD.finditer(whole[m[0]][1])][n - 1]]
             assert sum(taken.values()) == pytest.approx(1.5 * sum(size.values()), abs=len(size)) and max(times.values()) <= 2
             docs = mixed
     tokenizer_file = tokenizer_path()
