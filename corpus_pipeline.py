@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.llm import lines, mixing, packing, simhash, toxicity
@@ -10,13 +10,17 @@ from lodestrata.llm.common import WORD, fresh, new_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the learned lexicon scores under 0.5."""
+    """Documents that the learned lexicon scores under 0.5, all columns and repeated rows. Null or empty text stays unless most
+    texts are toxic; without labels every document stays. No rows: none.
+    """
     lexicon = toxicity.train(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.drop_toxic(docs, lexicon)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the chunks that stand elsewhere before; one of which nothing is left goes."""
+    """Documents without the chunks that stand elsewhere before; one of which nothing is left goes. Null text stays null;
+    equal rows are one place, so that all of them keep or lose the same lines. No rows: none.
+    """
     out, left, chunks, _ = lines.dedup_lines(docs)
     out = out.where((F.col(chunks) == 0) | F.col(left).rlike(WORD))
     return out.select(*[_changed(c, docs, F.col(left), F.col(chunks) > 0) for c in docs.columns])
@@ -30,33 +34,37 @@ def _changed(c: str, docs: DataFrame, text: Column, changed: Column) -> Column:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near copies; see simhash.keep_one for nulls, ties and repeated rows. No rows: none."""
     return simhash.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: whole for each epoch, and its first words where the budget ends.
+    """Each document as often as the mix takes it: whole for each epoch, and up to its last word taken where the budget ends.
 
-    A document that the mix doesn't take goes; one without words stays once, since it costs no budget.
+    A document that the mix doesn't take goes; one without words stays once, since it costs no budget. A null source is one
+    of its own; rows alike are taken one by one. Texts are neither moved nor read twice, unless a budget ends within a
+    group of equal rows. No rows: none.
     """
-    d, s, n, shares, share, own, h, got = fresh(docs, "__d", "__s", "__n", "__shares", "__share", "__own", "__h", "__text")
-    plan = mixing.mixing_plan(docs).select(F.col("doc_id").alias(d), F.col("source").alias(s), F.col("size").alias(n), "epochs", "part")
-    # rows alike in id, source and size get their shares by number
-    plan = plan.groupBy(d, s, n).agg(F.array_sort(F.collect_list(F.struct("epochs", "part"))).alias(shares))
-    sized = docs.withColumn(own, mixing.word_count(F.col("text"))).withColumn(h, F.xxhash64("text"))
-    joined = sized.join(plan, F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & F.col("source").eqNullSafe(F.col(s)) & (F.col(own) == F.col(n)))
-    once = joined.where(F.size(shares) == 1).withColumn(share, F.col(shares)[0])
-    number = F.row_number().over(Window.partitionBy(d, s, n).orderBy(h))
-    rows = once.unionByName(joined.where(F.size(shares) > 1).withColumn(share, F.element_at(shares, number)))
-    epochs, part, size, text = F.col(share)["epochs"].cast("int"), F.col(share)["part"].cast("int"), F.col(n), F.col("text")
-    whole = F.array_repeat(text, F.when(size == 0, 1).otherwise(epochs))
-    first = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), 1, F.greatest(part, F.lit(0))), " ")
-    cut = F.when(part >= size, text).otherwise(first)
-    out = rows.withColumn(got, F.explode(F.when((part > 0) & (size > 0), F.concat(whole, F.array(cut))).otherwise(whole)))
-    return out.select(*[_changed(c, docs, F.col(got), (part > 0) & (part < size) & (F.col(got) != text)) for c in docs.columns])
+    rows, n, epochs, part = mixing.with_shares(docs)
+    (got,) = fresh(rows, "__text")
+    text, size, part = F.col("text"), F.col(n), F.col(part)
+    whole = F.array_repeat(text, F.when(size == 0, 1).otherwise(F.col(epochs)).cast("int"))
+    cut = F.when(part >= size, text).otherwise(_first_words(text, part))
+    rows = rows.withColumn(got, F.explode(F.when((part > 0) & (size > 0), F.concat(whole, F.array(cut))).otherwise(whole)))
+    return rows.select(*[_changed(c, docs, F.col(got), (part > 0) & (part < size) & (F.col(got) != text)) for c in docs.columns])
+
+
+def _first_words(text: Column, n: Column) -> Column:
+    """The text up to the end of its n-th word."""
+    pairs = F.arrays_zip(F.split(text, WORD, -1).alias("gap"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("word"))
+    chars = F.aggregate(F.slice(pairs, 1, F.greatest(n, F.lit(0)).cast("int")), F.lit(0), lambda at, x: at + F.length(x["gap"]) + F.length(x["word"]))
+    return F.substring(text, F.lit(1), chars)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packed pieces of the documents, each with its token ids."""
+    """Packed pieces of the documents, each with its token ids. Null or empty text: a piece of the end id; repeated rows:
+    repeated pieces; columns but doc_id and text are not read. No rows: none.
+    """
     return packing.pack_tokens(docs)
 
 

@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word, everywhere in this subpackage.
@@ -65,6 +65,20 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def running(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """df and, by name, sums over all rows before each in an order without ties: ranges, then within them; no task has all rows."""
+    spark, (part,) = df.sparkSession, fresh(df, "__part")
+    dealt = stash(df.repartitionByRange(partitions(spark), *order).withColumn(part, F.spark_partition_id()), "ranges")
+    start = Window.unboundedPreceding
+    earlier = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(start, -1)), F.lit(0))
+    # a row for each range, of which there are as many as tasks
+    parts = dealt.groupBy(part).agg(*[F.sum(c).alias(k) for k, c in sums.items()])
+    parts = parts.select(F.col(part).alias("__of"), *[earlier(k, Window.orderBy(part)).alias(f"__{k}") for k in sums])
+    within = Window.partitionBy(part).orderBy(*order)
+    out = dealt.join(parts, F.col(part) == F.col("__of"))
+    return out.select(*df.columns, *[(earlier(c, within) + F.col(f"__{k}")).alias(k) for k, c in sums.items()])
+
+
 def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
