@@ -5,20 +5,20 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import by_batch
+from lodestrata.llm.common import by_batch, stash
 from lodestrata.llm.labelled import held_out, sample
 
 #: Look-alikes of Latin letters in Cyrillic and Greek, then full-width forms by rule, then digits and signs.
 LOOKALIKES = dict(zip("аеорсухіјѕԁһкмтвнgɡαεορτυικν", "aeopcyxijsdhkmtbhggaeoptuikv"))
 SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "i", "l": "i"}
-#: Phrases in which a term is harmless; training adds those that it finds.
-EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "rodeo clown", "stupid simple")
 
 
 def _table() -> dict[int, str]:
@@ -43,7 +43,7 @@ class Lexicon:
     """Terms with weights, exception phrases, and the logistic scale of a document's score."""
 
     terms: dict[str, float]
-    exceptions: tuple[str, ...] = EXCEPTIONS
+    exceptions: tuple[str, ...] = ()
     bias: float = -2.0
     slope: float = 4.0
     _automaton: object = field(default=None, repr=False, compare=False)
@@ -72,13 +72,23 @@ class Lexicon:
         a = self.automaton()
         if not text or not len(a):
             return []
-        found = []
+        found, harmless = [], []
         for end, (n, weight, stem) in a.iter(fold(text)):
             start, end = end - n + 1, end + 1
             if (start == 0 or not text[start - 1].isalnum()) and (stem or end == len(text) or not text[end].isalnum()):
-                found.append((start, end, weight))
-        harmless = [(s, e) for s, e, w in found if w == 0]
-        return [(s, e, w) for s, e, w in found if w > 0 and not any(a <= s and e <= b for a, b in harmless)]
+                (found if weight > 0 else harmless).append((start, end, weight))
+        if not harmless:
+            return found
+        # both by start: a match is within a phrase if one that starts no later ends no sooner
+        found.sort()
+        harmless.sort()
+        out, k, reach = [], 0, 0
+        for start, end, weight in found:
+            while k < len(harmless) and harmless[k][0] <= start:
+                reach, k = max(reach, harmless[k][1]), k + 1
+            if end > reach:
+                out.append((start, end, weight))
+        return out
 
     def mass(self, text: str) -> float:
         """Weight of all matches, normalised by length: of two texts with the same matches, the longer has a little less."""
@@ -89,6 +99,9 @@ class Lexicon:
         z = self.bias + self.slope * self.mass(text or "")
         return 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, z))))
 
+    def scores(self, texts: pa.Array) -> np.ndarray:
+        return np.array([self.score(t) for t in texts.to_pylist()], np.float64)
+
 
 _TOKEN = re.compile(r"[^\W\d_][^\W_]*")
 
@@ -105,61 +118,85 @@ def _terms(words: list[str]):
             yield from (f"{w[:i]}*" for i in range(4, min(8, len(w))))
 
 
-def learn(rows: list[tuple[str | None, int]], least: int = 4, least_ratio: float = 8.0, least_gain: float = 14.0) -> Lexicon:
-    """A lexicon of words and stems (written with a final *) from (text, label) rows.
+#: A term of fewer toxic texts is not followed; least ratio of rates and least log-likelihood gain of one that is taken.
+LEAST, RATIO, GAIN = 4, 8.0, 14.0
 
-    A term counts once for each word that stands before it and at most once a text, whichever is less: what a group of
-    copies, or one long text, repeats has few of either, while an abusive word stands anywhere. Terms whose rate in
-    toxic texts is at least `least_ratio` times that in others, with a log-likelihood gain of `least_gain`, are taken
-    best first; one that another covers is left out. Weights are log ratios over the strongest. No rows of
-    either label: an empty lexicon, which scores every text alike.
-    """
-    texts = list(dict.fromkeys((t or "", int(bool(y))) for t, y in rows))
-    n = [sum(y == k for _, y in texts) for k in (0, 1)]
-    # only terms of several toxic texts are followed: what is kept of the others is a count
-    spread = Counter(t for text, y in texts if y for t in set(_terms(_words(text))))
-    wanted = {t for t, k in spread.items() if k >= least}
-    del spread
-    before, inside = (defaultdict(set), defaultdict(set)), (defaultdict(int), defaultdict(int))
-    for text, y in texts:
+
+def spread(texts: Iterable[str]) -> Counter:
+    """Number of texts that each word and stem is in."""
+    return Counter(t for text in texts for t in set(_terms(_words(text))))
+
+
+def contexts(rows: Iterable[tuple[str, int]], wanted: set[str]) -> dict[tuple[str, int], tuple[set[str], int]]:
+    """(words that stand before it, number of texts) of each wanted term, by label."""
+    before, inside = defaultdict(set), Counter()
+    for text, y in rows:
         words, own = _words(text), set()
         for left, w in zip(["", *words], words):
             for term in _terms([w]):
                 if term in wanted:
-                    before[y][term].add(left)
+                    before[term, y].add(left)
                     own.add(term)
-        for term in own:
-            inside[y][term] += 1
-    if not n[0] or not n[1]:
-        return Lexicon({})
+        inside.update((term, y) for term in own)
+    return {k: (before[k], n) for k, n in inside.items()}
+
+
+def choose(counts: dict[str, tuple[int, int]], n: tuple[int, int]) -> dict[str, float]:
+    """Weights of terms from (count in other, in toxic) texts, and the number of both kinds of texts."""
     share, gain, ratio = n[1] / (n[0] + n[1]), {}, {}
-    for t in wanted:
-        a, b = (min(len(before[y].get(t, ())), inside[y].get(t, 0)) for y in (1, 0))
-        if a < least:
+    for t, (b, a) in counts.items():
+        if a < LEAST:
             continue
         r = (a / n[1]) / ((b + 0.5) / n[0])
         g = a * math.log(a / (a + b) / share) + (b * math.log(b / (a + b) / (1 - share)) if b else 0.0)
-        if r >= least_ratio and g >= least_gain:
+        if r >= RATIO and g >= GAIN:
             gain[t], ratio[t] = g, r
     kept: dict[str, float] = {}
     for t in sorted(gain, key=lambda t: (-gain[t] * (0.95 + 0.005 * len(t) if t[-1] == "*" else 1.0), t)):
         stem = t.rstrip("*")
         if not any(stem.startswith(o[:-1]) if o[-1] == "*" else t[-1] == "*" and o.startswith(stem) for o in kept) and not (t[-1] == "*" and any(o.rstrip("*").startswith(stem) for o in kept)):
             kept[t] = ratio[t]
-    if not kept:
+    top = max(map(math.log, kept.values()), default=1.0)
+    return {w: round(math.log(r) / top, 6) for w, r in sorted(kept.items())}
+
+
+def phrases(lexicon: Lexicon, text: str) -> Counter:
+    """Each matched word with its neighbour before and after, once a text: what may turn out to be harmless."""
+    out = set()
+    for start, end, _ in lexicon.hits(text):
+        lo, hi = max(0, start - 24), end + 24
+        words = [(w.start() + lo, w.end() + lo, w.group().lower()) for w in _TOKEN.finditer(text[lo:hi]) if (lo == 0 or w.start()) and (hi >= len(text) or w.end() < hi - lo)]
+        for (a, b, x), (c, d, y) in zip(words, words[1:]):
+            if c - b == 1 and (a <= start < b or c <= start < d):
+                out.add(f"{x} {y}")
+    return Counter(out)
+
+
+def harmless(other: Counter, toxic: Counter) -> tuple[str, ...]:
+    """Phrases that stand mostly in texts that aren't toxic."""
+    return tuple(sorted(p for p, k in other.items() if k >= 3 and k > 3 * toxic.get(p, 0)))
+
+
+def learn(rows: list[tuple[str | None, int]]) -> Lexicon:
+    """A lexicon of words and stems (written with a final *) from (text, label) rows.
+
+    A term counts once for each word that stands before it and at most once a text, whichever is less: what a group of
+    copies, or one long text, repeats has few of either, while an abusive word stands anywhere. Terms whose rate in
+    toxic texts is at least RATIO times that in others, with a log-likelihood gain of GAIN, are taken best first; one that
+    another covers is left out. Weights are log ratios over the strongest. A taken word with a neighbour is an exception
+    where the two stand mostly in other texts. No rows of either label: an empty lexicon, which scores every text alike.
+    """
+    texts = list(dict.fromkeys((t or "", int(bool(y))) for t, y in rows))
+    n = tuple(sum(y == k for _, y in texts) for k in (0, 1))
+    wanted = {t for t, k in spread(t for t, y in texts if y).items() if k >= LEAST}
+    found = {k: min(len(left), texts_) for k, (left, texts_) in contexts(texts, wanted).items()}
+    terms = choose({t: (found.get((t, 0), 0), found.get((t, 1), 0)) for t in wanted}, n) if all(n) else {}
+    if not terms:
         return Lexicon({})
-    top = max(map(math.log, kept.values()))
-    lexicon = Lexicon({w: round(math.log(r) / top, 6) for w, r in sorted(kept.items())})
-    pairs: tuple[dict, dict] = (defaultdict(int), defaultdict(int))
-    # phrases of a term and its neighbour that stand mostly in other texts are harmless
-    for text, y in texts:
-        for (_, _, _), m in ((h, text[max(0, h[0] - 20) : h[1] + 20]) for h in lexicon.hits(text)):
-            words = [w.group().lower() for w in _TOKEN.finditer(m)]
-            for a, b in zip(words, words[1:]):
-                if a in kept or b in kept:
-                    pairs[y][f"{a} {b}"] += 1
-    harmless = tuple(sorted(p for p, k in pairs[0].items() if k >= 3 and k > 3 * pairs[1].get(p, 0)))
-    lexicon = Lexicon(lexicon.terms, EXCEPTIONS + harmless)
+    lexicon, pairs = Lexicon(terms), (Counter(), Counter())
+    for t, y in texts:
+        pairs[y].update(phrases(lexicon, t))
+    lexicon = Lexicon(terms, harmless(*pairs))
     lexicon.bias, lexicon.slope = _logistic([lexicon.mass(t) for t, _ in texts], [y for _, y in texts])
     return lexicon
 
@@ -188,24 +225,69 @@ SAMPLE = 5000
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Lexicon:
-    return learn([(r[0], r[1]) for r in sample(docs, labels, "toxic", most).collect()])
+    """What learn makes of at most `most` labelled rows outside the held-out fold: a bound on the work, whatever the corpus.
 
+    Texts are counted where they are read. The driver gets counts of terms that may be taken and of phrases, and a number
+    for each labelled row; tasks get the terms that are in enough toxic texts.
+    """
+    rows = stash(sample(docs, labels, "toxic", most).select(F.coalesce("text", F.lit("")).alias("text"), "label").distinct(), "labelled")
+    n = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}
+    n = (n.get(0, 0), n.get(1, 0))
+    if not all(n):
+        return Lexicon({})
 
-def score_toxicity(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """docs' doc_id and held_out, score, predicted, n_hits. Null or empty text: the score of no match. Rows are not moved."""
+    def each(f, schema: str, of: DataFrame = rows) -> DataFrame:
+        """Rows that f makes of a batch's texts and labels."""
+        fields = [c.split()[0] for c in schema.split(", ")]
+
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            made = list(f(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            return pa.RecordBatch.from_pydict(dict(zip(fields, map(list, zip(*made)))) if made else {c: [] for c in fields}, kinds)
+
+        kinds = pa.schema([(c, {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64()}[c_type]) for c, c_type in (x.split() for x in schema.split(", "))])
+        return by_batch(of.select("text", "label"), run, schema)
+
+    toxic = each(lambda texts, _: spread(texts).items(), "term string, n long", rows.where("label = 1"))
+    wanted = docs.sparkSession.sparkContext.broadcast({r[0] for r in toxic.groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST).collect()})
+    found = stash(each(lambda texts, ys: ((t, y, left, n) for (t, y), (lefts, n) in contexts(zip(texts, ys), wanted.value).items() for left, n in zip(sorted(lefts), [n] + [0] * len(lefts))), "term string, label int, before string, n long"), "contexts")
+    counts = found.groupBy("term", "label").agg(F.least(F.count_distinct("before"), F.sum("n")).alias("n"))
+    counts = counts.groupBy("term").agg(*[F.coalesce(F.sum(F.when(F.col("label") == y, F.col("n"))), F.lit(0)).alias(f"n{y}") for y in (0, 1)])
+    # those whose rate is high enough
+    counts = counts.where((F.col("n1") >= LEAST) & (F.col("n1") / n[1] >= RATIO * (F.col("n0") + 0.5) / n[0] * (1 - 1e-9)))
+    terms = choose({r[0]: (r[1], r[2]) for r in counts.collect()}, n)
+    if not terms:
+        return Lexicon({})
+    plain = Lexicon(terms)
+    pairs = each(lambda texts, ys: ((p, y, 1) for t, y in zip(texts, ys) for p in phrases(plain, t)), "phrase string, label int, n long")
+    pairs = {(r[0], r[1]): r[2] for r in pairs.groupBy("phrase", "label").agg(F.sum("n").alias("n")).where("n >= 3 or label = 1").collect()}
+    lexicon = Lexicon(terms, harmless(*[Counter({p: k for (p, l), k in pairs.items() if l == y}) for y in (0, 1)]))
+    mass = sorted(map(tuple, each(lambda texts, ys: ((lexicon.mass(t), y) for t, y in zip(texts, ys)), "mass double, label int").collect()))
+    lexicon.bias, lexicon.slope = _logistic([m for m, _ in mass], [y for _, y in mass])
+    return lexicon
+
+
+def score_toxicity(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.5) -> DataFrame:
+    """docs' doc_id and held_out, score, predicted. Null or empty text: the score of no match. Rows are not moved; repeated
+    ones stay; other columns are not read. No rows: none.
+    """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = batch.column(2).to_pylist()
-        scores = [lexicon.score(t) for t in texts]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
+        scores = lexicon.scores(batch.column(2))
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     return by_batch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text"), run, "doc_id long, held_out boolean, score double, predicted int")
 
 
-def drop_toxic(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """The rows of docs, all columns, with a score under 0.5."""
-    judge = F.udf(returnType="boolean", useArrow=True)(lambda t: lexicon.score(t) < 0.5)
-    return docs.where(judge(F.col("text")))
+def drop_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs, all columns, with a score under the threshold. Texts alone go to Python, in batches. Null or empty
+    text: the score of no match. Repeated rows fare alike. No rows: none.
+    """
+
+    @F.arrow_udf("boolean")
+    def harmless_text(texts: pa.Array) -> pa.Array:
+        return pa.array(lexicon.scores(texts) < threshold)
+
+    return docs.where(harmless_text(F.col("text")))
 
 
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:
