@@ -201,7 +201,7 @@ def test_folding(text, toxic):
 
 
 def test_exception_phrases():
-    lexicon = toxicity.Lexicon({"trash": 1.0}, bias=-2.0, slope=5.0)
+    lexicon = toxicity.Lexicon({"trash": 1.0}, ("trash can", "trash bin"), bias=-2.0, slope=5.0)
     assert lexicon.score("put it in the trash can") < 0.5 < lexicon.score("you are trash")
 
 
