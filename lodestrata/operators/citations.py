@@ -60,7 +60,7 @@ def resolve_citations(cited: DataFrame, context: DataFrame, owner: Column, name:
     """
     first = Window.partitionBy("answer_id", "entity_type", "display_id").orderBy("start")
     once = cited.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n")
-    joined = once.join(F.broadcast(context.withColumn("known", F.lit(True))), ["entity_type", "display_id"], "left")
+    joined = once.join(context.withColumn("known", F.lit(True)), ["entity_type", "display_id"], "left")
     valid = (F.col("display_id") != "none") & F.col("known").isNotNull()
     kind = F.col("entity_type")
     link = (

@@ -89,13 +89,13 @@ def expand_sql(edges_view: str, seeds_view: str, repo_id: int, max_depth: int =
 def rerank_expansion(candidates: DataFrame, embeddings: DataFrame, query, k: int) -> DataFrame:
     """Candidates by cosine to the query; those without an embedding go."""
     keys = ["entity_type", "entity_id"]
-    rows = embeddings.join(F.broadcast(candidates.select(*keys)), keys, "left_semi")
+    rows = embeddings.join(candidates.select(*keys), keys, "left_semi")
     return rows.select(*keys, cosine(F.col("embedding"), vector(query)).alias("score")).orderBy(F.desc("score"), *keys).limit(k)
 
 
 def relations(edges: DataFrame, context: DataFrame) -> DataFrame:
     """(entity_type, display_id, phrases): what the context's rows (entity_type, entity_id, display_id) say of each other."""
-    end = lambda side: F.broadcast(context.select(F.col("entity_type").alias(f"{side}_type"), F.col("entity_id").alias(f"{side}_id"), F.col("display_id").alias(f"{side}_d")))
+    end = lambda side: context.select(F.col("entity_type").alias(f"{side}_type"), F.col("entity_id").alias(f"{side}_id"), F.col("display_id").alias(f"{side}_d"))
     both = edges.join(end("source"), ["source_type", "source_id"]).join(end("target"), ["target_type", "target_id"])
     token = lambda side: F.concat(F.lit("["), F.col(f"{side}_type"), F.lit(":"), F.col(f"{side}_d"), F.lit("]"))
     kind, source, target = F.col("edge_type"), token("source"), token("target")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +26,11 @@ def of_types(df: DataFrame, types: set[str] | None) -> DataFrame:
     return df.where(F.col("entity_type").isin(*sorted(types))) if types else df.limit(0)
 
 
+def of_repo(df: DataFrame, repo_id: int | None) -> DataFrame:
+    """None: any repository."""
+    return df if repo_id is None else df.where(F.col("repo_id") == repo_id)
+
+
 def check_dimension(embeddings: DataFrame, dim: int) -> None:
     """Refuse embeddings of another size; one row is read."""
     wrong = embeddings.where(F.size("embedding") != dim).limit(1).select(F.size("embedding")).first()
@@ -31,9 +38,12 @@ def check_dimension(embeddings: DataFrame, dim: int) -> None:
         raise ValueError(f"stored dimension {wrong[0]}, expected {dim}")
 
 
-def vector_topk(embeddings: DataFrame, query, k: int, types: set[str] | None = None, live: DataFrame | None = None) -> DataFrame:
-    """The k nearest by cosine, exactly. live: (entity_type, entity_id) that still exist; others don't count towards k."""
-    rows = of_types(embeddings, types)
+def vector_topk(embeddings: DataFrame, query, k: int, types: set[str] | None = None, live: DataFrame | None = None, repo_id: int | None = None) -> DataFrame:
+    """The k nearest by cosine, exactly. live: (entity_type, entity_id) that still exist; others don't count towards k.
+
+    repo_id: only embeddings of this repository.
+    """
+    rows = of_repo(of_types(embeddings, types), repo_id)
     if live is not None:
         rows = rows.join(live.select(*KEYS), KEYS, "left_semi")
     sim = cosine(F.col("embedding"), vector(query))
@@ -47,6 +57,8 @@ def _weight(letter: Column) -> Column:
 def matches(postings: DataFrame, lexemes: list[str]) -> DataFrame:
     """Postings of the entities that hold every lexeme. The filter on lexemes comes first, so a scan sorted by it skips files."""
     hit = postings.where(F.col("lexeme").isin(lexemes))
+    if len(lexemes) == 1:
+        return hit
     whole = hit.groupBy(*KEYS).agg(F.count_distinct("lexeme").alias("n")).where(F.col("n") == len(lexemes))
     return hit.join(whole.select(*KEYS), KEYS, "left_semi")
 
@@ -59,7 +71,9 @@ def cover_density(postings: DataFrame, lexemes: list[str]) -> DataFrame:
     """
     hit = matches(postings, lexemes).withColumn("w", _weight(F.col("weight")))
     if len(lexemes) == 1:
-        return hit.groupBy(*KEYS).agg(F.sum("w").alias("rank"))
+        # by counts of each weight, so that the sum doesn't depend on the order of rows
+        each = [F.count_if(F.col("weight") == letter) * F.lit(w) for letter, w in WEIGHTS.items()]
+        return hit.groupBy(*KEYS).agg(reduce(lambda a, b: a + b, each).alias("rank"))
     here = Window.partitionBy(*KEYS).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     seen = {f"_{i}": F.max(F.when(F.col("lexeme") == x, F.struct("pos", "w"))).over(here) for i, x in enumerate(lexemes)}
     last = hit.withColumns(seen)
@@ -72,31 +86,37 @@ def cover_density(postings: DataFrame, lexemes: list[str]) -> DataFrame:
     return covers.groupBy(*KEYS).agg(F.sum(len(lexemes) / F.col("c.inv") / (1 + noise)).alias("rank"))
 
 
-def okapi(postings: DataFrame, lexemes: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """BM25 as published (Robertson and Zaragoza 2009), over entities that hold every lexeme."""
-    lengths = postings.groupBy(*KEYS).agg(F.count("*").alias("len"))
+def okapi(postings: DataFrame, lexemes: list[str], k1: float = 1.2, b: float = 0.75, lengths: DataFrame | None = None) -> DataFrame:
+    """BM25 as published (Robertson and Zaragoza 2009), over entities that hold every lexeme.
+
+    lengths: keys and `len`, the number of an entity's postings, where it is kept; else it is counted from all postings.
+    """
+    lengths = postings.groupBy(*KEYS).agg(F.count("*").alias("len")) if lengths is None else lengths
     n, mean = lengths.agg(F.count("*"), F.avg("len")).first()
     hit = postings.where(F.col("lexeme").isin(lexemes)).groupBy(*KEYS, "lexeme").agg(F.count("*").alias("tf"))
     df = hit.groupBy("lexeme").agg(F.count("*").alias("df"))
+    # a row for each of the query's lexemes
     scored = hit.join(F.broadcast(df), "lexeme").join(lengths, KEYS)
     idf = F.log((F.lit(float(n or 0)) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(float(mean or 1))))
     return scored.groupBy(*KEYS).agg(F.sum(part).alias("rank"), F.count("*").alias("n")).where(F.col("n") == len(lexemes)).drop("n")
 
 
-def lexical_topk(arms: dict[str, DataFrame], query: str, k: int, types: set[str] | None = None, scorer: str = "cover", norm: str = "saturate") -> DataFrame:
+def lexical_topk(arms: dict[str, DataFrame], query: str, k: int, types: set[str] | None = None, scorer: str = "cover", norm: str = "saturate", repo_id: int | None = None, lengths: DataFrame | None = None) -> DataFrame:
     """The k best of the union of typed arms (postings by entity type); arms of other types are never planned.
 
     norm: "saturate" is rank / (rank + 1), "none" the rank itself. A query without a searchable word finds nothing.
+    repo_id: only postings of this repository; ids of entities are unique within one. lengths: see okapi.
     """
     chosen = [df for t, df in arms.items() if types is None or t in types]
     lexemes = query_lexemes(query)
     if not chosen or not lexemes:
         return next(iter(arms.values())).select(*KEYS, F.lit(0.0).alias("score")).limit(0)
-    union = reduce(DataFrame.unionByName, chosen)
-    ranked = okapi(union, lexemes) if scorer == "bm25" else cover_density(union, lexemes)
+    union = of_repo(reduce(DataFrame.unionByName, chosen), repo_id)
+    ranked = okapi(union, lexemes, lengths=lengths) if scorer == "bm25" else cover_density(union, lexemes)
     score = F.col("rank") / (F.col("rank") + 1) if norm == "saturate" else F.col("rank")
-    return ranked.select(*KEYS, score.alias("score")).orderBy(F.desc("score"), *KEYS).limit(k)
+    # sums of the same parts in another order are no difference
+    return ranked.select(*KEYS, score.alias("score")).orderBy(F.desc(F.round("score", 12)), *KEYS).limit(k)
 
 
 def ranked(pointers: DataFrame) -> DataFrame:
@@ -119,9 +139,55 @@ def fused_topk(lists: dict[str, DataFrame], top: int, k: int = 60) -> DataFrame:
     return reciprocal_rank_fusion(lists, k).orderBy(F.desc("score"), "seen").limit(top)
 
 
-def hybrid_topk(embeddings: DataFrame, arms: dict[str, DataFrame], query: str, query_vector, k: int, types: set[str] | None = None, candidates: int = 50, rrf_k: int = 60) -> DataFrame:
+def hybrid_topk(embeddings: DataFrame, arms: dict[str, DataFrame], query: str, query_vector, k: int, types: set[str] | None = None, candidates: int = 50, rrf_k: int = 60, repo_id: int | None = None) -> DataFrame:
     """Both retrievers' candidates under the same filters, fused."""
-    return fused_topk({"vector": vector_topk(embeddings, query_vector, candidates, types), "bm25": lexical_topk(arms, query, candidates, types)}, k, rrf_k)
+    near = vector_topk(embeddings, query_vector, candidates, types, repo_id=repo_id)
+    found = lexical_topk(arms, query, candidates, types, repo_id=repo_id)
+    return fused_topk({"vector": near, "bm25": found}, k, rrf_k)
+
+
+def nearest(embeddings: DataFrame, queries: DataFrame, k: int, block: int = 2000) -> DataFrame:
+    """(q, vec_id, score, r) of the k nearest by cosine of each query (q, embedding) among embeddings (vec_id, embedding); ties by vec_id.
+
+    A query is not its own neighbour. Queries are taken a block at a time, a number that bounds what is broadcast; a task
+    keeps k rows for each query of a block, whatever it reads.
+    """
+    spark, n = embeddings.sparkSession, queries.count()
+    found = []
+    for at in range(max(1, -(-n // block))):
+        own = queries.where(F.pmod(F.xxhash64("q"), F.lit(max(1, -(-n // block)))) == at)
+        # some more than a block at times, by the hash
+        held = [(r[0], r[1]) for r in own.select("q", "embedding").collect()]
+        found.append(_nearest_block(spark, embeddings, held, k))
+    near = reduce(DataFrame.unionByName, found)
+    number = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
+    return near.withColumn("r", number).where(F.col("r") <= k)
+
+
+def _nearest_block(spark, embeddings: DataFrame, held: list, k: int) -> DataFrame:
+    q = np.array([i for i, _ in held], np.int64)
+    v = np.array([x for _, x in held], np.float64).reshape(len(held), -1)
+    shared = spark.sparkContext.broadcast((q, v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)))
+
+    def run(batches):
+        q, v = shared.value
+        best, ids = np.full((len(q), k), -np.inf), np.full((len(q), k), np.iinfo(np.int64).max)
+        for b in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024) if len(q)):
+            own = b.column(0).to_numpy()
+            e = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
+            s = v @ (e / np.maximum(np.linalg.norm(e, axis=1, keepdims=True), 1e-300)).T
+            s[q[:, None] == own[None]] = -np.inf
+            # rows among the k best of some query, with all that tie
+            least = np.maximum(best[:, -1:], np.partition(s, -k, axis=1)[:, -k:][:, :1]) if s.shape[1] > k else best[:, -1:]
+            some = (s >= least).any(axis=0)
+            s, own = s[:, some], own[some]
+            both, names = np.hstack((best, s)), np.hstack((ids, np.broadcast_to(own, s.shape)))
+            top = np.lexsort((names, -both))[:, :k]
+            best, ids = np.take_along_axis(both, top, 1), np.take_along_axis(names, top, 1)
+        i, j = np.nonzero(np.isfinite(best))
+        yield pa.RecordBatch.from_arrays([pa.array(q[i]), pa.array(ids[i, j]), pa.array(best[i, j])], names=["q", "vec_id", "score"])
+
+    return embeddings.where("embedding is not null").select(F.col("vec_id").cast("long"), "embedding").mapInArrow(run, "q long, vec_id long, score double")
 
 
 def keyword_scorer(keyword: str) -> Callable[[Column], Column]:
@@ -136,6 +202,7 @@ def reranked_topk(inner: DataFrame, texts: DataFrame, scorer: Callable[[Column],
     """
     first = inner.orderBy(F.desc("score"), *KEYS).limit(input_n)
     first = ranked(first).withColumnRenamed("rank", "inner_rank")
+    # at most input_n rows
     found = texts.select(*KEYS, "text").join(F.broadcast(first.select(*KEYS)), KEYS, "left_semi")
     scored = first.join(found, KEYS, "left").withColumn("rerank_score", scorer(F.coalesce("text", F.lit(""))))
     return scored.orderBy(F.desc("rerank_score"), "inner_rank").limit(k).drop("text")

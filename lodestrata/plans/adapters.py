@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestrata.functions.analyze import postings
 from lodestrata.functions.text import basename, first_line
 from lodestrata.operators.search import ENTITY_TYPES
+from lodestrata.plans.ingest import write_postings
+from lodestrata.schemas import TABLES
+from lodestrata.tables import fingerprint, kept
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,10 +47,27 @@ def arms(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     }
 
 
+def index(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(postings by entity type, lengths) of the search documents: written when first asked for, and again when a file changes."""
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def make():
+        each = [postings(df, {"a": "A", "b": "B", "d": "D"}) for df in arms(spark, sf_dir).values()]
+        rows = reduce(DataFrame.unionByName, each).withColumn("repo_id", F.lit(0).cast("long"))
+        lengths = rows.groupBy("repo_id", "entity_type", "entity_id").agg(F.count("*").alias("len"))
+        return {"posting": (rows, lambda df, path: write_postings(df, path, partitions)), "length": (lengths, lambda df, path: df.write.parquet(path))}
+
+    sources = [f"{sf_dir}/{t}.parquet" for t in ("documents", "conversations", "pages", "benchmark")]
+    held = kept(spark, f"index-{fingerprint(spark, *sources)}", {"posting": TABLES["posting"], "length": "repo_id bigint, entity_type string, entity_id bigint, len bigint"}, make)
+    return {k: held["posting"].where(F.col("entity_type") == k) for k in ENTITY_TYPES}, held["length"]
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """part -> orders -> customer -> nation, in the shape of the entity graph."""
+    """part -> orders -> customer -> nation, and back from nation, in the shape of the entity graph."""
     line, orders, customer = (table(spark, sf_dir, n) for n in ("lineitem", "orders", "customer"))
     e = lambda df, st, s, tt, t, kind: df.select(F.lit(0).alias("repo_id"), F.lit(st).alias("source_type"), F.col(s).cast("long").alias("source_id"), F.lit(tt).alias("target_type"), F.col(t).cast("long").alias("target_id"), F.lit(kind).alias("edge_type"))
     a = e(line.select("l_partkey", "l_orderkey").distinct(), "chunk", "l_partkey", "commit", "l_orderkey", "introduced_by")
     b = e(orders, "commit", "o_orderkey", "pr", "o_custkey", "part_of")
-    return a.unionByName(b).unionByName(e(customer, "pr", "c_custkey", "issue", "c_nationkey", "references_issue"))
+    c = e(customer, "pr", "c_custkey", "issue", "c_nationkey", "references_issue")
+    d = e(customer.where("c_acctbal < 0"), "issue", "c_nationkey", "pr", "c_custkey", "closed_by")
+    return a.unionByName(b).unionByName(c).unionByName(d)

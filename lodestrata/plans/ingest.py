@@ -64,6 +64,15 @@ def embed_repo(texts: dict[str, DataFrame], store: str, dim: int = 384, embed: C
     replace_partitions(reduce(DataFrame.unionByName, rows), f"{store}/embedding", ["repo_id", "entity_type"])
 
 
+def write_postings(rows: DataFrame, path: str, files: int) -> None:
+    """Postings by repository and type, in order of lexeme: a search reads the few pages that hold its lexemes.
+
+    Ranges go by lexeme and entity, so that a frequent lexeme fills several files.
+    """
+    order = ["entity_type", "lexeme", "entity_id", "pos"]
+    rows.repartitionByRange(files, *order).sortWithinPartitions(*order).write.partitionBy("repo_id", "entity_type").parquet(path)
+
+
 def build_graph(chunks: DataFrame, files: DataFrame, blame: DataFrame, commits: DataFrame, prs: DataFrame, issues: DataFrame, stubs: Callable[[DataFrame], DataFrame] | None = None) -> dict[str, DataFrame]:
     """edges, commits (with stubs of those that blame names and history lacks) and issues (with what closed them).
 

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions import text as T
 from lodestrata.functions import vectors as V
-from lodestrata.functions.analyze import postings, query_lexemes
+from lodestrata.functions.analyze import STOP_WORDS, query_lexemes
 from lodestrata.operators import citations, graph, search
 from lodestrata.operators.chunking import chunk_files
 from lodestrata.plans import adapters as A
@@ -100,48 +101,63 @@ def hash_embed(spark, sf_dir):
     return e.select("item_id", F.size(F.filter("v", lambda x: x > 0)).alias("n_slots"), F.round(F.array_max("v"), 6).alias("largest"))
 
 
-def _postings(spark, sf_dir, *kinds, text=None):
-    """Postings by entity type: whole, or for one query's text."""
-    arms = A.arms(spark, sf_dir)
-    return {k: postings(arms[k], {"a": "A", "b": "B", "d": "D"}, query_lexemes(text) if text else None) for k in kinds or arms}
-
-
 DOC_POST = r"p AS (SELECT doc_id entity_id, unnest(regexp_extract_all(lower(source || ' ' || text), '[\p{L}\p{N}_]+')) w, generate_subscripts(regexp_extract_all(lower(source || ' ' || text), '[\p{L}\p{N}_]+'), 1) pos FROM documents)"
 TERM, TERM2 = "nding", "erth"
+STOPS = "(" + ", ".join(f"'{w}'" for w in STOP_WORDS) + ")"
 #: Words with the stems of the terms.
 NDING, ERTH, ND = "('nding', 'ndings', 'ndinge', 'ndinges', 'ndinged', 'ndinging')", "('erth', 'erths', 'erthe', 'erthes', 'erthed', 'erthing', 'erthness')", "('nd', 'nds')"
 
 
-@query(rf"WITH {DOC_POST}, r AS (SELECT entity_id, sum(CAST(0.1 AS DOUBLE)) rank FROM p WHERE w IN {NDING} GROUP BY entity_id) SELECT 'chunk' AS entity_type, entity_id, round(rank / (rank + 1), 6) AS score FROM r ORDER BY rank / (rank + 1) DESC, entity_id LIMIT 20")
+NDING_RANKS = f"{DOC_POST}, r AS (SELECT entity_id, count(*) * CAST(0.1 AS DOUBLE) rank FROM p WHERE w IN {NDING} GROUP BY entity_id)"
+
+
+@query(f"""WITH {NDING_RANKS} SELECT 'chunk' AS entity_type, entity_id, round(rank / (rank + 1), 6) AS score FROM r
+ORDER BY round(rank / (rank + 1), 12) DESC, entity_id LIMIT 20""")
 def fts_single_term(spark, sf_dir):
-    return rounded(search.lexical_topk(_postings(spark, sf_dir, "chunk", text=TERM), TERM, 20))
+    return rounded(search.lexical_topk(A.index(spark, sf_dir)[0], TERM, 20, {"chunk"}))
 
 
-@query(rf"WITH {DOC_POST} SELECT entity_id FROM p WHERE w IN {NDING} OR w IN {ERTH} GROUP BY entity_id HAVING count(DISTINCT CASE WHEN w IN {ERTH} THEN 2 ELSE 1 END) = 2")
+@query(rf"""WITH {DOC_POST} SELECT entity_id FROM p WHERE w IN {NDING} OR w IN {ERTH} GROUP BY entity_id
+HAVING count(DISTINCT CASE WHEN w IN {ERTH} THEN 2 ELSE 1 END) = 2""")
 def fts_all_terms(spark, sf_dir):
-    text = f"{TERM} {TERM2}"
-    return search.matches(_postings(spark, sf_dir, "chunk", text=text)["chunk"], query_lexemes(text)).select("entity_id").distinct()
+    return search.matches(A.index(spark, sf_dir)[0]["chunk"], query_lexemes(f"{TERM} {TERM2}")).select("entity_id").distinct()
 
 
 @query(rf"""WITH {DOC_POST}, h AS (SELECT entity_id, pos, CASE WHEN w IN {ERTH} THEN 2 ELSE 1 END t FROM p WHERE w IN {ND} OR w IN {ERTH}),
-s AS (SELECT entity_id, pos, max(pos) FILTER (t = 1) OVER w1 a, max(pos) FILTER (t = 2) OVER w1 b FROM h WINDOW w1 AS (PARTITION BY entity_id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+s AS (SELECT entity_id, pos, max(pos) FILTER (t = 1) OVER w1 a, max(pos) FILTER (t = 2) OVER w1 b FROM h
+      WINDOW w1 AS (PARTITION BY entity_id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
 c AS (SELECT entity_id, least(a, b) start, min(pos) stop FROM s WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY entity_id, least(a, b)),
 r AS (SELECT entity_id, sum(CAST(2 AS DOUBLE) / 20 / (1 + greatest(stop - start - 1, 0))) rank FROM c GROUP BY entity_id)
 SELECT 'chunk' AS entity_type, entity_id, round(rank / (rank + 1), 6) AS score FROM r ORDER BY round(rank / (rank + 1), 12) DESC, entity_id LIMIT 10""")
 def cover_density_two_term(spark, sf_dir):
-    post = _postings(spark, sf_dir, "chunk", text="nd erth")["chunk"]
-    ranked = search.cover_density(post, ["nd", "erth"]).withColumn("score", F.col("rank") / (F.col("rank") + 1))
-    return rounded(ranked.orderBy(F.desc(F.round("score", 12)), "entity_type", "entity_id").limit(10))
-
-
-@query()
+    return rounded(search.lexical_topk(A.index(spark, sf_dir)[0], "nd erth", 10, {"chunk"}))
+
+
+@query(rf"""WITH seg AS (SELECT 'chunk' t, doc_id id, 'A' wt, source txt FROM documents UNION ALL SELECT 'chunk', doc_id, 'D', text FROM documents
+  UNION ALL SELECT 'commit', conv_id::BIGINT, 'A', split_part(text, chr(10), 1) FROM conversations WHERE turn = 0
+  UNION ALL SELECT 'commit', conv_id::BIGINT, 'B', text FROM conversations WHERE turn = 0
+  UNION ALL SELECT 'pr', page_id::BIGINT, 'A', string_split(url, '/')[-1] FROM pages
+  UNION ALL SELECT 'pr', page_id::BIGINT, 'B', regexp_extract(html, '(?is)<title>(.*?)</title>', 1) FROM pages
+  UNION ALL SELECT 'issue', item_id::BIGINT, 'B', text FROM benchmark),
+w AS (SELECT t, id, wt, unnest(regexp_extract_all(lower(coalesce(txt, '')), '[\p{{L}}\p{{N}}_]+')) w FROM seg),
+n AS (SELECT t, id, count(*) FILTER (wt = 'A') a, count(*) FILTER (wt = 'B') b, count(*) FILTER (wt = 'D') d FROM w WHERE w IN {NDING} GROUP BY 1, 2),
+r AS (SELECT t, id, a * 1.0::DOUBLE + b * 0.4::DOUBLE + d * 0.1::DOUBLE rank FROM n)
+SELECT t AS entity_type, id AS entity_id, round(rank / (rank + 1), 6) AS score FROM r ORDER BY round(rank / (rank + 1), 12) DESC, t, id LIMIT 30""")
 def fts_union_arms(spark, sf_dir):
-    return rounded(search.lexical_topk(_postings(spark, sf_dir, text=TERM), TERM, 30))
+    return rounded(search.lexical_topk(A.index(spark, sf_dir)[0], TERM, 30))
 
 
-@query()
+@query(rf"""WITH {DOC_POST}, q AS (SELECT * FROM p WHERE w NOT IN {STOPS}), len AS (SELECT entity_id, count(*) len FROM q GROUP BY 1),
+st AS (SELECT count(*)::DOUBLE n, avg(len) mean FROM len),
+hit AS (SELECT entity_id, CASE WHEN w IN {ERTH} THEN 2 ELSE 1 END t, count(*) tf FROM q WHERE w IN {NDING} OR w IN {ERTH} GROUP BY 1, 2),
+df AS (SELECT t, count(*) df FROM hit GROUP BY 1),
+r AS (SELECT entity_id, sum(ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / mean))) rank, count(*) c
+      FROM hit JOIN df USING (t) JOIN len USING (entity_id), st GROUP BY 1)
+SELECT 'chunk' AS entity_type, entity_id, round(rank, 6) AS score FROM r WHERE c = 2 ORDER BY round(rank, 12) DESC, entity_id LIMIT 10""")
 def bm25_okapi(spark, sf_dir):
-    return rounded(search.lexical_topk(_postings(spark, sf_dir, "chunk"), f"{TERM} {TERM2}", 10, scorer="bm25", norm="none"))
+    arms, lengths = A.index(spark, sf_dir)
+    lengths = lengths.where("entity_type = 'chunk'")
+    return rounded(search.lexical_topk(arms, f"{TERM} {TERM2}", 10, {"chunk"}, scorer="bm25", norm="none", lengths=lengths))
 
 
 RRF = f"""WITH {EMB}, a AS (SELECT entity_type, entity_id, row_number() OVER (ORDER BY s DESC, entity_type, entity_id) r FROM sims ORDER BY r LIMIT 30),
@@ -156,10 +172,17 @@ def rrf_fuse(spark, sf_dir):
     return rounded(search.reciprocal_rank_fusion({"v": a, "l": b}), "v_rank", "l_rank")
 
 
-@query()
+@query(f"""WITH {EMB}, {NDING_RANKS}, v AS (SELECT entity_id, row_number() OVER (ORDER BY s DESC, entity_id) r FROM sims WHERE entity_type = 'chunk' ORDER BY r LIMIT 50),
+l AS (SELECT entity_id, row_number() OVER (ORDER BY round(rank / (rank + 1), 12) DESC, entity_id) r FROM r ORDER BY r LIMIT 50),
+f AS (SELECT coalesce(v.entity_id, l.entity_id) entity_id, coalesce(1::DOUBLE / (60 + v.r), 0) + coalesce(1::DOUBLE / (60 + l.r), 0) score, v.r vr, l.r lr
+      FROM v FULL JOIN l ON v.entity_id = l.entity_id),
+t AS (SELECT * FROM f ORDER BY score DESC, CASE WHEN vr IS NULL THEN 1 ELSE 0 END, coalesce(vr, lr) LIMIT 10),
+n AS (SELECT *, row_number() OVER (ORDER BY score DESC, entity_id) rank FROM t)
+SELECT rank::INT AS rank, entity_id, 'src/' || source || '.py' AS path, lang AS language, round(score, 6) AS score, vr::INT AS vector_rank, lr::INT AS bm25_rank
+FROM n JOIN documents ON doc_id = entity_id""")
 def hybrid_search(spark, sf_dir):
     """The flagship: cosine and full-text candidates, fused, hydrated with text and file."""
-    found = search.hybrid_topk(A.embeddings(spark, sf_dir), _postings(spark, sf_dir, "chunk", text=TERM), TERM, query_vector(spark, sf_dir), 10, {"chunk"})
+    found = search.hybrid_topk(A.embeddings(spark, sf_dir), A.index(spark, sf_dir)[0], TERM, query_vector(spark, sf_dir), 10, {"chunk"})
     entities = A.chunks(spark, sf_dir).join(A.files(spark, sf_dir), "file_id").withColumns({"entity_type": F.lit("chunk"), "entity_id": F.col("chunk_id")})
     return search.hydrate(found, entities).select("rank", "entity_id", "path", "language", F.round("score", 6).alias("score"), "vector_rank", "bm25_rank")
 
@@ -195,13 +218,11 @@ def file_chunk_counts(spark, sf_dir):
 @query("""WITH e AS (SELECT 'chunk' t, count(*) n FROM documents UNION ALL SELECT 'commit', count(*) FROM conversations WHERE turn = 0 UNION ALL SELECT 'pr', count(*) FROM pages UNION ALL SELECT 'issue', count(*) FROM benchmark),
 v AS (SELECT ['chunk','commit','pr','issue'][label % 4 + 1] t, count(*) n FROM embeddings GROUP BY 1) SELECT e.t AS entity_type, e.n AS total, coalesce(v.n, 0) AS embedded FROM e LEFT JOIN v ON e.t = v.t""")
 def entity_status_counts(spark, sf_dir):
-    from functools import reduce
-
     entities = reduce(DataFrame.unionByName, [d.select("entity_type") for d in A.arms(spark, sf_dir).values()])
     return status.entity_counts(entities, A.embeddings(spark, sf_dir), search.ENTITY_TYPES)
 
 
-EDGES = """edges AS (SELECT DISTINCT 'chunk' st, l_partkey s, 'commit' tt, l_orderkey t, 'introduced_by' kind FROM lineitem UNION ALL SELECT 'commit', o_orderkey, 'pr', o_custkey, 'part_of' FROM orders UNION ALL SELECT 'pr', c_custkey, 'issue', c_nationkey, 'references_issue' FROM customer)"""
+EDGES = """edges AS (SELECT DISTINCT 'chunk' st, l_partkey s, 'commit' tt, l_orderkey t, 'introduced_by' kind FROM lineitem UNION ALL SELECT 'commit', o_orderkey, 'pr', o_custkey, 'part_of' FROM orders UNION ALL SELECT 'pr', c_custkey, 'issue', c_nationkey, 'references_issue' FROM customer UNION ALL SELECT 'issue', c_nationkey, 'pr', c_custkey, 'closed_by' FROM customer WHERE c_acctbal < 0)"""
 
 
 @query(f"WITH {EDGES}, k AS (SELECT unnest(['introduced_by', 'part_of', 'references_issue', 'closed_by']) kind) SELECT k.kind AS edge_type, count(edges.kind) AS n FROM k LEFT JOIN edges ON k.kind = edges.kind GROUP BY 1")
@@ -209,13 +230,14 @@ def edge_counts_zero_filled(spark, sf_dir):
     return status.edge_counts(A.edges(spark, sf_dir))
 
 
-def _walk_sql(depth: int, breadth: int, seeds: str = "l_partkey <= 5") -> str:
+def _walk_sql(depth: int, breadth: int, seeds: str = "l_partkey % 100 = 0") -> str:
     return f"""WITH RECURSIVE {EDGES}, walk AS (SELECT DISTINCT l_partkey o, 'chunk' ty, l_partkey id, 0 d FROM lineitem WHERE {seeds} UNION ALL SELECT o, tt, t, d + 1 FROM walk JOIN edges ON st = ty AND s = id WHERE d < {depth}),
     near AS (SELECT o, ty, id, min(d) d FROM walk WHERE d > 0 GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY o ORDER BY d, id, ty) n FROM near) SELECT ty AS entity_type, id AS entity_id, min(d)::INT AS depth FROM n WHERE n <= {breadth} GROUP BY 1, 2"""
 
 
 def _seeds(spark, sf_dir):
-    return A.table(spark, sf_dir, "lineitem").where("l_partkey <= 5").select(F.lit("chunk").alias("entity_type"), F.col("l_partkey").alias("entity_id")).distinct()
+    """The searches' starts: every part whose id is divisible by 100."""
+    return A.table(spark, sf_dir, "lineitem").where("l_partkey % 100 = 0").select(F.lit("chunk").alias("entity_type"), F.col("l_partkey").alias("entity_id")).distinct()
 
 
 @query(_walk_sql(2, 1000))
@@ -235,21 +257,25 @@ def graph_breadth_cap(spark, sf_dir):
     return graph.expand(A.edges(spark, sf_dir), _seeds(spark, sf_dir), 0, 3, 10)
 
 
-@query(f"WITH {EMB} SELECT entity_type, entity_id, round(s, 6) AS score FROM sims WHERE entity_type IN ('commit', 'pr') AND entity_id < 200 ORDER BY s DESC, entity_type, entity_id LIMIT 5")
+@query(f"WITH {EMB} SELECT entity_type, entity_id, round(s, 6) AS score FROM sims WHERE entity_type IN ('commit', 'pr') ORDER BY s DESC, entity_type, entity_id LIMIT 5")
 def graph_rerank(spark, sf_dir):
     e = A.embeddings(spark, sf_dir)
-    candidates = e.where("entity_type in ('commit', 'pr') and entity_id < 200").select("entity_type", "entity_id").unionByName(rows(spark, "entity_type string, entity_id long", ("pr", -1)))
+    candidates = e.where("entity_type in ('commit', 'pr')").select("entity_type", "entity_id").unionByName(rows(spark, "entity_type string, entity_id long", ("pr", -1)))
     return rounded(graph.rerank_expansion(candidates, e, query_vector(spark, sf_dir), 5))
 
 
-@query(f"""WITH {EDGES}, ctx AS (SELECT 'commit' ty, o_orderkey id, 'm' || o_orderkey d FROM orders WHERE o_orderkey <= 40 UNION ALL SELECT 'pr', c_custkey, 'p' || c_custkey FROM customer UNION ALL SELECT 'issue', n_nationkey, 'i' || n_nationkey FROM nation),
-r AS (SELECT CASE kind WHEN 'part_of' THEN tt ELSE st END ty, CASE kind WHEN 'part_of' THEN b.d ELSE a.d END d, CASE kind WHEN 'part_of' THEN 'contains [' || st || ':' || a.d || ']' ELSE 'references [' || tt || ':' || b.d || ']' END p FROM edges JOIN ctx a ON st = a.ty AND s = a.id JOIN ctx b ON tt = b.ty AND t = b.id)
-SELECT ty AS entity_type, d AS display_id, string_agg(DISTINCT p, ', ' ORDER BY p) AS phrases FROM r GROUP BY 1, 2""")
+@query(f"""WITH {EDGES}, ctx AS (SELECT 'chunk' ty, p_partkey id, 'c' || p_partkey d FROM part UNION ALL SELECT 'commit', o_orderkey, 'm' || o_orderkey FROM orders
+  UNION ALL SELECT 'pr', c_custkey, 'p' || c_custkey FROM customer UNION ALL SELECT 'issue', n_nationkey, 'i' || n_nationkey FROM nation),
+r AS (SELECT kind, st || ':' || a.d s, tt || ':' || b.d t, st, tt, a.d sd, b.d td FROM edges JOIN ctx a ON st = a.ty AND s = a.id JOIN ctx b ON tt = b.ty AND t = b.id),
+told AS (SELECT CASE WHEN kind IN ('introduced_by', 'part_of') THEN tt ELSE st END ty, CASE WHEN kind IN ('introduced_by', 'part_of') THEN td ELSE sd END d,
+  CASE kind WHEN 'introduced_by' THEN 'introduced [' || s || ']' WHEN 'part_of' THEN 'contains [' || s || ']' WHEN 'references_issue' THEN 'references [' || t || ']' ELSE 'closed by [' || t || ']' END p FROM r)
+SELECT ty AS entity_type, d AS display_id, string_agg(DISTINCT p, ', ' ORDER BY p) AS phrases FROM told GROUP BY 1, 2""")
 def relations_phrases(spark, sf_dir):
+    """What all parts, orders, customers and nations say of each other, by all four kinds of edges."""
     t = lambda n: A.table(spark, sf_dir, n)
     c = lambda df, kind, k, letter: df.select(F.lit(kind).alias("entity_type"), F.col(k).cast("long").alias("entity_id"), F.concat(F.lit(letter), F.col(k).cast("string")).alias("display_id"))
-    context = c(t("orders").where("o_orderkey <= 40"), "commit", "o_orderkey", "m").unionByName(c(t("customer"), "pr", "c_custkey", "p")).unionByName(c(t("nation"), "issue", "n_nationkey", "i"))
-    return graph.relations(A.edges(spark, sf_dir), context)
+    parts = [c(t("part"), "chunk", "p_partkey", "c"), c(t("orders"), "commit", "o_orderkey", "m"), c(t("customer"), "pr", "c_custkey", "p"), c(t("nation"), "issue", "n_nationkey", "i")]
+    return graph.relations(A.edges(spark, sf_dir), reduce(DataFrame.unionByName, parts))
 
 
 @query("WITH m AS (SELECT 's' || l_suppkey sha, max(l_orderkey) pr FROM lineitem GROUP BY 1) SELECT s_suppkey AS source_id, pr AS target_id FROM supplier JOIN m ON sha = 's' || s_suppkey")
@@ -299,8 +325,13 @@ def late_cutoff(spark, sf_dir):
 
 @query("WITH p AS (SELECT event_id // 100 page, count(*) n FROM events GROUP BY 1) SELECT page, n, sum(n) OVER (ORDER BY page)::BIGINT AS done FROM p")
 def page_progress(spark, sf_dir):
-    p = A.table(spark, sf_dir, "events").groupBy(F.floor(F.col("event_id") / 100).alias("page")).agg(F.count("*").alias("n"))
-    return p.withColumn("done", F.sum("n").over(Window.orderBy("page")))
+    """Events of each page and of all pages up to it: sums over blocks of pages, then within them."""
+    p = A.table(spark, sf_dir, "events").groupBy(F.floor(F.col("event_id") / 100).alias("page")).agg(F.count("*").alias("n")).withColumn("block", F.floor(F.col("page") / 1000))
+    upto = lambda w, last: w.rowsBetween(Window.unboundedPreceding, last)
+    # a row for each thousand pages
+    blocks = p.groupBy("block").agg(F.sum("n").alias("of")).select("block", F.coalesce(F.sum("of").over(upto(Window.orderBy("block"), -1)), F.lit(0)).alias("before"))
+    within = F.sum("n").over(upto(Window.partitionBy("block").orderBy("page"), 0))
+    return p.join(blocks, "block").select("page", "n", (F.col("before") + within).alias("done"))
 
 
 @query("SELECT event_id, json_extract(props, '$.k')::BIGINT AS k FROM events")
@@ -433,15 +464,17 @@ def resolve_citations(spark, sf_dir):
     return citations.resolve_citations(cited, context, F.lit("o"), F.lit("r"), F.lit("main"))
 
 
-@query("""WITH q AS (SELECT vec_id, embedding::DOUBLE[] v, label FROM embeddings WHERE vec_id < 20), s AS (SELECT q.vec_id q, e.label = q.label hit, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(e.embedding::DOUBLE[], q.v) DESC, e.vec_id) r FROM q, embeddings e WHERE e.vec_id <> q.vec_id)
+@query("""WITH q AS (SELECT vec_id, embedding::DOUBLE[] v, label FROM embeddings WHERE vec_id % 100 = 0),
+s AS (SELECT q.vec_id q, e.label = q.label hit, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(e.embedding::DOUBLE[], q.v) DESC, e.vec_id) r FROM q, embeddings e WHERE e.vec_id <> q.vec_id)
 SELECT q AS vec_id, round(avg(hit::INT), 6) AS precision_at_5 FROM s WHERE r <= 5 GROUP BY 1""")
 def recall_at_k(spark, sf_dir):
-    """Share of the five nearest that have a query's label, for twenty queries against all vectors."""
+    """Share of the five nearest that have a query's label, for every vector whose id is divisible by 100 against all vectors."""
     e = A.table(spark, sf_dir, "embeddings")
-    qs = F.broadcast(e.where("vec_id < 20").select(F.col("vec_id").alias("q"), F.col("embedding").alias("v"), F.col("label").alias("ql")))
-    s = e.join(qs, F.col("vec_id") != F.col("q")).withColumn("s", V.cosine(F.col("embedding"), F.col("v")))
-    top = s.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "vec_id"))).where("r <= 5")
-    return top.groupBy(F.col("q").alias("vec_id")).agg(F.round(F.avg((F.col("label") == F.col("ql")).cast("int")), 6).alias("precision_at_5"))
+    queries = e.where("vec_id % 100 = 0").select(F.col("vec_id").cast("long").alias("q"), "embedding")
+    label = lambda k: e.select(F.col("vec_id").cast("long").alias(k), F.col("label").alias(f"{k}_label"))
+    top = search.nearest(e, queries, 5).join(label("q"), "q").join(label("vec_id"), "vec_id")
+    hit = (F.col("q_label") == F.col("vec_id_label")).cast("int")
+    return top.groupBy(F.col("q").alias("vec_id")).agg(F.round(F.avg(hit), 6).alias("precision_at_5"))
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey > 500 ORDER BY o_orderkey LIMIT 50")
@@ -450,17 +483,15 @@ def keyset_page(spark, sf_dir):
 
 
 @query("""SELECT 'chunk' AS entity_type, doc_id AS entity_id, text FROM documents WHERE text <> '' UNION ALL SELECT 'commit', conv_id::BIGINT, text FROM conversations WHERE turn = 0 AND regexp_matches(text, '\\S')
-UNION ALL SELECT 'pr', page_id::BIGINT, trim(url, E' \\n\\t') || chr(10) || chr(10) || trim(substr(html, 1, 40), E' \\n\\t\\r') FROM pages""")
+UNION ALL SELECT 'pr', page_id::BIGINT, trim(url, E' \\n\\t') || chr(10) || chr(10) || trim(html, E' \\n\\t\\r') FROM pages""")
 def texts_to_embed(spark, sf_dir):
-    from functools import reduce
-
     from lodestrata.plans.ingest import texts_to_embed as texts
 
     r = F.lit(0).alias("repo_id")
     got = texts(
         A.chunks(spark, sf_dir),
         A.table(spark, sf_dir, "conversations").where("turn = 0").select(r, F.col("conv_id").cast("long").alias("commit_id"), F.col("text").alias("message")),
-        A.table(spark, sf_dir, "pages").select(r, F.col("page_id").cast("long").alias("pr_id"), F.col("url").alias("title"), F.substring("html", 1, 40).alias("body")),
+        A.table(spark, sf_dir, "pages").select(r, F.col("page_id").cast("long").alias("pr_id"), F.col("url").alias("title"), F.col("html").alias("body")),
         None,
     )
     return reduce(DataFrame.unionByName, [t.select(F.lit(k).alias("entity_type"), "entity_id", "text") for k, t in got.items()])

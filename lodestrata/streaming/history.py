@@ -68,9 +68,19 @@ def ingest_history(spark: SparkSession, pages: str, repo_id: int, table_dir: str
     return state | {"status": "done"}
 
 
-def requests_in_window(events: DataFrame, key: str, seconds: int = 60) -> DataFrame:
-    """events + n_recent: rows of the same key in the `seconds` up to each."""
+def requests_in_window(events: DataFrame, key: str, seconds: int = 60, bucket: int = 3600) -> DataFrame:
+    """events + n_recent: rows of the same key in the `seconds` up to each.
+
+    A key's rows are parted by `bucket` seconds, so that a busy key is no single task's; a bucket also sees the last `seconds` of the one before.
+    """
     from pyspark.sql import Window
 
-    w = Window.partitionBy(key).orderBy(F.unix_timestamp("ts")).rangeBetween(-(seconds - 1), 0)
-    return events.withColumn("n_recent", F.count("*").over(w))
+    at, of, guest = (f"__{x}" for x in ("at", "bucket", "guest"))
+    rows = events.withColumn(at, F.unix_timestamp("ts"))
+    own = F.floor(F.col(at) / bucket)
+    late = F.pmod(F.col(at), F.lit(bucket)) > bucket - seconds
+    here = F.struct(own.alias(of), F.lit(False).alias(guest))
+    both = F.when(late, F.array(here, F.struct((own + 1).alias(of), F.lit(True).alias(guest)))).otherwise(F.array(here))
+    dealt = rows.withColumn(of, F.explode(both)).withColumn(guest, F.col(f"{of}.{guest}")).withColumn(of, F.col(f"{of}.{of}"))
+    w = Window.partitionBy(key, of).orderBy(at).rangeBetween(-(seconds - 1), 0)
+    return dealt.withColumn("n_recent", F.count("*").over(w)).where(~F.col(guest)).drop(at, of, guest)
