@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import functools
+import os
+import re
 import time
+import warnings
 from collections import deque
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator, Mapping
+from dataclasses import dataclass, field, fields
+from functools import reduce
+from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.functions.text import classify, ref_of
+from lodestrata.functions.text import error_text, ref_of, rerank_text
 from lodestrata.operators import citations, graph, search
+from lodestrata.plans.providers import MODELS, classify_by_keyword, classify_by_model
 
 
 @dataclass
@@ -25,6 +32,20 @@ class Settings:
     max_breadth: int = 10
     history_months: int = 12
     requests_per_minute: int = 0
+    embedder: str = "hashing"
+    model: str = "canned"
+    model_name: str = ""
+    model_url: str = ""
+    model_key: str = field(default="", repr=False)
+    classifier: str = "keyword"
+    history_token: str = field(default="", repr=False)
+    store: str = ""
+
+    @classmethod
+    def from_env(cls, env: Mapping[str, str] = os.environ, prefix: str = "LODESTRATA_") -> Settings:
+        """Each field from the variable of its name in capitals, where there is one."""
+        found = {f.name: env[prefix + f.name.upper()] for f in fields(cls) if prefix + f.name.upper() in env}
+        return cls(**{k: type(getattr(cls, k, ""))(v) for k, v in found.items()})
 
     def __post_init__(self) -> None:
         for k in ("rrf_k", "candidates", "input_n", "top_k"):
@@ -75,34 +96,60 @@ class RateLimiter:
 
 
 class CannedModel:
-    """A model for tests: one claim with a good citation, one with a bad one, one without support."""
+    """A model for tests: it cites the first excerpt that it is shown, then one that it isn't, then none."""
 
     name = "canned"
-    ANSWER = "The helper wraps the call [chunk:c1]. It is used widely [chunk:c99]. Loops are general knowledge [chunk:none]."
 
     def generate(self, messages: list[dict]) -> str:
-        return self.ANSWER
+        shown = re.search(r"(?m)^\[([a-z]\d+)\] (code|commit|pr|issue):", messages[-1]["content"] if messages else "")
+        known = ""
+        if shown:
+            kind = {"code": "chunk"}.get(shown.group(2), shown.group(2))
+            known = f"Excerpt {shown.group(1)} bears on this [{kind}:{shown.group(1)}]. "
+        return f"{known}There may be an excerpt 999 too [chunk:c999]. The rest is not shown [chunk:none]."
 
-    def stream(self, messages: list[dict]) -> Iterator[str]:
-        words = self.ANSWER.split(" ")
-        yield from (w if i == len(words) - 1 else f"{w} " for i, w in enumerate(words))
+    def stream(self, messages: list[dict], size: int = 12) -> Iterator[str]:
+        """The same text, so many characters at a time."""
+        text = self.generate(messages)
+        for at in range(0, len(text), size):
+            yield text[at : at + size]
 
 
-def chunk_text(t: Tables) -> DataFrame:
-    return t.chunks.select(F.lit("chunk").alias("entity_type"), F.col("chunk_id").alias("entity_id"), F.col("content").alias("text"))
+def entity_texts(t: Tables) -> DataFrame:
+    """The text of every entity that a reranker is shown, by type; one of a type that isn't here has none."""
+    one = lambda df, kind, key, text: df.select(F.lit(kind).alias("entity_type"), F.col(key).cast("long").alias("entity_id"), text.alias("text"))
+    titled = rerank_text(F.col("title"), F.col("body"))
+    parts = [one(t.chunks, "chunk", "chunk_id", F.col("content")), one(t.commits, "commit", "commit_id", F.col("message"))]
+    parts += [one(t.prs, "pr", "pr_id", titled), one(t.issues, "issue", "issue_id", titled)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+#: Names of the settings' retrieval modes.
+MODES = ("vector", "bm25", "hybrid", "reranked")
+
+
+class Retriever(Protocol):
+    """Pointers (entity_type, entity_id, score, ...) of the k best for a question."""
+
+    def __call__(self, t: Tables, question: str, k: int, s: Settings, types: set[str] | None = None) -> DataFrame: ...
 
 
 def retrieve(t: Tables, question: str, k: int, s: Settings, types: set[str] | None = None) -> DataFrame:
-    """Pointers by the mode of the settings; an unknown mode is hybrid."""
-    if s.retrieval_mode == "vector":
-        return search.vector_topk(t.embeddings, t.embed(question), k, types)
-    if s.retrieval_mode == "bm25":
-        return search.lexical_topk(t.postings, question, k, types)
-    n = max(k, s.input_n) if s.retrieval_mode == "reranked" else k
-    fused = search.hybrid_topk(t.embeddings, t.postings, question, t.embed(question), n, types, s.candidates, s.rrf_k)
-    if s.retrieval_mode == "reranked" and t.scorer:
-        return search.reranked_topk(fused, chunk_text(t), t.scorer, k, s.input_n)
-    return fused
+    """Pointers by the mode of the settings, in the tables' repository alone; an unknown mode is hybrid, with a warning."""
+    mode = {"hybrid_rerank": "reranked"}.get(s.retrieval_mode, s.retrieval_mode)
+    if mode not in MODES:
+        warnings.warn(f"unknown retrieval mode {s.retrieval_mode!r}: hybrid is used", stacklevel=2)
+    scope = t.repo_id if "repo_id" in t.embeddings.columns else None
+    own = t.repo_id if all("repo_id" in p.columns for p in t.postings.values()) else None
+    if mode == "vector":
+        return search.vector_topk(t.embeddings, t.embed(question), k, types, repo_id=scope)
+    if mode == "bm25":
+        return search.lexical_topk(t.postings, question, k, types, repo_id=own)
+    reranked = mode == "reranked" and t.scorer
+    near = search.vector_topk(t.embeddings, t.embed(question), s.candidates, types, repo_id=scope)
+    found = search.lexical_topk(t.postings, question, s.candidates, types, repo_id=own)
+    fused = search.fused_topk({"vector": near, "bm25": found}, max(k, s.input_n) if reranked else k, s.rrf_k)
+    return search.reranked_topk(fused, entity_texts(t), t.scorer, k, s.input_n) if reranked else fused
 
 
 def cited_chunks(t: Tables, pointers: DataFrame) -> DataFrame:
@@ -126,14 +173,15 @@ class Answer:
     sources: list[dict] = field(default_factory=list)
 
 
-def route(spark: SparkSession, question: str, override: str | None = None) -> tuple[str, float]:
+def route(spark: SparkSession, question: str, override: str | None = None, model=None) -> tuple[str, float]:
+    """Category and confidence: as told, by a model if one is given, else by keywords."""
     if override:
         return override, 1.0
-    r = spark.range(1).select(classify(F.lit(question)).alias("c")).first().c
-    return r.category, r.confidence
+    got = classify_by_model(spark, question, model) if model else classify_by_keyword(spark, question)
+    return got.category, got.confidence
 
 
-def context_of(t: Tables, question: str, category: str, s: Settings) -> tuple[list[DataFrame], dict]:
+def context_of(t: Tables, question: str, category: str, s: Settings, retriever: Retriever = retrieve) -> tuple[list[DataFrame], dict]:
     """Blocks of the context (kind_rank, nth, block, and what citations resolve to), and a trace.
 
     Only questions of history expand over the graph: chunks -> commits, pull requests, issues, by cosine to the question.
@@ -141,7 +189,7 @@ def context_of(t: Tables, question: str, category: str, s: Settings) -> tuple[li
     trace = {"category": category, "retrieval_mode": s.retrieval_mode, "expansion_candidates": 0}
     if category == "out_of_scope":
         return [], trace
-    found = search_chunks(t, question, s.top_k, s)
+    found = cited_chunks(t, retriever(t, question, s.top_k, s, {"chunk"}))
     kinds = {"chunk": found}
     relations = None
     if category == "historical_why":
@@ -159,44 +207,86 @@ def context_of(t: Tables, question: str, category: str, s: Settings) -> tuple[li
         trace["expansion_candidates"] = wide.count()
     blocks = []
     for nth, (kind, df) in enumerate(kinds.items()):
-        df = df.join(F.broadcast(relations), ["entity_type", "display_id"], "left") if relations is not None else df.withColumn("phrases", F.lit(None).cast("string"))
+        df = df.join(relations, ["entity_type", "display_id"], "left") if relations is not None else df.withColumn("phrases", F.lit(None).cast("string"))
         has = lambda c: F.col(c) if c in df.columns else F.lit(None)  # noqa: B023, E731
         blocks.append(df.select(F.lit(nth).alias("kind_rank"), F.col("display").alias("nth"), citations.excerpt(kind).alias("block"), "entity_type", "entity_id", "display_id", has("path").cast("string").alias("path"), has("start_line").cast("int").alias("start_line"), has("end_line").cast("int").alias("end_line"), has("sha").cast("string").alias("sha"), has("message").cast("string").alias("message"), has("number").cast("int").alias("number"), has("title").cast("string").alias("title")))
     return blocks, trace
 
 
-def answer(spark: SparkSession, t: Tables, question: str, model=None, s: Settings | None = None, override: str | None = None) -> Answer:
-    model, s = model or CannedModel(), s or Settings()
-    category, confidence = route(spark, question, override)
-    blocks, trace = context_of(t, question, category, s)
+@functools.lru_cache(16)
+def limiter(per_minute: int) -> RateLimiter:
+    """One for all calls with this limit, so that it does limit them."""
+    return RateLimiter(per_minute)
+
+
+@dataclass
+class _Prompt:
+    """What a model is asked, and the answer so far."""
+
+    out: Answer
+    messages: list[dict]
+    shown: DataFrame | None
+
+
+def _prepare(spark: SparkSession, t: Tables, question: str, s: Settings, override: str | None, retriever: Retriever, model) -> _Prompt:
+    began = time.monotonic()
+    category, confidence = route(spark, question, override, model if s.classifier == "model" else None)
+    routed = time.monotonic()
+    blocks, trace = context_of(t, question, category, s, retriever)
+    out = Answer("", category, confidence, trace=trace)
     if not blocks:
-        return Answer("", category, confidence, trace=trace)
-    rows = blocks[0]
-    for b in blocks[1:]:
-        rows = rows.unionByName(b)
+        return _Prompt(out, [], None)
+    rows = reduce(DataFrame.unionByName, blocks)
     shown = rows.orderBy("kind_rank", "nth").collect()  # a top-k
     trace["seeds"] = [r.entity_id for r in shown if r.entity_type == "chunk"]
-    RateLimiter(s.requests_per_minute).acquire()
-    text = model.generate(citations.build_messages(t.owner, t.name, question, "\n\n".join(r.block for r in shown), category == "historical_why"))
-    parsed = citations.parse_answer(text)
-    out = Answer(text, category, confidence, warnings=parsed["warnings"], trace=trace, sources=[{"entity_type": r.entity_type, "display_id": r.display_id} for r in shown])
-    if parsed["citations"]:
+    trace["seconds"] = {"route": round(routed - began, 4), "retrieve": round(time.monotonic() - routed, 4)}
+    out.sources = [{"entity_type": r.entity_type, "display_id": r.display_id} for r in shown]
+    messages = citations.build_messages(t.owner, t.name, question, "\n\n".join(r.block for r in shown), category == "historical_why")
+    return _Prompt(out, messages, spark.createDataFrame(shown, rows.schema).drop("kind_rank", "nth", "block", "entity_id") if shown else None)
+
+
+def _finish(spark: SparkSession, t: Tables, prompt: _Prompt, text: str) -> Answer:
+    """The answer with its citations checked against what was shown."""
+    parsed, out = citations.parse_answer(text), prompt.out
+    out.text, out.warnings = text, parsed["warnings"]
+    if parsed["citations"] and prompt.shown is not None:
         cited = spark.createDataFrame([(0, c["entity_type"], c["display_id"], c["start"]) for c in parsed["citations"]], "answer_id int, entity_type string, display_id string, start int")
-        context = spark.createDataFrame(shown, rows.schema).drop("kind_rank", "nth", "block", "entity_id")
-        resolved = citations.resolve_citations(cited, context, F.lit(t.owner), F.lit(t.name), ref_of(F.lit(t.sha).cast("string"), F.lit(t.branch)))
+        resolved = citations.resolve_citations(cited, prompt.shown, F.lit(t.owner), F.lit(t.name), ref_of(F.lit(t.sha).cast("string"), F.lit(t.branch)))
         out.citations = [r.asDict() for r in resolved.orderBy("start").collect()]
     return out
 
 
-def stream_answer(spark: SparkSession, t: Tables, question: str, model=None, s: Settings | None = None) -> Iterator[tuple[str, object]]:
-    """("sources", …), ("token", …)*, ("citations", …), ("done", …); or ("error", …)."""
+def answer(spark: SparkSession, t: Tables, question: str, model=None, s: Settings | None = None, override: str | None = None, retriever: Retriever = retrieve) -> Answer:
+    s = s or Settings()
+    model = model or MODELS.get(s.model)
+    prompt = _prepare(spark, t, question, s, override, retriever, model)
+    if not prompt.messages:
+        return prompt.out
+    limiter(s.requests_per_minute).acquire()
+    began = time.monotonic()
+    text = model.generate(prompt.messages)
+    prompt.out.trace["seconds"]["generate"] = round(time.monotonic() - began, 4)
+    return _finish(spark, t, prompt, text)
+
+
+def stream_answer(spark: SparkSession, t: Tables, question: str, model=None, s: Settings | None = None, override: str | None = None, retriever: Retriever = retrieve) -> Iterator[tuple[str, object]]:
+    """("sources", …), ("token", …)*, ("citations", …), ("done", …); or ("error", …).
+
+    Tokens are passed on as the model gives them, and the citations are those of what was passed on.
+    """
     try:
-        model = model or CannedModel()
-        got = answer(spark, t, question, model, s)
-        yield "sources", got.sources
-        if got.text:
-            yield from (("token", w) for w in model.stream([]))
-        yield "citations", got.citations
-        yield "done", got.trace
+        s = s or Settings()
+        model = model or MODELS.get(s.model)
+        prompt = _prepare(spark, t, question, s, override, retriever, model)
+        yield "sources", prompt.out.sources
+        text = []
+        if prompt.messages:
+            limiter(s.requests_per_minute).acquire()
+            for token in model.stream(prompt.messages):
+                text.append(token)
+                yield "token", token
+        out = _finish(spark, t, prompt, "".join(text))
+        yield "citations", out.citations
+        yield "done", out.trace
     except Exception as e:  # noqa: BLE001  the stream's last event names it
-        yield "error", f"{type(e).__name__}: {e}"[:500]
+        yield "error", error_text(type(e).__name__, str(e))

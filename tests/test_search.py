@@ -129,13 +129,91 @@ def test_search_modes(tables, mode):
 def test_answer(spark, tables):
     got = A.answer(spark, tables, "why was makeblocking added?")
     assert got.category == "historical_why" and {s["entity_type"] for s in got.sources} == {"chunk", "commit", "pr"}
-    assert [(c["display_id"], c["status"]) for c in got.citations] == [("c1", "valid"), ("c99", "invalid"), ("none", "none")]
+    assert [(c["display_id"], c["status"]) for c in got.citations] == [("c1", "valid"), ("c999", "invalid"), ("none", "none")]
     assert got.citations[0]["permalink"] == "https://github.com/owner/name/blob/main/a/main.py#L3-L9"
     flat = A.answer(spark, tables, "where is makeblocking")
     assert {s["entity_type"] for s in flat.sources} == {"chunk"}
     assert A.answer(spark, tables, "x", override="out_of_scope").sources == []
     events = [e for e, _ in A.stream_answer(spark, tables, "where is makeblocking")]
     assert events[0] == "sources" and events[-2:] == ["citations", "done"] and events.count("token") > 5
+    streamed = list(A.stream_answer(spark, tables, "where is makeblocking"))
+    assert "".join(x for e, x in streamed if e == "token") == flat.text and dict(streamed)["citations"] == flat.citations
+    assert set(flat.trace["seconds"]) == {"route", "retrieve", "generate"}
+
+
+class Failing:
+    name = "failing"
+
+    def generate(self, messages):
+        raise OSError("no answer")
+
+    def stream(self, messages):
+        yield "one "
+        raise OSError("no answer")
+
+
+def test_model_errors(spark, tables):
+    events = list(A.stream_answer(spark, tables, "where is makeblocking", Failing()))
+    assert [e for e, _ in events] == ["sources", "token", "error"] and events[-1][1] == "OSError: no answer"
+
+
+def test_classifiers(spark):
+    from lodestrata.plans import providers
+
+    class Saying:
+        name = "saying"
+
+        def __init__(self, text):
+            self.text = text
+
+        def generate(self, messages):
+            return self.text
+
+    sound = providers.classify_by_model(spark, "where is it", Saying('Sure {"category": "impact", "confidence": 0.5}'))
+    assert (sound.category, sound.confidence, sound.method, sound.fallback_used) == ("impact", 0.5, "model:saying", False)
+    for model in (Saying("no idea"), Failing()):
+        got = providers.classify_by_model(spark, "why was it added", model)
+        assert (got.category, got.fallback_used) == ("historical_why", True)
+    with pytest.raises(NotImplementedError):
+        providers.EMBEDDERS.get("small")
+    with pytest.raises(ValueError, match="unknown embedder"):
+        providers.EMBEDDERS.get("other")
+    assert len(providers.EMBEDDERS.get("hashing", dimension=8).vector(spark, "a b")) == 8
+
+
+def test_limiter_is_shared():
+    assert A.limiter(7) is A.limiter(7)
+
+
+def test_settings_from_environment():
+    s = A.Settings.from_env({"LODESTRATA_RRF_K": "7", "LODESTRATA_MODEL": "x", "OTHER": "1"})
+    assert (s.rrf_k, s.model, s.top_k) == (7, "x", 5)
+
+
+def test_repository_scope(spark):
+    """Rows of another repository neither count nor displace."""
+    e = spark.createDataFrame([(0, "chunk", 1, [1.0, 0.0]), (1, "chunk", 1, [1.0, 0.1]), (1, "chunk", 2, [0.0, 1.0])], "repo_id long, entity_type string, entity_id long, embedding array<double>")
+    assert [r.entity_id for r in search.vector_topk(e, [1.0, 0.1], 5, repo_id=1).collect()] == [1, 2]
+    assert search.vector_topk(e, [1.0, 0.1], 5, repo_id=2).count() == 0
+    p = spark.createDataFrame([(0, "chunk", 1, "x", 1, "D"), (1, "chunk", 5, "x", 1, "D")], "repo_id long, entity_type string, entity_id long, lexeme string, pos int, weight string")
+    assert [r.entity_id for r in search.lexical_topk({"chunk": p}, "x", 5, repo_id=1).collect()] == [5]
+
+
+def test_nearest(spark):
+    """Blocks of queries against brute force, ties by id."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(300, 5))
+    v[10:14] = v[20]
+    e = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(5)
+    q = e.where("vec_id % 10 = 0").select(F.col("vec_id").alias("q"), "embedding")
+    got = {(r.q, r.r): r.vec_id for r in search.nearest(e, q, 4, block=7).collect()}
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    for i in range(0, 300, 10):
+        s = np.round(u @ u[i], 12)
+        order = [j for j in np.lexsort((np.arange(300), -s)) if j != i][:4]
+        assert [got[i, k + 1] for k in range(4)] == order
 
 
 def test_limits():
