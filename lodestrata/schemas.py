@@ -26,8 +26,8 @@ def schema(table: str) -> StructType:
     return StructType.fromDDL(TABLES[table])
 
 
-def conform(df: DataFrame, table: str) -> DataFrame:
-    """df with a table's columns, in order and type; a column that it lacks is null. Nothing is cut to a length."""
+def conform(df: DataFrame, table: str, *more: str) -> DataFrame:
+    """df with a table's columns, in order and type, and `more` of its own; a column that it lacks is null. Nothing is cut to a length."""
     from pyspark.sql import functions as F
 
-    return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema(table)])
+    return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema(table)], *more)

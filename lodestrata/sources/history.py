@@ -5,7 +5,9 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Callable
+from datetime import UTC, datetime
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
@@ -31,21 +33,21 @@ def within(nodes: DataFrame, since) -> DataFrame:
     return nodes.where(F.col("node.updatedAt").try_cast("timestamp") >= since)
 
 
-def commits(nodes: DataFrame) -> DataFrame:
+def commits(nodes: DataFrame, *more: str) -> DataFrame:
     n = lambda x: F.col(f"node.{x}")
-    return nodes.select("repo_id", n("oid").alias("sha"), n("author.name").alias("author_name"), n("author.email").alias("author_email"), n("authoredDate").cast("timestamp").alias("authored_at"), n("committedDate").cast("timestamp").alias("committed_at"), F.coalesce(n("message"), F.lit("")).alias("message"), F.coalesce(n("parents.nodes.oid"), F.array().cast("array<string>")).alias("parent_shas"), n("changedFilesIfAvailable").alias("files_changed_count"), n("additions").alias("additions"), n("deletions").alias("deletions"))
+    return nodes.select("repo_id", n("oid").alias("sha"), n("author.name").alias("author_name"), n("author.email").alias("author_email"), n("authoredDate").cast("timestamp").alias("authored_at"), n("committedDate").cast("timestamp").alias("committed_at"), F.coalesce(n("message"), F.lit("")).alias("message"), F.coalesce(n("parents.nodes.oid"), F.array().cast("array<string>")).alias("parent_shas"), n("changedFilesIfAvailable").alias("files_changed_count"), n("additions").alias("additions"), n("deletions").alias("deletions"), *more)
 
 
-def pull_requests(nodes: DataFrame) -> DataFrame:
+def pull_requests(nodes: DataFrame, *more: str) -> DataFrame:
     n = lambda x: F.col(f"node.{x}")
     t = lambda x: n(x).cast("timestamp")
-    return nodes.select("repo_id", n("number").alias("number"), F.coalesce(n("title"), F.lit("")).alias("title"), n("body").alias("body"), F.lower(F.coalesce(n("state"), F.lit(""))).alias("state"), n("author.login").alias("author"), t("createdAt").alias("created_at"), t("mergedAt").alias("merged_at"), t("closedAt").alias("closed_at"), n("mergeCommit.oid").alias("merge_commit_sha"), n("baseRefName").alias("base_branch"), n("headRefName").alias("head_branch"), n("changedFiles").alias("files_changed_count"), n("additions").alias("additions"), n("deletions").alias("deletions"))
+    return nodes.select("repo_id", n("number").alias("number"), F.coalesce(n("title"), F.lit("")).alias("title"), n("body").alias("body"), F.lower(F.coalesce(n("state"), F.lit(""))).alias("state"), n("author.login").alias("author"), t("createdAt").alias("created_at"), t("mergedAt").alias("merged_at"), t("closedAt").alias("closed_at"), n("mergeCommit.oid").alias("merge_commit_sha"), n("baseRefName").alias("base_branch"), n("headRefName").alias("head_branch"), n("changedFiles").alias("files_changed_count"), n("additions").alias("additions"), n("deletions").alias("deletions"), *more)
 
 
-def issues(nodes: DataFrame) -> DataFrame:
+def issues(nodes: DataFrame, *more: str) -> DataFrame:
     n = lambda x: F.col(f"node.{x}")
     t = lambda x: n(x).cast("timestamp")
-    return nodes.select("repo_id", n("number").alias("number"), F.coalesce(n("title"), F.lit("")).alias("title"), n("body").alias("body"), F.lower(F.coalesce(n("state"), F.lit(""))).alias("state"), n("author.login").alias("author"), t("createdAt").alias("created_at"), t("closedAt").alias("closed_at"), F.coalesce(n("labels.nodes.name"), F.array().cast("array<string>")).alias("labels"))
+    return nodes.select("repo_id", n("number").alias("number"), F.coalesce(n("title"), F.lit("")).alias("title"), n("body").alias("body"), F.lower(F.coalesce(n("state"), F.lit(""))).alias("state"), n("author.login").alias("author"), t("createdAt").alias("created_at"), t("closedAt").alias("closed_at"), F.coalesce(n("labels.nodes.name"), F.array().cast("array<string>")).alias("labels"), *more)
 
 
 def comments(nodes: DataFrame, reviews: bool = False) -> DataFrame:
@@ -93,8 +95,10 @@ class PagedClient:
             if answer.get("errors"):
                 raise RuntimeError(f"query failed: {answer['errors'][0].get('message', '')}")
             limit = answer["data"].get("rateLimit") or {}
-            if limit.get("remaining", self.floor + 1) <= self.floor and limit.get("reset_in") is not None:
-                self._wait(limit["reset_in"])
+            if limit.get("remaining", self.floor + 1) <= self.floor and limit.get("resetAt"):
+                left = datetime.fromisoformat(limit["resetAt"].replace("Z", "+00:00")).timestamp() - self.now()
+                if left > 0:
+                    self.sleep(min(left, self.longest))
             return answer["data"]
         raise RuntimeError("no attempt left")
 
@@ -102,6 +106,67 @@ class PagedClient:
         self.sleep(min(max(seconds, 1.0), self.longest))
 
 
+def connection_of(data: dict, stage: str) -> dict | None:
+    """A page's connection; None where any step of the way to it is missing."""
+    for step in PATHS[stage].removeprefix("$.").split("."):
+        data = (data or {}).get(step)
+    return data
+
+
+def is_late(node: dict, since: datetime) -> bool:
+    """Updated before `since`, or at no time that can be read."""
+    try:
+        return datetime.fromisoformat(node["updatedAt"].replace("Z", "+00:00")) < since
+    except (KeyError, AttributeError, TypeError, ValueError):
+        return True
+
+
+def fetch_pages(client: PagedClient, query: str, variables: dict, stage: str, to: str, since: str | None = None) -> int:
+    """Write the pages of a connection to a folder, one file each, from the last one that is there; returns how many there are.
+
+    Paging ends with the last page, without a connection, or, for what comes newest first, at a page whose nodes are all
+    older than `since` (an ISO time): all later ones are older still. A page is stored before the next is asked for.
+    """
+    fs, base = _store(to)
+    fs.create_dir(base, recursive=True)
+    n, cursor = 0, None
+    cut = datetime.fromisoformat(since.replace("Z", "+00:00")) if since and stage != "commits" else None
+    if cut is not None and cut.tzinfo is None:
+        cut = cut.replace(tzinfo=UTC)
+    while (held := _read(fs, f"{base}/{stage}-{n}.json")) is not None:
+        n, last = n + 1, connection_of(json.loads(held), stage)
+        if _ended(last, cut):
+            return n
+        cursor = last["pageInfo"]["endCursor"]
+    while True:
+        data = client.execute(query, variables | {"cursor": cursor} | ({"since": since} if stage == "commits" and since else {}))
+        with fs.open_output_stream(f"{base}/{stage}-{n}.json") as f:
+            f.write(json.dumps(data).encode())
+        n, found = n + 1, connection_of(data, stage)
+        if _ended(found, cut):
+            return n
+        cursor = found["pageInfo"]["endCursor"]
+
+
+def _ended(connection: dict | None, cut: datetime | None) -> bool:
+    if connection is None or not (connection.get("pageInfo") or {}).get("hasNextPage"):
+        return True
+    nodes = connection.get("nodes") or []
+    return cut is not None and bool(nodes) and all(is_late(n or {}, cut) for n in nodes)
+
+
+def _store(path: str):
+    """(file system, path in it) of any address that pyarrow opens."""
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+
+
+def _read(store, path: str) -> str | None:
+    if store.get_file_info(path).type != fs.FileType.File:
+        return None
+    with store.open_input_stream(path) as f:
+        return f.read().decode()
+
+
 class PagesSource(DataSource):
     """Format "pages": cursor-paged JSON as a stream, one offset a page. Option `path`: a folder of <stage>-<n>.json files."""
 
@@ -124,11 +189,8 @@ class PagesReader(SimpleDataSourceStreamReader):
         return {"cursor": 0}
 
     def _page(self, n: int) -> str | None:
-        try:
-            with open(f"{self.path}/{self.stage}-{n}.json") as f:
-                return f.read()
-        except FileNotFoundError:
-            return None
+        store, base = _store(self.path)
+        return _read(store, f"{base}/{self.stage}-{n}.json")
 
     def read(self, start: dict):
         n, rows = start["cursor"], []
@@ -147,4 +209,4 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(PagesSource)
 
 
-__all__ = ["PagedClient", "PagesSource", "nodes_of", "register"]
+__all__ = ["PagedClient", "PagesSource", "fetch_pages", "nodes_of", "register"]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import subprocess
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,19 +15,33 @@ from lodestrata.functions.text import MAX_FILE_BYTES, MAX_FILES, language, skipp
 def scan_tree(spark: SparkSession, root: str, repo_id: int, with_text: bool = True) -> DataFrame:
     """repo_id, file_id, path, size_bytes, language, text of the files that a scan keeps.
 
-    The size limit is a filter that the file source takes itself, before any content is read. Bad bytes are replaced.
+    Names and sizes decide before any content is read; rows are in order of path. Bad bytes are replaced. Over the limit of
+    files nothing is read.
     """
     base = root.rstrip("/").removeprefix("file:")
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(F.col("length") <= MAX_FILE_BYTES)
-    path = F.regexp_replace(F.regexp_replace("path", r"^file:/*", "/"), f"^{re.escape(base)}/", "")
-    rows = raw.withColumn("rel", path).where(~skipped(F.col("rel"), F.col("length")))
-
-    @F.udf("string", useArrow=True)
-    def decoded(content):
-        return bytes(content).decode("utf-8", errors="replace")
-
-    columns = [F.lit(repo_id).cast("long").alias("repo_id"), F.xxhash64(F.lit(repo_id), "rel").alias("file_id"), F.col("rel").alias("path"), F.col("length").alias("size_bytes"), language(F.col("rel")).alias("language")]
-    return rows.select(*columns, *([decoded("content").alias("text")] if with_text else []))
+    # files are told by name and size first: content is not among the columns of that scan, so none is read
+    rel = lambda c: F.regexp_replace(F.regexp_replace(c, r"^file:/*", "/"), f"^{re.escape(base)}/", "")
+    listed = raw.select("path", F.col("length").alias("size_bytes"), rel(F.col("path")).alias("rel"))
+    kept = listed.where(~skipped(F.col("rel"), F.col("size_bytes")))
+    columns = [F.lit(repo_id).cast("long").alias("repo_id"), F.xxhash64(F.lit(repo_id), "rel").alias("file_id"), F.col("rel").alias("path"), "size_bytes", language(F.col("rel")).alias("language")]
+    if not with_text:
+        return kept.select(*columns).orderBy("path")
+
+    @F.arrow_udf("string")
+    def decoded(content: pa.Array) -> pa.Array:
+        return pa.array([None if c is None else c.as_buffer().to_pybytes().decode("utf-8", errors="replace") for c in content], pa.string())
+
+    # of several thousand files at most, the limit of a scan: their paths, and then their content alone
+    paths = [r.path for r in kept.select("path").limit(MAX_FILES + 1).collect()]
+    if not paths:
+        return kept.select(*columns, F.lit("").alias("text")).limit(0)
+    if len(paths) > MAX_FILES:
+        raise ValueError(f"more than {MAX_FILES} files")
+    escaped = [re.sub(r"([\\*?\[\]{}])", r"\\\1", x) for x in paths]
+    content = spark.read.format("binaryFile").load(escaped)
+    content = content.select(F.col("length").alias("size_bytes"), rel(F.col("path")).alias("rel"), decoded("content").alias("text"))
+    return content.select(*columns, "text").orderBy("path")
 
 
 def check_file_count(files: DataFrame, most: int = MAX_FILES) -> int:
@@ -73,7 +88,7 @@ def commit_stubs(shas: DataFrame, root: str) -> DataFrame:
         for b in batches:
             out = []
             for sha in b["sha"]:
-                got = subprocess.run(["git", "-C", root, "log", "-1", "--format=%H%x00%an%x00%ae%x00%aI%x00%B", sha], capture_output=True, text=True, errors="replace")
+                got = subprocess.run(["git", "-C", root, "log", "-1", "--format=%H%x00%an%x00%ae%x00%aI%x00%cI%x00%B", sha], capture_output=True, text=True, errors="replace")
                 out.append(got.stdout if got.returncode == 0 else None)
             yield b.assign(raw=out)
 
@@ -82,6 +97,9 @@ def commit_stubs(shas: DataFrame, root: str) -> DataFrame:
 
 
 def parse_commit_stub(raw):
-    """struct(sha, author_name, author_email, authored_at, message) from NUL-separated fields."""
-    p = F.split(raw, "\\x00", 5)
-    return F.when(F.size(p) == 5, F.struct(p[0].alias("sha"), p[1].alias("author_name"), p[2].alias("author_email"), p[3].try_cast("timestamp").alias("authored_at"), F.regexp_replace(p[4], r"\n+$", "").alias("message")))
+    """struct(sha, author_name, author_email, authored_at, committed_at, message) from NUL-separated fields; empty ones are null."""
+    p = F.split(raw, "\\x00", 6)
+    some = lambda i: F.nullif(p[i], F.lit(""))
+    times = [some(i).try_cast("timestamp").alias(n) for i, n in ((3, "authored_at"), (4, "committed_at"))]
+    fields = [p[0].alias("sha"), some(1).alias("author_name"), some(2).alias("author_email"), *times, F.regexp_replace(p[5], r"\n+$", "").alias("message")]
+    return F.when(F.size(p) == 6, F.struct(*fields))

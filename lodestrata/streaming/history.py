@@ -2,55 +2,87 @@
 
 from __future__ import annotations
 
-import os
-import shutil
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.plans.upsert import KEYS, UPDATED, upsert
+from lodestrata.schemas import conform
 from lodestrata.sources import history
+from lodestrata.tables import exists, names, remove
 
 ROWS = {"commits": ("commit", history.commits), "pull_requests": ("pull_request", history.pull_requests), "issues": ("issue", history.issues)}
+#: The column of a table's own ids, made from its key, so that a replay gives the same.
+IDS = {"commit": "commit_id", "pull_request": "pr_id", "issue": "issue_id"}
 
 
-def _versions(path: str) -> list[int]:
-    return sorted(int(x[1:]) for x in os.listdir(path) if x.startswith("v") and os.path.exists(f"{path}/{x}/_SUCCESS")) if os.path.isdir(path) else []
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    return sorted(int(x[1:]) for x in names(spark, path) if x.startswith("v") and exists(spark, f"{path}/{x}/_SUCCESS"))
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame | None:
     """The newest whole version of a table."""
-    found = _versions(path)
+    found = _versions(spark, path)
     return spark.read.parquet(f"{path}/v{found[-1]}") if found else None
 
 
 def write_version(df: DataFrame, path: str, version: int) -> None:
     """A version of its own, so that a table is never overwritten while it is read; the last two stay."""
     df.write.mode("overwrite").parquet(f"{path}/v{version}")
-    for old in _versions(path)[:-2]:
-        shutil.rmtree(f"{path}/v{old}")
+    for old in _versions(df.sparkSession, path)[:-2]:
+        remove(df.sparkSession, f"{path}/v{old}")
+
+
+def _log(df: DataFrame, path: str, stage: str, batch_id: int) -> None:
+    """A page's rows, beside the table: a replayed page writes the same folder again."""
+    df.withColumn("__page", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}-log/{stage}-{batch_id:09d}")
+
+
+def compact(spark: SparkSession, path: str, table: str) -> None:
+    """Take the log into a new version of the table, by one join for all its pages: of a key's rows the latest by
+    update, then by page, counts. The log goes last, so that what a crash leaves is taken again, with the same outcome.
+    """
+    logs = names(spark, f"{path}-log")
+    if not logs:
+        return
+    rows = spark.read.parquet(*[f"{path}-log/{x}" for x in logs])
+    old, versions = read_table(spark, path), _versions(spark, path)
+    order = [F.col("__updated").desc_nulls_last(), F.desc("__page"), F.desc(F.to_json(F.struct(*sorted(rows.columns))))]
+    empty = conform(rows.limit(0), table)
+    merged = upsert(old if old is not None else empty, rows, KEYS[table], UPDATED[table], order)
+    write_version(merged, path, versions[-1] + 1 if versions else 0)
+    for x in logs:
+        remove(spark, f"{path}-log/{x}")
 
 
 def ingest_stage(spark: SparkSession, pages: str, stage: str, repo_id: int, table_dir: str, checkpoint: str, since: str | None = None) -> dict:
-    """Take what pages of a stage are there and not yet taken; a replayed page changes nothing. Returns {count, done, error}."""
+    """Take what pages of a stage are there and not yet taken, comments and review bodies too; a replayed page changes
+    nothing. A page costs a page: tables are rewritten once, at the end. Returns {count, done, error}.
+    """
     history.register(spark)
     table, rows = ROWS[stage]
-    path = f"{table_dir}/{table}"
+    path, comments = f"{table_dir}/{table}", f"{table_dir}/comment"
 
     def take(batch: DataFrame, batch_id: int) -> None:
         nodes = history.nodes_of(batch.withColumn("repo_id", F.lit(repo_id).cast("long")), stage)
         if since is not None and stage != "commits":
             nodes = history.within(nodes, F.lit(since).cast("timestamp"))
-        new = rows(nodes.orderBy("number") if "number" in nodes.columns else nodes)
-        old = read_table(batch.sparkSession, path)
-        merged = upsert(old if old is not None else new.limit(0), new, KEYS[table], UPDATED[table])
-        write_version(merged, path, batch_id)
+        updated = F.col("node.updatedAt").try_cast("timestamp").alias("__updated")
+        new = rows(nodes.withColumn("__updated", updated), "__updated")
+        key = F.xxhash64(F.lit(table), *KEYS[table])
+        _log(conform(new.withColumn(IDS[table], key), table, "__updated"), path, stage, batch_id)
+        if stage != "commits":
+            said = history.comments(nodes)
+            if stage == "pull_requests":
+                said = said.unionByName(history.comments(nodes, reviews=True))
+            _log(conform(said, "comment").withColumn("__updated", F.lit(None).cast("timestamp")), comments, stage, batch_id)
 
     stream = spark.readStream.format("pages").option("path", pages).option("stage", stage).load()
     try:
         q = stream.writeStream.foreachBatch(take).option("checkpointLocation", f"{checkpoint}/{stage}").start()
         q.processAllAvailable()
         q.stop()
+        compact(spark, path, table)
+        compact(spark, comments, "comment")
     except Exception as e:  # noqa: BLE001  the state carries it
         return {"count": 0, "done": False, "error": f"{type(e).__name__}: {e}"[:500]}
     out = read_table(spark, path)
@@ -58,7 +90,10 @@ def ingest_stage(spark: SparkSession, pages: str, stage: str, repo_id: int, tabl
 
 
 def ingest_history(spark: SparkSession, pages: str, repo_id: int, table_dir: str, checkpoint: str, since: str | None = None, state: dict | None = None) -> dict:
-    """Commits, pull requests, issues; stages that the state has as done are not read again."""
+    """Commits, pull requests, issues; stages that the state has as done are not read again.
+
+    since: an ISO time; None: the settings' months before now are the caller's to give, as window_since makes them.
+    """
     state = dict(state or {})
     for stage in ROWS:
         if not state.get(stage, {}).get("done"):

@@ -77,6 +77,68 @@ def test_history_stream(spark, tmp_path):
     assert ingest_history(spark, str(pages), 1, out, cp, state={"pull_requests": {"done": True}, "issues": {"done": True}})["commits"]["count"] == 3
 
 
+def test_history_to_graph(spark, tmp_path):
+    """Pages to tables with ids, comments and the latest of several versions, and on to the graph's edges."""
+    from lodestrata.plans.ingest import build_graph
+
+    pages, out, cp = tmp_path / "pages", str(tmp_path / "t"), str(tmp_path / "cp")
+    pages.mkdir()
+    (pages / "commits-0.json").write_text(page("commits", [commit_node("aaa", "one")]))
+    newer = {**PR, "title": "A newer", "updatedAt": "2024-03-01T00:00:00Z"}
+    (pages / "pull_requests-0.json").write_text(page("pull_requests", [newer]))
+    (pages / "pull_requests-1.json").write_text(page("pull_requests", [PR]))
+    (pages / "issues-0.json").write_text(page("issues", [ISSUE]))
+    assert ingest_history(spark, str(pages), 1, out, cp)["status"] == "done"
+    commits, prs, issues, said = (read_table(spark, f"{out}/{t}") for t in ("commit", "pull_request", "issue", "comment"))
+    assert prs.first().title == "A newer"
+    assert sorted((r.number, r.github_id, r.comment_type) for r in said.collect()) == [(1, 5, "issue_comment"), (1, 6, "review_body")]
+    none = lambda s: spark.createDataFrame([], s)
+    chunks, files = none("repo_id long, chunk_id long, file_id long, start_line int"), none("file_id long, path string")
+    built = build_graph(chunks, files, none("repo_id long, path string, line int, sha string"), commits, prs, issues)
+    assert sorted(r.edge_type for r in built["edges"].collect()) == ["closed_by", "part_of", "references_issue"]
+    assert built["issues"].first().closing_pr_number == 1
+
+
+def test_fetch_pages(spark, tmp_path):
+    """Paging follows the cursor, resumes after the last page stored and ends at a page that is late as a whole."""
+    def body(n, times, more=True):
+        nodes = [{"number": 10 * n + i, "updatedAt": t} for i, t in enumerate(times)]
+        return {"repository": {"issues": {"nodes": nodes, "pageInfo": {"hasNextPage": more, "endCursor": f"c{n}"}}}}
+
+    new, old = "2024-05-01T00:00:00Z", "2020-01-01T00:00:00Z"
+    answers = {None: body(0, [new, new]), "c0": body(1, [new, old]), "c1": body(2, [old, None]), "c2": body(3, [old])}
+    asked = []
+
+    class Client:
+        fails = True
+
+        def execute(self, query, variables):
+            asked.append(variables["cursor"])
+            if self.fails and len(asked) == 2:
+                raise RuntimeError("down")
+            return answers[variables["cursor"]]
+
+    client, to = Client(), str(tmp_path / "pages")
+    with pytest.raises(RuntimeError):
+        history.fetch_pages(client, "q", {}, "issues", to, "2024-01-01T00:00:00Z")
+    client.fails = False
+    assert history.fetch_pages(client, "q", {}, "issues", to, "2024-01-01T00:00:00Z") == 3
+    assert asked == [None, "c0", "c0", "c1"]
+    assert history.fetch_pages(client, "q", {}, "issues", to, "2024-01-01T00:00:00Z") == 3 and len(asked) == 4
+    answers[None] = {"repository": None}
+    assert history.fetch_pages(client, "q", {}, "issues", str(tmp_path / "none")) == 1
+
+
+def test_rate_limit_reset():
+    slept = []
+    data = {"data": {"rateLimit": {"remaining": 3, "resetAt": "1970-01-01T00:02:00Z"}}}
+    client = history.PagedClient(lambda *_: (200, {}, json.dumps(data)), "t", sleep=slept.append, now=lambda: 100.0)
+    client.execute("q", {})
+    data["data"]["rateLimit"]["remaining"] = 51
+    client.execute("q", {})
+    assert slept == [20.0]
+
+
 def test_history_rows(spark):
     pages = spark.createDataFrame([(1, page("pull_requests", [PR]))], "repo_id long, page string")
     nodes = history.nodes_of(pages, "pull_requests")
@@ -139,8 +201,8 @@ def test_edges(spark):
     edges, unknown = graph.introduced_by(chunks, files, blame, commits)
     assert [(r.source_id, r.target_id, r.edge_metadata.blame_line) for r in edges.collect()] == [(11, 5, 1)] and [r.sha for r in unknown.collect()] == ["new"]
     assert graph.insert_edges(edges, edges).count() == 0
-    stub = spark.createDataFrame([("abc\0n\0e\0002024-01-01T00:00:00Z\0msg\n\n",), ("bad",)], "raw string").select(tree.parse_commit_stub(F.col("raw")).alias("s")).collect()
-    assert stub[0].s.message == "msg" and stub[1].s is None
+    stub = spark.createDataFrame([("abc\0n\0\0002024-01-01T00:00:00Z\0002024-01-02T00:00:00Z\0msg\n\n",), ("bad",)], "raw string").select(tree.parse_commit_stub(F.col("raw")).alias("s")).collect()
+    assert stub[0].s.message == "msg" and stub[0].s.author_email is None and stub[0].s.committed_at.day == 2 and stub[1].s is None
 
 
 def test_page_limits(spark):
