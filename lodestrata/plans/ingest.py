@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
+from datetime import UTC, datetime
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions import text as T
@@ -15,6 +17,7 @@ from lodestrata.operators import graph
 from lodestrata.operators.chunking import chunk_files
 from lodestrata.plans.upsert import insert_if_absent, replace_partitions
 from lodestrata.sources import tree
+from lodestrata.tables import remove, shared_dir
 
 
 def parse_url(url: str) -> tuple[str, str]:
@@ -26,21 +29,43 @@ def parse_url(url: str) -> tuple[str, str]:
     return m.group(1), m.group(2)
 
 
+def replace_repo(df: DataFrame, path: str, repo_id: int) -> None:
+    """A repository's rows of a table in place of those that it had, also where there are none any more."""
+    if df.take(1):
+        replace_partitions(df, path, ["repo_id"])
+    else:
+        remove(df.sparkSession, f"{path}/repo_id={repo_id}")
+
+
 def ingest_repo(spark: SparkSession, url: str, store: str, repo_id: int, local: str | None = None) -> dict:
-    """Files and chunks of a repository, in place of what the store had of it. local: a tree to read instead of cloning.
+    """Files and chunks of a repository, in place of what the store had of it. local: a tree to read instead of cloning, on
+    storage that executors share; a clone goes beside the tables.
 
-    Nothing is written when the address is malformed or the tree holds too many files. A file that can't be chunked has no chunks.
+    Nothing is written when the address is malformed or the tree holds too many files. What was made from former chunks
+    (their embeddings, postings and edges) goes. A file that can't be chunked has no chunks; if chunking fails as a whole,
+    the files stay and `chunk_error` says why.
     """
     owner, name = parse_url(url)
     branch = sha = None
     if local is None:
-        local = tempfile.mkdtemp(prefix="lodestrata-clone-")
+        local = f"{shared_dir(spark)}/lodestrata-clone-{uuid.uuid4().hex}"
         branch, sha = tree.clone(url, local)
     files = tree.scan_tree(spark, local, repo_id)
     n = tree.check_file_count(files)
-    replace_partitions(files.drop("text"), f"{store}/file", ["repo_id"])
-    replace_partitions(chunk_files(files), f"{store}/chunk", ["repo_id"])
-    return {"owner": owner, "name": name, "branch": branch, "sha": sha, "files": n, "root": local}
+    replace_repo(files.drop("text"), f"{store}/file", repo_id)
+    for table in ("embedding", "posting"):
+        remove(spark, f"{store}/{table}/repo_id={repo_id}/entity_type=chunk")
+    remove(spark, f"{store}/edge/repo_id={repo_id}/edge_type=introduced_by")
+    error = None
+    try:
+        replace_repo(chunk_files(files), f"{store}/chunk", repo_id)
+    except Exception as e:  # noqa: BLE001  files are of use without chunks
+        error = T.error_text(type(e).__name__, str(e))
+        remove(spark, f"{store}/chunk/repo_id={repo_id}")
+    row = [(owner, name, branch, sha, datetime.now(UTC), repo_id)]
+    schema = "owner string, name string, default_branch string, commit_sha string, ingested_at timestamp, repo_id bigint"
+    replace_partitions(spark.createDataFrame(row, schema), f"{store}/repo", ["repo_id"])
+    return {"owner": owner, "name": name, "branch": branch, "sha": sha, "files": n, "root": local, "chunk_error": error}
 
 
 def texts_to_embed(chunks: DataFrame | None, commits: DataFrame | None, prs: DataFrame | None, issues: DataFrame | None) -> dict[str, DataFrame]:
@@ -57,11 +82,38 @@ def texts_to_embed(chunks: DataFrame | None, commits: DataFrame | None, prs: Dat
     return out
 
 
-def embed_repo(texts: dict[str, DataFrame], store: str, dim: int = 384, embed: Callable[[Column], Column] | None = None, model: str = "hashing") -> None:
-    """One polymorphic table, partitioned by repository and type: a type without rows keeps what it had."""
-    vector = embed or (lambda c: hash_embed(c, dim))
-    rows = [t.select("repo_id", F.lit(kind).alias("entity_type"), "entity_id", vector(F.col("text")).cast("array<float>").alias("embedding"), F.lit(model).alias("model_name"), F.lit(dim).alias("dimension")) for kind, t in texts.items()]
-    replace_partitions(reduce(DataFrame.unionByName, rows), f"{store}/embedding", ["repo_id", "entity_type"])
+def batched(embed: Callable[[list[str]], list[list[float]]], size: int = 32) -> Callable[[Column], Column]:
+    """A model's function of a list of texts as a column of vectors, `size` texts at a time; a batch that fails gives nulls."""
+
+    @F.arrow_udf("array<float>")
+    def vectors(texts: pa.Array) -> pa.Array:
+        out = []
+        for at in range(0, len(texts), size):
+            part = texts.slice(at, size).to_pylist()
+            try:
+                out += embed(part)
+            except Exception:  # noqa: BLE001  others are embedded even so
+                out += [None] * len(part)
+        return pa.array(out, pa.list_(pa.float32()))
+
+    return lambda c: vectors(c)
+
+
+def embed_repo(texts: dict[str, DataFrame], store: str, dim: int = 384, embed: Callable[[Column], Column] | None = None, model: str = "hashing") -> dict[str, dict]:
+    """One polymorphic table, partitioned by repository and type, written a type at a time: a type without rows, or one
+    that fails, keeps what it had. Rows whose vector is null are skipped. Returns {type: {embedded, skipped, error}}.
+    """
+    vector, out = embed or (lambda c: hash_embed(c, dim)), {}
+    for kind, t in texts.items():
+        rows = t.select("repo_id", F.lit(kind).alias("entity_type"), "entity_id", vector(F.col("text")).cast("array<float>").alias("embedding"), F.lit(model).alias("model_name"), F.lit(dim).alias("dimension"))
+        seen = Observation()
+        try:
+            counted = rows.observe(seen, F.count("embedding").alias("embedded"), F.count_if(F.col("embedding").isNull()).alias("skipped"))
+            replace_partitions(counted.where("embedding is not null"), f"{store}/embedding", ["repo_id", "entity_type"])
+            out[kind] = {**seen.get, "error": None}
+        except Exception as e:  # noqa: BLE001  the status carries it
+            out[kind] = {"embedded": 0, "skipped": None, "error": T.error_text(type(e).__name__, str(e))}
+    return out
 
 
 def write_postings(rows: DataFrame, path: str, files: int) -> None:

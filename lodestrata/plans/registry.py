@@ -517,7 +517,10 @@ def history_flatten(spark, sf_dir):
     return flat.select("number", "title", "body", "state", F.unix_timestamp("created_at").alias("created"), F.array_join("labels", ",").alias("labels"), F.coalesce("n_comments", F.lit(0)).alias("n_comments"))
 
 
-@query("SELECT number FROM (VALUES (1)) t(number)")
+ISSUE_NODES = f"n AS (SELECT unnest(json_extract('{ISSUES}'::JSON, '$.repository.issues.nodes')::JSON[]) j)"
+
+
+@query(f"WITH {ISSUE_NODES} SELECT (j ->> 'number')::INT AS number FROM n WHERE replace(replace(j ->> 'updatedAt', 'T', ' '), 'Z', '')::TIMESTAMP >= TIMESTAMP '2024-06-01' - INTERVAL 360 DAY")
 def history_window(spark, sf_dir):
     """Issues updated within twelve months of a fixed day."""
     nodes = history.nodes_of(rows(spark, "repo_id long, page string", (0, ISSUES)), "issues")
@@ -529,3 +532,36 @@ def history_window(spark, sf_dir):
 def recover_jobs(spark, sf_dir):
     jobs = A.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job"), F.when(F.col("o_orderstatus") == "P", "in_progress").otherwise(F.col("o_orderstatus")).alias("status"))
     return upsert.recover_jobs(jobs)
+
+
+@query(f"""WITH {ISSUE_NODES}, c AS (SELECT (j ->> 'number')::INT number, unnest(json_extract(j, '$.comments.nodes')::JSON[]) c FROM n)
+SELECT number, (c ->> 'databaseId')::BIGINT AS github_id, c ->> '$.author.login' AS author, coalesce(c ->> 'body', '') AS body, 'issue_comment' AS comment_type FROM c""")
+def history_comments(spark, sf_dir):
+    nodes = history.nodes_of(rows(spark, "repo_id long, page string", (0, ISSUES)), "issues")
+    return history.comments(nodes).select("number", "github_id", "author", "body", "comment_type")
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey = 700")
+def point_lookup(spark, sf_dir):
+    return status.lookup(A.table(spark, sf_dir, "orders"), o_orderkey=700).select("o_orderkey", "o_custkey", "o_orderstatus")
+
+
+@query("""SELECT row_number() OVER (ORDER BY path)::INT AS nth, path, n_chunks FROM (SELECT 'src/' || source || '.py' AS path, count(*) AS n_chunks FROM documents WHERE source IS NOT NULL GROUP BY 1)""")
+def file_list(spark, sf_dir):
+    """Files in order of path, numbered as they are listed."""
+    listed = status.file_list(A.files(spark, sf_dir), A.chunks(spark, sf_dir)).select("path", "n_chunks")
+    return listed.withColumn("nth", F.row_number().over(Window.orderBy("path"))).select("nth", "path", "n_chunks")
+
+
+@query("""WITH p AS (SELECT o_orderkey pr, 'Order ' || o_orderkey title, 'fixes #' || (o_custkey % 50) || case when o_orderkey % 3 = 0 then ', closes #7' else '' end body, o_orderstatus = 'F' merged FROM orders),
+l AS (SELECT DISTINCT pr, n.num, merged FROM (SELECT pr, merged, unnest([x::BIGINT FOR x IN regexp_extract_all(body, '(?i)\\b(?:close[sd]?|fix(?:es|ed)?|resolve[sd]?)\\b[\\s:-]*#(\\d+)', 1)]) num FROM p) n),
+i AS (SELECT n_nationkey num FROM nation) SELECT 'references_issue' AS edge_type, pr AS source_id, num AS target_id FROM l SEMI JOIN i USING (num)
+UNION ALL SELECT 'closed_by', num, pr FROM l SEMI JOIN i USING (num) WHERE merged""")
+def history_to_graph(spark, sf_dir):
+    """Pull requests and issues to their edges: references by closing words, and what merged ones closed."""
+    o = A.table(spark, sf_dir, "orders")
+    body = F.concat(F.lit("fixes #"), (F.col("o_custkey") % 50).cast("string"), F.when(F.col("o_orderkey") % 3 == 0, ", closes #7").otherwise(""))
+    prs = o.select(F.lit(0).alias("repo_id"), F.col("o_orderkey").alias("pr_id"), F.col("o_orderkey").cast("int").alias("number"), F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")).alias("title"), body.alias("body"), F.when(F.col("o_orderstatus") == "F", F.lit("2024-01-01")).alias("merged_at"))
+    issues = A.table(spark, sf_dir, "nation").select(F.lit(0).alias("repo_id"), F.col("n_nationkey").cast("long").alias("issue_id"), F.col("n_nationkey").cast("int").alias("number"), F.lit(None).cast("int").alias("closing_pr_number"))
+    references, closed, _ = graph.pr_issue_links(prs, issues)
+    return references.unionByName(closed).select("edge_type", "source_id", "target_id").distinct()

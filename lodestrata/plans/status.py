@@ -52,3 +52,14 @@ def _all_of(counts: DataFrame, values: list[str], key: str, columns: list[str])
 def keyset_page(df: DataFrame, key: str, after, limit: int) -> DataFrame:
     """The next rows by key: a filter that a scan can push down, and a top-k."""
     return (df if after is None else df.where(F.col(key) > after)).orderBy(key).limit(limit)
+
+
+def lookup(df: DataFrame, **key) -> DataFrame:
+    """The row of a key: equalities that a scan pushes down. No row where there is none."""
+    return reduce(lambda out, kv: out.where(F.col(kv[0]) == kv[1]), key.items(), df).limit(1)
+
+
+def file_list(files: DataFrame, chunks: DataFrame, repo_id: int | None = None) -> DataFrame:
+    """Files in order of path, with their numbers of chunks."""
+    own = files if repo_id is None else files.where(F.col("repo_id") == repo_id)
+    return file_chunk_counts(own, chunks).orderBy("path")

@@ -249,3 +249,78 @@ def test_schemas(spark):
     chunk = chunk_files(spark.createDataFrame([(0, 1, "Python", PYTHON)], "repo_id long, file_id long, language string, text string"))
     assert schemas.conform(chunk, "chunk").schema.simpleString() == schemas.schema("chunk").simpleString() and schemas.conform(chunk, "chunk").count() == 8
     assert all(schemas.schema(t).names[0] == "repo_id" for t in schemas.TABLES)
+
+
+def test_replace_drops_what_hung_on_it(spark, tmp_path):
+    """A tree without chunks leaves none, nor embeddings and edges of former ones; another repository's rows stay."""
+    from lodestrata.plans import ingest
+
+    root, store = tmp_path / "r", str(tmp_path / "store")
+    root.mkdir()
+    (root / "a.py").write_text("def f():\n    return 1\n")
+    (root / "logo.png").write_bytes(b"x" * 10)
+    for repo in (1, 2):
+        assert ingest.ingest_repo(spark, "https://github.com/o/r", store, repo, str(root))["chunk_error"] is None
+    chunks = spark.read.parquet(f"{store}/chunk")
+    got = ingest.embed_repo(ingest.texts_to_embed(chunks, None, None, None), store, 8)
+    assert got == {"chunk": {"embedded": 2, "skipped": 0, "error": None}}
+    (root / "a.py").unlink()
+    (root / "b.txt").write_text("plain")
+    assert ingest.ingest_repo(spark, "https://github.com/o/r", store, 1, str(root))["files"] == 1
+    left = lambda t: {r.repo_id for r in spark.read.parquet(f"{store}/{t}").select("repo_id").collect()}
+    assert left("chunk") == {2} and left("embedding") == {2} and left("file") == {1, 2} and left("repo") == {1, 2}
+
+
+def test_batches_that_fail(spark, tmp_path):
+    from lodestrata.plans import ingest
+
+    def embed(texts):
+        if "bad" in texts:
+            raise RuntimeError("no")
+        return [[float(len(t))] for t in texts]
+
+    chunks = spark.createDataFrame([(1, i, "bad" if i == 5 else "x" * i) for i in range(1, 9)], "repo_id long, chunk_id long, content string").coalesce(1)
+    got = ingest.embed_repo(ingest.texts_to_embed(chunks, None, None, None), str(tmp_path), 1, ingest.batched(embed, 2))
+    assert got["chunk"] == {"embedded": 6, "skipped": 2, "error": None}
+    assert sorted(r.entity_id for r in spark.read.parquet(f"{tmp_path}/embedding").collect()) == [1, 2, 3, 4, 7, 8]
+
+
+def test_jobs(spark, tmp_path):
+    from lodestrata.plans import jobs
+
+    store, seen = str(tmp_path), []
+    assert jobs.status(spark, store, 1, "graph")["status"] == "pending"
+
+    def work(report):
+        report(0.5)
+        seen.append(jobs.status(spark, store, 1, "graph"))
+        assert jobs.run(spark, store, 1, "graph", lambda r: 1 / 0)["status"] == "in_progress"
+
+    assert jobs.run(spark, store, 1, "graph", work)["status"] == "done" and (seen[0]["status"], seen[0]["progress"]) == ("in_progress", 0.5)
+    failed = jobs.run(spark, store, 2, "graph", lambda r: 1 / 0)
+    assert failed["status"] == "failed" and failed["error"].startswith("ZeroDivisionError") and failed["completed_at"]
+
+    def dies(report):
+        raise KeyboardInterrupt
+
+    with pytest.raises(KeyboardInterrupt):
+        jobs.run(spark, store, 3, "graph", dies)
+    assert {(r.repo_id, r.status) for r in jobs.recover(spark, store).collect()} == {(1, "done"), (2, "failed"), (3, "failed")}
+
+
+def test_tables_made_once(spark, tmp_path):
+    from lodestrata import tables
+
+    made = []
+
+    def make():
+        made.append(1)
+        return {"t": (spark.range(5), lambda df, path: df.write.parquet(path))}
+
+    for _ in range(2):
+        assert tables.kept(spark, f"test-{tmp_path.name}", {"t": "id bigint"}, make)["t"].count() == 5
+    assert len(made) == 1
+    (tmp_path / "a").write_text("x")
+    before = tables.fingerprint(spark, str(tmp_path))
+    (tmp_path / "a").write_text("xy")
+    assert tables.fingerprint(spark, str(tmp_path)) != before
