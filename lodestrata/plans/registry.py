@@ -451,16 +451,16 @@ CITE = r"\[(chunk|commit|pr|issue):(none|[A-Za-z0-9_-]{1,16})\]"
 @query(rf"""WITH RECURSIVE a AS (SELECT * FROM {values(*ANSWERS)} v(answer_id, answer)),
 l AS (SELECT answer_id, unnest(string_split(coalesce(answer, ''), chr(10))) line, generate_subscripts(string_split(coalesce(answer, ''), chr(10)), 1) nth FROM a),
 m AS (SELECT *, regexp_extract(line, '^\s*(`{{3,}}|~{{3,}})', 1) mark,
-      coalesce(sum(length(line) + 1) OVER (PARTITION BY answer_id ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) at FROM l),
+      coalesce(sum(length(line) + 1) OVER (PARTITION BY answer_id ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) before FROM l),
 s AS (SELECT answer_id, 0::BIGINT nth, '' fence, false scanned FROM a UNION ALL
       SELECT m.answer_id, m.nth, CASE WHEN mark = '' THEN fence WHEN fence = '' THEN mark WHEN mark[1] = fence[1] AND length(mark) >= length(fence) THEN '' ELSE fence END,
              mark = '' AND fence = '' FROM s JOIN m ON m.answer_id = s.answer_id AND m.nth = s.nth + 1),
-b AS (SELECT m.answer_id, at, list_reduce(list_prepend(line, regexp_extract_all(line, '``(?:[^`]|`[^`])*``|`[^`]+`')), lambda x, y: replace(x, y, repeat(' ', length(y)))) line
+b AS (SELECT m.answer_id, before, list_reduce(list_prepend(line, regexp_extract_all(line, '``(?:[^`]|`[^`])*``|`[^`]+`')), lambda x, y: replace(x, y, repeat(' ', length(y)))) line
       FROM m JOIN s ON m.answer_id = s.answer_id AND m.nth = s.nth WHERE scanned),
-t AS (SELECT answer_id, at, string_split_regex(line, '{CITE}') parts, regexp_extract_all(line, '{CITE}') toks FROM b),
+t AS (SELECT answer_id, before, string_split_regex(line, '{CITE}') parts, regexp_extract_all(line, '{CITE}') toks FROM b),
 u AS (SELECT *, unnest(range(1, len(toks) + 1)) i FROM t),
 c AS (SELECT answer_id, regexp_extract(toks[i], '{CITE}', 1) entity_type, regexp_extract(toks[i], '{CITE}', 2) display_id, length(toks[i]) n,
-      at + list_sum([length(x) FOR x IN parts[1:i]]) + coalesce(list_sum([length(x) FOR x IN toks[1:i - 1]]), 0) start FROM u),
+      before + list_sum([length(x) FOR x IN parts[1:i]]) + coalesce(list_sum([length(x) FOR x IN toks[1:i - 1]]), 0) start FROM u),
 w AS (SELECT answer_id, max_by(fence, nth) fence FROM s GROUP BY 1)
 SELECT a.answer_id::INT AS answer_id, entity_type, display_id, start::INT AS start, (start + n)::INT AS "end", CASE WHEN fence <> '' THEN 'fence_unterminated' ELSE '' END AS warnings
 FROM a JOIN w ON a.answer_id = w.answer_id LEFT JOIN c ON a.answer_id = c.answer_id""")
