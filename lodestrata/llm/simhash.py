@@ -233,7 +233,7 @@ def keep_one(docs: DataFrame, radius: int = 4) -> DataFrame:
     """docs without near copies: one row of each group stays, the smallest by (doc_id, fingerprint, text hash).
 
     A row without a doc_id stays only if no other of its group has one. Of rows alike in doc_id and text the smallest
-    by all columns stays.
+    by all columns as JSON stays, so that columns that have no order, such as maps, may be there.
     """
     groups = stash(_grouped(docs, radius, 4, F.xxhash64("text").alias("th")), "groups")
     own, h, row = fresh(docs, "__id", "__h", "__row")
@@ -244,5 +244,6 @@ def keep_one(docs: DataFrame, radius: int = 4) -> DataFrame:
     again = groups.groupBy("doc_id", "th").count().where("count > 1").select(*key)
     if not again.take(1):
         return kept
-    least = kept.join(again, same).groupBy(own, h).agg(F.min(F.struct(*docs.columns)).alias(row)).select(f"{row}.*")
+    whole = F.struct(*docs.columns)
+    least = kept.join(again, same).groupBy(own, h).agg(F.min_by(whole, F.to_json(whole)).alias(row)).select(f"{row}.*")
     return kept.join(again, same, "left_anti").unionByName(least)
