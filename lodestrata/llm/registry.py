@@ -9,6 +9,7 @@ from lodestrata.llm.packing import op5_best_fit_packing
 from lodestrata.llm.pieces import op13_sentencepiece
 from lodestrata.llm.pii import op7_pii
 from lodestrata.llm.quality import op9_quality_classifier
+from lodestrata.llm.resample import OP11_SQL, op11_importance_resampling
 from lodestrata.llm.rules import op10_quality_rules
 from lodestrata.llm.simhash import op2_simhash
 from lodestrata.llm.tokenfile import op1_token_output
@@ -27,8 +28,9 @@ QUERIES = {
         op8_embedding_dedup,
         op9_quality_classifier,
         op10_quality_rules,
+        op11_importance_resampling,
         op13_sentencepiece,
     )
 }
 #: Only what SQL can express on whole tables; the others are tested against brute force.
-SQL = {"op6_mixing": OP6_SQL, "op8_embedding_dedup": OP8_SQL}
+SQL = {"op6_mixing": OP6_SQL, "op8_embedding_dedup": OP8_SQL, "op11_importance_resampling": OP11_SQL}
