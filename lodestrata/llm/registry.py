@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lodestrata.llm.embeddings import OP8_SQL, op8_embedding_dedup
 from lodestrata.llm.lines import op3_line_dedup
+from lodestrata.llm.manifest import OP12_SQL, op12_merkle_manifest
 from lodestrata.llm.mixing import OP6_SQL, op6_mixing
 from lodestrata.llm.packing import op5_best_fit_packing
 from lodestrata.llm.pieces import op13_sentencepiece
@@ -29,8 +30,9 @@ QUERIES = {
         op9_quality_classifier,
         op10_quality_rules,
         op11_importance_resampling,
+        op12_merkle_manifest,
         op13_sentencepiece,
     )
 }
 #: Only what SQL can express on whole tables; the others are tested against brute force.
-SQL = {"op6_mixing": OP6_SQL, "op8_embedding_dedup": OP8_SQL, "op11_importance_resampling": OP11_SQL}
+SQL = {"op6_mixing": OP6_SQL, "op8_embedding_dedup": OP8_SQL, "op11_importance_resampling": OP11_SQL, "op12_merkle_manifest": OP12_SQL}
