@@ -129,7 +129,7 @@ class Tokens:
         else:
             self.keys = self.keys.filter(pa.array(which))
             start, self.count = self.start[which], self.count[which]
-            self.ids = self.ids[_spread(start, self.count)]
+            self.ids = self.ids[spread(start, self.count)]
             self.start = np.cumsum(self.count) - self.count
         self.used = np.zeros(len(self.keys), bool)
 
@@ -197,13 +197,13 @@ class Tokens:
         begin, count = self.start[at], self.count[at]
         before = np.concatenate(([0], np.cumsum(count)))[rows]
         if end is None:
-            return self.ids[_spread(begin, count)], before
+            return self.ids[spread(begin, count)], before
         # the end id as one more word of each row
         count, begin = np.insert(count, rows[1:], 1), np.insert(begin, rows[1:], len(self.ids))
-        return np.append(self.ids, np.uint32(end))[_spread(begin, count)], before + np.arange(len(before))
+        return np.append(self.ids, np.uint32(end))[spread(begin, count)], before + np.arange(len(before))
 
 
-def _spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+def spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     """start[0], ..., start[0] + n[0] - 1, start[1], ...: places in 32 bits where they fit."""
     total = np.cumsum(n)
     size = int(total[-1]) if len(total) else 0
