@@ -16,8 +16,8 @@ from lodestrata.llm.common import fresh, slices
 
 #: The library's sign for a space.
 BAR = "▁"
-#: Words, pairs of tokens whose answers a worker holds; beyond that it starts anew.
-WORDS, PAIRS = 400_000, 1_000_000
+#: Words (twice), pairs of tokens whose answers a worker holds; beyond that it forgets words not met since, or all pairs.
+WORDS, PAIRS = 500_000, 1_000_000
 #: A longer word isn't held.
 LONG_WORD = 64
 SPACED = re.compile(" +[^ ]+| +$")
@@ -30,7 +30,7 @@ class PrefixTable:
     where each neighbouring pair is the encoding of its own text. Every prefix of a text therefore has one last token:
     of the tokens that end there, found by an Aho-Corasick automaton, the one that is compatible with the last token
     of the prefix before it. A text's ids are read from that table backwards, in time linear in its length. Texts are
-    cut before spaces and around line feeds where no token reaches across, and words met before are looked up.
+    cut before spaces, and between characters that stand side by side in no token; parts met before are looked up.
     """
 
     def __init__(self, path: str) -> None:
@@ -58,7 +58,7 @@ class PrefixTable:
             self.piece.append(c)
             self.out.append(self.fallback(c))
         self.apart = all(" " not in p.lstrip(" ") for p in self.piece)
-        self.lines = all("\n" not in p for p in self.piece)
+        self.joined = {p[i : i + 2] for p in self.piece for i in range(len(p) - 1)}
         self.automaton = ahocorasick.Automaton()
         for p, k in self.id_of.items():
             self.automaton.add_word(p, (len(p), k))
@@ -122,6 +122,11 @@ class PrefixTable:
         out.reverse()
         return b"".join(out)
 
+    def parts(self, text: str) -> list[str]:
+        """The text cut wherever no token can reach across."""
+        cuts = [i for i in range(1, len(text)) if text[i - 1 : i + 1] not in self.joined]
+        return [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)])]
+
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids of a whole text; an empty one has none."""
         if not text:
@@ -139,21 +144,23 @@ class PrefixTable:
 
 
 class _Held(dict):
-    """Ids by word, with or without a space before it."""
+    """Ids by word, with or without a space before it: two generations, of which the elder is dropped when the younger is full."""
 
     def __init__(self, table: PrefixTable, before: str) -> None:
         super().__init__()
-        self.table, self.before = table, before
+        self.table, self.before, self.elder = table, before, {}
 
     def __missing__(self, word: str) -> bytes:
-        table = self.table
-        if table.lines and "\n" in word:
-            first, *rest = word.split("\n")
-            feed = table.fallback("\n")
-            return self[first] + b"".join([feed + (table.bare[x] if x else b"") for x in rest])
-        got = table.word(self.before + word)
-        if len(word) <= LONG_WORD:
+        got, rest = self.elder.get(word), []
+        if got is None:
+            table, text = self.table, self.before + word
+            # letters alone are hardly ever apart
+            first, *rest = [text] if word.isalpha() else table.parts(text)
+            got = self[first[len(self.before) :]] + b"".join([table.bare[x] for x in rest]) if rest else table.word(text)
+        # words that a line feed or several signs join are seldom met again
+        if len(word) <= LONG_WORD and len(rest) < 2:
             if len(self) >= WORDS:
+                self.elder = dict(self)
                 self.clear()
             self[word] = got
         return got

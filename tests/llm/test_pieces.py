@@ -59,6 +59,7 @@ def test_caches_may_be_small(own, monkeypatch):
     monkeypatch.setattr(pieces, "WORDS", 3)
     monkeypatch.setattr(pieces, "PAIRS", 5)
     own.spaced.clear()
+    own.spaced.elder.clear()
     own.pairs.clear()
     text = "these are some words that these caches cannot hold all at once " * 20
     assert ids(own, text) == own.sp.encode(text)
