@@ -5,8 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -146,50 +144,6 @@ def hybrid_topk(embeddings: DataFrame, arms: dict[str, DataFrame], query: str, q
     return fused_topk({"vector": near, "bm25": found}, k, rrf_k)
 
 
-def nearest(embeddings: DataFrame, queries: DataFrame, k: int, block: int = 2000) -> DataFrame:
-    """(q, vec_id, score, r) of the k nearest by cosine of each query (q, embedding) among embeddings (vec_id, embedding); ties by vec_id.
-
-    A query is not its own neighbour. Queries are taken a block at a time, a number that bounds what is broadcast; a task
-    keeps k rows for each query of a block, whatever it reads.
-    """
-    spark, n = embeddings.sparkSession, queries.count()
-    found = []
-    for at in range(max(1, -(-n // block))):
-        own = queries.where(F.pmod(F.xxhash64("q"), F.lit(max(1, -(-n // block)))) == at)
-        # some more than a block at times, by the hash
-        held = [(r[0], r[1]) for r in own.select("q", "embedding").collect()]
-        found.append(_nearest_block(spark, embeddings, held, k))
-    near = reduce(DataFrame.unionByName, found)
-    number = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
-    return near.withColumn("r", number).where(F.col("r") <= k)
-
-
-def _nearest_block(spark, embeddings: DataFrame, held: list, k: int) -> DataFrame:
-    q = np.array([i for i, _ in held], np.int64)
-    v = np.array([x for _, x in held], np.float64).reshape(len(held), -1)
-    shared = spark.sparkContext.broadcast((q, v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)))
-
-    def run(batches):
-        q, v = shared.value
-        best, ids = np.full((len(q), k), -np.inf), np.full((len(q), k), np.iinfo(np.int64).max)
-        for b in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024) if len(q)):
-            own = b.column(0).to_numpy()
-            e = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
-            s = v @ (e / np.maximum(np.linalg.norm(e, axis=1, keepdims=True), 1e-300)).T
-            s[q[:, None] == own[None]] = -np.inf
-            # rows among the k best of some query, with all that tie
-            least = np.maximum(best[:, -1:], np.partition(s, -k, axis=1)[:, -k:][:, :1]) if s.shape[1] > k else best[:, -1:]
-            some = (s >= least).any(axis=0)
-            s, own = s[:, some], own[some]
-            both, names = np.hstack((best, s)), np.hstack((ids, np.broadcast_to(own, s.shape)))
-            top = np.lexsort((names, -both))[:, :k]
-            best, ids = np.take_along_axis(both, top, 1), np.take_along_axis(names, top, 1)
-        i, j = np.nonzero(np.isfinite(best))
-        yield pa.RecordBatch.from_arrays([pa.array(q[i]), pa.array(ids[i, j]), pa.array(best[i, j])], names=["q", "vec_id", "score"])
-
-    return embeddings.where("embedding is not null").select(F.col("vec_id").cast("long"), "embedding").mapInArrow(run, "q long, vec_id long, score double")
-
-
 def keyword_scorer(keyword: str) -> Callable[[Column], Column]:
     """A stand-in for a cross-encoder: how often the keyword occurs."""
     return lambda text: F.regexp_count(F.lower(text), F.lit(f"\\Q{keyword.lower()}\\E")).cast("double")

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions.analyze import postings
 from lodestrata.functions.text import basename, first_line
+from lodestrata.operators.neighbours import GraphIndex, build_graph_index, read_graph_index
 from lodestrata.operators.search import ENTITY_TYPES
 from lodestrata.plans.ingest import write_postings
 from lodestrata.schemas import TABLES
-from lodestrata.tables import fingerprint, kept
+from lodestrata.tables import built, fingerprint, kept
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +63,12 @@ def index(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], DataF
     return {k: held["posting"].where(F.col("entity_type") == k) for k in ENTITY_TYPES}, held["length"]
 
 
+def graph_index(spark: SparkSession, sf_dir: str) -> GraphIndex:
+    """The graph index over embeddings: built when first asked for, and again when a file changes."""
+    name = f"graph-index-{fingerprint(spark, f'{sf_dir}/embeddings.parquet')}"
+    return read_graph_index(spark, built(spark, name, lambda path: build_graph_index(table(spark, sf_dir, "embeddings"), path)))
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """part -> orders -> customer -> nation, and back from nation, in the shape of the entity graph."""
     line, orders, customer = (table(spark, sf_dir, n) for n in ("lineitem", "orders", "customer"))

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import functools
+import math
 import os
 import re
+import threading
 import time
 import warnings
-from collections import deque
 from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, field, fields
 from functools import reduce
@@ -76,23 +77,26 @@ class Tables:
     repo_id: int = 0
 
 
-class RateLimiter:
-    """At most `per_minute` calls in any 60 seconds; 0 or less: no limit."""
+class Pacer:
+    """Start times for calls, `per_minute` in any 60 seconds; 0 or less: at once.
+
+    A ring holds the last `per_minute` starts; a call takes the place of the oldest and starts 60 seconds after it at the
+    earliest. Places are given under a lock, waiting is done outside it.
+    """
 
     def __init__(self, per_minute: int, now: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep) -> None:
-        self.n, self.now, self.sleep, self.calls = per_minute, now, sleep, deque()
+        self.now, self.sleep, self.lock = now, sleep, threading.Lock()
+        self.starts, self.given = [-math.inf] * max(per_minute, 0), 0
 
-    def acquire(self) -> None:
-        if self.n <= 0:
+    def wait(self) -> None:
+        if not self.starts:
             return
-        while True:
-            t = self.now()
-            while self.calls and t - self.calls[0] >= 60:
-                self.calls.popleft()
-            if len(self.calls) < self.n:
-                self.calls.append(t)
-                return
-            self.sleep(60 - (t - self.calls[0]))
+        with self.lock:
+            place = self.given % len(self.starts)
+            self.given += 1
+            self.starts[place] = start = max(self.now(), self.starts[place] + 60)
+        if (left := start - self.now()) > 0:
+            self.sleep(left)
 
 
 class CannedModel:
@@ -214,9 +218,9 @@ def context_of(t: Tables, question: str, category: str, s: Settings, retriever:
 
 
 @functools.lru_cache(16)
-def limiter(per_minute: int) -> RateLimiter:
+def pacer(per_minute: int) -> Pacer:
     """One for all calls with this limit, so that it does limit them."""
-    return RateLimiter(per_minute)
+    return Pacer(per_minute)
 
 
 @dataclass
@@ -262,7 +266,7 @@ def answer(spark: SparkSession, t: Tables, question: str, model=None, s: Setting
     prompt = _prepare(spark, t, question, s, override, retriever, model)
     if not prompt.messages:
         return prompt.out
-    limiter(s.requests_per_minute).acquire()
+    pacer(s.requests_per_minute).wait()
     began = time.monotonic()
     text = model.generate(prompt.messages)
     prompt.out.trace["seconds"]["generate"] = round(time.monotonic() - began, 4)
@@ -281,7 +285,7 @@ def stream_answer(spark: SparkSession, t: Tables, question: str, model=None, s:
         yield "sources", prompt.out.sources
         text = []
         if prompt.messages:
-            limiter(s.requests_per_minute).acquire()
+            pacer(s.requests_per_minute).wait()
             for token in model.stream(prompt.messages):
                 text.append(token)
                 yield "token", token

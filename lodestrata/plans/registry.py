@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lodestrata.functions import text as T
 from lodestrata.functions import vectors as V
 from lodestrata.functions.analyze import STOP_WORDS, query_lexemes
-from lodestrata.operators import citations, graph, search
+from lodestrata.operators import citations, graph, neighbours, search
 from lodestrata.operators.chunking import chunk_files
 from lodestrata.plans import adapters as A
 from lodestrata.plans import status, upsert
@@ -490,11 +490,29 @@ def recall_at_k(spark, sf_dir):
     e = A.table(spark, sf_dir, "embeddings")
     queries = e.where("vec_id % 100 = 0").select(F.col("vec_id").cast("long").alias("q"), "embedding")
     label = lambda k: e.select(F.col("vec_id").cast("long").alias(k), F.col("label").alias(f"{k}_label"))
-    top = search.nearest(e, queries, 5).join(label("q"), "q").join(label("vec_id"), "vec_id")
+    top = neighbours.nearest(e, queries, 5).join(label("q"), "q").join(label("vec_id"), "vec_id")
     hit = (F.col("q_label") == F.col("vec_id_label")).cast("int")
     return top.groupBy(F.col("q").alias("vec_id")).agg(F.round(F.avg(hit), 6).alias("precision_at_5"))
 
 
+@query("""WITH q AS (SELECT vec_id, embedding::DOUBLE[] v FROM embeddings WHERE vec_id % 100 = 0),
+s AS (SELECT q.vec_id q, e.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(e.embedding::DOUBLE[], q.v), 12) DESC, e.vec_id) r FROM q, embeddings e WHERE e.vec_id <> q.vec_id)
+SELECT q, vec_id, r::INT AS r FROM s WHERE r <= 10""")
+def nearest_join(spark, sf_dir):
+    """The ten nearest of every vector whose id is divisible by 100, among all vectors."""
+    e = A.table(spark, sf_dir, "embeddings")
+    queries = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), "embedding")
+    return neighbours.nearest(e, queries, 10).select("q", "vec_id", "r")
+
+
+@query()
+def nearest_by_graph(spark, sf_dir):
+    """The same by the graph index, approximately; the index is built when first asked for. tests/test_neighbours.py has its recall."""
+    e = A.table(spark, sf_dir, "embeddings")
+    queries = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), "embedding")
+    return neighbours.graph_nearest(A.graph_index(spark, sf_dir), queries, 10).select("q", "vec_id", "r", F.round("score", 6).alias("score"))
+
+
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey > 500 ORDER BY o_orderkey LIMIT 50")
 def keyset_page(spark, sf_dir):
     return status.keyset_page(A.table(spark, sf_dir, "orders"), "o_orderkey", 500, 50).select("o_orderkey", "o_custkey")

@@ -7,6 +7,7 @@ import hashlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,6 +47,13 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def stash(df: DataFrame, what: str) -> DataFrame:
+    """df written to a new table in the shared folder and read back: lineage ends, and lost executors cost a task."""
+    path = f"{shared_dir(df.sparkSession)}/lodestrata-{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def fingerprint(spark: SparkSession, *paths: str) -> str:
     """A digest of the files under some paths: their names, sizes and times."""
     seen = []
@@ -58,18 +66,28 @@ def fingerprint(spark: SparkSession, *paths: str) -> str:
     return hashlib.md5("\n".join(sorted(seen)).encode()).hexdigest()
 
 
-def kept(spark: SparkSession, name: str, schemas: dict[str, str], make) -> dict[str, DataFrame]:
-    """Tables that are made once and read from then on. make() -> {table: (DataFrame, write)}; write(df, path) writes one.
+def built(spark: SparkSession, name: str, make: Callable[[str], object]) -> str:
+    """The folder that make(path) writes once, under a name in the shared folder.
 
-    They are written to a folder of their own and renamed at the end, so that no half of them is ever read.
+    It is written under a name of its own and renamed at the end, so that no half of it is ever read.
     """
     path = f"{shared_dir(spark)}/lodestrata-{name}"
     if not exists(spark, path):
         part = f"{path}-{uuid.uuid4().hex}"
-        for table, (df, write) in make().items():
-            write(df, f"{part}/{table}")
+        make(part)
         fs, source = file_system(spark, part)
         if not fs.rename(source, file_system(spark, path)[1]):
             # another session was first
             remove(spark, part)
+    return path
+
+
+def kept(spark: SparkSession, name: str, schemas: dict[str, str], make) -> dict[str, DataFrame]:
+    """Tables that are made once and read from then on. make() -> {table: (DataFrame, write)}; write(df, path) writes one."""
+
+    def write_all(part: str) -> None:
+        for table, (df, write) in make().items():
+            write(df, f"{part}/{table}")
+
+    path = built(spark, name, write_all)
     return {table: spark.read.schema(schema).parquet(f"{path}/{table}") for table, schema in schemas.items()}

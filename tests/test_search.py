@@ -182,7 +182,7 @@ def test_classifiers(spark):
 
 
 def test_limiter_is_shared():
-    assert A.limiter(7) is A.limiter(7)
+    assert A.pacer(7) is A.pacer(7)
 
 
 def test_settings_from_environment():
@@ -199,29 +199,35 @@ def test_repository_scope(spark):
     assert [r.entity_id for r in search.lexical_topk({"chunk": p}, "x", 5, repo_id=1).collect()] == [5]
 
 
-def test_nearest(spark):
-    """Blocks of queries against brute force, ties by id."""
-    import numpy as np
-
-    rng = np.random.default_rng(3)
-    v = rng.normal(size=(300, 5))
-    v[10:14] = v[20]
-    e = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(5)
-    q = e.where("vec_id % 10 = 0").select(F.col("vec_id").alias("q"), "embedding")
-    got = {(r.q, r.r): r.vec_id for r in search.nearest(e, q, 4, block=7).collect()}
-    u = v / np.linalg.norm(v, axis=1, keepdims=True)
-    for i in range(0, 300, 10):
-        s = np.round(u @ u[i], 12)
-        order = [j for j in np.lexsort((np.arange(300), -s)) if j != i][:4]
-        assert [got[i, k + 1] for k in range(4)] == order
-
-
 def test_limits():
     clock = [0.0]
-    limiter = A.RateLimiter(2, lambda: clock[0], lambda s: clock.__setitem__(0, clock[0] + s))
+    pacer = A.Pacer(2, lambda: clock[0], lambda s: clock.__setitem__(0, clock[0] + s))
     for _ in range(5):
-        limiter.acquire()
+        pacer.wait()
     assert clock[0] == 120.0
+    A.Pacer(0, sleep=lambda s: pytest.fail("no limit")).wait()
+
+
+def test_limits_of_threads():
+    """Sixteen calls from eight threads: never more than four starts within a minute."""
+    import threading
+
+    lock, starts, slept = threading.Lock(), [], []
+    pacer = A.Pacer(4, lambda: 0.0, slept.append)
+
+    def call():
+        for _ in range(2):
+            pacer.wait()
+            with lock:
+                starts.append(1)
+
+    threads = [threading.Thread(target=call) for _ in range(8)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert len(starts) == 16 and sorted(slept) == [60.0] * 4 + [120.0] * 4 + [180.0] * 4
+
+
+def test_settings():
     with pytest.raises(ValueError, match="rrf_k"):
         A.Settings(rrf_k=0)
 
