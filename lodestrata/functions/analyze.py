@@ -1,83 +1,16 @@
-"""English analysis for full-text search: tokens, stop words, Porter stems (Porter 1980)."""
+"""English analysis for full-text search: tokens, stop words, stems."""
 
 from __future__ import annotations
 
-import functools
 import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = r"(?U)[\p{L}\p{N}_]+"
-# Words that are neither indexed nor searched for.
-STOP_WORDS = "a an and are as at be been but by do does for from had has have he her his how i if in into is it its me my no not of on or our she so than that the their them then there these they this to was we were what when which who will with you your".split()
-
-
-def _measure(stem: str) -> int:
-    form = "".join("v" if c in "aeiou" or (c == "y" and i and stem[i - 1] not in "aeiou") else "c" for i, c in enumerate(stem))
-    return len(re.findall("v+c+", form))
-
-
-def _has_vowel(stem: str) -> bool:
-    return any(c in "aeiou" or (c == "y" and i and stem[i - 1] not in "aeiou") for i, c in enumerate(stem))
-
-
-def _short(word: str) -> bool:
-    return len(word) > 2 and word[-1] not in "aeiouwxy" and (word[-2] in "aeiouy") and word[-3] not in "aeiou"
-
-
-# Suffix rules of steps 2 to 4 of the published algorithm.
-_STEP2 = {"ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "abli": "able", "alli": "al", "entli": "ent", "eli": "e", "ousli": "ous", "ization": "ize", "ation": "ate", "ator": "ate", "alism": "al", "iveness": "ive", "fulness": "ful", "ousness": "ous", "aliti": "al", "iviti": "ive", "biliti": "ble"}
-_STEP3 = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic", "ful": "", "ness": ""}
-_STEP4 = ["al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize"]
-
-
-@functools.lru_cache(100_000)
-def stem(w: str) -> str:
-    """The Porter stem of a lower-case word; others than a-z stay."""
-    if len(w) <= 2 or not w.isascii() or not w.isalpha():
-        return w
-    if w.endswith("sses") or w.endswith("ies"):
-        w = w[:-2]
-    elif w.endswith("s") and not w.endswith("ss"):
-        w = w[:-1]
-    if w.endswith("eed"):
-        w = w[:-1] if _measure(w[:-3]) > 0 else w
-    else:
-        for end in ("ed", "ing"):
-            if w.endswith(end) and _has_vowel(w[: -len(end)]):
-                w = w[: -len(end)]
-                if w.endswith(("at", "bl", "iz")):
-                    w += "e"
-                elif len(w) > 1 and w[-1] == w[-2] and w[-1] not in "aeioulsz":
-                    w = w[:-1]
-                elif _measure(w) == 1 and _short(w):
-                    w += "e"
-                break
-    if w.endswith("y") and _has_vowel(w[:-1]):
-        w = w[:-1] + "i"
-    for rules in (_STEP2, _STEP3):
-        for end in sorted(rules, key=len, reverse=True):
-            if w.endswith(end):
-                if _measure(w[: -len(end)]) > 0:
-                    w = w[: -len(end)] + rules[end]
-                break
-    for end in sorted(_STEP4, key=len, reverse=True):
-        if w.endswith(end):
-            base = w[: -len(end)]
-            if _measure(base) > 1 and (end != "ion" or base[-1:] in ("s", "t")):
-                w = base
-            break
-    if w.endswith("e"):
-        m = _measure(w[:-1])
-        if m > 1 or (m == 1 and not _short(w[:-1])):
-            w = w[:-1]
-    if w.endswith("ll") and _measure(w) > 1:
-        w = w[:-1]
-    return w
-
+from lodestrata.functions.stem import SPECIAL, STOP_WORDS, stem
 
+TOKEN = r"(?U)[\p{L}\p{N}_]+"
 def query_lexemes(query: str) -> list[str]:
     """Distinct stems of a query's tokens, in order."""
     words = [w for w in re.findall(r"\w+", query.lower()) if w not in STOP_WORDS]
@@ -88,15 +21,27 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
 
 
+def stems(words: Column) -> Column:
+    """The stem of each word, in Arrow batches: for distinct words."""
+
+    @F.udf("string", useArrow=True)
+    def stemmed(word):
+        return stem(word)
+
+    return stemmed(words)
+
+
 def postings(entities: DataFrame, segments: dict[str, str], lexemes: list[str] | None = None) -> DataFrame:
     """entity_type, entity_id, lexeme, pos, weight of every indexed token.
 
     segments: column -> weight letter, in the order in which they are joined; later ones' positions follow on. Stop words
     hold a place and are not indexed. Stemming runs once for each distinct word, not for each token.
     lexemes: only postings of entities that may hold them all, and of tokens that may have them as stem, for one search
-    without an index. A stem differs from its word's beginning in two letters at most, so a token's first letters tell.
+    without an index. A stem differs from its word's beginning in two letters at most, so a token's first letters tell; the few
+    words whose stems are given share their first letter with them.
     """
-    begins = [x[: max(1, len(x) - 2)] for x in lexemes or []]
+    given = set(SPECIAL.values())
+    begins = [x[:1] if x in given else x[: max(1, len(x) - 2)] for x in lexemes or []]
     tagged = F.concat(*[F.transform(tokens(F.col(c)), _tag(letter)) for c, letter in segments.items()])
     placed = F.transform(tagged, lambda t, i: F.struct((i + 1).alias("pos"), t["word"].alias("word"), t["weight"].alias("weight")))
     if lexemes is not None:
@@ -106,11 +51,7 @@ def postings(entities: DataFrame, segments: dict[str, str], lexemes: list[str] |
     rows = entities.select("entity_type", "entity_id", F.explode(placed).alias("t")).select("entity_type", "entity_id", "t.pos", "t.word", "t.weight")
     rows = rows.where(~F.col("word").isin(STOP_WORDS))
 
-    @F.udf("string", useArrow=True)
-    def stemmed(word):
-        return stem(word)
-
-    words = rows.select("word").distinct().withColumn("lexeme", stemmed("word"))
+    words = rows.select("word").distinct().withColumn("lexeme", stems(F.col("word")))
     if lexemes is not None:
         words = words.where(F.col("lexeme").isin(lexemes))
     return rows.join(words, "word").select("entity_type", "entity_id", "lexeme", "pos", "weight")

@@ -10,10 +10,9 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions.analyze import query_lexemes
 from lodestrata.functions.vectors import cosine, vector
+from lodestrata.operators import blocks as B
 
 ENTITY_TYPES = ["chunk", "commit", "pr", "issue"]
-#: Weights of the segments of a search document.
-WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2, "D": 0.1}
 KEYS = ["entity_type", "entity_id"]
 
 
@@ -48,10 +47,6 @@ def vector_topk(embeddings: DataFrame, query, k: int, types: set[str] | None = N
     return rows.select(*KEYS, sim.alias("score")).where("score is not null").withColumn("distance", 1 - F.col("score")).orderBy(F.desc("score"), *KEYS).limit(k)
 
 
-def _weight(letter: Column) -> Column:
-    return reduce(lambda out, kv: F.when(letter == kv[0], kv[1]).otherwise(out), WEIGHTS.items(), F.lit(0.0))
-
-
 def matches(postings: DataFrame, lexemes: list[str]) -> DataFrame:
     """Postings of the entities that hold every lexeme. The filter on lexemes comes first, so a scan sorted by it skips files."""
     hit = postings.where(F.col("lexeme").isin(lexemes))
@@ -67,10 +62,10 @@ def cover_density(postings: DataFrame, lexemes: list[str]) -> DataFrame:
     A cover is a shortest stretch that holds every lexeme; it adds the harmonic mean of its weights over one plus the number of
     other tokens inside it. A single lexeme: the sum of its weights.
     """
-    hit = matches(postings, lexemes).withColumn("w", _weight(F.col("weight")))
+    hit = matches(postings, lexemes).withColumn("w", B.weight_of(F.col("weight")))
     if len(lexemes) == 1:
         # by counts of each weight, so that the sum doesn't depend on the order of rows
-        each = [F.count_if(F.col("weight") == letter) * F.lit(w) for letter, w in WEIGHTS.items()]
+        each = [F.count_if(F.col("weight") == letter) * F.lit(w) for letter, w in B.WEIGHTS.items()]
         return hit.groupBy(*KEYS).agg(reduce(lambda a, b: a + b, each).alias("rank"))
     here = Window.partitionBy(*KEYS).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     seen = {f"_{i}": F.max(F.when(F.col("lexeme") == x, F.struct("pos", "w"))).over(here) for i, x in enumerate(lexemes)}
@@ -100,21 +95,57 @@ def okapi(postings: DataFrame, lexemes: list[str], k1: float = 1.2, b: float = 0
     return scored.groupBy(*KEYS).agg(F.sum(part).alias("rank"), F.count("*").alias("n")).where(F.col("n") == len(lexemes)).drop("n")
 
 
-def lexical_topk(arms: dict[str, DataFrame], query: str, k: int, types: set[str] | None = None, scorer: str = "cover", norm: str = "saturate", repo_id: int | None = None, lengths: DataFrame | None = None) -> DataFrame:
-    """The k best of the union of typed arms (postings by entity type); arms of other types are never planned.
+def _best(ranked: DataFrame, k: int, norm: str) -> DataFrame:
+    score = F.col("rank") / (F.col("rank") + 1) if norm == "saturate" else F.col("rank")
+    # sums of the same parts in another order are no difference
+    return ranked.select(*KEYS, score.alias("score")).orderBy(F.desc(F.round("score", 12)), *KEYS).limit(k)
+
+
+def lexical_topk(arms: dict[str, DataFrame] | B.BlockIndex, query: str, k: int, types: set[str] | None = None, scorer: str = "cover", norm: str = "saturate", repo_id: int | None = None, lengths: DataFrame | None = None) -> DataFrame:
+    """The k best of the union of typed arms (postings by entity type); arms of other types are never planned. arms: or an index of blocks.
 
     norm: "saturate" is rank / (rank + 1), "none" the rank itself. A query without a searchable word finds nothing.
     repo_id: only postings of this repository; ids of entities are unique within one. lengths: see okapi.
     """
-    chosen = [df for t, df in arms.items() if types is None or t in types]
     lexemes = query_lexemes(query)
+    if isinstance(arms, B.BlockIndex):
+        return _indexed_topk(arms, lexemes, k, types, scorer, norm, repo_id)
+    chosen = [df for t, df in arms.items() if types is None or t in types]
     if not chosen or not lexemes:
         return next(iter(arms.values())).select(*KEYS, F.lit(0.0).alias("score")).limit(0)
     union = of_repo(reduce(DataFrame.unionByName, chosen), repo_id)
-    ranked = okapi(union, lexemes, lengths=lengths) if scorer == "bm25" else cover_density(union, lexemes)
-    score = F.col("rank") / (F.col("rank") + 1) if norm == "saturate" else F.col("rank")
-    # sums of the same parts in another order are no difference
-    return ranked.select(*KEYS, score.alias("score")).orderBy(F.desc(F.round("score", 12)), *KEYS).limit(k)
+    return _best(okapi(union, lexemes, lengths=lengths) if scorer == "bm25" else cover_density(union, lexemes), k, norm)
+
+
+def _indexed_topk(index: B.BlockIndex, lexemes: list[str], k: int, types: set[str] | None, scorer: str, norm: str, repo_id: int | None) -> DataFrame:
+    rows = index.of(types, repo_id)
+    if not lexemes or types == set():
+        return rows.select("entity_type", F.col("block").alias("entity_id"), F.lit(0.0).alias("score")).limit(0)
+    held = rows.where(F.col("lexeme").isin(lexemes))
+    if scorer == "bm25":
+        own = of_repo(of_types(index.lengths, types), repo_id)
+        return _best(okapi(B.unpacked(held), lexemes, lengths=own), k, norm)
+    return bounded_topk(held, lexemes, k, norm)[0]
+
+
+def bounded_topk(held: DataFrame, lexemes: list[str], k: int, norm: str = "saturate", steps: tuple[int, ...] = B.STEPS) -> tuple[DataFrame, int | None]:
+    """(the k best by cover density, blocks read; None: all) of the blocks of some lexemes.
+
+    Blocks are read in order of their bounds, some at first and then more, until the k-th best so far is above the bound of
+    all that is left; where the last step doesn't suffice all are read. k rows and the bounds of a step reach the driver.
+    """
+    bound = B.bounds(held, lexemes)
+    for n in steps:
+        chosen, left = B.first_blocks(bound, n)
+        if left is None:
+            break
+        part = held.join(F.broadcast(chosen.select("repo_id", "entity_type", "block")), ["repo_id", "entity_type", "block"], "left_semi")
+        found = _best(cover_density(B.unpacked(part), lexemes), k, "none")
+        rows = found.collect()
+        if len(rows) == k and rows[-1].score > left * (1 + 1e-9):
+            score = F.col("score") / (F.col("score") + 1) if norm == "saturate" else F.col("score")
+            return held.sparkSession.createDataFrame(rows, found.schema).select(*KEYS, score.alias("score")), n
+    return _best(cover_density(B.unpacked(held), lexemes), k, norm), None
 
 
 def ranked(pointers: DataFrame) -> DataFrame:

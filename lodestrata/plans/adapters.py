@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions.analyze import postings
 from lodestrata.functions.text import basename, first_line
+from lodestrata.operators.blocks import SCHEMA as BLOCKS
+from lodestrata.operators.blocks import BlockIndex, block_postings, write_blocks
 from lodestrata.operators.neighbours import GraphIndex, build_graph_index, read_graph_index
 from lodestrata.operators.search import ENTITY_TYPES
-from lodestrata.plans.ingest import write_postings
-from lodestrata.schemas import TABLES
-from lodestrata.tables import built, fingerprint, kept
+from lodestrata.tables import built, fingerprint, stash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,32 +35,48 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.substring("source", 4, 9).cast("long").alias("file_id"), F.concat(F.lit("src/"), F.col("source"), F.lit(".py")).alias("path"))
 
 
+#: What of a page is no text.
+MARKUP = "(?is)<script.*?</script>|<style.*?</style>|<[^>]*>"
+#: A turn's id: its conversation's, so many turns apart.
+TURNS = 1_000_000
+
+
+def turn_id() -> Column:
+    return (F.col("conv_id") * TURNS + F.col("turn")).cast("long")
+
+
 def arms(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Search documents by type: columns a, b, d of the segments."""
+    """Search documents by type: columns a, b, d of the segments. Documents, every turn of every conversation, whole pages, benchmark items."""
     t = lambda n: table(spark, sf_dir, n)
-    key = lambda kind, c: [F.lit(kind).alias("entity_type"), F.col(c).cast("long").alias("entity_id")]
+    key = lambda kind, c: [F.lit(kind).alias("entity_type"), c.cast("long").alias("entity_id")]
     none = F.lit("")
+    title, text = F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1), F.regexp_replace("html", MARKUP, " ")
     return {
-        "chunk": t("documents").select(*key("chunk", "doc_id"), F.col("source").alias("a"), none.alias("b"), F.col("text").alias("d")),
-        "commit": t("conversations").where("turn = 0").select(*key("commit", "conv_id"), first_line(F.col("text")).alias("a"), F.col("text").alias("b"), none.alias("d")),
-        "pr": t("pages").select(*key("pr", "page_id"), basename(F.col("url")).alias("a"), F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1).alias("b"), none.alias("d")),
-        "issue": t("benchmark").select(*key("issue", "item_id"), none.alias("a"), F.col("text").alias("b"), none.alias("d")),
+        "chunk": t("documents").select(*key("chunk", F.col("doc_id")), F.col("source").alias("a"), none.alias("b"), F.col("text").alias("d")),
+        "commit": t("conversations").select(*key("commit", turn_id()), first_line(F.col("text")).alias("a"), F.col("text").alias("b"), none.alias("d")),
+        "pr": t("pages").select(*key("pr", F.col("page_id")), basename(F.col("url")).alias("a"), title.alias("b"), text.alias("d")),
+        "issue": t("benchmark").select(*key("issue", F.col("item_id")), none.alias("a"), F.col("text").alias("b"), none.alias("d")),
     }
 
 
-def index(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], DataFrame]:
-    """(postings by entity type, lengths) of the search documents: written when first asked for, and again when a file changes."""
+def index(spark: SparkSession, sf_dir: str) -> BlockIndex:
+    """Blocks of postings of the search documents, and lengths: written by the first that asks, and again when a file changes.
+
+    Building is a step of its own (the query index_build); what comes after only reads.
+    """
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def make():
+    def make(path: str) -> None:
         each = [postings(df, {"a": "A", "b": "B", "d": "D"}) for df in arms(spark, sf_dir).values()]
-        rows = reduce(DataFrame.unionByName, each).withColumn("repo_id", F.lit(0).cast("long"))
-        lengths = rows.groupBy("repo_id", "entity_type", "entity_id").agg(F.count("*").alias("len"))
-        return {"posting": (rows, lambda df, path: write_postings(df, path, partitions)), "length": (lengths, lambda df, path: df.write.parquet(path))}
+        rows = stash(reduce(DataFrame.unionByName, each).withColumn("repo_id", F.lit(0).cast("long")), "postings")
+        rows.groupBy("repo_id", "entity_type", "entity_id").agg(F.count("*").alias("len")).write.parquet(f"{path}/length")
+        lengths = spark.read.parquet(f"{path}/length")
+        write_blocks(block_postings(rows, lengths), f"{path}/block", partitions)
 
     sources = [f"{sf_dir}/{t}.parquet" for t in ("documents", "conversations", "pages", "benchmark")]
-    held = kept(spark, f"index-{fingerprint(spark, *sources)}", {"posting": TABLES["posting"], "length": "repo_id bigint, entity_type string, entity_id bigint, len bigint"}, make)
-    return {k: held["posting"].where(F.col("entity_type") == k) for k in ENTITY_TYPES}, held["length"]
+    path = built(spark, f"blocks-{fingerprint(spark, *sources)}", make)
+    read = lambda name, schema: spark.read.schema(schema).parquet(f"{path}/{name}")
+    return BlockIndex(read("block", BLOCKS), read("length", "repo_id bigint, entity_type string, entity_id bigint, len bigint"))
 
 
 def graph_index(spark: SparkSession, sf_dir: str) -> GraphIndex:

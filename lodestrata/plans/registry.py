@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import text as T
 from lodestrata.functions import vectors as V
-from lodestrata.functions.analyze import STOP_WORDS, query_lexemes
+from lodestrata.functions.analyze import STOP_WORDS, query_lexemes, stems, tokens
 from lodestrata.operators import citations, graph, neighbours, search
+from lodestrata.operators.blocks import unpacked
 from lodestrata.operators.chunking import chunk_files
 from lodestrata.plans import adapters as A
 from lodestrata.plans import status, upsert
+from lodestrata.plans.stem_sql import stem_sql
 from lodestrata.sources import history, tree
 from lodestrata.streaming.history import requests_in_window
 
@@ -101,63 +103,86 @@ def hash_embed(spark, sf_dir):
     return e.select("item_id", F.size(F.filter("v", lambda x: x > 0)).alias("n_slots"), F.round(F.array_max("v"), 6).alias("largest"))
 
 
-DOC_POST = r"p AS (SELECT doc_id entity_id, unnest(regexp_extract_all(lower(source || ' ' || text), '[\p{L}\p{N}_]+')) w, generate_subscripts(regexp_extract_all(lower(source || ' ' || text), '[\p{L}\p{N}_]+'), 1) pos FROM documents)"
-TERM, TERM2 = "nding", "erth"
+#: Tokens of documents with their places, and the stems of all their words.
+DOC_POST = rf"""p AS (SELECT doc_id entity_id, unnest(regexp_extract_all(lower(source || ' ' || text), '[\p{{L}}\p{{N}}_]+')) w,
+  generate_subscripts(regexp_extract_all(lower(source || ' ' || text), '[\p{{L}}\p{{N}}_]+'), 1) pos FROM documents),
+dw AS (SELECT DISTINCT w AS word FROM p), st AS (SELECT * FROM {stem_sql("dw")}),
+ps AS (SELECT entity_id, pos, stem FROM p JOIN st ON w = word)"""
+TERM, TERM2, TERM3 = "nding", "erth", "nd"
+NDING, ERTH, ND = (f"'{query_lexemes(t)[0]}'" for t in (TERM, TERM2, TERM3))
 STOPS = "(" + ", ".join(f"'{w}'" for w in STOP_WORDS) + ")"
-#: Words with the stems of the terms.
-NDING, ERTH, ND = "('nding', 'ndings', 'ndinge', 'ndinges', 'ndinged', 'ndinging')", "('erth', 'erths', 'erthe', 'erthes', 'erthed', 'erthing', 'erthness')", "('nd', 'nds')"
+NDING_RANKS = f"{DOC_POST}, r AS (SELECT entity_id, count(*) * CAST(0.1 AS DOUBLE) rank FROM ps WHERE stem = {NDING} GROUP BY entity_id)"
 
+#: Segments of the search documents: every turn, whole pages.
+SEGMENTS_SQL = f"""seg AS (SELECT 'chunk' t, doc_id id, 'A' wt, source txt FROM documents UNION ALL SELECT 'chunk', doc_id, 'D', text FROM documents
+  UNION ALL SELECT 'commit', conv_id::BIGINT * {A.TURNS} + turn, 'A', split_part(text, chr(10), 1) FROM conversations
+  UNION ALL SELECT 'commit', conv_id::BIGINT * {A.TURNS} + turn, 'B', text FROM conversations
+  UNION ALL SELECT 'pr', page_id::BIGINT, 'A', string_split(url, '/')[-1] FROM pages
+  UNION ALL SELECT 'pr', page_id::BIGINT, 'B', regexp_extract(html, '(?is)<title>(.*?)</title>', 1) FROM pages
+  UNION ALL SELECT 'pr', page_id::BIGINT, 'D', regexp_replace(html, '{A.MARKUP}', ' ', 'g') FROM pages
+  UNION ALL SELECT 'issue', item_id::BIGINT, 'B', text FROM benchmark),
+w AS (SELECT t, id, wt, unnest(regexp_extract_all(lower(coalesce(txt, '')), '[\\p{{L}}\\p{{N}}_]+')) w FROM seg)"""
+
+
+@query(f"""WITH {SEGMENTS_SQL}, dw AS (SELECT DISTINCT w AS word FROM w), st AS (SELECT * FROM {stem_sql("dw")}),
+x AS (SELECT t, id, stem FROM w JOIN st ON w = word WHERE w NOT IN {STOPS})
+SELECT t AS entity_type, count(*) AS n_postings, count(DISTINCT stem) AS n_lexemes, count(DISTINCT id) AS n_entities FROM x GROUP BY t""")
+def index_build(spark, sf_dir):
+    """The build of the full-text index, and what it holds by type."""
+    blocks = A.index(spark, sf_dir).blocks
+    each = blocks.select("entity_type", "lexeme", F.explode("entities").alias("e"))
+    held = each.groupBy("entity_type").agg(F.sum(F.size("e.at")).alias("n_postings"), F.count_distinct("lexeme").alias("n_lexemes"))
+    entities = A.index(spark, sf_dir).lengths.groupBy("entity_type").agg(F.count("*").alias("n_entities"))
+    return held.join(entities, "entity_type")
 
-NDING_RANKS = f"{DOC_POST}, r AS (SELECT entity_id, count(*) * CAST(0.1 AS DOUBLE) rank FROM p WHERE w IN {NDING} GROUP BY entity_id)"
+
+@query(rf"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) AS word FROM documents) SELECT * FROM {stem_sql("w")}""")
+def word_stems(spark, sf_dir):
+    """The stem of every word of documents."""
+    words = A.table(spark, sf_dir, "documents").select(F.explode(tokens(F.col("text"))).alias("word")).distinct()
+    return words.withColumn("stem", stems(F.col("word")))
 
 
 @query(f"""WITH {NDING_RANKS} SELECT 'chunk' AS entity_type, entity_id, round(rank / (rank + 1), 6) AS score FROM r
 ORDER BY round(rank / (rank + 1), 12) DESC, entity_id LIMIT 20""")
 def fts_single_term(spark, sf_dir):
-    return rounded(search.lexical_topk(A.index(spark, sf_dir)[0], TERM, 20, {"chunk"}))
+    return rounded(search.lexical_topk(A.index(spark, sf_dir), TERM, 20, {"chunk"}))
 
 
-@query(rf"""WITH {DOC_POST} SELECT entity_id FROM p WHERE w IN {NDING} OR w IN {ERTH} GROUP BY entity_id
-HAVING count(DISTINCT CASE WHEN w IN {ERTH} THEN 2 ELSE 1 END) = 2""")
+@query(f"WITH {DOC_POST} SELECT entity_id FROM ps WHERE stem IN ({NDING}, {ERTH}) GROUP BY entity_id HAVING count(DISTINCT stem) = 2")
 def fts_all_terms(spark, sf_dir):
-    return search.matches(A.index(spark, sf_dir)[0]["chunk"], query_lexemes(f"{TERM} {TERM2}")).select("entity_id").distinct()
+    lexemes = query_lexemes(f"{TERM} {TERM2}")
+    held = A.index(spark, sf_dir).of({"chunk"}, None).where(F.col("lexeme").isin(lexemes))
+    return search.matches(unpacked(held), lexemes).select("entity_id").distinct()
 
 
-@query(rf"""WITH {DOC_POST}, h AS (SELECT entity_id, pos, CASE WHEN w IN {ERTH} THEN 2 ELSE 1 END t FROM p WHERE w IN {ND} OR w IN {ERTH}),
+@query(f"""WITH {DOC_POST}, h AS (SELECT entity_id, pos, CASE WHEN stem = {ERTH} THEN 2 ELSE 1 END t FROM ps WHERE stem IN ({ND}, {ERTH})),
 s AS (SELECT entity_id, pos, max(pos) FILTER (t = 1) OVER w1 a, max(pos) FILTER (t = 2) OVER w1 b FROM h
       WINDOW w1 AS (PARTITION BY entity_id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
 c AS (SELECT entity_id, least(a, b) start, min(pos) stop FROM s WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY entity_id, least(a, b)),
 r AS (SELECT entity_id, sum(CAST(2 AS DOUBLE) / 20 / (1 + greatest(stop - start - 1, 0))) rank FROM c GROUP BY entity_id)
 SELECT 'chunk' AS entity_type, entity_id, round(rank / (rank + 1), 6) AS score FROM r ORDER BY round(rank / (rank + 1), 12) DESC, entity_id LIMIT 10""")
 def cover_density_two_term(spark, sf_dir):
-    return rounded(search.lexical_topk(A.index(spark, sf_dir)[0], "nd erth", 10, {"chunk"}))
+    return rounded(search.lexical_topk(A.index(spark, sf_dir), f"{TERM3} {TERM2}", 10, {"chunk"}))
 
 
-@query(rf"""WITH seg AS (SELECT 'chunk' t, doc_id id, 'A' wt, source txt FROM documents UNION ALL SELECT 'chunk', doc_id, 'D', text FROM documents
-  UNION ALL SELECT 'commit', conv_id::BIGINT, 'A', split_part(text, chr(10), 1) FROM conversations WHERE turn = 0
-  UNION ALL SELECT 'commit', conv_id::BIGINT, 'B', text FROM conversations WHERE turn = 0
-  UNION ALL SELECT 'pr', page_id::BIGINT, 'A', string_split(url, '/')[-1] FROM pages
-  UNION ALL SELECT 'pr', page_id::BIGINT, 'B', regexp_extract(html, '(?is)<title>(.*?)</title>', 1) FROM pages
-  UNION ALL SELECT 'issue', item_id::BIGINT, 'B', text FROM benchmark),
-w AS (SELECT t, id, wt, unnest(regexp_extract_all(lower(coalesce(txt, '')), '[\p{{L}}\p{{N}}_]+')) w FROM seg),
-n AS (SELECT t, id, count(*) FILTER (wt = 'A') a, count(*) FILTER (wt = 'B') b, count(*) FILTER (wt = 'D') d FROM w WHERE w IN {NDING} GROUP BY 1, 2),
+@query(f"""WITH {SEGMENTS_SQL}, dw AS (SELECT DISTINCT w AS word FROM w), st AS (SELECT * FROM {stem_sql("dw")}),
+n AS (SELECT t, id, count(*) FILTER (wt = 'A') a, count(*) FILTER (wt = 'B') b, count(*) FILTER (wt = 'D') d FROM w JOIN st ON w = word WHERE stem = {NDING} GROUP BY 1, 2),
 r AS (SELECT t, id, a * 1.0::DOUBLE + b * 0.4::DOUBLE + d * 0.1::DOUBLE rank FROM n)
 SELECT t AS entity_type, id AS entity_id, round(rank / (rank + 1), 6) AS score FROM r ORDER BY round(rank / (rank + 1), 12) DESC, t, id LIMIT 30""")
 def fts_union_arms(spark, sf_dir):
-    return rounded(search.lexical_topk(A.index(spark, sf_dir)[0], TERM, 30))
+    return rounded(search.lexical_topk(A.index(spark, sf_dir), TERM, 30))
 
 
-@query(rf"""WITH {DOC_POST}, q AS (SELECT * FROM p WHERE w NOT IN {STOPS}), len AS (SELECT entity_id, count(*) len FROM q GROUP BY 1),
-st AS (SELECT count(*)::DOUBLE n, avg(len) mean FROM len),
-hit AS (SELECT entity_id, CASE WHEN w IN {ERTH} THEN 2 ELSE 1 END t, count(*) tf FROM q WHERE w IN {NDING} OR w IN {ERTH} GROUP BY 1, 2),
-df AS (SELECT t, count(*) df FROM hit GROUP BY 1),
+@query(f"""WITH {DOC_POST}, q AS (SELECT * FROM p WHERE w NOT IN {STOPS}), len AS (SELECT entity_id, count(*) len FROM q GROUP BY 1),
+sizes AS (SELECT count(*)::DOUBLE n, avg(len) mean FROM len),
+hit AS (SELECT entity_id, stem, count(*) tf FROM ps WHERE stem IN ({NDING}, {ERTH}) GROUP BY 1, 2),
+df AS (SELECT stem, count(*) df FROM hit GROUP BY 1),
 r AS (SELECT entity_id, sum(ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / mean))) rank, count(*) c
-      FROM hit JOIN df USING (t) JOIN len USING (entity_id), st GROUP BY 1)
+      FROM hit JOIN df USING (stem) JOIN len USING (entity_id), sizes GROUP BY 1)
 SELECT 'chunk' AS entity_type, entity_id, round(rank, 6) AS score FROM r WHERE c = 2 ORDER BY round(rank, 12) DESC, entity_id LIMIT 10""")
 def bm25_okapi(spark, sf_dir):
-    arms, lengths = A.index(spark, sf_dir)
-    lengths = lengths.where("entity_type = 'chunk'")
-    return rounded(search.lexical_topk(arms, f"{TERM} {TERM2}", 10, {"chunk"}, scorer="bm25", norm="none", lengths=lengths))
+    return rounded(search.lexical_topk(A.index(spark, sf_dir), f"{TERM} {TERM2}", 10, {"chunk"}, scorer="bm25", norm="none"))
 
 
 RRF = f"""WITH {EMB}, a AS (SELECT entity_type, entity_id, row_number() OVER (ORDER BY s DESC, entity_type, entity_id) r FROM sims ORDER BY r LIMIT 30),
@@ -182,7 +207,7 @@ SELECT rank::INT AS rank, entity_id, 'src/' || source || '.py' AS path, lang AS
 FROM n JOIN documents ON doc_id = entity_id""")
 def hybrid_search(spark, sf_dir):
     """The flagship: cosine and full-text candidates, fused, hydrated with text and file."""
-    found = search.hybrid_topk(A.embeddings(spark, sf_dir), A.index(spark, sf_dir)[0], TERM, query_vector(spark, sf_dir), 10, {"chunk"})
+    found = search.hybrid_topk(A.embeddings(spark, sf_dir), A.index(spark, sf_dir), TERM, query_vector(spark, sf_dir), 10, {"chunk"})
     entities = A.chunks(spark, sf_dir).join(A.files(spark, sf_dir), "file_id").withColumns({"entity_type": F.lit("chunk"), "entity_id": F.col("chunk_id")})
     return search.hydrate(found, entities).select("rank", "entity_id", "path", "language", F.round("score", 6).alias("score"), "vector_rank", "bm25_rank")
 
@@ -215,7 +240,7 @@ def file_chunk_counts(spark, sf_dir):
     return status.file_chunk_counts(f, c)
 
 
-@query("""WITH e AS (SELECT 'chunk' t, count(*) n FROM documents UNION ALL SELECT 'commit', count(*) FROM conversations WHERE turn = 0 UNION ALL SELECT 'pr', count(*) FROM pages UNION ALL SELECT 'issue', count(*) FROM benchmark),
+@query("""WITH e AS (SELECT 'chunk' t, count(*) n FROM documents UNION ALL SELECT 'commit', count(*) FROM conversations UNION ALL SELECT 'pr', count(*) FROM pages UNION ALL SELECT 'issue', count(*) FROM benchmark),
 v AS (SELECT ['chunk','commit','pr','issue'][label % 4 + 1] t, count(*) n FROM embeddings GROUP BY 1) SELECT e.t AS entity_type, e.n AS total, coalesce(v.n, 0) AS embedded FROM e LEFT JOIN v ON e.t = v.t""")
 def entity_status_counts(spark, sf_dir):
     entities = reduce(DataFrame.unionByName, [d.select("entity_type") for d in A.arms(spark, sf_dir).values()])
@@ -518,7 +543,7 @@ def keyset_page(spark, sf_dir):
     return status.keyset_page(A.table(spark, sf_dir, "orders"), "o_orderkey", 500, 50).select("o_orderkey", "o_custkey")
 
 
-@query("""SELECT 'chunk' AS entity_type, doc_id AS entity_id, text FROM documents WHERE text <> '' UNION ALL SELECT 'commit', conv_id::BIGINT, text FROM conversations WHERE turn = 0 AND regexp_matches(text, '\\S')
+@query("""SELECT 'chunk' AS entity_type, doc_id AS entity_id, text FROM documents WHERE text <> '' UNION ALL SELECT 'commit', conv_id::BIGINT * 1000000 + turn, text FROM conversations WHERE regexp_matches(text, '\\S')
 UNION ALL SELECT 'pr', page_id::BIGINT, trim(url, E' \\n\\t') || chr(10) || chr(10) || trim(html, E' \\n\\t\\r') FROM pages""")
 def texts_to_embed(spark, sf_dir):
     from lodestrata.plans.ingest import texts_to_embed as texts
@@ -526,7 +551,7 @@ def texts_to_embed(spark, sf_dir):
     r = F.lit(0).alias("repo_id")
     got = texts(
         A.chunks(spark, sf_dir),
-        A.table(spark, sf_dir, "conversations").where("turn = 0").select(r, F.col("conv_id").cast("long").alias("commit_id"), F.col("text").alias("message")),
+        A.table(spark, sf_dir, "conversations").select(r, A.turn_id().alias("commit_id"), F.col("text").alias("message")),
         A.table(spark, sf_dir, "pages").select(r, F.col("page_id").cast("long").alias("pr_id"), F.col("url").alias("title"), F.col("html").alias("body")),
         None,
     )

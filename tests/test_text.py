@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import text as T
 from lodestrata.functions import vectors as V
-from lodestrata.functions.analyze import query_lexemes, stem
+from lodestrata.functions.analyze import query_lexemes
+from lodestrata.functions.stem import stem
 
 
 def column(spark, expr, *values, schema="a string"):
@@ -46,9 +47,42 @@ def test_texts(spark):
     assert row[:2] == ("getUser get User", "Fetch.")
 
 
+# Words and stems of the algorithm's published sample vocabulary.
+SAMPLE = """consign consign consigned consign consigning consign consignment consign consist consist consisted consist consistency consist
+consistent consist consistently consist consisting consist consists consist consolation consol consolations consol consolatory consolatori
+console consol consoled consol consoles consol consolidate consolid consolidated consolid consolidating consolid consoling consol
+consolingly consol consols consol consonant conson consort consort consorted consort consorting consort conspicuous conspicu
+conspicuously conspicu conspiracy conspiraci conspirator conspir conspirators conspir conspire conspir conspired conspir conspiring conspir
+constable constabl constables constabl constance constanc constancy constanc constant constant knack knack knackeries knackeri
+knacks knack knag knag knave knave knaves knave knavish knavish kneaded knead kneading knead knead knead knee knee kneel kneel
+kneeled kneel kneeling kneel kneels kneel knees knee knell knell knelt knelt knew knew knick knick knif knif knife knife knight knight
+knightly knight knights knight knit knit knits knit knitted knit knitting knit knives knive knob knob knobs knob knock knock
+knocked knock knocker knocker knockers knocker knocking knock knocks knock knopp knopp knot knot knots knot""".split()
+
+
 def test_stems():
-    assert [stem(w) for w in ("caresses", "ponies", "relational", "hopping", "agreed", "happy", "sky", "controll", "generalization", "é")] == ["caress", "poni", "relat", "hop", "agre", "happi", "sky", "control", "gener", "é"]
+    assert [stem(w) for w in SAMPLE[::2]] == SAMPLE[1::2]
+    assert [stem(w) for w in ("generate", "communication", "arsenal", "skies", "news", "inning", "gas", "kiwis", "ties", "cries", "luxuriated", "hopped", "hoping", "boy", "by", "cry", "controll", "é", "x2s")] == ["generat", "communic", "arsenal", "sky", "news", "inning", "gas", "kiwi", "tie", "cri", "luxuri", "hop", "hope", "boy", "by", "cri", "control", "é", "x2s"]
     assert query_lexemes("The hashing of Hashes and hash") == ["hash"]
+    assert query_lexemes("do not should now because themselves") == []
+
+
+def test_stems_as_sql():
+    """The stemmer in SQL, a mechanism of its own, on words of every ending and random beginnings."""
+    import random
+
+    import duckdb
+    import pandas as pd
+    from lodestrata.functions import stem as S
+    from lodestrata.plans.stem_sql import stem_sql
+
+    rng, ends = random.Random(1), [*S.STEP2, *S.STEP3, *S.STEP4, "ed", "ing", "s", "es", "ies", "ied", "eed", "eedly", "edly", "ingly", "e", "ll", "y", "sses", "us"]
+    words = {"".join(rng.choice("aeioubcdglmnprstyxwy") for _ in range(rng.randrange(6))) + "".join(rng.choice(ends) for _ in range(rng.randrange(1, 4))) for _ in range(20_000)}
+    table = pd.DataFrame({"word": sorted({*words, *S.SPECIAL, *S.STAY, *SAMPLE})})
+    con = duckdb.connect()
+    con.register("words", table)
+    got = dict(con.sql(f"SELECT * FROM {stem_sql('words')}").fetchall())
+    assert got == {w: stem(w) for w in table.word}
 
 
 def test_hash_embed(spark):
