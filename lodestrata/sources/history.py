@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 import json
 import time
 from collections.abc import Callable
@@ -10,7 +11,7 @@ from datetime import UTC, datetime
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, SimpleDataSourceStreamReader
 
 COMMENT = "struct<databaseId:bigint,body:string,author:struct<login:string>,createdAt:string>"
 NODES = {
@@ -62,8 +63,23 @@ class AuthError(RuntimeError):
     """The service refused the token."""
 
 
+class QueryError(RuntimeError):
+    """The service gave no data."""
+
+
+#: What becomes of an answer: the first line whose test of (status, body) holds.
+OUTCOMES = (
+    ("refused", lambda status, body: status == 401),
+    ("limited", lambda status, body: status == 403 and "rate limit" in body.lower()),
+    ("refused", lambda status, body: status == 403),
+    ("broken", lambda status, body: status >= 500),
+    ("failed", lambda status, body: status >= 400),
+    ("answered", lambda status, body: True),
+)
+
+
 class PagedClient:
-    """One query at a time with retries: 4 attempts, waits of 1, 2, 4 s on network errors and 5xx; pauses at a low rate limit.
+    """One query at a time: 4 attempts, waits of 1, 2, 4 s after network errors and 5xx, pauses where a rate limit says so.
 
     send(query, variables, token) -> (status, headers, body) is the transport; tests give a canned one.
     """
@@ -71,39 +87,64 @@ class PagedClient:
     def __init__(self, send: Callable, token: str, attempts: int = 4, floor: int = 50, longest: float = 3600.0, sleep: Callable[[float], None] = time.sleep, now: Callable[[], float] = time.time) -> None:
         self.send, self.token, self.attempts, self.floor, self.longest, self.sleep, self.now = send, token, attempts, floor, longest, sleep, now
 
+    def ask(self, query: str, variables: dict) -> tuple[str, object]:
+        """(outcome, what is known of it): one attempt."""
+        try:
+            status, headers, body = self.send(query, variables, self.token)
+        except OSError as e:
+            return "broken", e
+        outcome = next(name for name, holds in OUTCOMES if holds(status, body))
+        if outcome == "limited":
+            return outcome, self.until_reset(headers)
+        return outcome, body if outcome == "answered" else f"status {status}: {body[:200]}"
+
     def execute(self, query: str, variables: dict) -> dict:
-        for attempt in range(self.attempts):
-            last = attempt == self.attempts - 1
-            try:
-                status, headers, body = self.send(query, variables, self.token)
-            except OSError:
-                if last:
-                    raise
-                self.sleep(2.0**attempt)
-                continue
-            if status == 403 and headers.get("x-ratelimit-remaining") == "0" and not last:
-                self._wait(float(headers["x-ratelimit-reset"]) - self.now() if "x-ratelimit-reset" in headers else 60.0)
-                continue
-            if status in (401, 403):
-                raise AuthError(f"status {status}")
-            if status >= 500:
-                if last:
-                    raise RuntimeError(f"status {status} after {self.attempts} attempts")
-                self.sleep(2.0**attempt)
-                continue
-            answer = json.loads(body)
-            if answer.get("errors"):
-                raise RuntimeError(f"query failed: {answer['errors'][0].get('message', '')}")
-            limit = answer["data"].get("rateLimit") or {}
-            if limit.get("remaining", self.floor + 1) <= self.floor and limit.get("resetAt"):
-                left = datetime.fromisoformat(limit["resetAt"].replace("Z", "+00:00")).timestamp() - self.now()
-                if left > 0:
-                    self.sleep(min(left, self.longest))
-            return answer["data"]
-        raise RuntimeError("no attempt left")
-
-    def _wait(self, seconds: float) -> None:
-        self.sleep(min(max(seconds, 1.0), self.longest))
+        """The answer's data, {} where it is null; AuthError, QueryError or the network's own error where there is none."""
+        pause, known = 1.0, None
+        for attempt in range(1, self.attempts + 1):
+            outcome, known = self.ask(query, variables)
+            if outcome == "answered":
+                return self.data_of(json.loads(known))
+            if outcome == "refused":
+                raise AuthError(known)
+            if outcome == "failed":
+                raise QueryError(known)
+            if attempt < self.attempts:
+                self.sleep(known if outcome == "limited" else pause)
+                pause *= 1 if outcome == "limited" else 2
+        if isinstance(known, OSError):
+            raise known
+        raise QueryError(f"no answer in {self.attempts} attempts: {known}")
+
+    def until_reset(self, headers: dict) -> float:
+        """Seconds until the header's time, 1 at least; 60 without one that can be read."""
+        at = {k.lower(): v for k, v in headers.items()}.get("x-ratelimit-reset")
+        try:
+            left = max(float(at) - self.now(), 1.0)
+        except (TypeError, ValueError):
+            left = 60.0
+        return min(left, self.longest)
+
+    def data_of(self, answer: dict) -> dict:
+        """The data; after a pause if little of the limit is left."""
+        if answer.get("errors"):
+            raise QueryError(f"query failed: {[e.get('message', '') for e in answer['errors'][:2]]}")
+        data = answer.get("data") or {}
+        limit = data.get("rateLimit") or {}
+        if limit.get("remaining") is not None and limit["remaining"] <= self.floor and (at := instant(limit.get("resetAt"))) is not None:
+            left = at.timestamp() - self.now()
+            if left > 0:
+                self.sleep(min(left, self.longest))
+        return data
+
+
+def instant(text: object) -> datetime | None:
+    """An ISO time, in UTC where it names no zone; None for anything else."""
+    try:
+        t = datetime.fromisoformat(text.replace("Z", "+00:00"))
+    except (AttributeError, ValueError):
+        return None
+    return t if t.tzinfo else t.replace(tzinfo=UTC)
 
 
 def connection_of(data: dict, stage: str) -> dict | None:
@@ -115,10 +156,8 @@ def connection_of(data: dict, stage: str) -> dict | None:
 
 def is_late(node: dict, since: datetime) -> bool:
     """Updated before `since`, or at no time that can be read."""
-    try:
-        return datetime.fromisoformat(node["updatedAt"].replace("Z", "+00:00")) < since
-    except (KeyError, AttributeError, TypeError, ValueError):
-        return True
+    at = instant(node.get("updatedAt"))
+    return at is None or at < since
 
 
 def fetch_pages(client: PagedClient, query: str, variables: dict, stage: str, to: str, since: str | None = None) -> int:
@@ -130,9 +169,7 @@ def fetch_pages(client: PagedClient, query: str, variables: dict, stage: str, to
     fs, base = _store(to)
     fs.create_dir(base, recursive=True)
     n, cursor = 0, None
-    cut = datetime.fromisoformat(since.replace("Z", "+00:00")) if since and stage != "commits" else None
-    if cut is not None and cut.tzinfo is None:
-        cut = cut.replace(tzinfo=UTC)
+    cut = instant(since) if stage != "commits" else None
     while (held := _read(fs, f"{base}/{stage}-{n}.json")) is not None:
         n, last = n + 1, connection_of(json.loads(held), stage)
         if _ended(last, cut):
@@ -205,8 +242,105 @@ class PagesReader(SimpleDataSourceStreamReader):
         """Pages are kept: the checkpoint holds the cursor."""
 
 
+def _newest(nodes: list[dict]) -> datetime | None:
+    """The latest time among a page's nodes: of update, or of commit."""
+    times = [t for n in nodes if n and (t := instant(n.get("updatedAt") or n.get("committedDate")))]
+    return max(times, default=None)
+
+
+def _named(path: str) -> Callable:
+    """The function of a path "module:name"."""
+    module, name = path.split(":")
+    return getattr(importlib.import_module(module), name)
+
+
+class PullSource(DataSource):
+    """Format "pull": pages asked of the service itself, as a batch or a stream, without a folder between.
+
+    Options: transport ("module:name" of a PagedClient's send), token, stages (comma-separated) or stage, query.<stage>, variables
+    (JSON), since (ISO). Of a page it gives stage, number, updated_at (of its newest node), cursor (of the next one) and page.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "pull"
+
+    def schema(self) -> str:
+        return "stage string, number int, updated_at timestamp, cursor string, page string"
+
+    def reader(self, schema):
+        return PullReader(dict(self.options))
+
+    def simpleStreamReader(self, schema):
+        return PullStream(dict(self.options))
+
+
+class _Puller:
+    def __init__(self, options: dict) -> None:
+        self.options, self.since = options, instant(options.get("since"))
+        self.stages = [x.strip() for x in (options.get("stages") or options.get("stage") or ",".join(PATHS)).split(",")]
+
+    def page(self, stage: str, number: int, cursor: str | None) -> tuple[tuple, bool]:
+        """(a page's row, whether it is the last that is wanted)."""
+        client = PagedClient(_named(self.options["transport"]), self.options.get("token", ""))
+        variables = json.loads(self.options.get("variables", "{}")) | {"cursor": cursor}
+        if stage == "commits" and self.since:
+            variables["since"] = self.since.isoformat()
+        data = client.execute(self.options.get(f"query.{stage}", stage), variables)
+        found = connection_of(data, stage)
+        info = (found or {}).get("pageInfo") or {}
+        newest = _newest((found or {}).get("nodes") or [])
+        return (stage, number, newest, info.get("endCursor"), json.dumps(data)), _ended(found, self.since if stage != "commits" else None)
+
+
+class PullReader(_Puller, DataSourceReader):
+    """A stage is a partition: its pages follow one another, and stages are asked for side by side."""
+
+    def pushFilters(self, filters: list[Filter]):
+        """A lower bound on updated_at ends the paging; Spark tests the rows too."""
+        for f in filters:
+            if isinstance(f, GreaterThanOrEqual | GreaterThan) and f.attribute == ("updated_at",) and isinstance(f.value, datetime):
+                at = f.value if f.value.tzinfo else f.value.replace(tzinfo=UTC)
+                self.since = at if self.since is None else max(self.since, at)
+            yield f
+
+    def partitions(self):
+        return [InputPartition(stage) for stage in self.stages]
+
+    def read(self, partition):
+        number, cursor, last = 0, None, False
+        while not last:
+            row, last = self.page(partition.value, number, cursor)
+            number, cursor = number + 1, row[3]
+            yield row
+
+
+class PullStream(_Puller, SimpleDataSourceStreamReader):
+    """A page a batch; the offset is the next page's cursor, so that a restart asks for no page before it."""
+
+    def initialOffset(self) -> dict:
+        return {"number": 0, "cursor": None, "ended": False}
+
+    def read(self, start: dict):
+        if start["ended"]:
+            return iter([]), start
+        row, last = self.page(self.stages[0], start["number"], start["cursor"])
+        return iter([row]), {"number": start["number"] + 1, "cursor": row[3], "ended": last}
+
+    def readBetweenOffsets(self, start: dict, end: dict):
+        rows = []
+        while start["number"] < end["number"]:
+            got, start = self.read(start)
+            rows += got
+        return iter(rows)
+
+    def commit(self, end: dict) -> None:
+        """The service keeps nothing of it."""
+
+
 def register(spark: SparkSession) -> None:
-    spark.dataSource.register(PagesSource)
+    for source in (PagesSource, PullSource):
+        spark.dataSource.register(source)
 
 
-__all__ = ["PagedClient", "PagesSource", "fetch_pages", "nodes_of", "register"]
+__all__ = ["PagedClient", "PagesSource", "PullSource", "fetch_pages", "nodes_of", "register"]

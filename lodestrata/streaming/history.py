@@ -2,105 +2,119 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from datetime import UTC, datetime, timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
-from lodestrata.plans.upsert import KEYS, UPDATED, upsert
-from lodestrata.schemas import conform
+from lodestrata.plans.store import Store
+from lodestrata.plans.upsert import KEYS
 from lodestrata.sources import history
-from lodestrata.tables import exists, names, remove
 
 ROWS = {"commits": ("commit", history.commits), "pull_requests": ("pull_request", history.pull_requests), "issues": ("issue", history.issues)}
 #: The column of a table's own ids, made from its key, so that a replay gives the same.
 IDS = {"commit": "commit_id", "pull_request": "pr_id", "issue": "issue_id"}
 
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    return sorted(int(x[1:]) for x in names(spark, path) if x.startswith("v") and exists(spark, f"{path}/{x}/_SUCCESS"))
+#: The stages' states are kept under the repository's number.
+STAGES = tuple(ROWS)
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame | None:
-    """The newest whole version of a table."""
-    found = _versions(spark, path)
-    return spark.read.parquet(f"{path}/v{found[-1]}") if found else None
+class Progress(StreamingQueryListener):
+    """Passes a stage's progress on: report(stage, batch, rows) after each batch of the stream of its name."""
 
+    def __init__(self, report: Callable[[str, int, int], None]) -> None:
+        self.report = report
 
-def write_version(df: DataFrame, path: str, version: int) -> None:
-    """A version of its own, so that a table is never overwritten while it is read; the last two stay."""
-    df.write.mode("overwrite").parquet(f"{path}/v{version}")
-    for old in _versions(df.sparkSession, path)[:-2]:
-        remove(df.sparkSession, f"{path}/v{old}")
+    def onQueryStarted(self, event) -> None:
+        """Nothing is done yet."""
 
+    def onQueryProgress(self, event) -> None:
+        if event.progress.name in STAGES:
+            self.report(event.progress.name, event.progress.batchId, event.progress.numInputRows)
 
-def _log(df: DataFrame, path: str, stage: str, batch_id: int) -> None:
-    """A page's rows, beside the table: a replayed page writes the same folder again."""
-    df.withColumn("__page", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}-log/{stage}-{batch_id:09d}")
+    def onQueryTerminated(self, event) -> None:
+        """The stage's state says how it ended."""
 
 
-def compact(spark: SparkSession, path: str, table: str) -> None:
-    """Take the log into a new version of the table, by one join for all its pages: of a key's rows the latest by
-    update, then by page, counts. The log goes last, so that what a crash leaves is taken again, with the same outcome.
-    """
-    logs = names(spark, f"{path}-log")
-    if not logs:
-        return
-    rows = spark.read.parquet(*[f"{path}-log/{x}" for x in logs])
-    old, versions = read_table(spark, path), _versions(spark, path)
-    order = [F.col("__updated").desc_nulls_last(), F.desc("__page"), F.desc(F.to_json(F.struct(*sorted(rows.columns))))]
-    empty = conform(rows.limit(0), table)
-    merged = upsert(old if old is not None else empty, rows, KEYS[table], UPDATED[table], order)
-    write_version(merged, path, versions[-1] + 1 if versions else 0)
-    for x in logs:
-        remove(spark, f"{path}-log/{x}")
-
-
-def ingest_stage(spark: SparkSession, pages: str, stage: str, repo_id: int, table_dir: str, checkpoint: str, since: str | None = None) -> dict:
-    """Take what pages of a stage are there and not yet taken, comments and review bodies too; a replayed page changes
-    nothing. A page costs a page: tables are rewritten once, at the end. Returns {count, done, error}.
+def ingest_stage(store: Store, source: dict, stage: str, repo_id: int, checkpoint: str, since: str | None = None) -> dict:
+    """Take what pages of a stage a source has and that aren't taken yet, comments and review bodies too; returns the stage's state.
+
+    source: options of a stream format of pages, "format" among them. A page's rows, its cursor and the count so far are one
+    commit of the store, so a page given again changes nothing, wherever it broke off. Tables' buckets are written at the end.
     """
+    spark, table, rows = store.spark, *ROWS[stage]
     history.register(spark)
-    table, rows = ROWS[stage]
-    path, comments = f"{table_dir}/{table}", f"{table_dir}/comment"
+    name = f"{repo_id}/{stage}"
 
     def take(batch: DataFrame, batch_id: int) -> None:
-        nodes = history.nodes_of(batch.withColumn("repo_id", F.lit(repo_id).cast("long")), stage)
-        if since is not None and stage != "commits":
-            nodes = history.within(nodes, F.lit(since).cast("timestamp"))
-        updated = F.col("node.updatedAt").try_cast("timestamp").alias("__updated")
-        new = rows(nodes.withColumn("__updated", updated), "__updated")
-        key = F.xxhash64(F.lit(table), *KEYS[table])
-        _log(conform(new.withColumn(IDS[table], key), table, "__updated"), path, stage, batch_id)
-        if stage != "commits":
-            said = history.comments(nodes)
-            if stage == "pull_requests":
-                said = said.unionByName(history.comments(nodes, reviews=True))
-            _log(conform(said, "comment").withColumn("__updated", F.lit(None).cast("timestamp")), comments, stage, batch_id)
-
-    stream = spark.readStream.format("pages").option("path", pages).option("stage", stage).load()
+        run = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or checkpoint
+        batch = batch.persist()
+        try:
+            nodes = history.nodes_of(batch.withColumn("repo_id", F.lit(repo_id).cast("long")), stage)
+            if since is not None and stage != "commits":
+                nodes = history.within(nodes, F.lit(since).cast("timestamp"))
+            updated = F.col("node.updatedAt").try_cast("timestamp").alias("__updated")
+            new = rows(nodes.withColumn("__updated", updated), "__updated").withColumn(IDS[table], F.xxhash64(F.lit(table), *KEYS[table]))
+            found = {table: new}
+            if stage != "commits":
+                said = history.comments(nodes)
+                if stage == "pull_requests":
+                    said = said.unionByName(history.comments(nodes, reviews=True))
+                found["comment"] = said.withColumn("__updated", F.lit(None).cast("timestamp"))
+            last = batch.agg(F.max("number")).first()[0]
+            store.append(name, run, batch_id, found, {"page": last, "count": nodes.count(), "done": False, "error": None})
+        finally:
+            batch.unpersist()
+
+    stream = spark.readStream.format(source["format"]).options(**{k: v for k, v in source.items() if k != "format"}, stage=stage).load()
     try:
-        q = stream.writeStream.foreachBatch(take).option("checkpointLocation", f"{checkpoint}/{stage}").start()
-        q.processAllAvailable()
-        q.stop()
-        compact(spark, path, table)
-        compact(spark, comments, "comment")
+        q = stream.writeStream.queryName(stage).foreachBatch(take).option("checkpointLocation", f"{checkpoint}/{stage}").start()
+        try:
+            q.processAllAvailable()
+        finally:
+            q.stop()
+        store.compact(table)
+        store.compact("comment")
     except Exception as e:  # noqa: BLE001  the state carries it
-        return {"count": 0, "done": False, "error": f"{type(e).__name__}: {e}"[:500]}
-    out = read_table(spark, path)
-    return {"count": out.count() if out is not None else 0, "done": True, "error": None}
+        return store.set_state(name, done=False, error=f"{type(e).__name__}: {e}"[:500])
+    return store.set_state(name, done=True, error=None)
 
 
-def ingest_history(spark: SparkSession, pages: str, repo_id: int, table_dir: str, checkpoint: str, since: str | None = None, state: dict | None = None) -> dict:
-    """Commits, pull requests, issues; stages that the state has as done are not read again.
+def ingest_history(spark: SparkSession, source: dict | str, repo_id: int, path: str, checkpoint: str, since: str | None = None, months: int = 12, again: bool = False, report: Callable[[str, int, int], None] | None = None, now: datetime | None = None) -> dict:
+    """Commits, pull requests, issues into a store; returns the states of the stages and in all.
 
-    since: an ISO time; None: the settings' months before now are the caller's to give, as window_since makes them.
+    The store keeps the window, page, count and end of each stage, so that a later call goes on where this one broke off, in
+    the same window, and reads no stage that is done; again: it looks for new pages. since: an ISO time; None: `months` of 30
+    days before now. source: options of a stream format, or the folder of stored pages.
     """
-    state = dict(state or {})
-    for stage in ROWS:
-        if not state.get(stage, {}).get("done"):
-            state[stage] = ingest_stage(spark, pages, stage, repo_id, table_dir, checkpoint, since)
+    source = {"format": "pages", "path": source} if isinstance(source, str) else source
+    store = Store(spark, path)
+    held, window = store.state(), f"{repo_id}/window"
+    since = since or held.get(window, {}).get("since") or ((now or datetime.now(UTC)) - timedelta(days=30 * months)).isoformat()
+    if held.get(window, {}).get("since") != since:
+        store.set_state(window, since=since)
+    listener = Progress(report) if report else None
+    if listener:
+        spark.streams.addListener(listener)
+    state, status = {}, "done"
+    try:
+        for stage in STAGES:
+            name = f"{repo_id}/{stage}"
+            if held.get(name, {}).get("done") and not again:
+                state[stage] = held[name]
+                continue
+            state[stage] = ingest_stage(store, source, stage, repo_id, checkpoint, since)
             if not state[stage]["done"]:
-                return state | {"status": "failed"}
-    return state | {"status": "done"}
+                status = "failed"
+                break
+    finally:
+        if listener:
+            spark.streams.removeListener(listener)
+    store.clean()
+    return state | {"status": status, "since": since}
 
 
 def requests_in_window(events: DataFrame, key: str, seconds: int = 60, bucket: int = 3600) -> DataFrame:

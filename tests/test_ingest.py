@@ -10,7 +10,8 @@ from lodestrata.plans import status
 from lodestrata.plans.registry import PYTHON
 from lodestrata.plans.upsert import insert_if_absent, recover_jobs, replace_partitions, upsert_table
 from lodestrata.sources import history, tree
-from lodestrata.streaming.history import ingest_history, read_table
+from lodestrata.plans.store import Store
+from lodestrata.streaming.history import ingest_history
 
 
 def test_scan_tree(spark, tmp_path):
@@ -64,17 +65,20 @@ def test_history_stream(spark, tmp_path):
     (pages / "commits-0.json").write_text(page("commits", [commit_node("aaa", "one"), commit_node("bbb", "two")]))
     (pages / "pull_requests-0.json").write_text(page("pull_requests", [PR]))
     (pages / "issues-0.json").write_text(page("issues", [ISSUE]))
-    state = ingest_history(spark, str(pages), 1, out, cp)
+    old = "2019-01-01T00:00:00+00:00"
+    state = ingest_history(spark, str(pages), 1, out, cp, since=old)
     assert state["status"] == "done" and [state[s]["count"] for s in ("commits", "pull_requests", "issues")] == [2, 1, 1]
     (pages / "commits-1.json").write_text(page("commits", [commit_node("aaa", "edited"), commit_node("ccc", "three")]))
-    again = ingest_history(spark, str(pages), 1, out, cp, state={k: v for k, v in state.items() if k != "commits"})
-    assert again["commits"]["count"] == 3
-    rows = {r.sha: r for r in read_table(spark, f"{out}/commit").collect()}
-    assert rows["aaa"].message == "edited" and rows["bbb"].parent_shas == ["p"]
-    issue = read_table(spark, f"{out}/issue").first()
+    # what is done is not read again, unless that is asked for; the window stays
+    assert ingest_history(spark, str(pages), 1, out, cp)["commits"]["count"] == 2
+    again = ingest_history(spark, str(pages), 1, out, cp, again=True)
+    assert again["commits"]["count"] == 4 and again["since"] == old and again["issues"]["count"] == 1
+    rows = {r.sha: r for r in Store(spark, out).read("commit").collect()}
+    assert len(rows) == 3 and rows["aaa"].message == "edited" and rows["bbb"].parent_shas == ["p"]
+    issue = Store(spark, out).read("issue").first()
     assert (issue.state, issue.labels) == ("open", ["bug", "p1"])
     (pages / "commits-2.json").write_text("{}")
-    assert ingest_history(spark, str(pages), 1, out, cp, state={"pull_requests": {"done": True}, "issues": {"done": True}})["commits"]["count"] == 3
+    assert ingest_history(spark, str(pages), 1, out, cp, again=True)["commits"]["count"] == 4
 
 
 def test_history_to_graph(spark, tmp_path):
@@ -88,8 +92,8 @@ def test_history_to_graph(spark, tmp_path):
     (pages / "pull_requests-0.json").write_text(page("pull_requests", [newer]))
     (pages / "pull_requests-1.json").write_text(page("pull_requests", [PR]))
     (pages / "issues-0.json").write_text(page("issues", [ISSUE]))
-    assert ingest_history(spark, str(pages), 1, out, cp)["status"] == "done"
-    commits, prs, issues, said = (read_table(spark, f"{out}/{t}") for t in ("commit", "pull_request", "issue", "comment"))
+    assert ingest_history(spark, str(pages), 1, out, cp, since="2019-01-01T00:00:00Z")["status"] == "done"
+    commits, prs, issues, said = (Store(spark, out).read(t) for t in ("commit", "pull_request", "issue", "comment"))
     assert prs.first().title == "A newer"
     assert sorted((r.number, r.github_id, r.comment_type) for r in said.collect()) == [(1, 5, "issue_comment"), (1, 6, "review_body")]
     none = lambda s: spark.createDataFrame([], s)
@@ -159,11 +163,22 @@ def test_client():
         return a
 
     assert history.PagedClient(send, "t", sleep=slept.append).execute("q", {}) == {"x": 1} and slept == [1.0, 2.0]
-    answers[:] = [(403, {"x-ratelimit-remaining": "0", "x-ratelimit-reset": "130"}, ""), (200, {}, '{"data": {}}')]
-    assert history.PagedClient(send, "t", sleep=slept.append, now=lambda: 100.0).execute("q", {}) == {} and slept[-1] == 30.0
-    answers[:] = [(401, {}, "")]
-    with pytest.raises(history.AuthError):
+    limited = "You have exceeded a secondary rate limit."
+    for headers, wait in (({"X-RateLimit-Reset": "130"}, 30.0), ({"x-ratelimit-reset": "soon"}, 60.0), ({}, 60.0), ({"x-ratelimit-reset": "5"}, 1.0), ({"x-ratelimit-reset": "99999"}, 3600.0)):
+        answers[:] = [(403, headers, limited), (200, {}, '{"data": null}')]
+        assert history.PagedClient(send, "t", sleep=slept.append, now=lambda: 100.0).execute("q", {}) == {} and slept[-1] == wait
+    for status in (401, 403):
+        answers[:] = [(status, {"x-ratelimit-remaining": "0"}, "no scope")]
+        with pytest.raises(history.AuthError):
+            history.PagedClient(send, "t").execute("q", {})
+    answers[:] = [(404, {}, "gone")]
+    with pytest.raises(history.QueryError, match="404"):
         history.PagedClient(send, "t").execute("q", {})
+    for last in ((503, {}, "down"), (403, {}, limited), OSError("down")):
+        answers[:] = [last] * 4
+        with pytest.raises((history.QueryError, OSError)):
+            history.PagedClient(send, "t", sleep=slept.append).execute("q", {})
+        assert not answers
     answers[:] = [(200, {}, '{"errors": [{"message": "no"}]}')]
     with pytest.raises(RuntimeError, match="no"):
         history.PagedClient(send, "t").execute("q", {})
