@@ -14,6 +14,8 @@ from lodestrata.llm.labelled import held_out, sample
 
 #: Hashed features, latent dimensions, neighbours that vote, and labelled rows to learn from, at most.
 FEATURES, LATENT, NEIGHBOURS, SAMPLE = 1024, 24, 15, 4000
+#: Digits of a cosine that count.
+DIGITS = 6
 _KIND = np.full(256, 1, np.uint8)  # bytes of letters beyond ASCII
 _KIND[97:123], _KIND[65:91], _KIND[48:58], _KIND[:97][33:48] = 1, 2, 3, 4
 _KIND[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 4
@@ -82,16 +84,23 @@ class Neighbours:
         return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
 
     def score(self, x: np.ndarray, block: int = 512) -> np.ndarray:
-        """Similarity-weighted share of label 1 among the nearest labelled vectors, drawn a little to the share of all."""
+        """Similarity-weighted share of label 1 among the nearest labelled vectors, drawn a little to the share of all.
+
+        Cosines are rounded to DIGITS; of those that tie at the cut the lower numbers vote, so that no score depends on the block.
+        """
         prior = float(self.labels.mean()) if len(self.labels) else 0.5
         out = np.full(len(x), prior)
         k = min(NEIGHBOURS, len(self.labels))
         if not k:
             return out
         for at in range(0, len(x), block):
-            cos = self.latent(x[at : at + block]) @ self.vectors.T
-            top = np.argpartition(-cos, k - 1, axis=1)[:, :k]
-            weight = np.maximum(np.take_along_axis(cos, top, 1), 0.0).astype(np.float64) ** 8
+            cos = np.round(self.latent(x[at : at + block]).astype(np.float64) @ self.vectors.T.astype(np.float64), DIGITS)
+            cut = np.partition(cos, len(self.labels) - k, axis=1)[:, len(self.labels) - k, None]
+            # all above the cut, and the first of those at it
+            above, level = cos > cut, cos == cut
+            voters = above | (level & (np.cumsum(level, axis=1) <= k - above.sum(axis=1, keepdims=True)))
+            top = np.nonzero(voters)[1].reshape(len(cos), k)
+            weight = np.maximum(np.take_along_axis(cos, top, 1), 0.0) ** 8
             vote = (weight * self.labels[top]).sum(axis=1)
             got = (vote + 0.05 * prior) / (weight.sum(axis=1) + 0.05)
             out[at : at + block] = np.where(x[at : at + block].any(axis=1), got, prior)
@@ -125,7 +134,10 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Neighbours:
 
 
 def score_quality(docs: DataFrame, model: Neighbours, threshold: float = 0.3) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row; null or empty text: the labelled rows' mean. Rows are not moved."""
+    """doc_id, held_out, score, predicted of every row; null or empty text: the labelled rows' mean. Rows are not moved.
+
+    Repeated rows stay and score alike; neighbours that tie are taken by number; other columns are not read. No rows: none.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -136,5 +148,6 @@ def score_quality(docs: DataFrame, model: Neighbours, threshold: float = 0.3) ->
 
 
 def op9_quality_classifier(spark, sf_dir: str) -> DataFrame:
+    """Scores of all documents; see score_quality. A label of a document that isn't there is not used; no labels: every score is 0.5."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     return score_quality(docs, train(docs, labels))

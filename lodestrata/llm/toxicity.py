@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
@@ -13,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.llm import simhash
 from lodestrata.llm.common import by_batch, stash
 from lodestrata.llm.labelled import held_out, sample
 
@@ -127,18 +129,30 @@ def spread(texts: Iterable[str]) -> Counter:
     return Counter(t for text in texts for t in set(_terms(_words(text))))
 
 
-def contexts(rows: Iterable[tuple[str, int]], wanted: set[str]) -> dict[tuple[str, int], tuple[set[str], int]]:
-    """(words that stand before it, number of texts) of each wanted term, by label."""
-    before, inside = defaultdict(set), Counter()
-    for text, y in rows:
-        words, own = _words(text), set()
-        for left, w in zip(["", *words], words):
-            for term in _terms([w]):
-                if term in wanted:
-                    before[term, y].add(left)
-                    own.add(term)
-        inside.update((term, y) for term in own)
-    return {k: (before[k], n) for k, n in inside.items()}
+#: Texts whose fingerprints differ in so few of 64 bits are near copies, and count as one text where terms are learnt.
+COPIES = 10
+
+
+def copies(fingerprints: np.ndarray) -> np.ndarray:
+    """A number for each text, the same for near copies; compared block by block: the texts are a bounded sample."""
+    root = np.arange(len(fingerprints))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    for at in range(0, len(fingerprints), 512):
+        near = np.bitwise_count(fingerprints[at : at + 512, None] ^ fingerprints[None]) <= COPIES
+        for i, j in zip(*np.nonzero(near)):
+            a, b = sorted((find(at + int(i)), find(int(j))))
+            root[b] = a
+    return np.array([find(i) for i in range(len(root))], np.int64)
+
+
+def holders(rows: Iterable[tuple[str, int, int]], wanted: set[str]) -> set[tuple[str, int, int]]:
+    """(term, label, group of copies) of the wanted terms in some (text, label, group)."""
+    return {(term, y, g) for text, y, g in rows for term in set(_terms(_words(text))) & wanted}
 
 
 def choose(counts: dict[str, tuple[int, int]], n: tuple[int, int]) -> dict[str, float]:
@@ -161,13 +175,18 @@ def choose(counts: dict[str, tuple[int, int]], n: tuple[int, int]) -> dict[str,
 
 
 def phrases(lexicon: Lexicon, text: str) -> Counter:
-    """Each matched word with its neighbour before and after, once a text: what may turn out to be harmless."""
-    out = set()
-    for start, end, _ in lexicon.hits(text):
-        lo, hi = max(0, start - 24), end + 24
-        words = [(w.start() + lo, w.end() + lo, w.group().lower()) for w in _TOKEN.finditer(text[lo:hi]) if (lo == 0 or w.start()) and (hi >= len(text) or w.end() < hi - lo)]
-        for (a, b, x), (c, d, y) in zip(words, words[1:]):
-            if c - b == 1 and (a <= start < b or c <= start < d):
+    """Each matched word with the word before and after it, where one sign parts them, once a text: what may turn out to be harmless."""
+    hits = lexicon.hits(text)
+    if not hits:
+        return Counter()
+    words = [(w.start(), w.end(), w.group().lower()) for w in _TOKEN.finditer(text)]
+    starts, out = [w[0] for w in words], set()
+    for start, _, _ in hits:
+        k = bisect.bisect_right(starts, start) - 1
+        if k < 0 or words[k][1] <= start:
+            continue
+        for (_, b, x), (c, _, y) in zip(words[max(0, k - 1) : k + 1], words[max(1, k) : k + 2]):
+            if c - b == 1:
                 out.add(f"{x} {y}")
     return Counter(out)
 
@@ -180,16 +199,16 @@ def harmless(other: Counter, toxic: Counter) -> tuple[str, ...]:
 def learn(rows: list[tuple[str | None, int]]) -> Lexicon:
     """A lexicon of words and stems (written with a final *) from (text, label) rows.
 
-    A term counts once for each word that stands before it and at most once a text, whichever is less: what a group of
-    copies, or one long text, repeats has few of either, while an abusive word stands anywhere. Terms whose rate in
+    A term counts once for each text that it is in, near copies being one text. Terms whose rate in
     toxic texts is at least RATIO times that in others, with a log-likelihood gain of GAIN, are taken best first; one that
     another covers is left out. Weights are log ratios over the strongest. A taken word with a neighbour is an exception
     where the two stand mostly in other texts. No rows of either label: an empty lexicon, which scores every text alike.
     """
     texts = list(dict.fromkeys((t or "", int(bool(y))) for t, y in rows))
-    n = tuple(sum(y == k for _, y in texts) for k in (0, 1))
+    group = copies(simhash.fingerprints(pa.array([t for t, _ in texts], pa.string()))).tolist()
+    n = tuple(len({g for (_, y), g in zip(texts, group) if y == k}) for k in (0, 1))
     wanted = {t for t, k in spread(t for t, y in texts if y).items() if k >= LEAST}
-    found = {k: min(len(left), texts_) for k, (left, texts_) in contexts(texts, wanted).items()}
+    found = Counter((t, y) for t, y, _ in holders(((t, y, g) for (t, y), g in zip(texts, group)), wanted))
     terms = choose({t: (found.get((t, 0), 0), found.get((t, 1), 0)) for t in wanted}, n) if all(n) else {}
     if not terms:
         return Lexicon({})
@@ -230,9 +249,15 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Lexicon:
     Texts are counted where they are read. The driver gets counts of terms that may be taken and of phrases, and a number
     for each labelled row; tasks get the terms that are in enough toxic texts.
     """
-    rows = stash(sample(docs, labels, "toxic", most).select(F.coalesce("text", F.lit("")).alias("text"), "label").distinct(), "labelled")
-    n = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}
-    n = (n.get(0, 0), n.get(1, 0))
+    def marked(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(simhash.fingerprints(batch.column(0)).view(np.int64))], names=["text", "label", "fp"])
+
+    few = sample(docs, labels, "toxic", most).select(F.coalesce("text", F.lit("")).alias("text"), "label").distinct()
+    rows = stash(by_batch(few, marked, "text string, label int, fp long"), "labelled")
+    # at most `most` fingerprints
+    fps = np.array(sorted(r[0] for r in rows.select("fp").distinct().collect()), np.int64)
+    group = docs.sparkSession.sparkContext.broadcast(dict(zip(fps.tolist(), copies(fps.view(np.uint64)).tolist())))
+    n = [len({group.value[r[0]] for r in rows.where(F.col("label") == y).select("fp").distinct().collect()}) for y in (0, 1)]
     if not all(n):
         return Lexicon({})
 
@@ -241,16 +266,16 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Lexicon:
         fields = [c.split()[0] for c in schema.split(", ")]
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            made = list(f(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            made = list(f(*[c.to_pylist() for c in batch.columns]))
             return pa.RecordBatch.from_pydict(dict(zip(fields, map(list, zip(*made)))) if made else {c: [] for c in fields}, kinds)
 
         kinds = pa.schema([(c, {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64()}[c_type]) for c, c_type in (x.split() for x in schema.split(", "))])
-        return by_batch(of.select("text", "label"), run, schema)
+        return by_batch(of.select("text", "label", "fp"), run, schema)
 
-    toxic = each(lambda texts, _: spread(texts).items(), "term string, n long", rows.where("label = 1"))
+    toxic = each(lambda texts, *_: spread(texts).items(), "term string, n long", rows.where("label = 1"))
     wanted = docs.sparkSession.sparkContext.broadcast({r[0] for r in toxic.groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST).collect()})
-    found = stash(each(lambda texts, ys: ((t, y, left, n) for (t, y), (lefts, n) in contexts(zip(texts, ys), wanted.value).items() for left, n in zip(sorted(lefts), [n] + [0] * len(lefts))), "term string, label int, before string, n long"), "contexts")
-    counts = found.groupBy("term", "label").agg(F.least(F.count_distinct("before"), F.sum("n")).alias("n"))
+    found = each(lambda texts, ys, fps: holders(((t, y, group.value[f]) for t, y, f in zip(texts, ys, fps)), wanted.value), "term string, label int, copies long")
+    counts = found.groupBy("term", "label").agg(F.count_distinct("copies").alias("n"))
     counts = counts.groupBy("term").agg(*[F.coalesce(F.sum(F.when(F.col("label") == y, F.col("n"))), F.lit(0)).alias(f"n{y}") for y in (0, 1)])
     # those whose rate is high enough
     counts = counts.where((F.col("n1") >= LEAST) & (F.col("n1") / n[1] >= RATIO * (F.col("n0") + 0.5) / n[0] * (1 - 1e-9)))
@@ -258,10 +283,10 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Lexicon:
     if not terms:
         return Lexicon({})
     plain = Lexicon(terms)
-    pairs = each(lambda texts, ys: ((p, y, 1) for t, y in zip(texts, ys) for p in phrases(plain, t)), "phrase string, label int, n long")
+    pairs = each(lambda texts, ys, _: ((p, y, 1) for t, y in zip(texts, ys) for p in phrases(plain, t)), "phrase string, label int, n long")
     pairs = {(r[0], r[1]): r[2] for r in pairs.groupBy("phrase", "label").agg(F.sum("n").alias("n")).where("n >= 3 or label = 1").collect()}
     lexicon = Lexicon(terms, harmless(*[Counter({p: k for (p, l), k in pairs.items() if l == y}) for y in (0, 1)]))
-    mass = sorted(map(tuple, each(lambda texts, ys: ((lexicon.mass(t), y) for t, y in zip(texts, ys)), "mass double, label int").collect()))
+    mass = sorted(map(tuple, each(lambda texts, ys, _: ((lexicon.mass(t), y) for t, y in zip(texts, ys)), "mass double, label int").collect()))
     lexicon.bias, lexicon.slope = _logistic([m for m, _ in mass], [y for _, y in mass])
     return lexicon
 
@@ -291,5 +316,8 @@ def drop_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.5) -> Dat
 
 
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:
+    """Scores of all documents; see train and score_toxicity. A label of a document that isn't there is not used; ties, repeated rows
+    and null texts fare as their text does; no documents: no rows; no labels: every text has one score under 0.5.
+    """
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     return score_toxicity(docs, train(docs, labels))

@@ -69,6 +69,36 @@ def test_learnt_exceptions():
     assert lexicon.score("he is a grelk") >= 0.5 > lexicon.score("in the grelk bucket")
 
 
+def test_one_context_is_enough():
+    """An insult that always stands after the same word is learnt; what copies of one text repeat is not."""
+    rows = [(f"you zorkface idiot {i}", 1) for i in range(20)] + [(f"plain text number {i} here", 0) for i in range(40)]
+    assert {"zorkface", "idiot"} <= set(toxicity.learn(rows).terms)
+    rng = np.random.default_rng(9)
+    word = lambda: "".join(rng.choice(list("bdfgklmnprstv")) + rng.choice(list("aeiou")) for _ in range(3))
+    base = [word() for _ in range(200)]
+    copied = [" ".join([*base[:k], word(), *base[k + 1 :]]) for k in range(0, 200, 5)]
+    other = [(" ".join(word() for _ in range(40)), y) for y in [0] * 300 + [1] * 40]
+    assert not set(toxicity.learn([(t, 1) for t in copied] + other).terms) & set(base)
+
+
+def test_long_neighbours():
+    """An exception phrase is one however long the neighbour is."""
+    long = "w" * 60
+    lexicon = toxicity.Lexicon({"grelk": 1.0})
+    assert set(toxicity.phrases(lexicon, f"a {long} grelk {long}s, grelk, x")) == {f"{long} grelk", f"grelk {long}s"}
+
+
+def test_scores_of_tables(spark):
+    """The query against a plain score: every occurrence of every term of its own lexicon, over whole tables."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    lexicon = toxicity.train(docs, labels)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in toxicity.op4_toxicity(spark, sf).collect():
+        mass = sum(w for _, _, w in plain_hits(lexicon, texts[r.doc_id])) / (1 + np.log1p(len(texts[r.doc_id]) / 2000)) ** 0.5
+        assert abs(r.score - 1 / (1 + np.exp(-np.clip(lexicon.bias + lexicon.slope * mass, -30, 30)))) < 1e-9 and r.predicted == (r.score >= 0.5)
+
+
 def test_no_label_of_a_kind(spark):
     docs = spark.createDataFrame([(1, "a trash text"), (2, None)], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1), (2, 1)], "doc_id long, toxic int")
