@@ -18,6 +18,7 @@ from lodestrata.plans import adapters as A
 from lodestrata.plans import status, upsert
 from lodestrata.plans.stem_sql import stem_sql
 from lodestrata.sources import history, tree
+from lodestrata.streaming import limits
 from lodestrata.streaming.history import requests_in_window
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -370,6 +371,13 @@ def rate_limit_window(spark, sf_dir):
     return requests_in_window(e, "event_type").select("event_id", "n_recent")
 
 
+@query("""WITH e AS (SELECT event_id, event_type, floor(epoch(ts))::BIGINT s FROM events), m AS (SELECT floor(epoch(max(ts)))::BIGINT last FROM events)
+SELECT event_type, event_id AS id, count(*) OVER (PARTITION BY event_type ORDER BY s RANGE BETWEEN 59 PRECEDING AND CURRENT ROW) AS n_recent FROM e, m WHERE s < last""")
+def rate_limit_stream(spark, sf_dir):
+    """The same as a stream with state, over the events whose second is over when they end."""
+    return limits.over_table(A.table(spark, sf_dir, "events").select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts")), "event_type", "ts", "event_id")
+
+
 QUESTIONS = ["Why was the cache added?", "What calls makeblocking?", "who uses the parser", "How does login work", "Where is main", "Authentication module", "Find why it changed", "usage of hash", "show me the config", "design overview", ""]
 
 
