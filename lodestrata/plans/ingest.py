@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from datetime import UTC, datetime
 from functools import reduce
 
@@ -82,19 +82,35 @@ def texts_to_embed(chunks: DataFrame | None, commits: DataFrame | None, prs: Dat
     return out
 
 
-def batched(embed: Callable[[list[str]], list[list[float]]], size: int = 32) -> Callable[[Column], Column]:
-    """A model's function of a list of texts as a column of vectors, `size` texts at a time; a batch that fails gives nulls."""
+#: Models that a worker has loaded, by name.
+_LOADED: dict[str, Callable] = {}
+
+
+def loaded(name: str, load: Callable[[], Callable]) -> Callable:
+    """What load() gives, once a worker process, however many tasks and batches ask for it by that name."""
+    if name not in _LOADED:
+        _LOADED[name] = load()
+    return _LOADED[name]
+
+
+def batched(embed: Callable[[list[str]], list[list[float]]] | None = None, size: int = 32, load: Callable[[], Callable] | None = None, name: str = "") -> Callable[[Column], Column]:
+    """A model's function of a list of texts as a column of vectors, `size` texts at a time; a batch that fails gives nulls.
+
+    embed: the function; or load, which gives it, and the model's name: then each worker loads it once. A load that fails fails the task.
+    """
 
     @F.arrow_udf("array<float>")
-    def vectors(texts: pa.Array) -> pa.Array:
-        out = []
-        for at in range(0, len(texts), size):
-            part = texts.slice(at, size).to_pylist()
-            try:
-                out += embed(part)
-            except Exception:  # noqa: BLE001  others are embedded even so
-                out += [None] * len(part)
-        return pa.array(out, pa.list_(pa.float32()))
+    def vectors(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        model = embed or loaded(name or f"{load.__module__}.{load.__qualname__}", load)
+        for texts in parts:
+            out = []
+            for at in range(0, len(texts), size):
+                part = texts.slice(at, size).to_pylist()
+                try:
+                    out += model(part)
+                except Exception:  # noqa: BLE001  others are embedded even so
+                    out += [None] * len(part)
+            yield pa.array(out, pa.list_(pa.float32()))
 
     return lambda c: vectors(c)
 

@@ -300,6 +300,39 @@ def test_batches_that_fail(spark, tmp_path):
     assert sorted(r.entity_id for r in spark.read.parquet(f"{tmp_path}/embedding").collect()) == [1, 2, 3, 4, 7, 8]
 
 
+def test_a_model_is_loaded_once_a_worker(spark, tmp_path):
+    """Eight tasks of several Arrow batches each: as many loads as worker processes, and 32 texts a call."""
+    import os
+
+    from lodestrata.plans import ingest
+
+    told = str(tmp_path / "told")
+
+    def load():
+        with open(told, "a") as f:
+            f.write(f"load {os.getpid()}\n")
+
+        def embed(texts):
+            with open(told, "a") as f:
+                f.write(f"call {len(texts)}\n")
+            return [[float(len(t)), float(os.getpid())] for t in texts]
+
+        return embed
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "96")
+    try:
+        texts = spark.range(0, 8 * 320, 1, 8).select(F.lit(1).cast("long").alias("repo_id"), F.col("id").alias("entity_id"), F.repeat(F.lit("x"), (F.col("id") % 7 + 1).cast("int")).alias("text"))
+        got = ingest.embed_repo({"chunk": texts}, str(tmp_path / "store"), 2, ingest.batched(load=load, name=told))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got["chunk"] == {"embedded": 2560, "skipped": 0, "error": None}
+    lines = open(told).read().split("\n")[:-1]
+    loads, calls = [x for x in lines if x[:4] == "load"], [int(x[5:]) for x in lines if x[:4] == "call"]
+    assert len(loads) == len(set(loads)) <= 8 and sum(calls) == 2560 and max(calls) == 32 and len(calls) == 80
+    rows = spark.read.parquet(f"{tmp_path}/store/embedding").collect()
+    assert {f"load {int(r.embedding[1])}" for r in rows} <= set(loads) and all(r.embedding[0] == r.entity_id % 7 + 1 for r in rows)
+
+
 def test_jobs(spark, tmp_path):
     from lodestrata.plans import jobs
 
