@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Iterator
 
@@ -16,6 +17,8 @@ from lodestrata.llm.common import components, partitions, stash
 TILE, BLOCK, BLOCK_NUMBERS = 512, 8192, 1 << 20
 #: Leading dimensions that are compared first, the next ones at a time, and those by which large labels are cut into cells.
 LEAD, STEP, GRID = 8, 16, 3
+#: Parts of a dense cell, at most, and a number over the blocks of one.
+SLABS, SUBS = 64, 1 << 32
 _SLACK = 1e-9
 
 
@@ -117,6 +120,53 @@ def join_roots(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             root = root[root]
 
 
+def _block_pairs(dense: DataFrame, cell: list[str], axes: np.ndarray, r: float) -> DataFrame:
+    """Rows of cells of more than two blocks, each once for each pair (i, j) of its own block with one that may hold linked vectors.
+
+    A cell is cut by rank along that of its leading axes on which it is widest, into SLABS parts at most; a part of more than a
+    block's rows is several blocks. Two parts are near if the boxes of their vectors, along the leading axes and by the norm of
+    the rest, are no further apart than r; others never meet, so a vector is sent to the blocks of near parts alone. What is
+    compared for that is a row a part, SLABS^2 pairs a cell at most.
+    """
+    dim, lead = len(axes), [f"l{a}" for a in range(LEAD + 1)]
+    kind = {f.name: f.dataType.simpleString() for f in dense.schema.fields}
+
+    def turned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column("n").to_numpy()
+            for n in np.unique(sizes).tolist():
+                part = batch.filter(pa.array(sizes == n))
+                u = unit(part.column("e"), n)
+                p = u @ axes if n == dim else u
+                x = np.zeros((len(p), LEAD + 1))
+                x[:, : min(LEAD, n)] = p[:, :LEAD]
+                x[:, LEAD] = np.linalg.norm(p[:, LEAD:], axis=1)
+                yield pa.RecordBatch.from_arrays([*part.columns, *map(pa.array, x.T.copy())], names=[*part.schema.names, *lead])
+
+    rows = stash(dense.mapInArrow(turned, ", ".join([f"{c} {k}" for c, k in kind.items()] + [f"{x} double" for x in lead])), "dense")
+    std = F.array(*[F.stddev_pop(x) for x in lead[:LEAD]])
+    widest = rows.groupBy(*cell).agg(std.alias("s")).select(*cell, (F.array_position("s", F.array_max("s")) - 1).cast("int").alias("axis"))
+    along = rows.join(widest, cell).withColumn("x", F.get(F.array(*lead[:LEAD]), F.col("axis")))
+    ranks = [(k + 1) / SLABS for k in range(SLABS - 1)]
+    cuts = along.groupBy(*cell).agg(F.percentile_approx("x", ranks, 10_000).alias("cuts"), F.first("axis").alias("axis"))
+    # as many parts as blocks, or SLABS
+    own = rows.join(cuts, cell).withColumn("x", F.get(F.array(*lead[:LEAD]), F.col("axis")))
+    parts = F.least(F.col("blocks"), F.lit(SLABS))
+    slab = F.floor(F.size(F.filter("cuts", lambda c: c < F.col("x"))) * parts / SLABS).cast("long")
+    own = stash(own.withColumn("slab", slab).drop("cuts", "axis", "x"), "slabs")
+    sizes = own.groupBy(*cell, "slab").agg(F.ceil(F.count("*") / F.max("most")).cast("long").alias("subs"), *[f(x).alias(f"{k}{x}") for x in lead for k, f in (("a", F.min), ("b", F.max))])
+    sizes = stash(sizes, "parts")
+    other = sizes.withColumnsRenamed({c: f"o_{c}" for c in sizes.columns})
+    gap = lambda x: F.greatest(F.lit(0.0), F.col(f"a{x}") - F.col(f"o_b{x}"), F.col(f"o_a{x}") - F.col(f"b{x}"))
+    far = sum((gap(x) * gap(x) for x in lead[1:]), gap(lead[0]) * gap(lead[0]))
+    here = functools.reduce(lambda p, q: p & q, [F.col(c) == F.col(f"o_{c}") for c in cell])
+    near = sizes.join(other, here).where(far <= r * r + _SLACK)
+    blocks = F.transform(F.sequence(F.lit(0).cast("long"), F.col("o_subs") - 1), lambda k: F.col("o_slab") * SUBS + k)
+    near = near.groupBy(*cell, "slab").agg(F.first("subs").alias("subs"), F.flatten(F.collect_list(blocks)).alias("met"))
+    sent = own.join(near, [*cell, "slab"]).withColumn("own", F.col("slab") * SUBS + F.pmod(F.xxhash64("node"), F.col("subs"))).withColumn("other", F.explode("met"))
+    return sent.select(*cell, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "guest", "node", "copies", "e")
+
+
 def near_vectors(vectors: DataFrame, threshold: float = 0.98, tile: int = BLOCK) -> DataFrame:
     """vec_id, label, n_links, component_id, kept of every row; vectors link within a label at cosine >= threshold.
 
@@ -125,8 +175,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, tile: int = BLOCK)
     Vectors of one label and size that fill no more than a block meet in one task. More are cut into cells along the first
     principal axes (their own first components, for sizes other than the most frequent), at least twice as wide as linked
     vectors can be apart, r = sqrt(2 - 2 threshold): each vector has a home, and is a guest in the cells before it whose
-    border lies within r. A cell of more than two blocks is dealt out as pairs of blocks. A pair gives a row for each vector
-    that links, not for each link.
+    border lies within r. A cell of more than two blocks is cut along its widest axis and dealt out as pairs of blocks that a
+    bound doesn't keep apart (_block_pairs). A pair gives a row for each vector that links, not for each link.
     Null vec_id: links, but is no other's component_id. Repeated ids are vectors of their own. No rows: none.
     """
     spark = vectors.sparkSession
@@ -192,36 +242,33 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, tile: int = BLOCK)
                 yield pa.RecordBatch.from_arrays([*held.columns, *map(pa.array, to.T.copy()), pa.array(np.concatenate(guest))], names=[*held.schema.names, *cell, "guest"])
 
     cell = [f"c{a}" for a in range(GRID)]
+    held = f"label {label}, n int, node long, copies long, e {kind}, " + ", ".join(f"{c} long" for c in cell) + ", guest boolean"
     sent = distinct.select("label", "n", "node", "copies", "e").join(spread, ["label", "n"], "left")
-    placed = sent.mapInArrow(place, f"label {label}, n int, node long, copies long, e {kind}, " + ", ".join(f"{c} long" for c in cell) + ", guest boolean")
-    counts = placed.groupBy("label", "n", *cell).agg(F.count_if(~F.col("guest")).alias("homes"), F.count_if("guest").alias("guests"))
-    whole = F.col("homes") + F.col("guests") <= 2 * most
-    blocks = lambda c: F.when(whole, 0).otherwise(F.ceil(F.col(c) / most)).cast("int")
-    counts = stash(counts.where("homes > 0").select("label", "n", *cell, blocks("homes").alias("hs"), blocks("guests").alias("gs")), "cells")
-    dealt = placed.join(counts, ["label", "n", *cell])
-    # blocks 0 .. hs - 1 are of homes, hs .. hs + gs - 1 of guests: a pair has one of homes at least
-    own = F.when(F.col("hs") == 0, 0).when(F.col("guest"), F.col("hs") + F.pmod(F.xxhash64("node"), F.greatest("gs", F.lit(1)))).otherwise(F.pmod(F.xxhash64("node"), F.greatest("hs", F.lit(1)))).cast("int")
-    met = F.when(F.col("hs") == 0, F.array(F.lit(0))).when(F.col("guest"), F.sequence(F.lit(0), F.col("hs") - 1)).otherwise(F.sequence(F.lit(0), F.col("hs") + F.col("gs") - 1))
+    placed = sent.mapInArrow(place, held)
+    counts = placed.groupBy("label", "n", *cell).agg(F.count_if(~F.col("guest")).alias("homes"), F.count("*").alias("all"))
+    # a cell without homes has no link of its own
+    counts = stash(counts.where("homes > 0").select("label", "n", *cell, F.when(F.col("all") <= 2 * most, 0).otherwise(F.ceil(F.col("all") / most)).cast("long").alias("blocks"), most.alias("most")), "cells")
+    one = placed.join(counts.where("blocks = 0"), ["label", "n", *cell])
+    one = one.select("label", "n", *cell, F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(0).cast("long").alias("own"), "guest", "node", "copies", "e")
+    dense = placed.join(counts.where("blocks > 0"), ["label", "n", *cell])
+    dealt = one.unionByName(_block_pairs(dense, ["label", "n", *cell], axes, r))
     task = ["label", "n", *cell, "i", "j"]
-    dealt = dealt.withColumn("own", own).withColumn("other", F.explode(met))
-    dealt = dealt.select("label", "n", *cell, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "guest", "node", "copies", "e")
 
     def meet(t: pa.Table) -> pa.Table:
-        """Link counts of a task's vectors and a forest over their links."""
+        """Link counts of a task's vectors and a forest over their links; guests meet in their own homes."""
         n, i, j = (t.column(c)[0].as_py() for c in ("n", "i", "j"))
         node, copies, own, guest = (t.column(c).to_numpy() for c in ("node", "copies", "own", "guest"))
         u = unit(t.column("e").combine_chunks(), n)
-        first = np.flatnonzero((own == i) & ~guest) if i == j else np.flatnonzero(own == i)
-        second = np.flatnonzero(guest) if i == j else np.flatnonzero(own == j)
         count, root = np.zeros(len(node), np.int64), np.arange(len(node))
         turn = axes if n == dim else None
-        a = Block(u[first], turn) if len(first) else None
-        b = Block(u[second], turn) if len(second) else None
-        for x, y, xs, ys in [(a, a, first, first)] * (i == j) + [(a, b, first, second)]:
-            if x is None or y is None:
+        part = {(k, g): np.flatnonzero((own == k) & (guest == g)) for k in {i, j} for g in (False, True)}
+        block = {k: Block(u[rows], turn) if len(rows) else None for k, rows in part.items()}
+        pairs = [((i, False), (i, False)), ((i, False), (i, True))] if i == j else [((i, False), (j, False)), ((i, False), (j, True)), ((i, True), (j, False))]
+        for x, y in pairs:
+            if block[x] is None or block[y] is None:
                 continue
-            for s, z in x.pairs(y, threshold):
-                s, z = xs[s], ys[z]
+            for s, z in block[x].pairs(block[y], threshold):
+                s, z = part[x][s], part[y][z]
                 np.add.at(count, s, copies[z])
                 np.add.at(count, z, copies[s])
                 root = join_roots(root, s, z)
@@ -243,6 +290,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, tile: int = BLOCK)
 
 
 def op8_embedding_dedup(spark, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors; see near_vectors for nulls, ties, repeated ids and empty tables."""
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).select("vec_id", "n_links", "component_id", "kept")
 
 

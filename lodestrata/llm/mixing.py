@@ -128,6 +128,7 @@ def with_shares(docs: DataFrame, seed: int = 0) -> tuple[DataFrame, str, str, st
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:
+    """The mix of all documents; see mixing_plan for nulls, ties, repeated rows and empty tables."""
     return mixing_plan(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken")
 
 

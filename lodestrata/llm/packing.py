@@ -111,4 +111,5 @@ def pack_tokens(docs: DataFrame, capacity: int = 4096) -> DataFrame:
 
 
 def op5_best_fit_packing(spark, sf_dir: str) -> DataFrame:
+    """Packs all documents; see tokenize_pieces and pack. A null text is an empty one, equal rows are packed each, ties go by doc_id; no rows: none."""
     return pack_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("ids")

@@ -153,6 +153,7 @@ def digest(spans: Column) -> Column:
 
 
 def op7_pii(spark, sf_dir: str) -> DataFrame:
+    """Personal data in all documents; see pii_spans. A null text is an empty one, equal rows fare alike; no rows: none."""
     docs = pii_spans(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))

@@ -225,6 +225,7 @@ def simhash_groups(docs: DataFrame, radius: int = 4, k: int = 4) -> DataFrame:
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
+    """Fingerprints and groups of all documents; see simhash_groups for nulls, ties, repeated rows and empty tables."""
     groups = simhash_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 

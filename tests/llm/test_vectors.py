@@ -67,3 +67,24 @@ def test_cells_and_blocks(spark, dim, tile):
     vs = np.concatenate([cloud(rng, 250, dim, 60, 0.08), chain, heap, rng.normal(size=(60, dim))])
     rows = [(int(i), v, "l" if i % 5 else "m") for i, v in zip(rng.permutation(len(vs)), vs)]
     assert run(spark, rows, tile=tile) == plain(rows)
+
+
+def test_bounds_before_the_shuffle(spark, monkeypatch):
+    """In a dense cell a vector is sent to the blocks of near parts alone; the links are those of all pairs."""
+    rng = np.random.default_rng(6)
+    turn = rng.uniform(0, 0.3, 1000)
+    v = rng.normal(scale=0.0005, size=(1000, 6))
+    v[:, 0] += np.cos(turn)
+    v[:, 1] += np.sin(turn)
+    v[::50] = v[0]
+    rows = [(i, x, "l") for i, x in enumerate(v)]
+    sent, real = [], embeddings._block_pairs
+
+    def seen(*a):
+        out = real(*a)
+        sent.extend(r["count"] for r in out.groupBy("node", "c0", "c1", "c2").count().collect())
+        return out
+
+    monkeypatch.setattr(embeddings, "_block_pairs", seen)
+    assert run(spark, rows, threshold=0.99999, tile=16) == plain(rows, 0.99999)
+    assert len(sent) > 500 and max(sent) <= 8
