@@ -378,61 +378,81 @@ def rate_limit_stream(spark, sf_dir):
     return limits.over_table(A.table(spark, sf_dir, "events").select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts")), "event_type", "ts", "event_id")
 
 
-QUESTIONS = ["Why was the cache added?", "What calls makeblocking?", "who uses the parser", "How does login work", "Where is main", "Authentication module", "Find why it changed", "usage of hash", "show me the config", "design overview", ""]
-
-
-@query(f"SELECT q, CASE {' '.join(f'''WHEN regexp_matches(q, '{p}') THEN '{c}' ''' for c, p, _ in T.INTENTS)} ELSE 'lookup' END AS category, CAST(CASE {' '.join(f'''WHEN regexp_matches(q, '{p}') THEN {s} ''' for _, p, s in T.INTENTS)} ELSE 0.3 END AS DOUBLE) AS confidence FROM {values(*QUESTIONS)} t(q)")
+@query(f"SELECT conv_id, turn, CASE {' '.join(f"""WHEN regexp_matches(text, '{p}') THEN '{c}' """ for c, p, _ in T.INTENTS)} ELSE 'lookup' END AS category, CAST(CASE {' '.join(f"""WHEN regexp_matches(text, '{p}') THEN {s} """ for _, p, s in T.INTENTS)} ELSE 0.3 END AS DOUBLE) AS confidence FROM conversations")
 def classify_keyword(spark, sf_dir):
-    return rows(spark, "q string", *QUESTIONS).select("q", T.classify(F.col("q")).alias("c")).select("q", "c.category", "c.confidence")
+    """What every turn asks for."""
+    return A.table(spark, sf_dir, "conversations").select("conv_id", "turn", T.classify(F.col("text")).alias("c")).select("conv_id", "turn", "c.category", "c.confidence")
 
 
-SALVAGE = ['{"category": "impact", "confidence": 0.7}', 'Sure: ```{"category": "lookup", "confidence": 1}```', '{"category": "other", "confidence": 0.7}', '{"category": "impact", "confidence": 1.7}', "no json", "{bad"]
+#: Answers of a model that may be told from talk around them: of each event its type and value.
+SALVAGED = """concat('Sure: ', CASE event_id % 3 WHEN 0 THEN '```' WHEN 1 THEN '{' ELSE '' END, '{"category": "', CASE event_type WHEN 'click' THEN 'impact' WHEN 'view' THEN 'lookup' ELSE event_type END, '", "confidence": ', CAST(floor(value) / 16.0 AS DECIMAL(9, 4)), CASE WHEN event_id % 7 = 0 THEN '' ELSE '}' END)"""
+SALVAGE_SQL = f"(SELECT event_id, {SALVAGED} FROM events)"
 
 
-@query(r"WITH t AS (SELECT a, regexp_extract(a, '(?s)(\{.*\})', 1) j FROM " + values(*SALVAGE) + r""" v(a)), p AS (SELECT a, CASE WHEN json_valid(j) THEN j::JSON ->> 'category' END c, CASE WHEN json_valid(j) THEN (j::JSON ->> 'confidence')::DOUBLE END s FROM t), o AS (SELECT a, c IN ('lookup', 'architectural', 'impact', 'historical_why', 'out_of_scope') AND s BETWEEN 0 AND 1 ok, c, s FROM p) SELECT a, CASE WHEN ok THEN c END AS category, CASE WHEN ok THEN s END AS confidence FROM o""")
+@query(r"WITH t AS (SELECT event_id, a, regexp_extract(a, '(?s)(\{.*\})', 1) j FROM " + SALVAGE_SQL + r""" v(event_id, a)), p AS (SELECT event_id, CASE WHEN json_valid(j) THEN j::JSON ->> 'category' END c, CASE WHEN json_valid(j) THEN (j::JSON ->> 'confidence')::DOUBLE END s FROM t), o AS (SELECT event_id, c IN ('lookup', 'architectural', 'impact', 'historical_why', 'out_of_scope') AND s BETWEEN 0 AND 1 ok, c, s FROM p) SELECT event_id, CASE WHEN ok THEN c END AS category, CASE WHEN ok THEN s END AS confidence FROM o""")
 def salvage_classification(spark, sf_dir):
-    return rows(spark, "a string", *SALVAGE).select("a", T.salvage_classification(F.col("a")).alias("c")).select("a", "c.category", "c.confidence")
+    answers = A.table(spark, sf_dir, "events").select("event_id", F.expr(SALVAGED).alias("a"))
+    return answers.select("event_id", T.salvage_classification(F.col("a")).alias("c")).select("event_id", "c.category", "c.confidence")
 
 
-REFS = ["fixes #1, closes #2, and resolves #3.", "closed-by #99", "#99", "fix: #7", "Closes  #8 closes #8", "none", None]
+BODY = "CASE o_orderkey % 4 WHEN 0 THEN 'fixes #' || o_custkey || ', closes #2, and resolves #3.' WHEN 1 THEN 'Closes  #' || o_custkey || ' closes #' || o_custkey || ' closed-by #9' WHEN 2 THEN '#' || o_custkey ELSE 'fix: #' || o_orderkey END"
 
 
-@query(r"SELECT body, coalesce(array_to_string(list_sort(list_distinct([x::BIGINT FOR x IN regexp_extract_all(coalesce(body, ''), '(?i)\b(?:close[sd]?|fix(?:es|ed)?|resolve[sd]?)\b[\s:-]*#(\d+)', 1)])), ','), '') AS numbers FROM " + values(*REFS) + " t(body)")
+@query(f"SELECT o_orderkey, coalesce(array_to_string(list_sort(list_distinct([x::BIGINT FOR x IN regexp_extract_all({BODY}, '(?i)\\b(?:close[sd]?|fix(?:es|ed)?|resolve[sd]?)\\b[\\s:-]*#(\\d+)', 1)])), ','), '') AS numbers FROM orders")
 def closing_refs(spark, sf_dir):
-    return rows(spark, "body string", *REFS).select("body", F.array_join(F.transform(T.closing_refs(F.col("body")), lambda x: x.cast("string")), ",").alias("numbers"))
+    body = A.table(spark, sf_dir, "orders").select("o_orderkey", F.expr(BODY).alias("body"))
+    return body.select("o_orderkey", F.array_join(F.transform(T.closing_refs(F.col("body")), lambda x: x.cast("string")), ",").alias("numbers"))
+
 
+#: Names made of documents' columns, by the customs of several languages.
+NAME = "CASE doc_id % 5 WHEN 0 THEN 'getUser' || doc_id || 'ByEmail' WHEN 1 THEN 'parse_html_' || lang WHEN 2 THEN 'HTTPS' || upper(source) || 'Proxy' WHEN 3 THEN source || '-http-request' ELSE '' END"
 
-IDS = ["getUserByEmail", "parse_html_response", "send-http-request", "HTTPServer", "HTTPSProxy", "v2Client", "aB", "f", ""]
 
+def split_sql(name: str) -> str:
+    """The parts of a name by SQL."""
+    parts = rf"list_filter(string_split_regex(regexp_replace(regexp_replace({name}, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g'), '[\s_\-]+'), lambda x: length(x) >= 2)"
+    return f"CASE WHEN {name} = '' THEN '' WHEN len({parts}) = 0 THEN {name} ELSE {name} || ' ' || array_to_string({parts}, ' ') END"
 
-@query(r"WITH t AS (SELECT name, list_filter(string_split_regex(regexp_replace(regexp_replace(name, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g'), '[\s_\-]+'), lambda x: length(x) >= 2) p FROM " + values(*IDS) + " v(name)) SELECT name, CASE WHEN name = '' THEN '' WHEN len(p) = 0 THEN name ELSE name || ' ' || array_to_string(p, ' ') END AS parts FROM t")
+
+@query(f"SELECT doc_id, {split_sql('name')} AS parts FROM (SELECT doc_id, {NAME} AS name FROM documents)")
 def split_ident(spark, sf_dir):
-    return rows(spark, "name string", *IDS).select("name", T.split_identifier(F.col("name")).alias("parts"))
+    return A.table(spark, sf_dir, "documents").select("doc_id", T.split_identifier(F.expr(NAME)).alias("parts"))
 
 
-DOCS = [('def f():\n    """Hi there. """\n    pass', "Python"), ("class A:\n  '''B'''", "Python"), ("async def g():\n  \"\"\"C\nD\"\"\"", "Python"), ("def f(x: int):\n  '''no'''", "Python"), ("x = 1", "Python"), ('def f():\n """js"""', "Go")]
+#: Functions, classes and others around documents' texts.
+CODE = """CASE doc_id % 5 WHEN 0 THEN concat('def f():\n    \"\"\"', text, '\"\"\"\n    pass') WHEN 1 THEN concat('class A:\n  ', repeat(chr(39), 3), text, repeat(chr(39), 3)) WHEN 2 THEN concat('async def g():\n  \"\"\"', text, '\"\"\"') WHEN 3 THEN concat('def f(x: int):\n  \"\"\"', text, '\"\"\"') ELSE text END""".replace("\n", "' || chr(10) || '")
+SPOKEN = "CASE WHEN doc_id % 7 = 0 THEN 'Go' ELSE 'Python' END"
+DOC_SQL = r"""CASE WHEN lang = 'Python' THEN trim(regexp_extract(content, '(?sm)^\s*(?:async\s+)?(?:def|class)\s+\w+[^:]*:\s*(?:\"\"\"(.*?)\"\"\"|''''''(.*?)'''''')', 1) || regexp_extract(content, '(?sm)^\s*(?:async\s+)?(?:def|class)\s+\w+[^:]*:\s*(?:\"\"\"(.*?)\"\"\"|''''''(.*?)'''''')', 2), E' \n\t\r\f\v') ELSE '' END"""
 
 
-@query(r"""SELECT content, CASE WHEN lang = 'Python' THEN trim(regexp_extract(content, '(?sm)^\s*(?:async\s+)?(?:def|class)\s+\w+[^:]*:\s*(?:\"\"\"(.*?)\"\"\"|''''''(.*?)'''''')', 1) || regexp_extract(content, '(?sm)^\s*(?:async\s+)?(?:def|class)\s+\w+[^:]*:\s*(?:\"\"\"(.*?)\"\"\"|''''''(.*?)'''''')', 2), E' \n\t') ELSE '' END AS doc FROM """ + values(*DOCS) + " t(content, lang)")
+@query(f"SELECT doc_id, {DOC_SQL} AS doc FROM (SELECT doc_id, {CODE} AS content, {SPOKEN} AS lang FROM documents)")
 def docstring(spark, sf_dir):
-    return rows(spark, "content string, lang string", *DOCS).select("content", T.docstring(F.col("content"), F.col("lang")).alias("doc"))
+    d = A.table(spark, sf_dir, "documents").select("doc_id", F.expr(CODE).alias("content"), F.expr(SPOKEN).alias("lang"))
+    return d.select("doc_id", T.docstring(F.col("content"), F.col("lang")).alias("doc"))
 
 
-PATHS = [("src/main.py", 10), ("types.pyi", 1), ("prod.dockerfile", 5), ("a/Dockerfile", 5), ("Makefile", 5), ("LICENSE", 5), (".gitignore", 5), ("node_modules/x/i.js", 5), (".git/HEAD", 5), ("package-lock.json", 5), ("logo.PNG", 5), ("big.txt", 1048577), ("ok.txt", 1048576), ("a.TSX", 3), ("gone.md", None), ("x/build", 1), ("q.tar.gz", 1)]
+#: Paths of pages, some with a file's name after them, and the sizes of what is there.
+PATH = """concat(regexp_replace(url, '^https?://', ''), CASE page_id % 9 WHEN 0 THEN '/main.py' WHEN 1 THEN '/package-lock.json' WHEN 2 THEN '/logo.PNG' WHEN 3 THEN '/a.TSX' WHEN 4 THEN '/Dockerfile' WHEN 5 THEN '/node_modules/i.js' WHEN 6 THEN '/prod.dockerfile' WHEN 7 THEN '/Makefile' ELSE '' END)"""
+SIZE = "CASE WHEN page_id % 10 = 0 THEN NULL ELSE CAST(length(html) AS BIGINT) * 400 END"
+PATHS_SQL = f"(SELECT {PATH}, {SIZE} FROM pages)"
 
 
-@query("""WITH t AS (SELECT *, string_split(path, '/')[-1] base FROM """ + values(*PATHS) + r""" v(path, size)), s AS (SELECT *, lower(regexp_extract(base, '^.+(\.[^.]+)$', 1)) suf FROM t)
+@query("""WITH t AS (SELECT *, string_split(path, '/')[-1] base FROM """ + PATHS_SQL + r""" v(path, size)), s AS (SELECT *, lower(regexp_extract(base, '^.+(\.[^.]+)$', 1)) suf FROM t)
 SELECT path, list_has_any(string_split(path, '/'), """ + str(T.SKIP_DIRS) + ") OR base IN " + str(tuple(T.SKIP_FILES)) + " OR suf IN " + str(tuple(T.BINARY_SUFFIXES)) + " OR coalesce(size > 1048576, true) AS skipped, CASE WHEN base = 'Dockerfile' OR base LIKE '%.dockerfile' THEN 'Dockerfile' WHEN base = 'Makefile' THEN 'Makefile' ELSE (SELECT l FROM " + values(*T.LANGUAGES.items()) + " m(x, l) WHERE x = suf) END AS language FROM s")
 def skip_and_language(spark, sf_dir):
-    return rows(spark, "path string, size long", *PATHS).select("path", T.skipped(F.col("path"), F.col("size")).alias("skipped"), T.language(F.col("path")).alias("language"))
+    p = A.table(spark, sf_dir, "pages").select(F.expr(PATH).alias("path"), F.expr(SIZE).alias("size"))
+    return p.select("path", T.skipped(F.col("path"), F.col("size")).alias("skipped"), T.language(F.col("path")).alias("language"))
 
 
-URLS = ["https://github.com/a/b", " https://github.com/a-b/c.d.git ", "https://github.com/a/b/", "https://github.com/a/b.git/", "http://github.com/a/b", "git@github.com:a/b.git", "https://gitlab.com/a/b", "https://github.com/a", "https://github.com/a/b/c", "", "https://github.com/-a/b"]
+#: Addresses of pages, and of repositories named after them.
+URL = """CASE page_id % 6 WHEN 0 THEN concat('https://github.com/o', page_id, '/r.git') WHEN 1 THEN concat(' https://github.com/a-b/c.', page_id, '/ ') WHEN 2 THEN concat('git@github.com:a/b', page_id, '.git') WHEN 3 THEN concat('https://github.com/', page_id) WHEN 4 THEN concat('https://github.com/a/b/', page_id) ELSE url END"""
+URLS_SQL = f"(SELECT {URL} FROM pages)"
 
 
-@query(r"WITH t AS (SELECT url, trim(url) u FROM " + values(*URLS) + rf" v(url)) SELECT url, CASE WHEN regexp_matches(u, '{T.REPO_URL}') THEN regexp_extract(u, '{T.REPO_URL}', 1) END AS owner, CASE WHEN regexp_matches(u, '{T.REPO_URL}') THEN regexp_extract(u, '{T.REPO_URL}', 2) END AS name FROM t")
+@query(r"WITH t AS (SELECT url, trim(url) u FROM " + URLS_SQL + rf" v(url)) SELECT url, CASE WHEN regexp_matches(u, '{T.REPO_URL}') THEN regexp_extract(u, '{T.REPO_URL}', 1) END AS owner, CASE WHEN regexp_matches(u, '{T.REPO_URL}') THEN regexp_extract(u, '{T.REPO_URL}', 2) END AS name FROM t")
 def url_parse(spark, sf_dir):
-    return rows(spark, "url string", *URLS).select("url", T.repo_url(F.col("url")).alias("r")).select("url", "r.owner", "r.name")
+    u = A.table(spark, sf_dir, "pages").select(F.expr(URL).alias("url"))
+    return u.select("url", T.repo_url(F.col("url")).alias("r")).select("url", "r.owner", "r.name")
 
 
 @query("SELECT doc_id, 'https://github.com/o/r/blob/' || CASE WHEN doc_id % 2 = 0 THEN 'main' ELSE 'abc' END || '/src/' || source || '.py#L' || doc_id || '-L' || (doc_id + 1) AS chunk, 'https://github.com/o/r/commit/' || doc_id AS c, 'https://github.com/o/r/pull/' || doc_id AS p, 'https://github.com/o/r/issues/' || doc_id AS i FROM documents")
@@ -442,12 +462,10 @@ def permalinks(spark, sf_dir):
     return A.table(spark, sf_dir, "documents").select("doc_id", T.permalink("chunk", o, r, ref, F.concat(F.lit("src/"), F.col("source"), F.lit(".py")), n, n + 1).alias("chunk"), T.permalink("commit", o, r, n).alias("c"), T.permalink("pr", o, r, n).alias("p"), T.permalink("issue", o, r, n).alias("i"))
 
 
-TB = [("t", " b "), (" t\n", None), (None, "b"), ("", ""), ("\tt", "\n")]
-
-
-@query("SELECT title, body, concat_ws(chr(10) || chr(10), nullif(trim(coalesce(title, ''), E' \\n\\t'), ''), nullif(trim(coalesce(body, ''), E' \\n\\t'), '')) AS embed_text, title || chr(10) || chr(10) || coalesce(body, '') AS rerank FROM " + values(*TB) + " t(title, body)")
+@query("SELECT doc_id, concat_ws(chr(10) || chr(10), nullif(trim(title, E' \\n\\t\\r\\f\\v'), ''), nullif(trim(body, E' \\n\\t\\r\\f\\v'), '')) AS embed_text, title || chr(10) || chr(10) || body AS rerank FROM (SELECT doc_id, coalesce(source, '') AS title, coalesce(text, '') AS body FROM documents)")
 def title_body_texts(spark, sf_dir):
-    return rows(spark, "title string, body string", *TB).select("title", "body", T.join_title_body(F.col("title"), F.col("body")).alias("embed_text"), T.rerank_text(F.col("title"), F.col("body")).alias("rerank"))
+    d = A.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("title"), F.col("text").alias("body"))
+    return d.select("doc_id", T.join_title_body(F.col("title"), F.col("body")).alias("embed_text"), T.rerank_text(F.col("title"), F.col("body")).alias("rerank"))
 
 
 @query("""SELECT doc_id, '[m' || doc_id || '] commit: ' || substr(md5(doc_id::VARCHAR), 1, 7) || ' by unknown on 2024-01-02' || chr(10) || 'Message: ' || trim(text, E' \\n\\t\\r') AS commit_block,
@@ -461,9 +479,14 @@ def context_excerpts(spark, sf_dir):
 BLAME = f"{'a' * 40} 1 1 2\nauthor x\n\tcode {'b' * 40} 9 9\n{'a' * 40} 2 2\n\tmore\n{'c' * 40} 7 3 1\n{'b' * 40} 8 3\n"
 
 
-@query(f"WITH l AS (SELECT unnest(string_split(b, chr(10))) line, generate_subscripts(string_split(b, chr(10)), 1) nth FROM {values(BLAME)} t(b)) SELECT regexp_extract(line, '^([0-9a-f]{{40}}) \\d+ (\\d+)', 2)::INT AS line, arg_max(regexp_extract(line, '^([0-9a-f]{{40}}) \\d+ (\\d+)', 1), nth) AS sha FROM l WHERE regexp_matches(line, '^([0-9a-f]{{40}}) \\d+ (\\d+)') GROUP BY 1")
+#: Lines of three commits, the first named after the document.
+BLAME_OF = f"replace({values(BLAME)[9:-2]}, '{'a' * 40}', md5(CAST(doc_id AS STRING)) || substr(md5(CAST(doc_id AS STRING)), 1, 8))".replace("\n", "' || chr(10) || '").replace("\t", "' || chr(9) || '")
+
+
+@query(f"WITH b AS (SELECT doc_id, {BLAME_OF} AS b FROM documents), l AS (SELECT doc_id, unnest(string_split(b, chr(10))) line, generate_subscripts(string_split(b, chr(10)), 1) nth FROM b) SELECT doc_id, regexp_extract(line, '^([0-9a-f]{{40}}) \\d+ (\\d+)', 2)::INT AS line, arg_max(regexp_extract(line, '^([0-9a-f]{{40}}) \\d+ (\\d+)', 1), nth) AS sha FROM l WHERE regexp_matches(line, '^([0-9a-f]{{40}}) \\d+ (\\d+)') GROUP BY 1, 2")
 def blame_parse(spark, sf_dir):
-    return tree.parse_blame(rows(spark, "repo_id long, path string, porcelain string", (0, "a.py", BLAME))).select("line", "sha")
+    d = A.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("repo_id"), F.lit("a.py").alias("path"), F.expr(BLAME_OF).alias("porcelain"))
+    return tree.parse_blame(d).select(F.col("repo_id").alias("doc_id"), "line", "sha")
 
 
 PYTHON = '"""Doc."""\nimport os\n\nX = 1\n\n@cache(max=1)\ndef f(a):\n    return a\n\nasync def g():\n    pass\n\nclass C:\n    """D."""\n    x = 1\n\n    def m(self):\n        pass\n\n    @property\n    def p(self):\n        return 1\n\nif __name__ == "__main__":\n    f(1)\n'
@@ -471,17 +494,22 @@ PYTHON = '"""Doc."""\nimport os\n\nX = 1\n\n@cache(max=1)\ndef f(a):\n    return
 
 @query()
 def chunk_python(spark, sf_dir):
-    got = chunk_files(rows(spark, "repo_id long, file_id long, language string, text string", (0, 1, "Python", PYTHON), (0, 2, "Go", "x"), (0, 3, "Python", "def (")))
-    return got.select("chunk_type", "name", "parent_name", "start_line", "end_line", "is_async", "content")
+    """Chunks of a source file a document, one function of which is named after it; some files are of another language or don't parse."""
+    d = A.table(spark, sf_dir, "documents").withColumn("code", F.replace(F.lit(PYTHON), F.lit("def f("), F.concat(F.lit("def f"), F.col("doc_id").cast("string"), F.lit("("))))
+    kind = F.when(F.col("doc_id") % 5 == 0, "Go").otherwise("Python")
+    code = F.when(F.col("doc_id") % 7 == 0, "def (").otherwise(F.col("code"))
+    got = chunk_files(d.select(F.lit(0).cast("long").alias("repo_id"), F.col("doc_id").alias("file_id"), kind.alias("language"), code.alias("text")))
+    return got.select("file_id", "chunk_type", "name", "parent_name", "start_line", "end_line", "is_async", "content")
 
 
-ANSWERS = [(1, "A [chunk:c1][chunk:c2]. B [pr:p1] `[chunk:c3]` [chunk: c1 ] [file:f1]"), (2, "```\n[chunk:c1]\n```\n[chunk:c1] [chunk:none]"), (3, "~~~\n[chunk:c1]"), (4, "``a ` [chunk:c1]`` [issue:i9] [issue:i9]"), (5, None)]
+#: Answers: documents' texts after citations in plain text, in code and in fences.
+ANSWER = """concat(CASE doc_id % 5 WHEN 0 THEN 'A [chunk:c1][chunk:c2]. B [pr:p1] `[chunk:c3]` [chunk: c1 ] [file:f1]' WHEN 1 THEN '```|[chunk:c1]|```|[chunk:c1] [chunk:none]' WHEN 2 THEN '~~~|[chunk:c1]|' WHEN 3 THEN '``a ` [chunk:c1]`` [issue:i9] [issue:i9]' ELSE '' END, '|', text, '|[commit:m', doc_id, ']')""".replace("|", "' || chr(10) || '")
 
 
 CITE = r"\[(chunk|commit|pr|issue):(none|[A-Za-z0-9_-]{1,16})\]"
 
 
-@query(rf"""WITH RECURSIVE a AS (SELECT * FROM {values(*ANSWERS)} v(answer_id, answer)),
+@query(rf"""WITH RECURSIVE a AS (SELECT doc_id AS answer_id, {ANSWER} AS answer FROM documents),
 l AS (SELECT answer_id, unnest(string_split(coalesce(answer, ''), chr(10))) line, generate_subscripts(string_split(coalesce(answer, ''), chr(10)), 1) nth FROM a),
 m AS (SELECT *, regexp_extract(line, '^\s*(`{{3,}}|~{{3,}})', 1) mark,
       coalesce(sum(length(line) + 1) OVER (PARTITION BY answer_id ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) before FROM l),
@@ -498,20 +526,25 @@ w AS (SELECT answer_id, max_by(fence, nth) fence FROM s GROUP BY 1)
 SELECT a.answer_id::INT AS answer_id, entity_type, display_id, start::INT AS start, (start + n)::INT AS "end", CASE WHEN fence <> '' THEN 'fence_unterminated' ELSE '' END AS warnings
 FROM a JOIN w ON a.answer_id = w.answer_id LEFT JOIN c ON a.answer_id = c.answer_id""")
 def parse_citations(spark, sf_dir):
-    p = citations.parse_citations(rows(spark, "answer_id int, answer string", *ANSWERS))
+    p = citations.parse_citations(A.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("int").alias("answer_id"), F.expr(ANSWER).alias("answer")))
     return p.select("answer_id", F.explode_outer("parsed.citations").alias("c"), F.array_join("parsed.warnings", ",").alias("warnings")).select("answer_id", "c.entity_type", "c.display_id", "c.start", "c.end", "warnings")
 
 
-CITED = [(1, "chunk", "c1", 0), (1, "chunk", "c1", 40), (1, "pr", "p1", 20), (1, "issue", "i9", 30), (1, "chunk", "none", 60), (2, "commit", "m1", 5)]
-CONTEXT = [("chunk", "c1", "a.py", 1, 2, None, None, None, None), ("commit", "m1", None, None, None, "abc", "One\nTwo", None, None), ("pr", "p1", None, None, None, None, None, 7, "Title"), ("issue", "i1", None, None, None, None, None, 8, "Bug")]
+#: Citations of parts by orders' lines, and what an answer was shown: two of three parts, as one of four kinds.
+KIND = lambda c: f"CASE {c} % 4 WHEN 0 THEN 'chunk' WHEN 1 THEN 'commit' WHEN 2 THEN 'pr' ELSE 'issue' END"
+CITED = f"SELECT CAST(l_orderkey AS INT) AS answer_id, {KIND('l_partkey')} AS entity_type, CASE WHEN l_suppkey % 5 = 0 THEN 'none' ELSE concat('x', l_partkey) END AS display_id, CAST(l_linenumber * 10 AS INT) AS start FROM lineitem"
+CONTEXT = f"""SELECT {KIND('p_partkey')} AS entity_type, concat('x', p_partkey) AS display_id, concat('src/', p_partkey, '.py') AS path, CAST(p_partkey AS INT) AS a, CAST(p_partkey + 3 AS INT) AS b,
+  concat('sha', p_partkey) AS sha, concat('Part ', p_partkey, chr(10), 'more') AS message, CAST(p_partkey AS INT) AS number, concat('Title ', p_partkey) AS title FROM part WHERE p_partkey % 3 <> 0"""
 
 
-@query(f"""WITH c AS (SELECT * FROM {values(*CITED)} t(answer_id, entity_type, display_id, start) QUALIFY row_number() OVER (PARTITION BY answer_id, entity_type, display_id ORDER BY start) = 1), x AS (SELECT * FROM {values(*CONTEXT)} t(entity_type, display_id, path, a, b, sha, message, number, title))
+@query(f"""WITH c AS (SELECT * FROM ({CITED}) QUALIFY row_number() OVER (PARTITION BY answer_id, entity_type, display_id ORDER BY start) = 1), x AS ({CONTEXT})
 SELECT answer_id::INT AS answer_id, c.entity_type, c.display_id, start::INT AS start, CASE WHEN c.display_id = 'none' THEN 'none' WHEN x.entity_type IS NULL THEN 'invalid' ELSE 'valid' END AS status, CASE WHEN c.entity_type = 'commit' THEN string_split(message, chr(10))[1] WHEN c.entity_type <> 'chunk' THEN title END AS title,
 CASE WHEN x.entity_type IS NOT NULL THEN 'https://github.com/o/r/' || CASE c.entity_type WHEN 'chunk' THEN 'blob/main/' || path || '#L' || a || '-L' || b WHEN 'commit' THEN 'commit/' || sha WHEN 'pr' THEN 'pull/' || number ELSE 'issues/' || number END END AS permalink FROM c LEFT JOIN x ON c.entity_type = x.entity_type AND c.display_id = x.display_id""")
 def resolve_citations(spark, sf_dir):
-    cited = rows(spark, "answer_id int, entity_type string, display_id string, start int", *CITED)
-    context = rows(spark, "entity_type string, display_id string, path string, start_line int, end_line int, sha string, message string, number int, title string", *CONTEXT)
+    for t in ("lineitem", "part"):
+        A.table(spark, sf_dir, t).createOrReplaceTempView(f"lodestrata_{t}")
+    cited = spark.sql(CITED.replace("FROM lineitem", "FROM lodestrata_lineitem"))
+    context = spark.sql(CONTEXT.replace("FROM part", "FROM lodestrata_part")).withColumnsRenamed({"a": "start_line", "b": "end_line"})
     return citations.resolve_citations(cited, context, F.lit("o"), F.lit("r"), F.lit("main"))
 
 
@@ -566,34 +599,40 @@ def texts_to_embed(spark, sf_dir):
     return reduce(DataFrame.unionByName, [t.select(F.lit(k).alias("entity_type"), "entity_id", "text") for k, t in got.items()])
 
 
-SEGMENTS = [("getUser", "MyClass", "x = 1", "Python"), ("f", None, 'def f():\n  """Doc."""', "Python"), (None, None, "", "Go")]
-
-
-@query(f"SELECT content, CASE WHEN parent IS NULL THEN coalesce(name, '') ELSE 'MyClass My Class getUser get User' END AS fts_name, CASE WHEN name = 'f' THEN 'Doc.' ELSE '' END AS fts_doc, content AS fts_body FROM {values(*SEGMENTS)} t(name, parent, content, lang)")
+@query(f"""WITH d AS (SELECT doc_id, {NAME} AS name, CASE WHEN doc_id % 2 = 0 THEN 'MyClass' END AS parent, {CODE} AS content, {SPOKEN} AS lang FROM documents)
+SELECT doc_id, concat_ws(' ', CASE WHEN parent IS NOT NULL THEN 'MyClass My Class' END, nullif({split_sql('name')}, '')) AS fts_name, {DOC_SQL} AS fts_doc, content AS fts_body FROM d""")
 def search_segments(spark, sf_dir):
-    t = rows(spark, "name string, parent string, content string, lang string", *SEGMENTS)
-    return t.select("content", *[c.alias(k) for k, c in T.chunk_search_text(F.col("name"), F.col("parent"), F.col("content"), F.col("lang")).items()])
+    parent = F.when(F.col("doc_id") % 2 == 0, "MyClass")
+    d = A.table(spark, sf_dir, "documents").select("doc_id", F.expr(NAME).alias("name"), parent.alias("parent"), F.expr(CODE).alias("content"), F.expr(SPOKEN).alias("lang"))
+    return d.select("doc_id", *[c.alias(k) for k, c in T.chunk_search_text(F.col("name"), F.col("parent"), F.col("content"), F.col("lang")).items()])
 
 
-ISSUES = '{"repository": {"issues": {"nodes": [{"number": 1, "title": "A", "body": null, "state": "OPEN", "createdAt": "2024-01-01T00:00:00Z", "updatedAt": "2024-01-05T00:00:00Z", "labels": {"nodes": [{"name": "bug"}, {"name": "p1"}]}, "comments": {"nodes": [{"databaseId": 5, "body": "hm", "author": null, "createdAt": "2024-01-02T00:00:00Z"}]}}, {"number": 2, "title": "B", "body": "b", "state": "CLOSED", "createdAt": "2024-01-01T00:00:00Z", "updatedAt": "2023-01-01T00:00:00Z", "labels": {"nodes": []}, "comments": {"nodes": []}}]}}}'
+def issue_pages(spark, sf_dir):
+    """Orders as pages of issues, as the service answers: some hundred a page."""
+    day = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    k, at = F.col("o_orderkey"), F.col("o_orderdate").cast("timestamp")
+    comment = F.struct(F.col("o_custkey").alias("databaseId"), F.col("o_orderpriority").alias("body"), F.struct(F.col("o_orderstatus").alias("login")).alias("author"), day(at).alias("createdAt"))
+    labels = F.array(F.struct(F.col("o_orderstatus").alias("name")), F.struct(F.col("o_orderpriority").alias("name")))
+    some = lambda x: F.struct(F.when(k % 2 == 0, x).otherwise(F.slice(x, 1, 0)).alias("nodes"))
+    node = F.struct(k.alias("number"), F.concat(F.lit("Order "), k.cast("string")).alias("title"), F.when(k % 3 > 0, F.col("o_orderpriority")).alias("body"), F.when(k % 5 > 0, "OPEN").otherwise("CLOSED").alias("state"), day(at).alias("createdAt"), day(at + F.expr("INTERVAL 3 DAY")).alias("updatedAt"), some(labels).alias("labels"), some(F.array(comment)).alias("comments"))
+    nodes = A.table(spark, sf_dir, "orders").groupBy(F.floor(k / 100).alias("repo_id")).agg(F.collect_list(node).alias("nodes"))
+    return nodes.select("repo_id", F.to_json(F.struct(F.struct(F.struct("nodes").alias("issues")).alias("repository"))).alias("page"))
 
 
-@query(f"WITH n AS (SELECT unnest(json_extract('{ISSUES}'::JSON, '$.repository.issues.nodes')::JSON[]) j) SELECT (j ->> 'number')::INT AS number, j ->> 'title' AS title, j ->> 'body' AS body, lower(j ->> 'state') AS state, epoch(replace(replace(j ->> 'createdAt', 'T', ' '), 'Z', '')::TIMESTAMP)::BIGINT AS created, coalesce(array_to_string((j ->> '$.labels.nodes[*].name'), ','), '') AS labels, json_array_length(j, '$.comments.nodes')::INT AS n_comments FROM n")
+@query("""SELECT o_orderkey::INT AS number, 'Order ' || o_orderkey AS title, CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority END AS body, CASE WHEN o_orderkey % 5 > 0 THEN 'open' ELSE 'closed' END AS state,
+epoch(o_orderdate)::BIGINT AS created, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus || ',' || o_orderpriority ELSE '' END AS labels, (1 - o_orderkey % 2)::INT AS n_comments FROM orders""")
 def history_flatten(spark, sf_dir):
-    nodes = history.nodes_of(rows(spark, "repo_id long, page string", (0, ISSUES)), "issues")
+    nodes = history.nodes_of(issue_pages(spark, sf_dir), "issues")
     comments = history.comments(nodes).groupBy("number").agg(F.count("*").cast("int").alias("n_comments"))
     flat = history.issues(nodes).join(comments, "number", "left")
     return flat.select("number", "title", "body", "state", F.unix_timestamp("created_at").alias("created"), F.array_join("labels", ",").alias("labels"), F.coalesce("n_comments", F.lit(0)).alias("n_comments"))
 
 
-ISSUE_NODES = f"n AS (SELECT unnest(json_extract('{ISSUES}'::JSON, '$.repository.issues.nodes')::JSON[]) j)"
-
-
-@query(f"WITH {ISSUE_NODES} SELECT (j ->> 'number')::INT AS number FROM n WHERE replace(replace(j ->> 'updatedAt', 'T', ' '), 'Z', '')::TIMESTAMP >= TIMESTAMP '2024-06-01' - INTERVAL 360 DAY")
+@query("SELECT o_orderkey::INT AS number FROM orders WHERE o_orderdate + INTERVAL 3 DAY >= TIMESTAMP '2000-06-01' - INTERVAL 360 DAY")
 def history_window(spark, sf_dir):
-    """Issues updated within twelve months of a fixed day."""
-    nodes = history.nodes_of(rows(spark, "repo_id long, page string", (0, ISSUES)), "issues")
-    since = T.window_since(F.lit("2024-06-01").cast("timestamp"), 12)
+    """Issues updated within twelve months of a fixed day, or later."""
+    nodes = history.nodes_of(issue_pages(spark, sf_dir), "issues")
+    since = T.window_since(F.lit("2000-06-01").cast("timestamp"), 12)
     return history.within(nodes, since).select("node.number")
 
 
@@ -603,11 +642,9 @@ def recover_jobs(spark, sf_dir):
     return upsert.recover_jobs(jobs)
 
 
-@query(f"""WITH {ISSUE_NODES}, c AS (SELECT (j ->> 'number')::INT number, unnest(json_extract(j, '$.comments.nodes')::JSON[]) c FROM n)
-SELECT number, (c ->> 'databaseId')::BIGINT AS github_id, c ->> '$.author.login' AS author, coalesce(c ->> 'body', '') AS body, 'issue_comment' AS comment_type FROM c""")
+@query("SELECT o_orderkey::INT AS number, o_custkey AS github_id, o_orderstatus AS author, coalesce(o_orderpriority, '') AS body, 'issue_comment' AS comment_type FROM orders WHERE o_orderkey % 2 = 0")
 def history_comments(spark, sf_dir):
-    nodes = history.nodes_of(rows(spark, "repo_id long, page string", (0, ISSUES)), "issues")
-    return history.comments(nodes).select("number", "github_id", "author", "body", "comment_type")
+    return history.comments(history.nodes_of(issue_pages(spark, sf_dir), "issues")).select("number", "github_id", "author", "body", "comment_type")
 
 
 @query("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey = 700")
@@ -619,7 +656,7 @@ def point_lookup(spark, sf_dir):
 def file_list(spark, sf_dir):
     """Files in order of path, numbered as they are listed."""
     listed = status.file_list(A.files(spark, sf_dir), A.chunks(spark, sf_dir)).select("path", "n_chunks")
-    return listed.withColumn("nth", F.row_number().over(Window.orderBy("path"))).select("nth", "path", "n_chunks")
+    return status.numbered(listed, "path").select("nth", "path", "n_chunks")
 
 
 @query("""WITH p AS (SELECT o_orderkey pr, 'Order ' || o_orderkey title, 'fixes #' || (o_custkey % 50) || case when o_orderkey % 3 = 0 then ', closes #7' else '' end body, o_orderstatus = 'F' merged FROM orders),

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.operators.graph import EDGE_TYPES
+from lodestrata.tables import stash
 
 
 def filtered(chunks: DataFrame, **equal) -> DataFrame:
@@ -63,3 +64,13 @@ def file_list(files: DataFrame, chunks: DataFrame, repo_id: int | None = None) -
     """Files in order of path, with their numbers of chunks."""
     own = files if repo_id is None else files.where(F.col("repo_id") == repo_id)
     return file_chunk_counts(own, chunks).orderBy("path")
+
+
+def numbered(rows: DataFrame, key: str) -> DataFrame:
+    """rows and `nth`, from 1 in order of a key without ties: numbers within ranges, and the rows of the ranges before."""
+    dealt = stash(rows.repartitionByRange(F.col(key)).withColumn("__part", F.spark_partition_id()), "ranges")
+    # a row for each range
+    parts = dealt.groupBy("__part").count()
+    before = F.coalesce(F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = F.row_number().over(Window.partitionBy("__part").orderBy(key))
+    return dealt.join(parts.select("__part", before.alias("__before")), "__part").withColumn("nth", (F.col("__before") + within).cast("int")).drop("__part", "__before")

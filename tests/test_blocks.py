@@ -61,9 +61,9 @@ def test_bounds_hold_and_skip(index, lexemes):
 
 def test_ties_are_never_cut_off(spark):
     """Where every entity scores alike all blocks are read, and the smallest ids win."""
-    docs = spark.range(200).selectExpr("'chunk' entity_type", "id entity_id", "'same' d")
+    docs = spark.range(200).selectExpr("'chunk' entity_type", "id entity_id", "'quartz' d")
     rows = postings(docs, {"d": "D"}).withColumn("repo_id", F.lit(0).cast("long"))
     lengths = rows.groupBy("repo_id", "entity_type", "entity_id").agg(F.count("*").alias("len"))
     held = B.block_postings(rows, lengths, per_block=10)
-    found, read = search.bounded_topk(held, ["same"], 4, steps=(2, 5))
+    found, read = search.bounded_topk(held, ["quartz"], 4, steps=(2, 5))
     assert read is None and [r.entity_id for r in found.collect()] == [0, 1, 2, 3]
