@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions.text import error_text, ref_of, rerank_text
 from lodestrata.operators import citations, graph, search
+from lodestrata.operators.blocks import BlockIndex
 from lodestrata.plans.providers import MODELS, classify_by_keyword, classify_by_model
 
 
@@ -58,7 +59,10 @@ class Settings:
 
 @dataclass
 class Tables:
-    """The tables of a repository. embed: text -> vector, on the driver, for one question."""
+    """The tables of a repository: of tables that hold several, its own rows, since ids of entities are unique within one alone.
+
+    embed: text -> vector, on the driver, for one question. postings: by entity type, or an index of blocks.
+    """
 
     chunks: DataFrame
     files: DataFrame
@@ -67,7 +71,7 @@ class Tables:
     issues: DataFrame
     edges: DataFrame
     embeddings: DataFrame
-    postings: dict[str, DataFrame]
+    postings: dict[str, DataFrame] | BlockIndex
     embed: Callable[[str], list[float]]
     scorer: Callable | None = None
     owner: str = "owner"
@@ -76,6 +80,15 @@ class Tables:
     branch: str = "main"
     repo_id: int = 0
 
+    def __post_init__(self) -> None:
+        own = lambda df: df.where(F.col("repo_id") == self.repo_id) if "repo_id" in df.columns else df
+        for table in ("chunks", "files", "commits", "prs", "issues", "edges", "embeddings"):
+            setattr(self, table, own(getattr(self, table)))
+        if isinstance(self.postings, BlockIndex):
+            self.postings = BlockIndex(own(self.postings.blocks), own(self.postings.lengths))
+        else:
+            self.postings = {k: own(p) for k, p in self.postings.items()}
+
 
 class Pacer:
     """Start times for calls, `per_minute` in any 60 seconds; 0 or less: at once.
@@ -143,15 +156,13 @@ def retrieve(t: Tables, question: str, k: int, s: Settings, types: set[str] | No
     mode = {"hybrid_rerank": "reranked"}.get(s.retrieval_mode, s.retrieval_mode)
     if mode not in MODES:
         warnings.warn(f"unknown retrieval mode {s.retrieval_mode!r}: hybrid is used", stacklevel=2)
-    scope = t.repo_id if "repo_id" in t.embeddings.columns else None
-    own = t.repo_id if all("repo_id" in p.columns for p in t.postings.values()) else None
     if mode == "vector":
-        return search.vector_topk(t.embeddings, t.embed(question), k, types, repo_id=scope)
+        return search.vector_topk(t.embeddings, t.embed(question), k, types)
     if mode == "bm25":
-        return search.lexical_topk(t.postings, question, k, types, repo_id=own)
+        return search.lexical_topk(t.postings, question, k, types)
     reranked = mode == "reranked" and t.scorer
-    near = search.vector_topk(t.embeddings, t.embed(question), s.candidates, types, repo_id=scope)
-    found = search.lexical_topk(t.postings, question, s.candidates, types, repo_id=own)
+    near = search.vector_topk(t.embeddings, t.embed(question), s.candidates, types)
+    found = search.lexical_topk(t.postings, question, s.candidates, types)
     fused = search.fused_topk({"vector": near, "bm25": found}, max(k, s.input_n) if reranked else k, s.rrf_k)
     return search.reranked_topk(fused, entity_texts(t), t.scorer, k, s.input_n) if reranked else fused
 

@@ -15,9 +15,11 @@ from lodestrata.functions import text as T
 from lodestrata.functions.vectors import hash_embed
 from lodestrata.operators import graph
 from lodestrata.operators.chunking import chunk_files
+from lodestrata.plans import jobs
+from lodestrata.plans.store import Store
 from lodestrata.plans.upsert import insert_if_absent, replace_partitions
 from lodestrata.sources import tree
-from lodestrata.tables import remove, shared_dir
+from lodestrata.tables import file_system, remove, shared_dir
 
 
 def parse_url(url: str) -> tuple[str, str]:
@@ -29,21 +31,51 @@ def parse_url(url: str) -> tuple[str, str]:
     return m.group(1), m.group(2)
 
 
-def replace_repo(df: DataFrame, path: str, repo_id: int) -> None:
-    """A repository's rows of a table in place of those that it had, also where there are none any more."""
-    if df.take(1):
-        replace_partitions(df, path, ["repo_id"])
-    else:
-        remove(df.sparkSession, f"{path}/repo_id={repo_id}")
+#: What is made from a repository's files and history, by table.
+DERIVED = ("embedding", "posting", "edge")
+HISTORY = ("commit", "pull_request", "issue", "comment")
+
+
+def staged(df: DataFrame, path: str) -> str | None:
+    """A repository's rows of a table, written beside it; None: there are none."""
+    part = f"{path}--{uuid.uuid4().hex}"
+    df.drop("repo_id").write.parquet(part)
+    if df.sparkSession.read.schema(df.drop("repo_id").schema).parquet(part).take(1):
+        return part
+    remove(df.sparkSession, part)
+    return None
+
+
+def put_repo(spark: SparkSession, part: str | None, path: str, repo_id: int) -> None:
+    """Staged rows in place of those that the repository had, also where there are none any more: a removal and a rename."""
+    target = f"{path}/repo_id={repo_id}"
+    remove(spark, target)
+    if part:
+        fs, p = file_system(spark, target)
+        fs.mkdirs(p.getParent())
+        fs.rename(file_system(spark, part)[1], p)
+
+
+def drop_repo(spark: SparkSession, store: str, repo_id: int) -> None:
+    """Take out all that was made from a repository: embeddings, postings, edges and history of every kind, and where its stages stood."""
+    history = Store(spark, f"{store}/history")
+    if history.version() >= 0:
+        history.forget(f"{repo_id}/")
+        for table in HISTORY:
+            history.delete(table, repo_id)
+    remove(spark, f"{store}/checkpoint/{repo_id}")
+    for table in DERIVED:
+        remove(spark, f"{store}/{table}/repo_id={repo_id}")
 
 
 def ingest_repo(spark: SparkSession, url: str, store: str, repo_id: int, local: str | None = None) -> dict:
     """Files and chunks of a repository, in place of what the store had of it. local: a tree to read instead of cloning, on
     storage that executors share; a clone goes beside the tables.
 
-    Nothing is written when the address is malformed or the tree holds too many files. What was made from former chunks
-    (their embeddings, postings and edges) goes. A file that can't be chunked has no chunks; if chunking fails as a whole,
-    the files stay and `chunk_error` says why.
+    Nothing is written when the address is malformed or the tree holds too many files. Files and chunks are made beside the
+    tables first; only when they are whole does what the store had of the repository go (drop_repo), and they are renamed
+    into its place. The history is at `history` in the store, its streams' checkpoint at `checkpoint/<repo_id>`. A file that
+    can't be chunked has no chunks; if chunking fails as a whole, the files stay and `chunk_error` says why.
     """
     owner, name = parse_url(url)
     branch = sha = None
@@ -52,16 +84,15 @@ def ingest_repo(spark: SparkSession, url: str, store: str, repo_id: int, local:
         branch, sha = tree.clone(url, local)
     files = tree.scan_tree(spark, local, repo_id)
     n = tree.check_file_count(files)
-    replace_repo(files.drop("text"), f"{store}/file", repo_id)
-    for table in ("embedding", "posting"):
-        remove(spark, f"{store}/{table}/repo_id={repo_id}/entity_type=chunk")
-    remove(spark, f"{store}/edge/repo_id={repo_id}/edge_type=introduced_by")
-    error = None
+    error = chunks = None
+    held = staged(files.drop("text"), f"{store}/file")
     try:
-        replace_repo(chunk_files(files), f"{store}/chunk", repo_id)
+        chunks = staged(chunk_files(files), f"{store}/chunk")
     except Exception as e:  # noqa: BLE001  files are of use without chunks
         error = T.error_text(type(e).__name__, str(e))
-        remove(spark, f"{store}/chunk/repo_id={repo_id}")
+    drop_repo(spark, store, repo_id)
+    put_repo(spark, chunks, f"{store}/chunk", repo_id)
+    put_repo(spark, held, f"{store}/file", repo_id)
     row = [(owner, name, branch, sha, datetime.now(UTC), repo_id)]
     schema = "owner string, name string, default_branch string, commit_sha string, ingested_at timestamp, repo_id bigint"
     replace_partitions(spark.createDataFrame(row, schema), f"{store}/repo", ["repo_id"])
@@ -132,6 +163,23 @@ def embed_repo(texts: dict[str, DataFrame], store: str, dim: int = 384, embed: C
     return out
 
 
+def embed_job(spark: SparkSession, texts: dict[str, DataFrame], store: str, repo_id: int, **how) -> dict:
+    """embed_repo as a job with a status: failed where a type fails, or where rows were to be embedded and none was."""
+
+    def work(report: Callable[[float], None]) -> None:
+        told = {}
+        for k, (kind, rows) in enumerate(texts.items()):
+            told |= embed_repo({kind: rows}, store, **how)
+            report((k + 1) / len(texts))
+        errors = [f"{k}: {r['error']}" for k, r in told.items() if r["error"]]
+        if errors:
+            raise RuntimeError("; ".join(errors))
+        if not any(r["embedded"] for r in told.values()) and any(r["skipped"] for r in told.values()):
+            raise RuntimeError(f"none of {sum(r['skipped'] for r in told.values())} rows could be embedded")
+
+    return jobs.run(spark, store, repo_id, "embedding", work)
+
+
 def write_postings(rows: DataFrame, path: str, files: int) -> None:
     """Postings by repository and type, in order of lexeme: a search reads the few pages that hold its lexemes.
 

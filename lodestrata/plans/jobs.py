@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions.text import error_text
 from lodestrata.plans.upsert import recover_jobs, replace_partitions
-from lodestrata.tables import exists
+from lodestrata.tables import exists, file_system, remove
 
 SCHEMA = "status string, progress double, started_at timestamp, completed_at timestamp, error string, repo_id bigint, kind string"
 
@@ -29,14 +29,18 @@ def status(spark: SparkSession, store: str, repo_id: int, kind: str) -> dict:
     return {"status": "pending", "progress": 0.0, "started_at": None, "completed_at": None, "error": None, "repo_id": repo_id, "kind": kind}
 
 
+def _claim(store: str, repo_id: int, kind: str) -> str:
+    return f"{store}/claim/{repo_id}-{kind}"
+
+
 def run(spark: SparkSession, store: str, repo_id: int, kind: str, work: Callable[[Callable[[float], None]], object]) -> dict:
     """work(report) under a status: in_progress, with the share that it reports, then done, or failed with what went wrong.
 
-    A job that is under way is not started again.
+    A job that is under way is not started again: the file that claims it can be made once.
     """
-    before = status(spark, store, repo_id, kind)
-    if before["status"] == "in_progress":
-        return before
+    fs, claim = file_system(spark, _claim(store, repo_id, kind))
+    if not fs.createNewFile(claim):
+        return status(spark, store, repo_id, kind) | {"status": "in_progress"}
     began = datetime.now(UTC)
     _put(spark, store, repo_id, kind, "in_progress", 0.0, began)
     done = [0.0]
@@ -50,11 +54,14 @@ def run(spark: SparkSession, store: str, repo_id: int, kind: str, work: Callable
         _put(spark, store, repo_id, kind, "done", 1.0, began, datetime.now(UTC))
     except Exception as e:  # noqa: BLE001  the status carries it
         _put(spark, store, repo_id, kind, "failed", done[0], began, datetime.now(UTC), error_text(type(e).__name__, str(e)))
+    # a process that ends before this leaves the claim to recover()
+    fs.delete(claim, False)
     return status(spark, store, repo_id, kind)
 
 
 def recover(spark: SparkSession, store: str) -> DataFrame | None:
-    """Jobs under way when the process ended have failed: call it at the start. Returns all jobs."""
+    """Jobs under way when the process ended have failed, and may be started again: call it at the start. Returns all jobs."""
+    remove(spark, f"{store}/claim")
     if not exists(spark, f"{store}/job"):
         return None
     jobs = spark.read.schema(SCHEMA).parquet(f"{store}/job")

@@ -1,4 +1,5 @@
 import json
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -286,6 +287,68 @@ def test_replace_drops_what_hung_on_it(spark, tmp_path):
     assert left("chunk") == {2} and left("embedding") == {2} and left("file") == {1, 2} and left("repo") == {1, 2}
 
 
+def test_replace_takes_all_of_a_repository(spark, tmp_path):
+    """History, edges, postings and embeddings of every kind go with a new ingest; another repository's stay; history starts anew."""
+    from lodestrata.plans import ingest
+
+    root, store, pages = tmp_path / "r", str(tmp_path / "store"), tmp_path / "pages"
+    root.mkdir()
+    pages.mkdir()
+    (root / "a.py").write_text("def f():\n    return 1\n")
+    (pages / "commits-0.json").write_text(page("commits", [commit_node("aaa", "one")]))
+    (pages / "issues-0.json").write_text(page("issues", [ISSUE]))
+    history_of = lambda repo: ingest_history(spark, str(pages), repo, f"{store}/history", f"{store}/checkpoint/{repo}", since="2019-01-01T00:00:00Z")
+    for repo in (1, 2):
+        ingest.ingest_repo(spark, "https://github.com/o/r", store, repo, str(root))
+        assert history_of(repo)["commits"]["count"] == 1
+        made = spark.createDataFrame([(repo, 5, "text")], "repo_id long, entity_id long, text string")
+        ingest.embed_repo({k: made for k in ("chunk", "commit", "issue")}, store, 4)
+        edge = spark.createDataFrame([(repo, "part_of")], "repo_id long, edge_type string").withColumn("source_id", F.lit(1))
+        edge.write.mode("append").partitionBy("repo_id", "edge_type").parquet(f"{store}/edge")
+    ingest.ingest_repo(spark, "https://github.com/o/r", store, 1, str(root))
+    kept = Store(spark, f"{store}/history")
+    assert {r.repo_id for t in ("commit", "issue") for r in kept.read(t).collect()} == {2}
+    left = lambda t: {r.repo_id for r in spark.read.parquet(f"{store}/{t}").select("repo_id").collect()}
+    assert left("embedding") == left("edge") == {2} and left("chunk") == left("file") == left("repo") == {1, 2}
+    assert history_of(1)["commits"]["count"] == 1 and {r.repo_id for r in kept.read("commit").collect()} == {1, 2}
+
+
+def test_an_embedding_job_that_embeds_nothing_has_failed(spark, tmp_path):
+    from lodestrata.plans import ingest, jobs
+
+    def embed(texts):
+        raise RuntimeError("no")
+
+    texts = {"chunk": spark.createDataFrame([(1, 5, "text")], "repo_id long, entity_id long, text string")}
+    got = ingest.embed_job(spark, texts, str(tmp_path), 1, dim=4, embed=ingest.batched(embed))
+    assert got["status"] == "failed" and "none of 1 rows" in got["error"]
+    assert ingest.embed_job(spark, texts, str(tmp_path), 1, dim=4)["status"] == "done"
+    assert ingest.embed_job(spark, {"chunk": texts["chunk"].limit(0)}, str(tmp_path), 1, dim=4)["status"] == "done"
+    assert jobs.status(spark, str(tmp_path), 1, "embedding")["progress"] == 1.0
+
+
+def test_a_job_is_claimed_once(spark, tmp_path):
+    """Eight callers at once: one does the work."""
+    import threading
+
+    from lodestrata.plans import jobs
+
+    did, together = [], threading.Barrier(8)
+
+    def work(report):
+        did.append(1)
+        threading.Event().wait(2)
+
+    def call():
+        together.wait()
+        jobs.run(spark, str(tmp_path), 1, "graph", work)
+
+    threads = [threading.Thread(target=call) for _ in range(8)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert did == [1] and jobs.status(spark, str(tmp_path), 1, "graph")["status"] == "done"
+
+
 def test_batches_that_fail(spark, tmp_path):
     from lodestrata.plans import ingest
 
@@ -359,14 +422,14 @@ def test_jobs(spark, tmp_path):
 def test_tables_made_once(spark, tmp_path):
     from lodestrata import tables
 
-    made = []
+    made, name = [], f"test-{uuid.uuid4().hex}"
 
     def make():
         made.append(1)
         return {"t": (spark.range(5), lambda df, path: df.write.parquet(path))}
 
     for _ in range(2):
-        assert tables.kept(spark, f"test-{tmp_path.name}", {"t": "id bigint"}, make)["t"].count() == 5
+        assert tables.kept(spark, name, {"t": "id bigint"}, make)["t"].count() == 5
     assert len(made) == 1
     (tmp_path / "a").write_text("x")
     before = tables.fingerprint(spark, str(tmp_path))
