@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 # What a repository scan leaves out, and how a file's language is told from its name.
 SKIP_DIRS = [".git", "node_modules", "vendor", ".venv", "venv", "dist", "build", "__pycache__", "target", ".next", ".nuxt", ".cache", ".idea", ".vscode"]
 SKIP_FILES = ["package-lock.json", "yarn.lock", "pnpm-lock.yaml", "Pipfile.lock", "poetry.lock", "uv.lock", "Cargo.lock", "go.sum", "composer.lock", "Gemfile.lock"]
-BINARY_SUFFIXES = [".png", ".jpg", ".jpeg", ".gif", ".svg", ".ico", ".webp", ".pdf", ".zip", ".tar", ".gz", ".bz2", ".7z", ".exe", ".dll", ".so", ".dylib", ".o", ".a", ".wasm", ".ttf", ".otf", ".woff", ".woff2", ".mp3", ".mp4", ".mov", ".webm", ".ogg", ".flac", ".class", ".jar"]
+BINARY_SUFFIXES = [".png", ".jpg", ".jpeg", ".gif", ".svg", ".ico", ".webp", ".pdf", ".zip", ".tar", ".gz", ".bz2", ".7z", ".exe", ".dll", ".so",
+    ".dylib", ".o", ".a", ".wasm", ".ttf", ".otf", ".woff", ".woff2", ".mp3", ".mp4", ".mov", ".webm", ".ogg", ".flac", ".class", ".jar"]
 MAX_FILE_BYTES, MAX_FILES = 1_048_576, 5000
 LANGUAGES = {
     ".py": "Python", ".pyi": "Python", ".ts": "TypeScript", ".tsx": "TypeScript", ".js": "JavaScript", ".jsx": "JavaScript", ".mjs": "JavaScript", ".cjs": "JavaScript",

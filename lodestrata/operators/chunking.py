@@ -78,7 +78,9 @@ def _meta(node: ast.AST | None, src: Source) -> dict | None:
 
 
 def _row(kind: str, first, last, content: str, node=None, parent: str | None = None, src: Source | None = None) -> dict:
-    return {"chunk_type": kind, "name": getattr(node, "name", None) if isinstance(node, (*DEF, ast.ClassDef)) else None, "parent_name": parent, "start_line": first, "end_line": max(first, last), "content": content, "language": "Python", "is_async": isinstance(node, ast.AsyncFunctionDef), "extra_metadata": _meta(node, src) if src else None}
+    return {"chunk_type": kind, "name": getattr(node, "name", None) if isinstance(node, (*DEF, ast.ClassDef)) else None, "parent_name": parent,
+        "start_line": first, "end_line": max(first, last), "content": content, "language": "Python", "is_async": isinstance(node, ast.AsyncFunctionDef),
+        "extra_metadata": _meta(node, src) if src else None}
 
 
 def chunk_python(text: str) -> list[dict]:

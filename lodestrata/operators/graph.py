@@ -17,7 +17,9 @@ EDGE = ["repo_id", "source_type", "source_id", "target_type", "target_id", "edge
 def edges_of(pairs: DataFrame, edge_type: str, source_type: str, target_type: str, blame_line=None) -> DataFrame:
     """Edge rows from (repo_id, source_id, target_id)."""
     line = F.lit(None).cast("int") if blame_line is None else blame_line
-    return pairs.select("repo_id", F.lit(source_type).alias("source_type"), F.col("source_id").cast("long").alias("source_id"), F.lit(target_type).alias("target_type"), F.col("target_id").cast("long").alias("target_id"), F.lit(edge_type).alias("edge_type"), F.struct(line.alias("blame_line")).alias("edge_metadata"))
+    return pairs.select("repo_id", F.lit(source_type).alias("source_type"), F.col("source_id").cast("long").alias("source_id"),
+        F.lit(target_type).alias("target_type"), F.col("target_id").cast("long").alias("target_id"), F.lit(edge_type).alias("edge_type"),
+        F.struct(line.alias("blame_line")).alias("edge_metadata"))
 
 
 def insert_edges(existing: DataFrame, new: DataFrame) -> DataFrame:

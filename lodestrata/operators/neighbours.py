@@ -129,7 +129,8 @@ def summarise(placed: DataFrame, cells: Cells) -> Summary:
                 old = held.get(int(c))
                 held[int(c)] = new if old is None else [old[0] + new[0], np.minimum(old[1], new[1]), np.maximum(old[2], new[2]), max(old[3], new[3]), old[4] + new[4]]
         rows = [{"cell": c, "n": h[0], "low": h[1].tolist(), "high": h[2].tolist(), "rest": float(h[3]), "total": h[4].tolist()} for c, h in held.items()]
-        yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("cell", pa.int32()), ("n", pa.int64()), *[(k, pa.list_(pa.float64())) for k in ("low", "high")], ("rest", pa.float64()), ("total", pa.list_(pa.float64()))]))
+        yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("cell", pa.int32()), ("n", pa.int64()), *[(k,
+            pa.list_(pa.float64())) for k in ("low", "high")], ("rest", pa.float64()), ("total", pa.list_(pa.float64()))]))
 
     each = placed.select("embedding", "cell").mapInArrow(run, "cell int, n bigint, low array<double>, high array<double>, rest double, total array<double>")
     at = lambda f, c, size: F.array(*[f(F.col(c)[i]) for i in range(size)]).alias(c)
@@ -364,7 +365,9 @@ def build_graph_index(embeddings: DataFrame, path: str, shard: int = SHARD, link
         rows = rows.sort_by("vec_id")
         _, v = units(rows.column("embedding"))
         edges = link(v, links, key[0].as_py() * 1_000_003 + key[1].as_py())
-        return pa.table({"cell": rows.column("cell"), "tile": rows.column("tile"), "node": pa.array(np.arange(len(v)), pa.int32()), "vec_id": rows.column("vec_id"), "embedding": rows.column("embedding").cast(kind), "links": pa.array([x.tolist() for x in edges], pa.list_(pa.int32()))})
+        return pa.table({"cell": rows.column("cell"), "tile": rows.column("tile"), "node": pa.array(np.arange(len(v)), pa.int32()),
+            "vec_id": rows.column("vec_id"), "embedding": rows.column("embedding").cast(kind),
+            "links": pa.array([x.tolist() for x in edges], pa.list_(pa.int32()))})
 
     schema = f"cell int, tile int, node int, vec_id bigint, embedding {vectors.schema['embedding'].dataType.simpleString()}, links array<int>"
     dealt.groupBy("cell", "tile").applyInArrow(build, schema).write.parquet(f"{path}/nodes")

@@ -101,7 +101,8 @@ def _best(ranked: DataFrame, k: int, norm: str) -> DataFrame:
     return ranked.select(*KEYS, score.alias("score")).orderBy(F.desc(F.round("score", 12)), *KEYS).limit(k)
 
 
-def lexical_topk(arms: dict[str, DataFrame] | B.BlockIndex, query: str, k: int, types: set[str] | None = None, scorer: str = "cover", norm: str = "saturate", repo_id: int | None = None, lengths: DataFrame | None = None) -> DataFrame:
+def lexical_topk(arms: dict[str, DataFrame] | B.BlockIndex, query: str, k: int, types: set[str] | None = None, scorer: str = "cover",
+    norm: str = "saturate", repo_id: int | None = None, lengths: DataFrame | None = None) -> DataFrame:
     """The k best of the union of typed arms (postings by entity type); arms of other types are never planned. arms: or an index of blocks.
 
     norm: "saturate" is rank / (rank + 1), "none" the rank itself. A query without a searchable word finds nothing.

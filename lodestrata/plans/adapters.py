@@ -27,7 +27,11 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    return d.select(F.lit(0).cast("long").alias("repo_id"), F.col("doc_id").alias("chunk_id"), F.substring("source", 4, 9).cast("long").alias("file_id"), F.col("lang").alias("chunk_type"), F.concat(F.lit("n"), F.col("doc_id").cast("string")).alias("name"), F.lit(None).cast("string").alias("parent_name"), (F.col("doc_id") + 1).cast("int").alias("start_line"), (F.col("doc_id") + 9).cast("int").alias("end_line"), F.col("text").alias("content"), F.col("lang").alias("language"))
+    return d.select(F.lit(0).cast("long").alias("repo_id"), F.col("doc_id").alias("chunk_id"),
+        F.substring("source", 4, 9).cast("long").alias("file_id"), F.col("lang").alias("chunk_type"),
+        F.concat(F.lit("n"), F.col("doc_id").cast("string")).alias("name"), F.lit(None).cast("string").alias("parent_name"),
+        (F.col("doc_id") + 1).cast("int").alias("start_line"), (F.col("doc_id") + 9).cast("int").alias("end_line"), F.col("text").alias("content"),
+        F.col("lang").alias("language"))
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +92,8 @@ def graph_index(spark: SparkSession, sf_dir: str) -> GraphIndex:
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """part -> orders -> customer -> nation, and back from nation, in the shape of the entity graph."""
     line, orders, customer = (table(spark, sf_dir, n) for n in ("lineitem", "orders", "customer"))
-    e = lambda df, st, s, tt, t, kind: df.select(F.lit(0).alias("repo_id"), F.lit(st).alias("source_type"), F.col(s).cast("long").alias("source_id"), F.lit(tt).alias("target_type"), F.col(t).cast("long").alias("target_id"), F.lit(kind).alias("edge_type"))
+    e = lambda df, st, s, tt, t, kind: df.select(F.lit(0).alias("repo_id"), F.lit(st).alias("source_type"), F.col(s).cast("long").alias("source_id"),
+        F.lit(tt).alias("target_type"), F.col(t).cast("long").alias("target_id"), F.lit(kind).alias("edge_type"))
     a = e(line.select("l_partkey", "l_orderkey").distinct(), "chunk", "l_partkey", "commit", "l_orderkey", "introduced_by")
     b = e(orders, "commit", "o_orderkey", "pr", "o_custkey", "part_of")
     c = e(customer, "pr", "c_custkey", "issue", "c_nationkey", "references_issue")

@@ -224,7 +224,10 @@ def context_of(t: Tables, question: str, category: str, s: Settings, retriever:
     for nth, (kind, df) in enumerate(kinds.items()):
         df = df.join(relations, ["entity_type", "display_id"], "left") if relations is not None else df.withColumn("phrases", F.lit(None).cast("string"))
         has = lambda c: F.col(c) if c in df.columns else F.lit(None)  # noqa: B023, E731
-        blocks.append(df.select(F.lit(nth).alias("kind_rank"), F.col("display").alias("nth"), citations.excerpt(kind).alias("block"), "entity_type", "entity_id", "display_id", has("path").cast("string").alias("path"), has("start_line").cast("int").alias("start_line"), has("end_line").cast("int").alias("end_line"), has("sha").cast("string").alias("sha"), has("message").cast("string").alias("message"), has("number").cast("int").alias("number"), has("title").cast("string").alias("title")))
+        blocks.append(df.select(F.lit(nth).alias("kind_rank"), F.col("display").alias("nth"), citations.excerpt(kind).alias("block"), "entity_type",
+            "entity_id", "display_id", has("path").cast("string").alias("path"), has("start_line").cast("int").alias("start_line"),
+            has("end_line").cast("int").alias("end_line"), has("sha").cast("string").alias("sha"), has("message").cast("string").alias("message"),
+            has("number").cast("int").alias("number"), has("title").cast("string").alias("title")))
     return blocks, trace
 
 

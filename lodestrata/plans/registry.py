@@ -194,7 +194,8 @@ SELECT coalesce(a.entity_type, b.entity_type) AS entity_type, coalesce(a.entity_
 @query(RRF)
 def rrf_fuse(spark, sf_dir):
     a = search.vector_topk(A.embeddings(spark, sf_dir), query_vector(spark, sf_dir), 30)
-    b = A.table(spark, sf_dir, "documents").select(F.lit("chunk").alias("entity_type"), F.col("doc_id").alias("entity_id"), F.col("n_chars").cast("double").alias("score")).orderBy(F.desc("score"), "entity_type", "entity_id").limit(30)
+    b = A.table(spark, sf_dir, "documents").select(F.lit("chunk").alias("entity_type"), F.col("doc_id").alias("entity_id"),
+        F.col("n_chars").cast("double").alias("score")).orderBy(F.desc("score"), "entity_type", "entity_id").limit(30)
     return rounded(search.reciprocal_rank_fusion({"v": a, "l": b}), "v_rank", "l_rank")
 
 
@@ -315,7 +316,8 @@ def edge_build_part_of(spark, sf_dir):
 @query("SELECT DISTINCT l_partkey AS source_id, l_suppkey AS target_id FROM lineitem EXCEPT SELECT l_partkey, l_suppkey FROM lineitem WHERE l_orderkey % 2 = 0")
 def edge_insert_if_absent(spark, sf_dir):
     e = graph.edges_of(A.table(spark, sf_dir, "lineitem").select(F.lit(0).alias("repo_id"), F.col("l_partkey").alias("source_id"), F.col("l_suppkey").alias("target_id"), "l_orderkey"), "part_of", "commit", "pr")
-    old = graph.edges_of(A.table(spark, sf_dir, "lineitem").where("l_orderkey % 2 = 0").select(F.lit(0).alias("repo_id"), F.col("l_partkey").alias("source_id"), F.col("l_suppkey").alias("target_id")), "part_of", "commit", "pr")
+    old = graph.edges_of(A.table(spark, sf_dir, "lineitem").where("l_orderkey % 2 = 0").select(F.lit(0).alias("repo_id"),
+        F.col("l_partkey").alias("source_id"), F.col("l_suppkey").alias("target_id")), "part_of", "commit", "pr")
     return graph.insert_edges(old, e).select("source_id", "target_id")
 
 
@@ -420,7 +422,8 @@ def split_ident(spark, sf_dir):
 
 
 #: Functions, classes and others around documents' texts.
-CODE = """CASE doc_id % 5 WHEN 0 THEN concat('def f():\n    \"\"\"', text, '\"\"\"\n    pass') WHEN 1 THEN concat('class A:\n  ', repeat(chr(39), 3), text, repeat(chr(39), 3)) WHEN 2 THEN concat('async def g():\n  \"\"\"', text, '\"\"\"') WHEN 3 THEN concat('def f(x: int):\n  \"\"\"', text, '\"\"\"') ELSE text END""".replace("\n", "' || chr(10) || '")
+CODE = """CASE doc_id % 5 WHEN 0 THEN concat('def f():\n    \"\"\"', text, '\"\"\"\n    pass') WHEN 1 THEN concat('class A:\n  ', repeat(chr(39), 3), text, repeat(chr(39), 3)) WHEN 2 THEN concat('async def g():\n  \"\"\"', text, '\"\"\"') WHEN 3 THEN concat('def f(x: int):\n  \"\"\"', text, '\"\"\"') ELSE text END""".replace("\n",
+    "' || chr(10) || '")
 SPOKEN = "CASE WHEN doc_id % 7 = 0 THEN 'Go' ELSE 'Python' END"
 DOC_SQL = r"""CASE WHEN lang = 'Python' THEN trim(regexp_extract(content, '(?sm)^\s*(?:async\s+)?(?:def|class)\s+\w+[^:]*:\s*(?:\"\"\"(.*?)\"\"\"|''''''(.*?)'''''')', 1) || regexp_extract(content, '(?sm)^\s*(?:async\s+)?(?:def|class)\s+\w+[^:]*:\s*(?:\"\"\"(.*?)\"\"\"|''''''(.*?)'''''')', 2), E' \n\t\r\f\v') ELSE '' END"""
 
@@ -459,7 +462,9 @@ def url_parse(spark, sf_dir):
 def permalinks(spark, sf_dir):
     o, r, n = F.lit("o"), F.lit("r"), F.col("doc_id")
     ref = T.ref_of(F.when(n % 2 == 0, "").otherwise("abc"), F.lit("main"))
-    return A.table(spark, sf_dir, "documents").select("doc_id", T.permalink("chunk", o, r, ref, F.concat(F.lit("src/"), F.col("source"), F.lit(".py")), n, n + 1).alias("chunk"), T.permalink("commit", o, r, n).alias("c"), T.permalink("pr", o, r, n).alias("p"), T.permalink("issue", o, r, n).alias("i"))
+    return A.table(spark, sf_dir, "documents").select("doc_id",
+        T.permalink("chunk", o, r, ref, F.concat(F.lit("src/"), F.col("source"), F.lit(".py")), n, n + 1).alias("chunk"),
+        T.permalink("commit", o, r, n).alias("c"), T.permalink("pr", o, r, n).alias("p"), T.permalink("issue", o, r, n).alias("i"))
 
 
 @query("SELECT doc_id, concat_ws(chr(10) || chr(10), nullif(trim(title, E' \\n\\t\\r\\f\\v'), ''), nullif(trim(body, E' \\n\\t\\r\\f\\v'), '')) AS embed_text, title || chr(10) || chr(10) || body AS rerank FROM (SELECT doc_id, coalesce(source, '') AS title, coalesce(text, '') AS body FROM documents)")
@@ -471,8 +476,11 @@ def title_body_texts(spark, sf_dir):
 @query("""SELECT doc_id, '[m' || doc_id || '] commit: ' || substr(md5(doc_id::VARCHAR), 1, 7) || ' by unknown on 2024-01-02' || chr(10) || 'Message: ' || trim(text, E' \\n\\t\\r') AS commit_block,
 '[p' || doc_id || '] pr: #' || doc_id || ' "' || source || '" (open, open)  (contains [commit:m1])' || CASE WHEN trim(text, E' \\n\\t\\r') = '' THEN '' ELSE chr(10) || 'Body: ' || substr(trim(text, E' \\n\\t\\r'), 1, 500) || CASE WHEN length(trim(text, E' \\n\\t\\r')) > 500 THEN '...' ELSE '' END END AS pr_block FROM documents""")
 def context_excerpts(spark, sf_dir):
-    d = A.table(spark, sf_dir, "documents").withColumns({"n": F.col("doc_id"), "sha": F.md5(F.col("doc_id").cast("string").cast("binary")), "author_name": F.lit(""), "authored_at": F.lit("2024-01-02 03:04:05").cast("timestamp"), "message": F.col("text"), "number": F.col("doc_id"), "title": F.col("source"), "state": F.lit("open"), "merged_at": F.lit(None).cast("timestamp"), "body": F.col("text")})
-    c = d.withColumns({"display_id": F.concat(F.lit("m"), F.col("n").cast("string")), "phrases": F.lit(None).cast("string")}).select("doc_id", citations.excerpt("commit").alias("commit_block"), *[x for x in d.columns if x != "doc_id"])
+    d = A.table(spark, sf_dir, "documents").withColumns({"n": F.col("doc_id"), "sha": F.md5(F.col("doc_id").cast("string").cast("binary")),
+        "author_name": F.lit(""), "authored_at": F.lit("2024-01-02 03:04:05").cast("timestamp"), "message": F.col("text"), "number": F.col("doc_id"),
+        "title": F.col("source"), "state": F.lit("open"), "merged_at": F.lit(None).cast("timestamp"), "body": F.col("text")})
+    c = d.withColumns({"display_id": F.concat(F.lit("m"), F.col("n").cast("string")), "phrases": F.lit(None).cast("string")}).select("doc_id",
+        citations.excerpt("commit").alias("commit_block"), *[x for x in d.columns if x != "doc_id"])
     return c.withColumns({"display_id": F.concat(F.lit("p"), F.col("n").cast("string")), "phrases": F.lit("contains [commit:m1]")}).select("doc_id", "commit_block", citations.excerpt("pr").alias("pr_block"))
 
 
@@ -503,7 +511,8 @@ def chunk_python(spark, sf_dir):
 
 
 #: Answers: documents' texts after citations in plain text, in code and in fences.
-ANSWER = """concat(CASE doc_id % 5 WHEN 0 THEN 'A [chunk:c1][chunk:c2]. B [pr:p1] `[chunk:c3]` [chunk: c1 ] [file:f1]' WHEN 1 THEN '```|[chunk:c1]|```|[chunk:c1] [chunk:none]' WHEN 2 THEN '~~~|[chunk:c1]|' WHEN 3 THEN '``a ` [chunk:c1]`` [issue:i9] [issue:i9]' ELSE '' END, '|', text, '|[commit:m', doc_id, ']')""".replace("|", "' || chr(10) || '")
+ANSWER = """concat(CASE doc_id % 5 WHEN 0 THEN 'A [chunk:c1][chunk:c2]. B [pr:p1] `[chunk:c3]` [chunk: c1 ] [file:f1]' WHEN 1 THEN '```|[chunk:c1]|```|[chunk:c1] [chunk:none]' WHEN 2 THEN '~~~|[chunk:c1]|' WHEN 3 THEN '``a ` [chunk:c1]`` [issue:i9] [issue:i9]' ELSE '' END, '|', text, '|[commit:m', doc_id, ']')""".replace("|",
+    "' || chr(10) || '")
 
 
 CITE = r"\[(chunk|commit|pr|issue):(none|[A-Za-z0-9_-]{1,16})\]"
@@ -527,7 +536,8 @@ SELECT a.answer_id::INT AS answer_id, entity_type, display_id, start::INT AS sta
 FROM a JOIN w ON a.answer_id = w.answer_id LEFT JOIN c ON a.answer_id = c.answer_id""")
 def parse_citations(spark, sf_dir):
     p = citations.parse_citations(A.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("int").alias("answer_id"), F.expr(ANSWER).alias("answer")))
-    return p.select("answer_id", F.explode_outer("parsed.citations").alias("c"), F.array_join("parsed.warnings", ",").alias("warnings")).select("answer_id", "c.entity_type", "c.display_id", "c.start", "c.end", "warnings")
+    return p.select("answer_id", F.explode_outer("parsed.citations").alias("c"),
+        F.array_join("parsed.warnings", ",").alias("warnings")).select("answer_id", "c.entity_type", "c.display_id", "c.start", "c.end", "warnings")
 
 
 #: Citations of parts by orders' lines, and what an answer was shown: two of three parts, as one of four kinds.
@@ -614,7 +624,9 @@ def issue_pages(spark, sf_dir):
     comment = F.struct(F.col("o_custkey").alias("databaseId"), F.col("o_orderpriority").alias("body"), F.struct(F.col("o_orderstatus").alias("login")).alias("author"), day(at).alias("createdAt"))
     labels = F.array(F.struct(F.col("o_orderstatus").alias("name")), F.struct(F.col("o_orderpriority").alias("name")))
     some = lambda x: F.struct(F.when(k % 2 == 0, x).otherwise(F.slice(x, 1, 0)).alias("nodes"))
-    node = F.struct(k.alias("number"), F.concat(F.lit("Order "), k.cast("string")).alias("title"), F.when(k % 3 > 0, F.col("o_orderpriority")).alias("body"), F.when(k % 5 > 0, "OPEN").otherwise("CLOSED").alias("state"), day(at).alias("createdAt"), day(at + F.expr("INTERVAL 3 DAY")).alias("updatedAt"), some(labels).alias("labels"), some(F.array(comment)).alias("comments"))
+    node = F.struct(k.alias("number"), F.concat(F.lit("Order "), k.cast("string")).alias("title"),
+        F.when(k % 3 > 0, F.col("o_orderpriority")).alias("body"), F.when(k % 5 > 0, "OPEN").otherwise("CLOSED").alias("state"), day(at).alias("createdAt"),
+        day(at + F.expr("INTERVAL 3 DAY")).alias("updatedAt"), some(labels).alias("labels"), some(F.array(comment)).alias("comments"))
     nodes = A.table(spark, sf_dir, "orders").groupBy(F.floor(k / 100).alias("repo_id")).agg(F.collect_list(node).alias("nodes"))
     return nodes.select("repo_id", F.to_json(F.struct(F.struct(F.struct("nodes").alias("issues")).alias("repository"))).alias("page"))
 
@@ -667,7 +679,10 @@ def history_to_graph(spark, sf_dir):
     """Pull requests and issues to their edges: references by closing words, and what merged ones closed."""
     o = A.table(spark, sf_dir, "orders")
     body = F.concat(F.lit("fixes #"), (F.col("o_custkey") % 50).cast("string"), F.when(F.col("o_orderkey") % 3 == 0, ", closes #7").otherwise(""))
-    prs = o.select(F.lit(0).alias("repo_id"), F.col("o_orderkey").alias("pr_id"), F.col("o_orderkey").cast("int").alias("number"), F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")).alias("title"), body.alias("body"), F.when(F.col("o_orderstatus") == "F", F.lit("2024-01-01")).alias("merged_at"))
-    issues = A.table(spark, sf_dir, "nation").select(F.lit(0).alias("repo_id"), F.col("n_nationkey").cast("long").alias("issue_id"), F.col("n_nationkey").cast("int").alias("number"), F.lit(None).cast("int").alias("closing_pr_number"))
+    prs = o.select(F.lit(0).alias("repo_id"), F.col("o_orderkey").alias("pr_id"), F.col("o_orderkey").cast("int").alias("number"),
+        F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")).alias("title"), body.alias("body"),
+        F.when(F.col("o_orderstatus") == "F", F.lit("2024-01-01")).alias("merged_at"))
+    issues = A.table(spark, sf_dir, "nation").select(F.lit(0).alias("repo_id"), F.col("n_nationkey").cast("long").alias("issue_id"),
+        F.col("n_nationkey").cast("int").alias("number"), F.lit(None).cast("int").alias("closing_pr_number"))
     references, closed, _ = graph.pr_issue_links(prs, issues)
     return references.unionByName(closed).select("edge_type", "source_id", "target_id").distinct()

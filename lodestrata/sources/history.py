@@ -36,26 +36,36 @@ def within(nodes: DataFrame, since) -> DataFrame:
 
 def commits(nodes: DataFrame, *more: str) -> DataFrame:
     n = lambda x: F.col(f"node.{x}")
-    return nodes.select("repo_id", n("oid").alias("sha"), n("author.name").alias("author_name"), n("author.email").alias("author_email"), n("authoredDate").cast("timestamp").alias("authored_at"), n("committedDate").cast("timestamp").alias("committed_at"), F.coalesce(n("message"), F.lit("")).alias("message"), F.coalesce(n("parents.nodes.oid"), F.array().cast("array<string>")).alias("parent_shas"), n("changedFilesIfAvailable").alias("files_changed_count"), n("additions").alias("additions"), n("deletions").alias("deletions"), *more)
+    return nodes.select("repo_id", n("oid").alias("sha"), n("author.name").alias("author_name"), n("author.email").alias("author_email"),
+        n("authoredDate").cast("timestamp").alias("authored_at"), n("committedDate").cast("timestamp").alias("committed_at"),
+        F.coalesce(n("message"), F.lit("")).alias("message"), F.coalesce(n("parents.nodes.oid"), F.array().cast("array<string>")).alias("parent_shas"),
+        n("changedFilesIfAvailable").alias("files_changed_count"), n("additions").alias("additions"), n("deletions").alias("deletions"), *more)
 
 
 def pull_requests(nodes: DataFrame, *more: str) -> DataFrame:
     n = lambda x: F.col(f"node.{x}")
     t = lambda x: n(x).cast("timestamp")
-    return nodes.select("repo_id", n("number").alias("number"), F.coalesce(n("title"), F.lit("")).alias("title"), n("body").alias("body"), F.lower(F.coalesce(n("state"), F.lit(""))).alias("state"), n("author.login").alias("author"), t("createdAt").alias("created_at"), t("mergedAt").alias("merged_at"), t("closedAt").alias("closed_at"), n("mergeCommit.oid").alias("merge_commit_sha"), n("baseRefName").alias("base_branch"), n("headRefName").alias("head_branch"), n("changedFiles").alias("files_changed_count"), n("additions").alias("additions"), n("deletions").alias("deletions"), *more)
+    return nodes.select("repo_id", n("number").alias("number"), F.coalesce(n("title"), F.lit("")).alias("title"), n("body").alias("body"),
+        F.lower(F.coalesce(n("state"), F.lit(""))).alias("state"), n("author.login").alias("author"), t("createdAt").alias("created_at"),
+        t("mergedAt").alias("merged_at"), t("closedAt").alias("closed_at"), n("mergeCommit.oid").alias("merge_commit_sha"),
+        n("baseRefName").alias("base_branch"), n("headRefName").alias("head_branch"), n("changedFiles").alias("files_changed_count"),
+        n("additions").alias("additions"), n("deletions").alias("deletions"), *more)
 
 
 def issues(nodes: DataFrame, *more: str) -> DataFrame:
     n = lambda x: F.col(f"node.{x}")
     t = lambda x: n(x).cast("timestamp")
-    return nodes.select("repo_id", n("number").alias("number"), F.coalesce(n("title"), F.lit("")).alias("title"), n("body").alias("body"), F.lower(F.coalesce(n("state"), F.lit(""))).alias("state"), n("author.login").alias("author"), t("createdAt").alias("created_at"), t("closedAt").alias("closed_at"), F.coalesce(n("labels.nodes.name"), F.array().cast("array<string>")).alias("labels"), *more)
+    return nodes.select("repo_id", n("number").alias("number"), F.coalesce(n("title"), F.lit("")).alias("title"), n("body").alias("body"),
+        F.lower(F.coalesce(n("state"), F.lit(""))).alias("state"), n("author.login").alias("author"), t("createdAt").alias("created_at"),
+        t("closedAt").alias("closed_at"), F.coalesce(n("labels.nodes.name"), F.array().cast("array<string>")).alias("labels"), *more)
 
 
 def comments(nodes: DataFrame, reviews: bool = False) -> DataFrame:
     """repo_id, number, github_id, author, body, created_at, comment_type; reviews without a body are left out."""
     kind = "review_body" if reviews else "issue_comment"
     each = nodes.select("repo_id", "node.number", F.explode(f"node.{'reviews' if reviews else 'comments'}.nodes").alias("c"))
-    rows = each.select("repo_id", "number", F.col("c.databaseId").alias("github_id"), F.col("c.author.login").alias("author"), F.coalesce("c.body", F.lit("")).alias("body"), F.col("c.createdAt").cast("timestamp").alias("created_at"), F.lit(kind).alias("comment_type"))
+    rows = each.select("repo_id", "number", F.col("c.databaseId").alias("github_id"), F.col("c.author.login").alias("author"),
+        F.coalesce("c.body", F.lit("")).alias("body"), F.col("c.createdAt").cast("timestamp").alias("created_at"), F.lit(kind).alias("comment_type"))
     return rows.where(F.col("body").rlike(r"(?U)\S")) if reviews else rows
 
 

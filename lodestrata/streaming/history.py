@@ -83,7 +83,8 @@ def ingest_stage(store: Store, source: dict, stage: str, repo_id: int, checkpoin
     return store.set_state(name, done=True, error=None)
 
 
-def ingest_history(spark: SparkSession, source: dict | str, repo_id: int, path: str, checkpoint: str, since: str | None = None, months: int = 12, again: bool = False, report: Callable[[str, int, int], None] | None = None, now: datetime | None = None) -> dict:
+def ingest_history(spark: SparkSession, source: dict | str, repo_id: int, path: str, checkpoint: str, since: str | None = None, months: int = 12,
+    again: bool = False, report: Callable[[str, int, int], None] | None = None, now: datetime | None = None) -> dict:
     """Commits, pull requests, issues into a store; returns the states of the stages and in all.
 
     The store keeps the window, page, count and end of each stage, so that a later call goes on where this one broke off, in
