@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,10 +18,10 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 
 
 class Window(StatefulProcessor):
-    """For each second of a key: how many requests it had, and those that wait until it is over.
+    """For each minute of a key: how many requests each of its seconds had, and those that wait until their second is over.
 
-    A timer stands at the end of each second. When the watermark passes it, that second's requests are given with the number of
-    the window's up to them, and seconds that no waiting one can see are dropped.
+    One timer stands at the end of the first second that is waited for. When the watermark passes it, the requests of all seconds
+    that are over are given with the number of the window's up to them, and minutes that no waiting one can see are dropped.
     """
 
     def __init__(self, key: str, seconds: int) -> None:
@@ -28,29 +29,53 @@ class Window(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getMapState("held", "second bigint", "n bigint, waiting array<bigint>")
+        self.held = handle.getMapState("held", "minute bigint", "seconds array<bigint>, counts array<bigint>, at array<bigint>, ids array<bigint>")
+        self.next = handle.getValueState("next", "ms bigint")
+
+    def answer(self, name: str, ids: list[int], recent: list[int]) -> pd.DataFrame:
+        return pd.DataFrame({self.key: pd.array([name] * len(ids), "object"), "id": pd.array(ids, "int64"), "n_recent": pd.array(recent, "int64")})
+
+    def wake(self, second: int) -> None:
+        """A timer at a second's end, if none stands there or before."""
+        ms = (second + 1) * 1000
+        if not self.next.exists() or self.next.get()[0] > ms:
+            self.next.update((ms,))
+            self.handle.registerTimer(ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for part in rows:
-            for second, ids in part.groupby("second")["id"]:
-                second = int(second)
-                n, waiting = self.held.getValue((second,)) if self.held.containsKey((second,)) else (0, [])
-                self.held.updateValue((second,), (n + len(ids), [*waiting, *map(int, ids)]))
-                self.handle.registerTimer((second + 1) * 1000)
-        yield pd.DataFrame({self.key: [], "id": [], "n_recent": []}).astype({self.key: str, "id": "int64", "n_recent": "int64"})
+            for minute, own in part.groupby(part["second"] // 60):
+                minute = int(minute)
+                seconds, counts, at, ids = self.held.getValue((minute,)) if self.held.containsKey((minute,)) else ([], [], [], [])
+                n = dict(zip(map(int, seconds), map(int, counts)))
+                for second, k in own["second"].value_counts().items():
+                    n[int(second)] = n.get(int(second), 0) + int(k)
+                self.held.updateValue((minute,), (list(n), list(n.values()), [*map(int, at), *own["second"].tolist()], [*map(int, ids), *own["id"].tolist()]))
+            self.wake(int(part["second"].min()))
+        yield self.answer("", [], [])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs() // 1000 - 1
-        held = {int(k[0]): (int(v[0]), list(v[1])) for k, v in self.held.iterator()}
-        n, waiting = held.get(now, (0, []))
-        recent = sum(m for s, (m, _) in held.items() if now - self.seconds < s <= now)
+        over = timerValues.getCurrentWatermarkInMs() // 1000
+        held = {int(k[0]): [list(map(int, x)) for x in v] for k, v in self.held.iterator()}
+        n = sorted((s, k) for seconds, counts, _, _ in held.values() for s, k in zip(seconds, counts))
+        second, total = np.array([s for s, _ in n]), np.cumsum([0] + [k for _, k in n])
+        upto = lambda s: total[np.searchsorted(second, s, "right")]
+        given, waiting = [], []
+        for minute, (seconds, counts, at, ids) in held.items():
+            done = [(s, i) for s, i in zip(at, ids) if s < over]
+            left = [(s, i) for s, i in zip(at, ids) if s >= over]
+            given += done
+            waiting += [s for s, _ in left]
+            if done:
+                self.held.updateValue((minute,), (seconds, counts, [s for s, _ in left], [i for _, i in left]))
+        seen = min([over, *waiting]) - self.seconds
+        for minute in held:
+            if minute * 60 + 59 <= seen:
+                self.held.removeKey((minute,))
+        self.next.clear()
         if waiting:
-            self.held.updateValue((now,), (n, []))
-        least = min((s for s, (_, w) in held.items() if w and s != now), default=now)
-        for s in held:
-            if s <= min(now, least) - self.seconds:
-                self.held.removeKey((s,))
-        yield pd.DataFrame({self.key: [str(key[0])] * len(waiting), "id": pd.array(waiting, "int64"), "n_recent": pd.array([recent] * len(waiting), "int64")})
+            self.wake(min(waiting))
+        yield self.answer(str(key[0]), [i for _, i in given], [int(upto(s) - upto(s - self.seconds)) for s, _ in given])
 
     def close(self) -> None:
         """The store is Spark's."""
@@ -60,7 +85,7 @@ def requests_so_far(events: DataFrame, key: str, at: str, id_: str, seconds: int
     """(key, id, n_recent) of a stream's events: requests of the same key in the `seconds` up to the end of each one's second.
 
     An event is given once its second is over by the watermark, which lets events be `late`; later ones are dropped. The state of
-    a key is a row for each of its last `seconds` seconds. Needs the state store ROCKS.
+    a key is a row for each of its last minutes. Needs the state store ROCKS.
     """
     rows = events.select(F.col(key).cast("string").alias(key), F.col(id_).cast("long").alias("id"), F.col(at).alias("at")).withWatermark("at", late)
     rows = rows.withColumn("second", F.unix_timestamp("at"))
