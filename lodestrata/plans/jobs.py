@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions.text import error_text
 from lodestrata.plans.upsert import recover_jobs, replace_partitions
-from lodestrata.tables import exists, file_system, remove
+from lodestrata.tables import create, exists, remove
 
 SCHEMA = "status string, progress double, started_at timestamp, completed_at timestamp, error string, repo_id bigint, kind string"
 
@@ -38,8 +38,8 @@ def run(spark: SparkSession, store: str, repo_id: int, kind: str, work: Callable
 
     A job that is under way is not started again: the file that claims it can be made once.
     """
-    fs, claim = file_system(spark, _claim(store, repo_id, kind))
-    if not fs.createNewFile(claim):
+    claim = _claim(store, repo_id, kind)
+    if not create(spark, claim):
         return status(spark, store, repo_id, kind) | {"status": "in_progress"}
     began = datetime.now(UTC)
     _put(spark, store, repo_id, kind, "in_progress", 0.0, began)
@@ -55,7 +55,7 @@ def run(spark: SparkSession, store: str, repo_id: int, kind: str, work: Callable
     except Exception as e:  # noqa: BLE001  the status carries it
         _put(spark, store, repo_id, kind, "failed", done[0], began, datetime.now(UTC), error_text(type(e).__name__, str(e)))
     # a process that ends before this leaves the claim to recover()
-    fs.delete(claim, False)
+    remove(spark, claim)
     return status(spark, store, repo_id, kind)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.schemas import META, conform
-from lodestrata.tables import exists, file_system, names, remove
+from lodestrata.tables import create, exists, file_system, names, remove
 
 Change = Callable[[DataFrame], DataFrame]
 
@@ -75,8 +75,7 @@ def version(spark: SparkSession, store: str) -> int:
 
 
 def _note(spark: SparkSession, store: str, number: int, way: str) -> None:
-    fs, path = file_system(spark, f"{store}/migrations/{len(log(spark, store)):06d}-{number}-{way}")
-    if not fs.createNewFile(path):
+    if not create(spark, f"{store}/migrations/{len(log(spark, store)):06d}-{number}-{way}"):
         raise RuntimeError(f"another session is migrating {store}")
 
 

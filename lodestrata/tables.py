@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import atexit
 import hashlib
+import os
 import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -47,6 +49,28 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def create(spark: SparkSession, path: str) -> bool:
+    """Make an empty file; False if it was there. Of several callers one makes it.
+
+    A local file system's own "create" looks first and makes then, so there the operating system is asked.
+    """
+    fs, p = file_system(spark, path)
+    fs.mkdirs(p.getParent())
+    if fs.getUri().getScheme() == "file":
+        try:
+            os.close(os.open(p.toUri().getPath(), os.O_CREAT | os.O_EXCL))
+        except FileExistsError:
+            return False
+        return True
+    try:
+        fs.create(p, False).close()
+    except Py4JJavaError:
+        if fs.exists(p):
+            return False
+        raise
+    return True
+
+
 def stash(df: DataFrame, what: str) -> DataFrame:
     """df written to a new table in the shared folder and read back: lineage ends, and lost executors cost a task."""
     path = f"{shared_dir(df.sparkSession)}/lodestrata-{what}-{uuid.uuid4().hex}"

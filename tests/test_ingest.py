@@ -327,17 +327,27 @@ def test_an_embedding_job_that_embeds_nothing_has_failed(spark, tmp_path):
     assert jobs.status(spark, str(tmp_path), 1, "embedding")["progress"] == 1.0
 
 
-def test_a_job_is_claimed_once(spark, tmp_path):
-    """Eight callers at once: one does the work."""
+def test_a_job_is_claimed_once(spark, tmp_path, monkeypatch):
+    """Eight callers at once: one does the work, however late the others come."""
     import threading
 
+    from lodestrata import tables
     from lodestrata.plans import jobs
 
-    did, together = [], threading.Barrier(8)
+    did, together, asked = [], threading.Barrier(8), threading.Semaphore(0)
+    real = tables.create
+
+    def create(*a):
+        got = real(*a)
+        asked.release()
+        return got
+
+    monkeypatch.setattr(jobs, "create", create)
 
     def work(report):
         did.append(1)
-        threading.Event().wait(2)
+        # until all have asked
+        assert all(asked.acquire(timeout=60) for _ in range(8))
 
     def call():
         together.wait()
