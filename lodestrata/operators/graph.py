@@ -77,13 +77,14 @@ def expand(edges: DataFrame, seeds: DataFrame, repo_id: int, max_depth: int = 2,
 
 
 def expand_sql(edges_view: str, seeds_view: str, repo_id: int, max_depth: int = 2, max_breadth: int = 10) -> str:
-    """The same by a recursive query, for shallow graphs: paths are counted one by one inside it."""
-    return f"""WITH RECURSIVE walk(origin, entity_type, entity_id, depth) AS (
-        SELECT entity_id, entity_type, entity_id, 0 FROM {seeds_view}
-        UNION ALL
-        SELECT w.origin, e.target_type, e.target_id, w.depth + 1 FROM walk w JOIN {edges_view} e
-          ON e.repo_id = {repo_id} AND e.source_type = w.entity_type AND e.source_id = w.entity_id WHERE w.depth < {max_depth}),
-      near AS (SELECT origin, entity_type, entity_id, min(depth) AS depth FROM walk WHERE depth > 0 GROUP BY origin, entity_type, entity_id),
+    """The same as a query: a table for each level, of distinct rows. A recursive one holds every path, and Spark bounds its rows."""
+    level = lambda d: f"""l{d} AS (SELECT DISTINCT w.origin, e.target_type AS entity_type, e.target_id AS entity_id FROM l{d - 1} w JOIN {edges_view} e
+          ON e.repo_id = {repo_id} AND e.source_type = w.entity_type AND e.source_id = w.entity_id)"""
+    depths = range(1, max_depth + 1)
+    return f"""WITH l0 AS (SELECT entity_id AS origin, entity_type, entity_id FROM {seeds_view}),
+      {", ".join(map(level, depths))},
+      walk AS ({" UNION ALL ".join(f"SELECT *, {d} AS depth FROM l{d}" for d in depths)}),
+      near AS (SELECT origin, entity_type, entity_id, min(depth) AS depth FROM walk GROUP BY origin, entity_type, entity_id),
       numbered AS (SELECT *, row_number() OVER (PARTITION BY origin ORDER BY depth, entity_id, entity_type) AS n FROM near)
       SELECT entity_type, entity_id, min(depth) AS depth FROM numbered WHERE n <= {max_breadth} GROUP BY entity_type, entity_id"""
 

@@ -92,6 +92,19 @@ def test_expand(spark):
     assert len(ids(expand(fan, seeds, 0, 1, 10))) == 10
 
 
+def test_expansion_of_more_paths_than_a_recursion_may_hold(spark):
+    """40 seeds with 9 paths each of two levels, where Spark lets a recursive query hold 100 rows."""
+    fan = [(0, "chunk", s, "commit", 3 * s + i, "introduced_by") for s in range(40) for i in range(3)]
+    fan += [(0, "commit", c, "pr", p, "part_of") for c in range(120) for p in range(3)]
+    spark.createDataFrame(fan, E).createOrReplaceTempView("e")
+    spark.range(40).selectExpr("'chunk' entity_type", "id entity_id").createOrReplaceTempView("s")
+    spark.conf.set("spark.sql.cteRecursionRowLimit", 100)
+    try:
+        assert len(spark.sql(expand_sql("e", "s", 0, 2, 1000)).collect()) == 123
+    finally:
+        spark.conf.unset("spark.sql.cteRecursionRowLimit")
+
+
 def test_rerank_expansion_and_relations(spark, emb):
     c = spark.createDataFrame([("commit", 1), ("pr", 1), ("pr", 7)], "entity_type string, entity_id long")
     assert ids(rerank_expansion(c, emb, [0.0, 1.0, 0.5, 0.0], 5)) == [("commit", 1), ("pr", 1)]
