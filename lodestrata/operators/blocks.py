@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,6 +61,73 @@ def write_blocks(blocks: DataFrame, path: str, files: int) -> None:
     dealt.write.option("parquet.writer.version", "PARQUET_2_0").option("parquet.enable.dictionary#entities.list.element.at.list.element", "false").partitionBy("repo_id").parquet(path)
 
 
+def write_packed(each: DataFrame, lengths: DataFrame, path: str, files: int, repo_id: int, per_block: int = PER_BLOCK) -> None:
+    """The blocks of one repository as block_postings and write_blocks give them, from rows of an entity and lexeme (functions.analyze.packed).
+
+    They are shuffled once, and sorted; blocks are then runs of rows. Rows with one entity_id are one entity's.
+    """
+    keys = ["entity_type", "lexeme", "block"]
+    # a row for each type
+    sizes = lengths.groupBy("entity_type").agg(F.ceil(F.count("*") / per_block).alias("blocks"))
+    placed = each.join(F.broadcast(sizes), "entity_type").withColumn("block", F.pmod(F.xxhash64("entity_id"), "blocks"))
+    dealt = placed.select(*keys, "entity_id", "at", "marks").repartition(files, *keys).sortWithinPartitions(*keys, "entity_id")
+    schema = SCHEMA.replace("repo_id bigint, ", "")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = _starts(batch, keys)
+            if held and (len(new) > 1 or any(batch.column(k)[0] != held[0].column(k)[0] for k in keys)):
+                # all rows before this batch's last block are whole
+                last = int(new[-1])
+                yield _gathered(pa.concat_batches([*held, batch.slice(0, last)]))
+                held = [batch.slice(last)]
+            elif not held and len(new) > 1:
+                yield _gathered(batch.slice(0, int(new[-1])))
+                held = [batch.slice(int(new[-1]))]
+            else:
+                held.append(batch)
+        if held:
+            yield _gathered(pa.concat_batches(held))
+
+    out = dealt.mapInArrow(run, schema)
+    out.write.option("parquet.writer.version", "PARQUET_2_0").option("parquet.enable.dictionary#entities.list.element.at.list.element", "false").parquet(f"{path}/repo_id={repo_id}")
+
+
+def _starts(rows: pa.RecordBatch, keys: list[str]) -> np.ndarray:
+    """Where a run of equal keys begins."""
+    new = np.zeros(rows.num_rows, bool)
+    new[:1] = True
+    for k in keys:
+        codes = rows.column(k).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        new[1:] |= codes[1:] != codes[:-1]
+    return np.flatnonzero(new)
+
+
+def _gathered(rows: pa.RecordBatch) -> pa.RecordBatch:
+    """Sorted rows of an entity and lexeme as blocks. Places and marks stay where they are, only what divides them goes."""
+    keys = ["entity_type", "lexeme", "block"]
+    entity, block = _starts(rows, [*keys, "entity_id"]), _starts(rows, keys)
+    ends = lambda offsets: offsets[np.append(entity, rows.num_rows)]
+    at, marks = rows.column("at"), rows.column("marks")
+    places = ends(at.offsets.to_numpy())
+    letters = ends(np.frombuffer(marks.buffers()[1], np.int32)[marks.offset : marks.offset + len(marks) + 1])
+    held = pa.StructArray.from_arrays([rows.column("entity_id").take(pa.array(entity)), pa.ListArray.from_arrays(pa.array(places), at.values),
+        pa.StringArray.from_buffers(len(entity), pa.py_buffer(letters.copy()), marks.buffers()[2])], ["entity_id", "at", "marks"])
+    data = np.frombuffer(marks.buffers()[2], np.uint8)
+    count = {w: np.diff(np.concatenate(([0], np.cumsum(data == ord(w))))[letters]) for w in WEIGHTS}
+    impact = reduce(lambda a, b: a + b, [n * WEIGHTS[w] for w, n in count.items()])
+    top = reduce(np.maximum, [np.where(n > 0, WEIGHTS[w], 0.0) for w, n in count.items()])
+    nth = np.searchsorted(entity, block)
+    largest = lambda x: np.maximum.reduceat(x, nth)
+    n = np.diff(np.append(nth, len(entity)))
+    of = [rows.column(k).take(pa.array(block)) for k in keys]
+    arrays = [*of, pa.array(n, pa.int64()), pa.array(largest(impact)), pa.array(largest(np.diff(letters)), pa.int32()), pa.array(largest(top)), pa.ListArray.from_arrays(pa.array(np.append(nth, len(entity)), pa.int32()), held)]
+    return pa.RecordBatch.from_arrays(arrays, names=[*keys, "n", "best", "most", "top", "entities"])
+
+
 def unpacked(blocks: DataFrame) -> DataFrame:
     """Blocks as postings again."""
     each = blocks.select("entity_type", "lexeme", F.explode("entities").alias("e")).select("entity_type", "lexeme", "e.entity_id", "e.marks", F.posexplode("e.at").alias("i", "pos"))

@@ -7,13 +7,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.functions.analyze import postings
+from lodestrata.functions import analyze
 from lodestrata.functions.text import basename, first_line
 from lodestrata.operators.blocks import SCHEMA as BLOCKS
-from lodestrata.operators.blocks import BlockIndex, block_postings, write_blocks
+from lodestrata.operators.blocks import BlockIndex, write_packed
 from lodestrata.operators.neighbours import GraphIndex, build_graph_index, read_graph_index
 from lodestrata.operators.search import ENTITY_TYPES
-from lodestrata.tables import built, fingerprint, stash
+from lodestrata.tables import built, fingerprint
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,11 +71,10 @@ def index(spark: SparkSession, sf_dir: str) -> BlockIndex:
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def make(path: str) -> None:
-        each = [postings(df, {"a": "A", "b": "B", "d": "D"}) for df in arms(spark, sf_dir).values()]
-        rows = stash(reduce(DataFrame.unionByName, each).withColumn("repo_id", F.lit(0).cast("long")), "postings")
-        rows.groupBy("repo_id", "entity_type", "entity_id").agg(F.count("*").alias("len")).write.parquet(f"{path}/length")
-        lengths = spark.read.parquet(f"{path}/length")
-        write_blocks(block_postings(rows, lengths), f"{path}/block", partitions)
+        segments = {"a": "A", "b": "B", "d": "D"}
+        entities = reduce(DataFrame.unionByName, arms(spark, sf_dir).values())
+        analyze.lengths(entities, segments).withColumn("repo_id", F.lit(0).cast("long")).write.parquet(f"{path}/length")
+        write_packed(analyze.packed(entities, segments), spark.read.parquet(f"{path}/length"), f"{path}/block", partitions, 0)
 
     sources = [f"{sf_dir}/{t}.parquet" for t in ("documents", "conversations", "pages", "benchmark")]
     path = built(spark, f"blocks-{fingerprint(spark, *sources)}", make)

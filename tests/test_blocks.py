@@ -3,7 +3,8 @@
 import random
 
 import pytest
-from lodestrata.functions.analyze import postings
+from lodestrata.functions.analyze import lengths as lengths_of
+from lodestrata.functions.analyze import packed, postings
 from lodestrata.operators import blocks as B
 from lodestrata.operators import search
 from pyspark.sql import functions as F
@@ -67,3 +68,25 @@ def test_ties_are_never_cut_off(spark):
     held = B.block_postings(rows, lengths, per_block=10)
     found, read = search.bounded_topk(held, ["quartz"], 4, steps=(2, 5))
     assert read is None and [r.entity_id for r in found.collect()] == [0, 1, 2, 3]
+
+
+def test_blocks_from_packed_rows(spark, tmp_path):
+    """They are those of the postings, of entities in two rows and without a word too, and no token is a row, nor shuffled."""
+    rng = random.Random(5)
+    texts = [(i % 290, " ".join(rng.choices(["running", "runs", "the", "ski", "Skies", "\u00c4rger", f"w{i}"], k=rng.randrange(40)))) for i in range(300)]
+    docs = spark.createDataFrame([*texts, (500, None), (501, "the")], "entity_id long, d string").selectExpr("if(entity_id % 3 = 0, 'pr', 'chunk') entity_type", "entity_id", "if(entity_id % 7 = 0, 'ski run', '') a", "d").repartition(3)
+    segments = {"a": "A", "d": "D"}
+    rows = postings(docs, segments).withColumn("repo_id", F.lit(4).cast("long"))
+    lengths = rows.groupBy("repo_id", "entity_type", "entity_id").agg(F.count("*").alias("len"))
+    assert sorted(map(tuple, lengths_of(docs, segments).collect())) == sorted(map(tuple, lengths.drop("repo_id").collect()))
+    each = packed(docs, segments)
+    assert each.count() < rows.count() / 2 and "Exchange" not in each._jdf.queryExecution().toString()
+    path = str(tmp_path / "block")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        B.write_packed(each, lengths, path, 3, 4, per_block=10)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got, want = spark.read.schema(B.SCHEMA).parquet(path), B.block_postings(rows, lengths, per_block=10)
+    whole = lambda df: sorted((r.repo_id, r.entity_type, r.lexeme, r.block, r.n, round(r.best, 9), r.most, r.top, [(e.entity_id, sorted(zip(e["at"], e.marks))) for e in r.entities]) for r in df.collect())
+    assert whole(got) == whole(want)
