@@ -33,9 +33,9 @@ HOST = "https://github.com"
 DOCSTRING = r"""(?sm)^\s*(?:async\s+)?(?:def|class)\s+\w+[^:]*:\s*(?:\"\"\"(.*?)\"\"\"|'''(.*?)''')"""
 
 
-def strip_ws(c: Column) -> Column:
-    """All Unicode white space off both ends; Spark's trim takes spaces only."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+def strip_ws(c: Column, ends: str | None = None) -> Column:
+    """All Unicode white space off both ends; Spark's trim takes spaces only. ends: these characters instead."""
+    return F.btrim(c, F.lit(ends)) if ends else F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
 def basename(path: Column) -> Column:
@@ -75,9 +75,9 @@ def split_identifier(name: Column) -> Column:
     return F.when(F.coalesce(name, F.lit("")) == "", "").when(F.size(parts) == 0, name).otherwise(F.concat_ws(" ", name, F.array_join(parts, " ")))
 
 
-def docstring(content: Column, lang: Column) -> Column:
-    """What a Python definition's docstring holds; empty for other languages, and where a colon in the signature hides it."""
-    return F.when(lang == "Python", strip_ws(F.concat(F.regexp_extract(content, DOCSTRING, 1), F.regexp_extract(content, DOCSTRING, 2)))).otherwise("")
+def docstring(content: Column, lang: Column, ends: str | None = None) -> Column:
+    """What a Python definition's docstring holds; empty for other languages, and where a colon in the signature hides it. ends: see strip_ws."""
+    return F.when(lang == "Python", strip_ws(F.concat(F.regexp_extract(content, DOCSTRING, 1), F.regexp_extract(content, DOCSTRING, 2)), ends)).otherwise("")
 
 
 def chunk_search_text(name: Column, parent: Column, content: Column, lang: Column) -> dict[str, Column]:
