@@ -80,10 +80,10 @@ def docstring(content: Column, lang: Column, ends: str | None = None) -> Column:
     return F.when(lang == "Python", strip_ws(F.concat(F.regexp_extract(content, DOCSTRING, 1), F.regexp_extract(content, DOCSTRING, 2)), ends)).otherwise("")
 
 
-def chunk_search_text(name: Column, parent: Column, content: Column, lang: Column) -> dict[str, Column]:
-    """The three searchable segments of a chunk."""
+def chunk_search_text(name: Column, parent: Column, content: Column, lang: Column, ends: str | None = None) -> dict[str, Column]:
+    """The three searchable segments of a chunk. ends: see strip_ws, for the docstring."""
     blank = lambda c: F.nullif(split_identifier(F.coalesce(c, F.lit(""))), F.lit(""))
-    return {"fts_name": F.concat_ws(" ", blank(parent), blank(name)), "fts_doc": docstring(content, lang), "fts_body": content}
+    return {"fts_name": F.concat_ws(" ", blank(parent), blank(name)), "fts_doc": docstring(content, lang, ends), "fts_body": content}
 
 
 def first_line(c: Column) -> Column:
