@@ -101,9 +101,9 @@ def closing_refs(*texts: Column) -> Column:
     return F.array_sort(F.array_distinct(numbers))
 
 
-def join_title_body(title: Column, body: Column) -> Column:
-    """Text to embed: both trimmed, or whichever is there."""
-    some = lambda c: F.nullif(strip_ws(F.coalesce(c, F.lit(""))), F.lit(""))
+def join_title_body(title: Column, body: Column, ends: str | None = None) -> Column:
+    """Text to embed: both trimmed, or whichever is there. ends: see strip_ws."""
+    some = lambda c: F.nullif(strip_ws(F.coalesce(c, F.lit("")), ends), F.lit(""))
     return F.concat_ws("\n\n", some(title), some(body))
 
 
