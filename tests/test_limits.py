@@ -2,8 +2,10 @@
 
 from collections import Counter
 
+import numpy as np
+import pandas as pd
 import pytest
-from lodestrata.streaming.limits import ROCKS, requests_so_far
+from lodestrata.streaming.limits import PART, ROCKS, SPAN, Window, requests_so_far
 from pyspark.sql import functions as F
 
 SCHEMA = "event_id long, kind string, ts timestamp"
@@ -49,3 +51,59 @@ def test_batches_and_a_restart(spark, tmp_path, rocks):
     want = plain([x for x in first + second if x[0] not in late], 20)
     assert got == want and max(Counter(i for _, i, _ in got).values()) == 1
     assert run(spark, path, out, cp, 20) == got
+
+
+class Held(dict):
+    """A map state, or a value, in memory; and the longest row that it has held."""
+
+    most = 0
+    containsKey, getValue, removeKey = dict.__contains__, dict.__getitem__, dict.pop
+
+    def updateValue(self, k, v):
+        self[k] = v
+        Held.most = max(Held.most, *[len(x) for x in v if isinstance(x, list)])
+
+    def exists(self):
+        return "v" in self
+
+    def get(self):
+        return self["v"]
+
+    def update(self, v):
+        self["v"] = v
+
+
+class Clock:
+    def __init__(self, ms=0):
+        self.ms = ms
+
+    def getMapState(self, *_):
+        return Held()
+
+    getValueState = getMapState
+
+    def registerTimer(self, ms):
+        pass
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def test_a_key_of_many_requests_is_taken_and_given_in_parts():
+    """However many requests a key, or one second of it, has: rows of state and answers stay small, and no request is lost."""
+    w = Window("kind", 60)
+    w.init(Clock())
+    rng = np.random.default_rng(1)
+    at = np.concatenate((rng.integers(0, 4000, 60_000), np.full(45_000, 1234)))
+    ids = np.arange(len(at))
+    for i in range(0, len(at), 7000):
+        list(w.handleInputRows(("a",), iter([pd.DataFrame({"second": at[i : i + 7000], "id": ids[i : i + 7000]})]), None))
+    given = []
+    for over in (2000, 5000):
+        given += [g for g in w.handleExpiredTimer(("a",), Clock(over * 1000), None) if len(g)]
+        assert sum(map(len, given)) == (at < over).sum()
+    assert Held.most <= max(PART, SPAN) and max(map(len, given)) <= 2 * PART
+    got = pd.concat(given).set_index("id")["n_recent"].sort_index().to_numpy()
+    total = np.concatenate(([0], np.cumsum(np.bincount(at, minlength=4001))))
+    assert (got == total[at + 1] - total[np.maximum(at - 59, 0)]).all()
+    assert not w.held and not w.waiting
