@@ -17,11 +17,16 @@ def is_held_out(doc_id: int) -> bool:
     return zlib.crc32(str(doc_id).encode()) % 5 == 0
 
 
+def of_rows(labels: DataFrame, label: str) -> DataFrame:
+    """(__id, label) of the labelled rows outside the held-out fold, one for each doc_id. Rows without a label or an id are not used."""
+    rows = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
+    return rows.groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.max(F.col(label).cast("int")).alias("label"))
+
+
 def sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
     """(text, label) of at most `most` labelled rows outside the held-out fold: the smallest hashes of doc_id.
 
     `most` is the bound on what is broadcast here: one id and label each. Rows without a label or an id are not used.
     """
-    rows = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.max(F.col(label).cast("int")).alias("label"))
-    few = rows.orderBy(F.md5(F.col("__id").cast("string").cast("binary")), "__id").limit(most)
+    few = of_rows(labels, label).orderBy(F.md5(F.col("__id").cast("string").cast("binary")), "__id").limit(most)
     return docs.select(F.col("doc_id").alias("__d"), "text").join(F.broadcast(few), F.col("__d") == F.col("__id")).select("text", "label")

@@ -10,13 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import Words, by_batch, mix, repeated, slices, span_hashes, windows
-from lodestrata.llm.labelled import sample
+from lodestrata.llm.common import Words, by_batch, mix, repeated, running, slices, span_hashes, stash, windows
+from lodestrata.llm.labelled import held_out, of_rows
 
 #: Hash buckets of 1- and 2-grams (fixed, so the model is 80 KB whatever the corpus), and additive smoothing.
 BUCKETS, SMOOTH = 10_000, 1.0
-#: Labelled texts that the target's counts, and those that the threshold, are learnt from, at most; a good text lost counts for so many poor ones kept.
-TRUSTED, SAMPLE, DEAR = 100_000, 5000, 10
+#: A good text lost counts for so many poor ones kept.
+DEAR = 10
 _SYMBOL = np.zeros(256, np.int64)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = 1
 COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
@@ -85,9 +85,10 @@ def ratios(trusted: np.ndarray, raw: np.ndarray) -> np.ndarray:
     return np.log(p) - np.log(q)
 
 
-def trusted_texts(docs: DataFrame, labels: DataFrame, most: int = TRUSTED) -> DataFrame:
-    """Texts of at most `most` rows labelled as good, outside the held-out fold; their ids are what is broadcast."""
-    return sample(docs, labels.where("quality = 1"), "quality", most).select("text")
+def trusted_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Texts of all rows labelled as good, outside the held-out fold. Texts are shuffled by id, and hashed against the ids of each part."""
+    good = of_rows(labels.where("quality = 1"), "quality").hint("shuffle_hash")
+    return docs.select(F.col("doc_id").alias("__d"), "text").where(~held_out("__d")).join(good, F.col("__d") == F.col("__id")).select("text")
 
 
 def _judged(column: pa.Array, model: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
@@ -114,16 +115,30 @@ def threshold_of(rows: list[tuple[float, int]], dear: int = DEAR) -> float:
     return -math.inf if k == 0 else math.inf if k == len(x) else float((x[k - 1] + x[k]) / 2)
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> tuple[np.ndarray, float]:
-    """(ratios, threshold): the corpus's counts over all rows; labels outside the held-out fold alone."""
-    model = ratios(multinomial(trusted_texts(docs, labels)), multinomial(docs))
+def threshold_over(rows: DataFrame, dear: int = DEAR) -> float:
+    """threshold_of a table (llr, label): running sums over ranges of ratios; one row reaches the driver."""
+    good, poor = F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)
+    each = rows.groupBy("llr").agg(good.alias("good"), poor.alias("poor"))
+    before = running(each, [F.col("llr")], {"good_before": F.col("good"), "poor_before": F.col("poor")})
+    # wrong of a cut before each ratio, less the poor rows of all
+    cut = F.struct((dear * F.col("good_before") - F.col("poor_before")).alias("wrong"), F.col("llr").alias("at"))
+    r = before.agg(F.min(cut).alias("cut"), F.sum("good").alias("good"), F.sum("poor").alias("poor"), F.min("llr").alias("least")).first()
+    if not r.good or not r.poor:
+        return -math.inf
+    if dear * r.good < r.cut.wrong + r.poor:
+        return math.inf
+    if r.cut.at == r.least:
+        return -math.inf
+    return (each.where(F.col("llr") < r.cut["at"]).agg(F.max("llr")).first()[0] + r.cut["at"]) / 2
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        _, llr, failed = _judged(batch.column(0), model)
-        return pa.RecordBatch.from_arrays([pa.array(llr), batch.column(1), pa.array(failed)], names=["llr", "label", "failed"])
 
-    rows = by_batch(sample(docs, labels, "quality", most), run, "llr double, label int, failed boolean").where("not failed").collect()
-    return model, threshold_of([(r[0], r[1]) for r in rows])
+def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
+    """(ratios, threshold): the corpus's counts over all rows; all labels outside the held-out fold, and no others."""
+    model = ratios(multinomial(trusted_texts(docs, labels)), multinomial(docs))
+    judged = judge(docs.where(~held_out()), model).where("not base_failed").select(F.col("doc_id").alias("__d"), "llr")
+    # ratios and ids are what is shuffled
+    rows = judged.join(of_rows(labels, "quality").hint("shuffle_hash"), F.col("__d") == F.col("__id")).select("llr", "label")
+    return model, threshold_over(stash(rows, "ratios"))
 
 
 def judge(docs: DataFrame, model: np.ndarray, threshold: float = -math.inf) -> DataFrame:

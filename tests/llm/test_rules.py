@@ -60,3 +60,25 @@ def test_threshold(seed):
 
 def test_threshold_of_one_kind():
     assert rules.threshold_of([]) == rules.threshold_of([(0.1, 1)]) == rules.threshold_of([(0.1, 0)]) == -math.inf
+
+
+def test_the_threshold_of_a_table_is_that_of_its_rows(spark):
+    """With ties, of one label alone, with all kept and all lost, and of more rows than the former sample of 5000."""
+    rng = np.random.default_rng(2)
+    tables = [[(float(x), int(rng.random() < 0.3 + 0.5 * (x > 4))) for x in rng.integers(0, 9, n)] for n in (30, 200, 9000)]
+    tables += [[(1.0, 1)], [(1.0, 0), (1.0, 1)], [(2.0, 0), (1.0, 1)], [(1.0, 0), (2.0, 1)], [(5.0, 0)] * 20 + [(1.0, 1)]]
+    for rows in tables:
+        df = spark.createDataFrame(rows, "llr double, label int")
+        for dear in (1, 10):
+            assert rules.threshold_over(df, dear) == rules.threshold_of(rows, dear)
+
+
+def test_every_label_counts(spark):
+    """All texts labelled good outside the fold are counted, by a plan without a limit."""
+    docs = spark.range(300).selectExpr("id doc_id", "repeat(concat('w', id, ' '), 60) text")
+    labels = spark.range(300).selectExpr("id doc_id", "1 quality", "0 toxic")
+    kept = docs.where("crc32(cast(doc_id as string)) % 5 <> 0").count()
+    trusted = rules.trusted_texts(docs, labels)
+    assert trusted.count() == kept and "Limit" not in trusted._jdf.queryExecution().toString()
+    model, threshold = rules.train(docs, labels)
+    assert threshold == -np.inf and model.any()
