@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +16,8 @@ from lodestrata.functions.stem import SPECIAL, STOP_WORDS, stem
 TOKEN = r"(?U)[\p{L}\p{N}_]+"
 #: Bytes of tokens that are packed at once.
 SLICE = 8 << 20
+#: Stems of words met before, as many as a worker keeps.
+_stem = lru_cache(1 << 17)(stem)
 
 
 def query_lexemes(query: str) -> list[str]:
@@ -80,38 +82,45 @@ def packed(entities: DataFrame, segments: dict[str, str]) -> DataFrame:
 
     Nothing is shuffled: a token is never a row. Stemming runs once for each distinct word of some thousand texts.
     """
-    rows = entities.select("entity_type", F.col("entity_id").cast("long").alias("entity_id"), *[tokens(F.col(c)).alias(f"__{c}") for c in segments])
     letters = "".join(segments.values()).encode()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             step = max(1, batch.num_rows * SLICE // max(batch.nbytes, 1))
             for at in range(0, batch.num_rows, step):
-                yield _packed(batch.slice(at, step), letters)
+                yield packed_batch(batch.slice(at, step), letters)
 
-    return rows.mapInArrow(run, "entity_type string, entity_id bigint, lexeme string, at array<int>, marks string")
+    return token_rows(entities, segments).mapInArrow(run, "entity_type string, entity_id bigint, lexeme string, at array<int>, marks string")
 
 
-def _packed(batch: pa.RecordBatch, letters: bytes) -> pa.RecordBatch:
+def token_rows(entities: DataFrame, segments: dict[str, str]) -> DataFrame:
+    """entity_type, entity_id and the tokens of each segment."""
+    return entities.select("entity_type", F.col("entity_id").cast("long").alias("entity_id"), *[tokens(F.col(c)).alias(f"__{c}") for c in segments])
+
+
+def packed_batch(batch: pa.RecordBatch, letters: bytes) -> pa.RecordBatch:
+    """Rows of token_rows as those of packed, in order of lexeme and row."""
     row, pos, mark, words = [], [], [], []
     before = np.zeros(batch.num_rows, np.int64)
     for i in range(len(letters)):
         column = batch.column(2 + i)
         size = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
         first = np.cumsum(size) - size
-        row.append(np.repeat(np.arange(len(size)), size))
-        pos.append(np.arange(size.sum()) + np.repeat(before - first + 1, size))
+        row.append(np.repeat(np.arange(len(size), dtype=np.int32), size))
+        pos.append(np.arange(size.sum(), dtype=np.int32) + np.repeat((before - first + 1).astype(np.int32), size))
         mark.append(np.full(size.sum(), letters[i], np.uint8))
         words.append(column.flatten())
         before += size
     coded = pa.concat_arrays(words).dictionary_encode()
-    lexemes: dict[str, int] = {}
     stop = set(STOP_WORDS)
-    of_word = np.array([-1 if w in stop else lexemes.setdefault(stem(w), len(lexemes)) for w in coded.dictionary.to_pylist()], np.int64)
-    code = of_word[coded.indices.to_numpy()] if len(of_word) else np.zeros(0, np.int64)
+    found = [None if w in stop else _stem(w) for w in coded.dictionary.to_pylist()]
+    lexemes = sorted({x for x in found if x is not None})
+    nth = {x: i for i, x in enumerate(lexemes)} | {None: -1}
+    of_word = np.array([nth[x] for x in found], np.int32)
+    code = of_word[coded.indices.to_numpy()] if len(of_word) else np.zeros(0, np.int32)
     row, pos, mark = (np.concatenate(x) for x in (row, pos, mark))
     # a row's tokens stand in order of their places
-    order = np.argsort(code * batch.num_rows + row, kind="stable")
+    order = np.argsort(code.astype(np.int64) * batch.num_rows + row, kind="stable")
     order = order[int((code < 0).sum()) :]
     code, row = code[order], row[order]
     start = np.flatnonzero(np.concatenate(([True], (code[1:] != code[:-1]) | (row[1:] != row[:-1])))[: len(code)])
@@ -119,5 +128,5 @@ def _packed(batch: pa.RecordBatch, letters: bytes) -> pa.RecordBatch:
     at = pa.ListArray.from_arrays(offsets, pa.array(pos[order], pa.int32()))
     marks = pa.StringArray.from_buffers(len(start), offsets.buffers()[1], pa.py_buffer(mark[order]))
     own = pa.array(row[start])
-    arrays = [batch.column(0).take(own), batch.column(1).take(own), pa.array(list(lexemes), pa.string()).take(pa.array(code[start])), at, marks]
+    arrays = [batch.column(0).take(own), batch.column(1).take(own), pa.array(lexemes, pa.string()).take(pa.array(code[start])), at, marks]
     return pa.RecordBatch.from_arrays(arrays, names=["entity_type", "entity_id", "lexeme", "at", "marks"])

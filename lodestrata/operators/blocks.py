@@ -8,14 +8,22 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.functions import analyze
+
 #: Weights of the segments of a search document.
 WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2, "D": 0.1}
 #: Entities of a block, about; blocks read at once, growing until no other can enter; beyond the last all are read.
 PER_BLOCK, STEPS = 512, (32, 512, 4096)
+#: Bytes of tokens whose blocks are made at once and sorted by lexeme; rows that a task gives at once.
+RUN, GIVEN = 8 << 20, 10_000
 SCHEMA = "repo_id bigint, entity_type string, lexeme string, block bigint, n bigint, best double, most int, top double, entities array<struct<entity_id:bigint,at:array<int>,marks:string>>"
+#: Of one row of a block: its entities' lengths.
+OWN = "own array<struct<entity_id:bigint,len:bigint>>"
 
 
 @dataclass(frozen=True)
@@ -96,12 +104,72 @@ def write_packed(each: DataFrame, lengths: DataFrame, path: str, files: int, rep
     out.write.option("parquet.writer.version", "PARQUET_2_0").option("parquet.enable.dictionary#entities.list.element.at.list.element", "false").parquet(f"{path}/repo_id={repo_id}")
 
 
+def write_entities(entities: DataFrame, segments: dict[str, str], path: str, repo_id: int, per_block: int = PER_BLOCK) -> None:
+    """The blocks of one repository's entities, no id of which stands in two rows, added to a path; with lengths (OWN).
+
+    Nothing is shuffled, sorted by Spark or spilled: a block is made of neighbours within a task and numbered after its partition, from
+    1 << 32, so that it meets none of write_packed. A file is runs of blocks, each in order of lexeme, and a search reads the pages of its lexemes.
+    """
+    letters = "".join(segments.values()).encode()
+    schema = SCHEMA.replace("repo_id bigint, ", "") + ", " + OWN
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() + 1 << 32
+        for rows in _runs(batches, per_block):
+            out = _blocks_of(rows, letters, block, per_block)
+            block += -(-rows.num_rows // per_block)
+            for at in range(0, out.num_rows, GIVEN):
+                yield out.slice(at, GIVEN)
+
+    out = analyze.token_rows(entities, segments).mapInArrow(run, schema)
+    out.write.mode("append").option("parquet.writer.version", "PARQUET_2_0").option("parquet.enable.dictionary#entities.list.element.at.list.element", "false").parquet(f"{path}/repo_id={repo_id}")
+
+
+def _runs(batches: Iterator[pa.RecordBatch], per_block: int) -> Iterator[pa.RecordBatch]:
+    """Rows of one type, some RUN bytes at a time, whole blocks where as much holds some."""
+    held: dict[str, list[pa.RecordBatch]] = {}
+    for batch in batches:
+        step = max(1, batch.num_rows * RUN // max(batch.nbytes, 1))
+        step -= step % per_block if step > per_block else 0
+        for at in range(0, batch.num_rows, step):
+            part = batch.slice(at, step)
+            kinds = part.column(0).unique()
+            for kind in kinds:
+                own = held.setdefault(kind.as_py(), [])
+                own.append(part if len(kinds) == 1 else part.filter(pc.equal(part.column(0), kind)))
+                if sum(x.nbytes for x in own) >= RUN:
+                    yield pa.concat_batches(held.pop(kind.as_py()))
+    yield from map(pa.concat_batches, held.values())
+
+
+def _blocks_of(rows: pa.RecordBatch, letters: bytes, first: int, per_block: int) -> pa.RecordBatch:
+    """Blocks, numbered from first, of rows of analyze.token_rows of one type, in order of lexeme; each row is an entity."""
+    # until the blocks are made, an entity is its row's number
+    numbered = rows.set_column(1, rows.schema.names[1], pa.array(np.arange(rows.num_rows)))
+    packed = analyze.packed_batch(numbered, letters)
+    row = packed.column("entity_id").to_numpy()
+    length = np.bincount(row, weights=packed.column("at").value_lengths().to_numpy(), minlength=rows.num_rows).astype(np.int64)
+    out = _gathered(packed.append_column("block", pa.array(first + row // per_block)))
+    # ids, and a block's lengths beside its first row
+    ids, entities = rows.column(1), out.column("entities")
+    own = pa.StructArray.from_arrays([ids.take(entities.values.field("entity_id")), entities.values.field("at"), entities.values.field("marks")], ["entity_id", "at", "marks"])
+    out = out.set_column(out.schema.names.index("entities"), "entities", pa.ListArray.from_arrays(entities.offsets, own))
+    block, at = np.unique(out.column("block").to_numpy() - first, return_index=True)
+    some = np.flatnonzero(length)
+    size = np.zeros(out.num_rows, np.int64)
+    size[at] = np.bincount(some // per_block)[block]
+    # blocks' first rows needn't stand in the blocks' order
+    order = np.concatenate([some[slice(*np.searchsorted(some // per_block, [b, b + 1]))] for b in block[np.argsort(at)]]) if len(at) else some
+    lens = pa.StructArray.from_arrays([ids.take(pa.array(order)), pa.array(length[order])], ["entity_id", "len"])
+    return out.append_column("own", pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), lens))
+
+
 def _starts(rows: pa.RecordBatch, keys: list[str]) -> np.ndarray:
     """Where a run of equal keys begins."""
     new = np.zeros(rows.num_rows, bool)
     new[:1] = True
     for k in keys:
-        codes = rows.column(k).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        codes = rows.column(k).dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
         new[1:] |= codes[1:] != codes[:-1]
     return np.flatnonzero(new)
 

@@ -9,10 +9,9 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import analyze
 from lodestrata.functions.text import basename, first_line
-from lodestrata.operators.blocks import SCHEMA as BLOCKS
-from lodestrata.operators.blocks import BlockIndex, write_packed
+from lodestrata.operators import blocks as B
 from lodestrata.operators.neighbours import GraphIndex, build_graph_index, read_graph_index
-from lodestrata.operators.search import ENTITY_TYPES
+from lodestrata.operators.search import ENTITY_TYPES, KEYS
 from lodestrata.tables import built, fingerprint
 
 
@@ -63,23 +62,35 @@ def arms(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     }
 
 
-def index(spark: SparkSession, sf_dir: str) -> BlockIndex:
+def index(spark: SparkSession, sf_dir: str) -> B.BlockIndex:
     """Blocks of postings of the search documents, and lengths: written by the first that asks, and again when a file changes.
 
     Building is a step of its own (the query index_build); what comes after only reads.
     """
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = "repo_id bigint, entity_type string, entity_id bigint, len bigint"
 
     def make(path: str) -> None:
         segments = {"a": "A", "b": "B", "d": "D"}
         entities = reduce(DataFrame.unionByName, arms(spark, sf_dir).values())
-        analyze.lengths(entities, segments).withColumn("repo_id", F.lit(0).cast("long")).write.parquet(f"{path}/length")
-        write_packed(analyze.packed(entities, segments), spark.read.parquet(f"{path}/length"), f"{path}/block", partitions, 0)
+        # an id in several rows is one entity: those rows have to meet, all others stay where they are read
+        entities.groupBy(*KEYS).count().where("count > 1").select(*KEYS).write.parquet(f"{path}/repeated")
+        repeated = spark.read.schema("entity_type string, entity_id bigint").parquet(f"{path}/repeated")
+        same = reduce(lambda a, b: a & b, [entities[k].eqNullSafe(repeated[k]) for k in KEYS])
+        if repeated.isEmpty():
+            spark.createDataFrame([], size).write.parquet(f"{path}/length")
+            B.write_entities(entities, segments, f"{path}/block", 0)
+            return
+        twice = entities.join(repeated, same, "left_semi")
+        analyze.lengths(twice, segments).withColumn("repo_id", F.lit(0).cast("long")).write.parquet(f"{path}/length")
+        B.write_packed(analyze.packed(twice, segments), spark.read.parquet(f"{path}/length"), f"{path}/block", partitions, 0)
+        B.write_entities(entities.join(repeated, same, "left_anti"), segments, f"{path}/block", 0)
 
     sources = [f"{sf_dir}/{t}.parquet" for t in ("documents", "conversations", "pages", "benchmark")]
     path = built(spark, f"blocks-{fingerprint(spark, *sources)}", make)
-    read = lambda name, schema: spark.read.schema(schema).parquet(f"{path}/{name}")
-    return BlockIndex(read("block", BLOCKS), read("length", "repo_id bigint, entity_type string, entity_id bigint, len bigint"))
+    blocks = spark.read.schema(f"{B.SCHEMA}, {B.OWN}").parquet(f"{path}/block")
+    lengths = blocks.select("repo_id", "entity_type", F.explode("own").alias("o")).select("repo_id", "entity_type", "o.*")
+    return B.BlockIndex(blocks.drop("own"), lengths.unionByName(spark.read.schema(size).parquet(f"{path}/length")))
 
 
 def graph_index(spark: SparkSession, sf_dir: str) -> GraphIndex:

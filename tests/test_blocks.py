@@ -1,12 +1,14 @@
 """Block postings: bounds that hold, answers as without blocks, and fewer blocks read than there are."""
 
 import random
+from functools import reduce
 
 import pytest
 from lodestrata.functions.analyze import lengths as lengths_of
 from lodestrata.functions.analyze import packed, postings
 from lodestrata.operators import blocks as B
 from lodestrata.operators import search
+from lodestrata.plans import adapters as A
 from pyspark.sql import functions as F
 
 
@@ -90,3 +92,74 @@ def test_blocks_from_packed_rows(spark, tmp_path):
     got, want = spark.read.schema(B.SCHEMA).parquet(path), B.block_postings(rows, lengths, per_block=10)
     whole = lambda df: sorted((r.repo_id, r.entity_type, r.lexeme, r.block, r.n, round(r.best, 9), r.most, r.top, [(e.entity_id, sorted(zip(e["at"], e.marks))) for e in r.entities]) for r in df.collect())
     assert whole(got) == whole(want)
+
+
+def whole(df):
+    """What an index holds of each entity, whatever its block."""
+    each = df.select("repo_id", "entity_type", "lexeme", F.explode("entities").alias("e")).collect()
+    return sorted((r.repo_id, r.entity_type, r.lexeme, str(r.e.entity_id), sorted(zip(r.e["at"], r.e.marks))) for r in each)
+
+
+def test_blocks_of_entities_where_they_are_read(spark, tmp_path, monkeypatch):
+    """Without a shuffle or sort: the same postings and lengths, an entity in one block, bounds that hold; of mixed types, small runs and no id too."""
+    rng = random.Random(6)
+    texts = [(i if i else None, " ".join(rng.choices(["running", "runs", "the", "ski", "Skies", "Ärger", f"w{i}"], k=rng.randrange(40)))) for i in range(300)]
+    docs = spark.createDataFrame([*texts, (500, None), (501, "the")], "entity_id long, d string").selectExpr("if(entity_id % 3 = 0, 'pr', 'chunk') entity_type", "entity_id", "if(entity_id % 7 = 0, 'ski run', '') a", "d").repartition(3)
+    segments = {"a": "A", "d": "D"}
+    rows = postings(docs, segments).withColumn("repo_id", F.lit(4).cast("long"))
+    lengths = rows.groupBy("repo_id", "entity_type", "entity_id").agg(F.count("*").alias("len"))
+    monkeypatch.setattr(B, "RUN", 2000)
+    path = str(tmp_path / "block")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        B.write_entities(docs, segments, path, 4, per_block=10)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = spark.read.schema(f"{B.SCHEMA}, {B.OWN}").parquet(path).cache()
+    assert whole(got) == whole(B.block_postings(rows, lengths, per_block=10))
+    assert got.groupBy("entity_type", "lexeme", "block").count().where("count > 1").isEmpty()
+    own = got.select("repo_id", "entity_type", F.explode("own").alias("o")).select("repo_id", "entity_type", "o.*").collect()
+    assert sorted(map(str, map(tuple, own))) == sorted(map(str, map(tuple, lengths.collect())))
+    each = got.select("entity_type", "block", F.explode("entities.entity_id").alias("e")).distinct().cache()
+    assert each.groupBy("entity_type", "e").count().where("count > 1").isEmpty()
+    assert each.groupBy("block").count().agg(F.max("count")).first()[0] <= 10
+    lexemes = ["run", "ski"]
+    bound = {(r.entity_type, r.block): r.bound for r in B.bounds(got, lexemes).collect()}
+    where = {(r.entity_type, r.e): r.block for r in each.collect()}
+    ranks = search.cover_density(B.unpacked(got), lexemes).collect()
+    assert ranks and all(r["rank"] <= bound[r.entity_type, where[r.entity_type, r.entity_id]] + 1e-9 for r in ranks)
+
+
+def shuffled(spark):
+    """Bytes that each stage has written to a shuffle."""
+    context = spark.sparkContext._jsc.sc()
+    # figures come after the stage
+    context.listenerBus().waitUntilEmpty(30_000)
+    none = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+    stages = context.statusStore().stageList(None, False, False, none, None)
+    return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteBytes() for i in range(stages.size())}
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_the_build_shuffles_less_than_the_texts(spark, tmp_path, repeated):
+    """Ids in several rows are one entity, and are all that meets in a shuffle."""
+    rng = random.Random(7)
+    texts = [(i, f"src{i % 5}", " ".join(f"w{rng.randrange(3000)}" for _ in range(300))) for i in range(1000)]
+    texts += [(3, "src3", "w1 w2"), (None, "src9", "w1 w1"), (None, "src9", "w2")] if repeated else []
+    tables = {
+        "documents": spark.createDataFrame(texts, "doc_id long, source string, text string"),
+        "conversations": spark.createDataFrame([(1, 0, "first line\nw1 again")], "conv_id long, turn int, text string"),
+        "pages": spark.createDataFrame([(1, "http://x/y", "<title>w2</title> page")], "page_id long, url string, html string"),
+        "benchmark": spark.createDataFrame([(1, "w3 item")], "item_id long, text string"),
+    }
+    for name, df in tables.items():
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    before = set(shuffled(spark))
+    index = A.index(spark, str(tmp_path))
+    written = sum(n for stage, n in shuffled(spark).items() if stage not in before)
+    assert written < sum(len(t) for _, _, t in texts) / 20
+    entities = reduce(lambda a, b: a.unionByName(b), A.arms(spark, str(tmp_path)).values())
+    rows = postings(entities, {"a": "A", "b": "B", "d": "D"}).withColumn("repo_id", F.lit(0).cast("long"))
+    lengths = rows.groupBy("repo_id", "entity_type", "entity_id").agg(F.count("*").alias("len"))
+    assert whole(index.blocks) == whole(B.block_postings(rows, lengths))
+    assert sorted(map(str, map(tuple, index.lengths.collect()))) == sorted(map(str, map(tuple, lengths.collect())))
