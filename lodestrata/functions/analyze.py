@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,8 +17,6 @@ from lodestrata.functions.stem import SPECIAL, STOP_WORDS, stem
 TOKEN = r"(?U)[\p{L}\p{N}_]+"
 #: Bytes of tokens that are packed at once.
 SLICE = 8 << 20
-#: Stems of words met before, as many as a worker keeps.
-_stem = lru_cache(1 << 17)(stem)
 
 
 def query_lexemes(query: str) -> list[str]:
@@ -113,11 +112,13 @@ def packed_batch(batch: pa.RecordBatch, letters: bytes) -> pa.RecordBatch:
         before += size
     coded = pa.concat_arrays(words).dictionary_encode()
     stop = set(STOP_WORDS)
-    found = [None if w in stop else _stem(w) for w in coded.dictionary.to_pylist()]
-    lexemes = sorted({x for x in found if x is not None})
-    nth = {x: i for i, x in enumerate(lexemes)} | {None: -1}
-    of_word = np.array([nth[x] for x in found], np.int32)
-    code = of_word[coded.indices.to_numpy()] if len(of_word) else np.zeros(0, np.int32)
+    found = pa.array([None if w in stop else stem(w) for w in coded.dictionary.to_pylist()], pa.string()).dictionary_encode()
+    by_name = pc.array_sort_indices(found.dictionary)
+    lexemes = found.dictionary.take(by_name)
+    # the last, -1, is that of stop words
+    nth = np.full(len(by_name) + 1, -1, np.int32)
+    nth[by_name.to_numpy()] = np.arange(len(by_name))
+    code = nth[found.indices.fill_null(-1).to_numpy()][coded.indices.to_numpy()]
     row, pos, mark = (np.concatenate(x) for x in (row, pos, mark))
     # a row's tokens stand in order of their places
     order = np.argsort(code.astype(np.int64) * batch.num_rows + row, kind="stable")
@@ -128,5 +129,5 @@ def packed_batch(batch: pa.RecordBatch, letters: bytes) -> pa.RecordBatch:
     at = pa.ListArray.from_arrays(offsets, pa.array(pos[order], pa.int32()))
     marks = pa.StringArray.from_buffers(len(start), offsets.buffers()[1], pa.py_buffer(mark[order]))
     own = pa.array(row[start])
-    arrays = [batch.column(0).take(own), batch.column(1).take(own), pa.array(lexemes, pa.string()).take(pa.array(code[start])), at, marks]
+    arrays = [batch.column(0).take(own), batch.column(1).take(own), lexemes.take(pa.array(code[start])), at, marks]
     return pa.RecordBatch.from_arrays(arrays, names=["entity_type", "entity_id", "lexeme", "at", "marks"])
